@@ -21,43 +21,42 @@ def plan_resize(width: Column, height: Column, max_pixels: int) -> Column:
     )
 
 
-def _extent(polygon: Column, axis: int) -> tuple[Column, Column]:
-    values = F.transform(polygon, lambda p: F.get(p, F.lit(axis)))
-    return F.array_min(values), F.array_max(values)
-
-
 def has_box(polygon: Column) -> Column:
     return F.coalesce(F.size(polygon) >= BOX_POINTS, F.lit(False))
 
 
-def _box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    return F.struct(F.array(x0, y0).alias("top_left"), F.array(x1, y1).alias("bottom_right"))
+def axis_values(polygon: Column, axis: int) -> Column:
+    """All x (axis 0) or y (axis 1) values of a polygon of four or more points, else null."""
+    return F.when(has_box(polygon), F.transform(polygon, lambda p: F.get(p, F.lit(axis))))
+
+
+def extent(xs: Column, ys: Column) -> Column:
+    """struct<x0, y0, x1, y1> of axis values; zeros without them."""
+    return F.struct(
+        F.coalesce(F.array_min(xs), F.lit(0.0)).alias("x0"),
+        F.coalesce(F.array_min(ys), F.lit(0.0)).alias("y0"),
+        F.coalesce(F.array_max(xs), F.lit(0.0)).alias("x1"),
+        F.coalesce(F.array_max(ys), F.lit(0.0)).alias("y1"),
+    )
 
 
-def zero_box() -> Column:
-    zero = F.lit(0.0)
-    return _box(zero, zero, zero, zero).cast(BBOX)
+def _box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    return F.struct(F.array(x0, y0).alias("top_left"), F.array(x1, y1).alias("bottom_right")).cast(BBOX)
 
 
-def bbox_of_polygon(polygon: Column) -> Column:
-    """Smallest box around a polygon of four or more points; zeros for any other."""
-    x0, x1 = _extent(polygon, 0)
-    y0, y1 = _extent(polygon, 1)
-    return F.when(has_box(polygon), _box(x0, y0, x1, y1)).otherwise(zero_box())
+def bbox_of_extent(e: Column) -> Column:
+    return _box(e["x0"], e["y0"], e["x1"], e["y1"])
 
 
-def normalise_bbox(bbox: Column, polygon: Column, width: Column, height: Column) -> Column:
-    """The box in shares of the image size; zeros where the polygon has no box, null shares for a zero size."""
-    def share(corner: str, axis: int, size: Column) -> Column:
-        return F.try_divide(bbox[corner][axis], size.cast("double"))
+def normalised_bbox(e: Column, width: Column, height: Column) -> Column:
+    """The box in shares of the image size.
 
-    shares = _box(
-        share("top_left", 0, width),
-        share("top_left", 1, height),
-        share("bottom_right", 0, width),
-        share("bottom_right", 1, height),
-    )
-    return F.when(has_box(polygon), shares).otherwise(zero_box())
+    Zeros stay zeros for images of any size; any other value is null for a zero size.
+    """
+    def share(value: Column, size: Column) -> Column:
+        return F.when(value == 0.0, F.lit(0.0)).otherwise(F.try_divide(value, size.cast("double")))
+
+    return _box(share(e["x0"], width), share(e["y0"], height), share(e["x1"], width), share(e["y1"], height))
 
 
 def polygon_or_empty(polygon: Column, include_polygon: Column) -> Column:

@@ -120,7 +120,7 @@ def _read_to_padding(kept: Column) -> Column:
 def encode_base64(content: Column, mime: Column | str = "image/jpeg") -> Column:
     """Data URI of binary content (this `base64` breaks lines, a data URI must not)."""
     mime_col = F.lit(mime) if isinstance(mime, str) else mime
-    text = F.regexp_replace(F.base64(content), "[\r\n]", "")
+    text = F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
     return F.concat(F.lit("data:"), mime_col, F.lit(";base64,"), text)
 
 

@@ -66,39 +66,64 @@ def create_jobs(requests: DataFrame, settings: Settings) -> tuple[DataFrame, Dat
 
 
 def fold_columns(terminal_wins: bool = False) -> list[Column]:
-    """Aggregates that fold the events of a job into its state.
+    """Aggregates that fold the events of a job into its state, all but the error text.
 
-    They only use min_by / max_by, so Spark combines events before the
-    shuffle, in batch and on streams alike. Each field takes its last write;
-    with `terminal_wins` the first terminal state is final.
+    They use min_by / max_by over numbers and times only: such buffers fit a
+    hash aggregate, and events are combined before the shuffle, in batch and
+    on streams alike. Each field takes its last write; with `terminal_wins`
+    the first terminal state is final. `status_code` is the position in
+    JOB_STATES, from 1 on.
     """
     kind, seq, ts = F.col("kind"), F.col("seq"), F.col("ts")
+    code = F.array_position(F.array(*[F.lit(s) for s in JOB_STATES]), kind)
 
     def seq_if(test: Column) -> Column:
         return F.when(test, seq)
 
     finished = kind.isin(COMPLETED, FAILED)
-    status = F.max_by(kind, seq_if(kind.isin(JOB_STATES)))
+    status = F.max_by(code, seq_if(code > 0))
     completed_at = F.max_by(ts, seq_if(finished))
     if terminal_wins:
         first_end = seq_if(kind.isin(TERMINAL_STATES))
-        status = F.coalesce(F.min_by(kind, first_end), status)
+        status = F.coalesce(F.min_by(code, first_end), status)
         completed_at = F.min_by(F.when(finished, ts), first_end)
     return [
-        status.alias("status"),
+        status.alias("status_code"),
         F.min_by(ts, seq_if(kind == QUEUED)).alias("created_at"),
         F.min_by(ts, seq_if(kind == RUNNING)).alias("started_at"),
         completed_at.alias("completed_at"),
         F.max_by("processed", seq_if(F.col("processed").isNotNull())).alias("processed"),
-        F.max_by("error", seq_if(F.nullif(F.col("error"), F.lit("")).isNotNull())).alias("error"),
         F.max("ts").alias("last_event_at"),
         F.max("seq").alias("last_seq"),
     ]
 
 
-def fold_job_events(events: DataFrame, *, terminal_wins: bool = False) -> DataFrame:
-    """Current state per job from events (job_id, seq, ts, kind, processed, error)."""
-    return events.groupBy("job_id").agg(*fold_columns(terminal_wins))
+def last_error() -> Column:
+    """Aggregate: the error text written last."""
+    return F.max_by("error", F.when(F.nullif(F.col("error"), F.lit("")).isNotNull(), F.col("seq"))).alias("error")
+
+
+def status_of_code(code: Column) -> Column:
+    return F.try_element_at(F.array(*[F.lit(s) for s in JOB_STATES]), code.cast("int"))
+
+
+def with_status(folded: DataFrame) -> DataFrame:
+    """Replace status_code by the status name."""
+    others = [c for c in folded.columns if c not in ("job_id", "status_code")]
+    return folded.select("job_id", status_of_code(F.col("status_code")).alias("status"), *others)
+
+
+def fold_job_events(events: DataFrame, *, terminal_wins: bool = False, with_error: bool = True) -> DataFrame:
+    """Current state per job from events (job_id, seq, ts, kind, processed, error).
+
+    Error texts are folded apart, over the few events that have one; leave
+    them out with `with_error=False` where they are not needed.
+    """
+    state = with_status(events.groupBy("job_id").agg(*fold_columns(terminal_wins)))
+    if not with_error:
+        return state
+    errors = events.where(F.col("error").isNotNull()).groupBy("job_id").agg(last_error())
+    return state.join(errors, "job_id", "left")
 
 
 def latest_version(versions: DataFrame, key: str = "job_id", seq: str = "version") -> DataFrame:

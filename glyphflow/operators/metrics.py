@@ -36,29 +36,46 @@ def bound_text(bound: float) -> str:
     return repr(float(bound))
 
 
-def histogram(df: DataFrame, labels: list[str], value: str, bounds: list[float]) -> DataFrame:
-    """Long form of a cumulative histogram: labels, sample, le, value.
+def observations(value: Column, bounds: list[float], prefix: str) -> list[Column]:
+    """Aggregates of one histogram: a cumulative count per bound, the count and the sum of non-null values."""
+    given = value.isNotNull()
+    return [
+        *[F.count_if(value <= bound).alias(f"{prefix}_le_{i}") for i, bound in enumerate(bounds)],
+        F.count_if(given).alias(f"{prefix}_count"),
+        F.sum(value.cast("double")).alias(f"{prefix}_sum"),
+    ]
 
-    One pass and one combined aggregation for all buckets; the sum is rounded
-    to six digits because the order of additions differs between runs.
-    """
-    buckets = [F.count_if(F.col(value) <= bound).alias(f"_b{i}") for i, bound in enumerate(bounds)]
-    wide = df.groupBy(*labels).agg(
-        *buckets, F.count(F.lit(1)).alias("_count"), F.round(F.sum(F.col(value).cast("double")), 6).alias("_sum")
-    )
 
+def merged(bounds: list[float], prefix: str) -> list[Column]:
+    """Aggregates that add up the columns `observations` made for finer labels."""
+    names = [f"{prefix}_le_{i}" for i in range(len(bounds))] + [f"{prefix}_count", f"{prefix}_sum"]
+    return [F.sum(n).alias(n) for n in names]
+
+
+def long_form(wide: DataFrame, labels: list[str], bounds: list[float], prefix: str) -> DataFrame:
+    """Rows (labels, sample, le, value) of one histogram.
+
+    The sum is rounded to six digits because the order of additions differs between runs.
+    """
     def sample(name: str, le: str | None, number: Column) -> Column:
         return F.struct(
             F.lit(name).alias("sample"), F.lit(le).cast("string").alias("le"), number.cast("double").alias("value")
         )
 
-    rows = [sample("bucket", bound_text(b), F.col(f"_b{i}")) for i, b in enumerate(bounds)]
+    rows = [sample("bucket", bound_text(b), F.col(f"{prefix}_le_{i}")) for i, b in enumerate(bounds)]
     rows += [
-        sample("bucket", "+Inf", F.col("_count")),
-        sample("count", None, F.col("_count")),
-        sample("sum", None, F.col("_sum")),
+        sample("bucket", "+Inf", F.col(f"{prefix}_count")),
+        sample("count", None, F.col(f"{prefix}_count")),
+        sample("sum", None, F.round(F.col(f"{prefix}_sum"), 6)),
     ]
-    return wide.select(*labels, F.explode(F.array(*rows)).alias("_row")).select(*labels, "_row.*")
+    used = wide.where(F.col(f"{prefix}_count") > 0)
+    return used.select(*labels, F.explode(F.array(*rows)).alias("_row")).select(*labels, "_row.*")
+
+
+def histogram(df: DataFrame, labels: list[str], value: str, bounds: list[float]) -> DataFrame:
+    """Long form of a cumulative histogram, by one combined aggregation for all buckets."""
+    wide = df.groupBy(*labels).agg(*observations(F.col(value), bounds, "value"))
+    return long_form(wide, labels, bounds, "value")
 
 
 def request_durations(requests: DataFrame) -> DataFrame:
@@ -76,6 +93,39 @@ def inference_times(calls: DataFrame) -> DataFrame:
     return histogram(calls, ["model", "device"], "duration", INFERENCE_BOUNDS)
 
 
+def request_rollup(requests: DataFrame) -> DataFrame:
+    """All request metrics by all labels in one pass over the requests.
+
+    Takes requests with `metered` and `called` flags. The result has one row
+    per combination of labels, whatever the number of requests; the families
+    of `families_of_rollup` are sums over it.
+    """
+    metered, called = F.col("metered"), F.col("called")
+    duration = F.when(metered, F.col("duration"))
+    size = F.when(metered & F.col("job_type").isNotNull(), F.col("batch_size"))
+    return requests.groupBy("endpoint", "lang", "status", "job_type", "model", "device").agg(
+        F.count_if(metered).alias("requests"),
+        *observations(duration, REQUEST_BOUNDS, "duration"),
+        *observations(size, BATCH_SIZE_BOUNDS, "size"),
+        *observations(F.when(called, F.col("duration")), INFERENCE_BOUNDS, "inference"),
+    )
+
+
+def families_of_rollup(rollup: DataFrame) -> dict[str, tuple[DataFrame, list[str]]]:
+    """Samples and labels of the four request families, as `exposition` takes them."""
+    def family(labels: list[str], bounds: list[float], prefix: str) -> tuple[DataFrame, list[str]]:
+        return long_form(rollup.groupBy(*labels).agg(*merged(bounds, prefix)), labels, bounds, prefix), labels
+
+    labels = ["endpoint", "lang", "status"]
+    counts = rollup.groupBy(*labels).agg(F.sum("requests").cast("double").alias("value")).where(F.col("value") > 0)
+    return {
+        "ocr_requests_total": (counts, labels),
+        "ocr_request_duration_seconds": family(["endpoint", "lang"], REQUEST_BOUNDS, "duration"),
+        "ocr_batch_size": family(["job_type"], BATCH_SIZE_BOUNDS, "size"),
+        "ocr_inference_time_seconds": family(["model", "device"], INFERENCE_BOUNDS, "inference"),
+    }
+
+
 def last_value(df: DataFrame, labels: list[str], value: str, order: str) -> DataFrame:
     """Gauge: the value set last, per label."""
     return df.groupBy(*labels).agg(F.max_by(value, order).cast("double").alias("value"))

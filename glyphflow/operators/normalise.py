@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glyphflow.functions.geometry import (
-    bbox_of_polygon,
+    axis_values,
+    bbox_of_extent,
+    extent,
     has_box,
-    normalise_bbox,
+    normalised_bbox,
     polygon_or_empty,
 )
 from glyphflow.functions.text import char_count, model_name
@@ -51,16 +53,37 @@ def flatten_detections(images: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def _detection(text: Column, confidence: Column, polygon: Column, width: Column, height: Column,
-               include_polygon: Column) -> Column:
-    bbox = bbox_of_polygon(polygon)
-    return F.struct(
-        text.alias("text"),
-        confidence.alias("confidence"),
-        bbox.alias("bbox"),
-        normalise_bbox(bbox, polygon, width, height).alias("bbox_normalized"),
-        F.lit(RESULT_TYPE).alias("type"),
-        polygon_or_empty(polygon, include_polygon).alias("polygon"),
+def _detections(items: Column) -> Column:
+    """Items turned into results in three steps, so that no polygon is walked more often than needed."""
+    with_axes = F.transform(
+        items,
+        lambda i: F.struct(
+            i["text"].alias("text"),
+            i["confidence"].alias("confidence"),
+            i["polygon"].alias("polygon"),
+            axis_values(i["polygon"], 0).alias("xs"),
+            axis_values(i["polygon"], 1).alias("ys"),
+        ),
+    )
+    with_extent = F.transform(
+        with_axes,
+        lambda i: F.struct(
+            i["text"].alias("text"),
+            i["confidence"].alias("confidence"),
+            i["polygon"].alias("polygon"),
+            extent(i["xs"], i["ys"]).alias("extent"),
+        ),
+    )
+    return F.transform(
+        with_extent,
+        lambda i: F.struct(
+            i["text"].alias("text"),
+            i["confidence"].alias("confidence"),
+            bbox_of_extent(i["extent"]).alias("bbox"),
+            normalised_bbox(i["extent"], F.col("width"), F.col("height")).alias("bbox_normalized"),
+            F.lit(RESULT_TYPE).alias("type"),
+            polygon_or_empty(i["polygon"], F.col("include_polygon")).alias("polygon"),
+        ),
     )
 
 
@@ -96,13 +119,7 @@ def normalise_images(images: DataFrame, settings: Settings) -> DataFrame:
         F.when(F.col("_zero_size"), F.lit("float division by zero")).otherwise(F.col("error_message")),
     )
     ok = F.col("error_code").isNull()
-    results = F.transform(
-        "_kept",
-        lambda item: _detection(
-            item["text"], item["confidence"], item["polygon"], F.col("width"), F.col("height"),
-            F.col("include_polygon"),
-        ),
-    )
+    results = _detections(F.col("_kept"))
     df = df.withColumn("results", F.when(ok, results).otherwise(F.array()).cast(_results_type()))
     return (
         df.withColumn("summary", summary_of(F.col("results")))
@@ -227,24 +244,36 @@ def kept_detections(
 
 
 def normalise_detections(detections: DataFrame, images: DataFrame, **options) -> DataFrame:
-    """Kept detections with bbox, bbox_normalized, type and polygon columns."""
+    """Kept detections with bbox, bbox_normalized, type, polygon and failed columns.
+
+    `failed` marks boxes that cannot be put in shares because their image has a zero size.
+    """
     kept = kept_detections(detections, images, ["width", "height", "include_polygon"], **options)
     polygon = F.col("polygon")
     return (
-        kept.withColumn("bbox", bbox_of_polygon(polygon))
-        .withColumn("bbox_normalized", normalise_bbox(F.col("bbox"), polygon, F.col("width"), F.col("height")))
+        kept.withColumn("_xs", axis_values(polygon, 0))
+        .withColumn("_ys", axis_values(polygon, 1))
+        .withColumn("_extent", extent(F.col("_xs"), F.col("_ys")))
+        .withColumn("bbox", bbox_of_extent(F.col("_extent")))
+        .withColumn("bbox_normalized", normalised_bbox(F.col("_extent"), F.col("width"), F.col("height")))
         .withColumn("type", F.lit(RESULT_TYPE))
+        .withColumn("failed", has_box(polygon) & ((F.col("width") == 0) | (F.col("height") == 0)))
         .withColumn("polygon", polygon_or_empty(polygon, F.col("include_polygon")))
+        .drop("_xs", "_ys", "_extent")
     )
 
 
-def image_summaries(kept: DataFrame) -> DataFrame:
-    """One summary row per image that has kept detections (combined before the shuffle)."""
-    return kept.groupBy("image_id").agg(
+def summary_aggregates() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("total_lines"),
         F.sum(char_count(F.col("text"))).alias("total_characters"),
         F.avg("confidence").alias("avg_confidence"),
-    )
+    ]
+
+
+def image_summaries(kept: DataFrame) -> DataFrame:
+    """One summary row per image that has kept detections (combined before the shuffle)."""
+    return kept.groupBy("image_id").agg(*summary_aggregates())
 
 
 def with_summary(images: DataFrame, kept: DataFrame) -> DataFrame:
@@ -290,19 +319,35 @@ def response_parts(
     part = F.floor(F.col("det_idx") / part_rows).cast("int")
     item = F.struct("det_idx", F.struct(*DETECTION.fieldNames()).cast(DETECTION).alias("result"))
     parts = (
-        kept.groupBy("image_id", part.alias("part"))
+        kept.where(~F.col("failed"))
+        .groupBy("image_id", part.alias("part"))
         .agg(F.array_sort(F.collect_list(item)).alias("_items"))
         .select("image_id", "part", F.transform("_items", lambda x: x["result"]).alias("results"))
     )
-    df = with_summary(images, kept)
+    df = images
     for name, default in [("seconds", F.lit(0.0)), ("was_resized", F.lit(False))]:
         if name not in df.columns:
             df = df.withColumn(name, default)
-    summary = F.struct("total_lines", "total_characters", "avg_confidence").cast(SUMMARY)
-    heads = df.select("image_id", summary.alias("summary"), meta_struct(settings, F.lit(True)).alias("meta"))
+    totals = kept.groupBy("image_id").agg(*summary_aggregates(), F.bool_or("failed").alias("_failed"))
+    df = df.join(totals, "image_id", "left")
+    ok = ~F.coalesce(F.col("_failed"), F.lit(False))
+    zeros = {"total_lines": 0, "total_characters": 0, "avg_confidence": 0.0}
+    summary = F.struct(*[F.coalesce(F.when(ok, F.col(n)), F.lit(z)).alias(n) for n, z in zeros.items()])
+    heads = df.select(
+        "image_id",
+        F.when(~ok, F.lit("ocr_failed")).alias("error_code"),
+        summary.cast(SUMMARY).alias("summary"),
+        meta_struct(settings, ok).alias("meta"),
+    )
+    no_results = F.array().cast(_results_type())
+    # A failed image matches no part, so it keeps one row without results.
+    joined = heads.join(
+        parts.withColumnRenamed("image_id", "_image_id"),
+        (F.col("image_id") == F.col("_image_id")) & F.col("error_code").isNull(),
+        "left",
+    )
     return (
-        heads.join(parts, "image_id", "left")
+        joined.drop("_image_id")
         .withColumn("part", F.coalesce("part", F.lit(0)))
-        .withColumn("results", F.coalesce(F.col("results"), F.array().cast(_results_type())))
+        .withColumn("results", F.coalesce(F.col("results"), no_results))
     )
-

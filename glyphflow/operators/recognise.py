@@ -11,16 +11,23 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from glyphflow.functions.text import model_name
 from glyphflow.schemas import RAW_PAGES
+from glyphflow.session import use_small_batches
 from glyphflow.settings import Settings
 
 Recogniser = Callable[[bytes], Any]
 
-# Rows per Arrow batch: image rows are large, a batch must fit a Python worker.
-IMAGES_PER_BATCH = 64
+OUTCOME = T.StructType([
+    T.StructField("raw", RAW_PAGES),
+    T.StructField("seconds", T.DoubleType()),
+    T.StructField("error_code", T.StringType()),
+    T.StructField("error_message", T.StringType()),
+])
 
 
 def _item(item: Any) -> dict | None:
@@ -50,47 +57,42 @@ def recognise(
 
     A row without content is passed through with nulls. A recogniser that
     raises gives an `ocr_failed` row and does not touch its neighbours. Only
-    `keep` and the content cross to Python; nothing is shuffled.
+    `keep` and the content cross to Python, in small Arrow batches whose kept
+    columns are handed back as they are; nothing is shuffled.
     """
+    use_small_batches(df.sparkSession)
     names = keep if keep is not None else [c for c in df.columns if c != content]
     source = df.select(*names, content)
-    schema = T.StructType(
-        [source.schema[n] for n in names]
-        + [
-            T.StructField("raw", RAW_PAGES),
-            T.StructField("seconds", T.DoubleType()),
-            T.StructField("error_code", T.StringType()),
-            T.StructField("error_message", T.StringType()),
-        ]
-    )
+    schema = T.StructType([source.schema[n] for n in names] + OUTCOME.fields)
+    fields = [(f.name, to_arrow_type(f.dataType)) for f in OUTCOME.fields]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = None
         for batch in batches:
             rows = []
-            for data in batch[content]:
-                if data is None:
+            for value in batch.column(content):
+                if not value.is_valid:
                     rows.append((None, None, None, None))
                     continue
                 started = time.perf_counter()
                 try:
                     if engine is None:
                         engine = factory()
-                    rows.append((_pages(engine(bytes(data))), time.perf_counter() - started, None, None))
+                    rows.append((_pages(engine(value.as_py())), time.perf_counter() - started, None, None))
                 except Exception as problem:  # one bad image must not fail the others
                     rows.append((None, time.perf_counter() - started, "ocr_failed", str(problem)))
-            out = batch[names].copy()
-            for i, name in enumerate(["raw", "seconds", "error_code", "error_message"]):
-                out[name] = pd.Series([r[i] for r in rows], index=out.index, dtype=object)
-            yield out
+            made = [pa.array([row[i] for row in rows], type=kind) for i, (_, kind) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(n) for n in names] + made, names=names + [name for name, _ in fields]
+            )
 
-    return source.mapInPandas(run, schema)
+    return source.mapInArrow(run, schema)
 
 
-def inference_seconds(df: DataFrame, settings: Settings) -> DataFrame:
+def inference_calls(df: DataFrame, settings: Settings) -> DataFrame:
     """Metric rows (model, device, duration) of the successful model calls."""
     return df.where(F.col("seconds").isNotNull() & F.col("error_code").isNull()).select(
-        F.concat(F.lit(settings.model_prefix), F.col("lang")).alias("model"),
+        model_name(F.col("lang"), settings.model_prefix).alias("model"),
         F.lit(settings.device).alias("device"),
         F.col("seconds").alias("duration"),
     )

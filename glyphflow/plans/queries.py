@@ -23,9 +23,9 @@ from glyphflow.functions.payload import (
 )
 from glyphflow.functions.text import iso_z_format, iso_z_parse, job_id_of, ms_from_seconds
 from glyphflow.operators import batch, jobs, metrics, normalise, validate
-from glyphflow.operators.recognise import inference_seconds
+from glyphflow.operators.recognise import inference_calls
 from glyphflow.plans.tables import DOCUMENTS, EVENTS, LANGS, MODEL_TYPES, Tables, pick
-from glyphflow.session import use_utc, work_folder
+from glyphflow.session import materialise, use_small_batches, use_utc, work_folder
 from glyphflow.settings import Settings
 from glyphflow.sources import files, requests as request_source
 from glyphflow.sources import jobs as job_source
@@ -328,6 +328,7 @@ def _reversed_hex(number: Column) -> Column:
 @query
 def v_dimensions(t: Tables) -> DataFrame:
     """Sizes read back from PNG, BMP and JPEG headers put before each document's text."""
+    use_small_batches(t.spark)
     doc = F.col("doc_id")
     width, height = 1 + doc % 3000, 1 + F.col("n_chars") % 2000
     png_kind = F.substring(F.lit("000203040602"), (doc % 6 * 2 + 1).cast("int"), F.lit(2))
@@ -431,14 +432,14 @@ def m_queue_depth_literal(t: Tables) -> DataFrame:
 @query
 def m_exposition(t: Tables) -> DataFrame:
     """Exposition text of all families, one line per row."""
+    flagged = t.requests().withColumn("metered", metrics.is_metered(F.col("outcome")))
+    flagged = flagged.withColumn("called", F.col("status") == "success")
+    # One row per combination of labels, read by four families.
+    rollup = materialise(metrics.request_rollup(flagged), "request-rollup")
     depth = metrics.queue_deltas(t.job_events()).agg(F.sum("delta").cast("double").alias("value"))
     return metrics.exposition({
-        "ocr_requests_total": (metrics.count_requests(_metered(t)).withColumn("value", F.col("value").cast("double")),
-                               ["endpoint", "lang", "status"]),
-        "ocr_request_duration_seconds": (metrics.request_durations(_metered(t)), ["endpoint", "lang"]),
-        "ocr_batch_size": (metrics.batch_sizes(_metered(t)), ["job_type"]),
+        **metrics.families_of_rollup(rollup),
         "ocr_job_queue_depth": (depth, []),
-        "ocr_inference_time_seconds": (metrics.inference_times(_calls(t)), ["model", "device"]),
         "model_ready": (_gauge(t), ["model_type"]),
     }).select("line")
 
@@ -509,7 +510,7 @@ def j_pending(t: Tables) -> DataFrame:
     """Images of running jobs without a result yet."""
     items = _accepted_job_items(t).select("job_id", "idx", "image_id")
     results = items.where(F.col("image_id") % 3 != 0)
-    return jobs.pending_images(items, results, jobs.fold_job_events(t.job_events()))
+    return jobs.pending_images(items, results, jobs.fold_job_events(t.job_events(), with_error=False))
 
 
 def _cancel_ids(t: Tables) -> DataFrame:
@@ -519,13 +520,13 @@ def _cancel_ids(t: Tables) -> DataFrame:
 @query
 def j_cancel(t: Tables) -> DataFrame:
     """Outcome of a cancel request for every customer's job, unknown ones included."""
-    return jobs.cancel_jobs(_cancel_ids(t), jobs.fold_job_events(t.job_events()))
+    return jobs.cancel_jobs(_cancel_ids(t), jobs.fold_job_events(t.job_events(), with_error=False))
 
 
 @query
 def j_known(t: Tables) -> DataFrame:
     """Requested ids split into known and unknown jobs."""
-    state = jobs.fold_job_events(t.job_events()).select("job_id")
+    state = jobs.fold_job_events(t.job_events(), with_error=False).select("job_id")
     ids = _cancel_ids(t)
     found = jobs.known_jobs(ids, state).withColumn("is_known", F.lit(True))
     return found.unionByName(jobs.unknown_jobs(ids, state).withColumn("is_known", F.lit(False)))
@@ -554,7 +555,7 @@ def j_status_view(t: Tables) -> DataFrame:
 @query
 def j_ttl_fixed(t: Tables) -> DataFrame:
     """Jobs with whether their time to live, counted from creation, has passed."""
-    state = jobs.fold_job_events(t.job_events())
+    state = jobs.fold_job_events(t.job_events(), with_error=False)
     view = jobs.expiry_view(state, F.lit(AS_OF).cast("timestamp"), SETTINGS)
     return view.select("job_id", iso_z_format(F.col("created_at")).alias("since"), "is_expired", "http_status")
 
@@ -562,7 +563,7 @@ def j_ttl_fixed(t: Tables) -> DataFrame:
 @query
 def j_ttl_sliding(t: Tables) -> DataFrame:
     """The same counted from the last event."""
-    state = jobs.fold_job_events(t.job_events())
+    state = jobs.fold_job_events(t.job_events(), with_error=False)
     view = jobs.expiry_view(state, F.lit(AS_OF).cast("timestamp"), SETTINGS, sliding=True)
     return view.select("job_id", iso_z_format(F.col("last_event_at")).alias("since"), "is_expired", "http_status")
 
@@ -570,13 +571,13 @@ def j_ttl_sliding(t: Tables) -> DataFrame:
 @query
 def j_list(t: Tables) -> DataFrame:
     """The first hundred jobs by descending id, of which the failed ones are shown."""
-    return jobs.list_jobs(jobs.fold_job_events(t.job_events()), "failed").select("job_id", "status")
+    return jobs.list_jobs(jobs.fold_job_events(t.job_events(), with_error=False), "failed").select("job_id", "status")
 
 
 @query
 def j_list_filter_first(t: Tables) -> DataFrame:
     """The first hundred failed jobs by descending id."""
-    return jobs.list_jobs(jobs.fold_job_events(t.job_events()), "failed", filter_first=True).select("job_id", "status")
+    return jobs.list_jobs(jobs.fold_job_events(t.job_events(), with_error=False), "failed", filter_first=True).select("job_id", "status")
 
 
 def digest_recogniser() -> Callable[[bytes], list]:
@@ -617,7 +618,7 @@ def j_run(t: Tables) -> DataFrame:
 @query
 def j_run_inferences(t: Tables) -> DataFrame:
     """Model calls that succeeded, by model and device."""
-    calls = inference_seconds(_processed(t), SMALL_SETTINGS)
+    calls = inference_calls(_processed(t), SMALL_SETTINGS)
     return calls.groupBy("model", "device").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
+from glyphflow.session import materialise
+
 # A key with fewer rows than this fits one task.
 HOT_ROWS = 1_000_000
 # At most this many keys are split. The (n+1)-th largest key holds at most
@@ -191,10 +193,11 @@ def running_total(df: DataFrame, order: str, value: str, name: str, *, buckets:
     """Running sum of `value` over the whole table along a unique numeric `order`.
 
     Each bucket of the order is summed on its own; only the bucket totals, one
-    row per bucket, go through a single task.
+    row per bucket, go through a single task. The input is used three times,
+    so it is written out first.
     """
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucketed = order_bucket(df, order, max(n, 1))
+    bucketed = order_bucket(materialise(df, "running-total"), order, max(n, 1))
     totals = bucketed.groupBy("_bucket").agg(F.sum(value).alias("_total"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))

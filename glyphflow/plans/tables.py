@@ -126,7 +126,7 @@ class Tables:
         doc = F.col("doc_id")
         signature = F.unhex(pick(PAYLOAD_SIGNATURES, doc))
         content = F.concat(signature, F.encode("text", "utf-8"))
-        encoded = F.regexp_replace(F.base64(content), "[\r\n]", "")
+        encoded = F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
         payload = (
             F.when(doc % 10 == 0, F.concat(F.lit("data:image/jpeg;base64,"), encoded))
             .when(doc % 10 == 1, F.substring(encoded, F.lit(1), F.length(encoded) - 1))
@@ -209,7 +209,7 @@ class Tables:
         return self.read("orders").select(
             F.concat(F.lit("job_"), F.col("o_custkey").cast("string")).alias("job_id"),
             key.alias("image_id"),
-            F.regexp_replace(F.base64(name.cast("binary")), "[\r\n]", "").alias("payload"),
+            F.replace(F.base64(name.cast("binary")), F.lit("\r\n"), F.lit("")).alias("payload"),
             start.alias("start_ts"),
             F.when((key % 11 == 0) | (F.col("o_custkey") % 13 == 0), F.lit("error"))
             .otherwise(F.lit("success"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "glyphflow") -> SparkSession:
@@ -29,6 +29,17 @@ def use_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+# Rows per Arrow batch where rows carry images: a batch must fit a Python worker.
+IMAGES_PER_BATCH = 64
+
+
+def use_small_batches(spark: SparkSession, rows: int = IMAGES_PER_BATCH) -> None:
+    """Lower the Arrow batch size of the session before image bytes are sent to Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder the session names for checkpoints.
 
@@ -41,3 +52,14 @@ def work_folder(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         base = os.path.join(tempfile.gettempdir(), "glyphflow-work")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` once to the shared folder and read it back.
+
+    For results that several later steps use: they are computed once, and a
+    lost executor costs a re-read instead of the whole lineage.
+    """
+    path = work_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from glyphflow.operators.jobs import fold_columns
+from glyphflow.operators.jobs import fold_columns, last_error, with_status
 from glyphflow.settings import QUEUED, Settings
 
 
@@ -21,7 +21,7 @@ def stream_job_state(events: DataFrame, *, terminal_wins: bool = False) -> DataF
     are combined before the shuffle and state stays in the JVM. Write it in
     update mode, e.g. with `streaming.run.upsert_batches`.
     """
-    return events.groupBy("job_id").agg(*fold_columns(terminal_wins))
+    return with_status(events.groupBy("job_id").agg(*fold_columns(terminal_wins), last_error()))
 
 
 def stream_submitted_once(submissions: DataFrame, delay: str = "24 hours") -> DataFrame:
