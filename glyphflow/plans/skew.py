@@ -98,10 +98,12 @@ def order_bucket(df: DataFrame, order: str, buckets: int, name: str = "_bucket")
     """
     as_double = df.withColumn("_order_key", F.col(order).cast("double"))
     probs = [i / buckets for i in range(1, buckets)]
-    points = as_double.stat.approxQuantile("_order_key", probs, 0.1 / buckets)
-    points = sorted(set(points))
+    points = None
+    if probs:
+        points = as_double.agg(F.percentile_approx("_order_key", probs, max(10_000, 10 * buckets))).first()[0]
     if not points:
         return df.withColumn(name, F.lit(0))
+    points = sorted(set(points))
     splits = [float("-inf"), *points, float("inf")]
     out = Bucketizer(splits=splits, inputCol="_order_key", outputCol=name).transform(as_double)
     return out.withColumn(name, F.col(name).cast("int")).drop("_order_key")

@@ -81,21 +81,20 @@ class Tables:
             F.col("l_quantity").alias("x0"),
             (F.lit(10.0) * F.col("l_linenumber")).alias("y0"),
         )
+        if with_index:
+            # Numbered while the rows are narrow. line_no leads the order, part_key comes next, both are below 2^40.
+            along = F.col("line_no").cast("bigint") * F.lit(2**40) + F.col("p_partkey")
+            lines = position_in_group(
+                lines.withColumn("_along", along), "image_id", ["line_no", "p_partkey", "supp_key"], "_along", "det_idx"
+            ).drop("_along")
         names = self.read("part").select("p_partkey", F.col("p_name").alias("text"))
         x0, y0 = F.col("x0"), F.col("y0")
-        out = (
+        return (
             join_by_key(lines, names, "p_partkey")
             .withColumn("polygon", corners(x0, y0, x0 + 50, y0 + 20, F.col("line_no") != 7))
             .withColumnRenamed("p_partkey", "part_key")
             .drop("x0", "y0")
         )
-        if with_index:
-            # line_no is the leading part of the order and part_key the next, both below 2^40.
-            along = F.col("line_no").cast("bigint") * F.lit(2**40) + F.col("part_key")
-            out = position_in_group(
-                out.withColumn("_along", along), "image_id", ["line_no", "part_key", "supp_key"], "_along", "det_idx"
-            ).drop("_along")
-        return out
 
     def raw_images(self, documents: DataFrame | None = None) -> DataFrame:
         """One image per document; its lines are the detections, an empty line is an unusable item."""
