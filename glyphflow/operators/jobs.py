@@ -133,10 +133,10 @@ def latest_version(versions: DataFrame, key: str = "job_id", seq: str = "version
     return versions.groupBy(key).agg(newest, F.max(seq).alias(seq)).select(key, seq, "_newest.*")
 
 
-def status_transitions(events: DataFrame, *, min_rows: int = HOT_ROWS, segments: int = 64) -> DataFrame:
+def status_transitions(events: DataFrame, *, min_rows: int = HOT_ROWS) -> DataFrame:
     """Status events with the status before them and whether the step is legal."""
     status_events = events.where(F.col("kind").isin(JOB_STATES))
-    steps = previous_value(status_events, "job_id", "seq", "kind", "prev_status", min_rows=min_rows, segments=segments)
+    steps = previous_value(status_events, "job_id", "seq", "kind", "prev_status", min_rows=min_rows)
     legal = F.lit(False)
     for before, after in LEGAL_TRANSITIONS:
         legal = legal | ((F.coalesce("prev_status", F.lit("")) == before) & (F.col("kind") == after))

@@ -164,10 +164,10 @@ def queue_deltas(events: DataFrame, *, literal: bool = False, min_rows: int = HO
     return plus.unionByName(closed.select("seq", "ts", "job_id", F.lit(-1).alias("delta")))
 
 
-def queue_depth(events: DataFrame, *, literal: bool = False, min_rows: int = HOT_ROWS, buckets: int | None = None) -> DataFrame:
+def queue_depth(events: DataFrame, *, literal: bool = False, min_rows: int = HOT_ROWS) -> DataFrame:
     """Depth after each change, in event order."""
     deltas = queue_deltas(events, literal=literal, min_rows=min_rows)
-    return running_total(deltas, "seq", "delta", "depth", buckets=buckets)
+    return running_total(deltas, "seq", "delta", "depth", bucket_rows=min_rows)
 
 
 # ---- exposition -----------------------------------------------------------------------------

@@ -3,12 +3,13 @@
 Aggregations need no help here: Spark combines them before the shuffle. What
 does need help is a join or a window on a key, because every row of that key
 lands in one task. The functions below find such keys first (one combined
-count over the key column alone) and split only those; when there are none the
-plain plan is used.
+count over the key column alone) and split only those, into as many pieces as
+their size asks for; when there are none the plain plan is used.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -17,19 +18,19 @@ from pyspark.sql.window import Window
 
 from glyphflow.session import materialise
 
-# A key with fewer rows than this fits one task.
-HOT_ROWS = 1_000_000
+# A key with fewer rows than this fits one task; hot keys are cut into pieces of about this many.
+HOT_ROWS = 2_000_000
 # At most this many keys are split. The (n+1)-th largest key holds at most
 # 1/(n+1) of the rows, so what is left unsplit is bounded.
 HOT_KEYS = 1_000
-# Pieces per hot key.
-SALTS = 64
+# Most pieces per key or order.
+MAX_PIECES = 10_000
 # A join side up to this many bytes (measured, see `measured_bytes`) is broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS, max_keys: int = HOT_KEYS) -> list:
-    """The keys with at least `min_rows` rows, largest first; never more than `max_keys`."""
+def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS, max_keys: int = HOT_KEYS) -> dict:
+    """Row counts of the keys with at least `min_rows` rows, largest first; never more than `max_keys` keys."""
     rows = (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
@@ -39,7 +40,11 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS, max_keys: int =
         .limit(max_keys)
         .collect()
     )
-    return [row[key] for row in rows]
+    return {row[key]: row["n"] for row in rows}
+
+
+def pieces_of(rows: int, piece_rows: int) -> int:
+    return max(2, min(MAX_PIECES, math.ceil(rows / piece_rows)))
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -66,97 +71,83 @@ def join_by_key(
     *,
     broadcast_bytes: int = BROADCAST_BYTES,
     min_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join `fact` to `dim`, which has one row per key; `how` is inner, left, left_semi or left_anti.
 
     A small `dim` (measured) is broadcast. Otherwise both sides are shuffled,
-    with the rows of hot keys spread over `salts` pieces and the matching `dim`
-    rows repeated once per piece.
+    with the rows of each hot key spread over pieces by a hash of their other
+    columns, and the `dim` row of such a key repeated once per piece.
     """
     if measured_bytes(dim) <= broadcast_bytes:
         return fact.join(F.broadcast(dim), key, how)
     hot = hot_keys(fact, key, min_rows)
     if not hot:
         return fact.join(dim, key, how)
-    others = [c for c in fact.columns if c != key]
-    piece = F.pmod(F.xxhash64(*(others or [key])), F.lit(salts)).cast("int")
-    left = fact.withColumn("_salt", F.when(F.col(key).isin(hot), piece).otherwise(F.lit(0)))
-    right = dim.withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ),
+    # At most HOT_KEYS rows.
+    pieces = F.broadcast(
+        fact.sparkSession.createDataFrame(
+            [(k, pieces_of(n, min_rows)) for k, n in hot.items()],
+            T.StructType([fact.schema[key], T.StructField("_pieces", T.IntegerType())]),
+        )
     )
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    others = [c for c in fact.columns if c != key]
+    spread = F.pmod(F.xxhash64(*(others or [key])), F.coalesce("_pieces", F.lit(1))).cast("int")
+    every_piece = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
+    left = fact.join(pieces, key, "left").withColumn("_piece", spread).drop("_pieces")
+    right = dim.join(pieces, key, "left").withColumn("_piece", F.explode(every_piece)).drop("_pieces")
+    return left.join(right, [key, "_piece"], how).drop("_piece")
 
 
-def order_bucket(df: DataFrame, order: str, buckets: int, name: str = "_bucket") -> DataFrame:
-    """Add an int that grows with `order` and splits the rows into about equal shares.
+def order_bucket(df: DataFrame, order: str, buckets: int, name: str, sample: DataFrame | None = None) -> DataFrame:
+    """Add an int that grows with `order` and splits the rows of `sample` (default all) into about equal shares.
 
     The split points are literals, so a lost task recomputes the same buckets.
     """
-    as_double = df.withColumn("_order_key", F.col(order).cast("double"))
+    as_double = F.col(order).cast("double")
     probs = [i / buckets for i in range(1, buckets)]
     points = None
     if probs:
-        points = as_double.agg(F.percentile_approx("_order_key", probs, max(10_000, 10 * buckets))).first()[0]
+        source = df if sample is None else sample
+        points = source.agg(F.percentile_approx(as_double, probs, max(10_000, 10 * buckets))).first()[0]
     if not points:
         return df.withColumn(name, F.lit(0))
-    points = sorted(set(points))
-    splits = [float("-inf"), *points, float("inf")]
-    out = Bucketizer(splits=splits, inputCol="_order_key", outputCol=name).transform(as_double)
-    return out.withColumn(name, F.col(name).cast("int")).drop("_order_key")
+    splits = [float("-inf"), *sorted(set(points)), float("inf")]
+    keyed = df.withColumn("_order_key", as_double)
+    bucketed = Bucketizer(splits=splits, inputCol="_order_key", outputCol=name).transform(keyed)
+    return bucketed.withColumn(name, F.col(name).cast("int")).drop("_order_key")
 
 
-def with_segment(
-    df: DataFrame,
-    key: str,
-    order: str,
-    *,
-    min_rows: int = HOT_ROWS,
-    segments: int = SALTS,
-) -> tuple[DataFrame, bool]:
+def with_segment(df: DataFrame, key: str, order: str, min_rows: int = HOT_ROWS) -> tuple[DataFrame, bool]:
     """Add `_segment`: 0 for ordinary keys, a piece of the order for hot ones. Also tells whether any key is hot."""
     hot = hot_keys(df, key, min_rows)
     if not hot:
         return df.withColumn("_segment", F.lit(0)), False
-    bucketed = order_bucket(df, order, segments)
-    segment = F.when(F.col(key).isin(hot), F.col("_bucket")).otherwise(F.lit(0))
-    return bucketed.withColumn("_segment", segment).drop("_bucket"), True
+    is_hot = F.col(key).isin(list(hot))
+    pieces = pieces_of(sum(hot.values()), min_rows)
+    bucketed = order_bucket(df, order, pieces, "_bucket", df.where(is_hot))
+    return bucketed.withColumn("_segment", F.when(is_hot, F.col("_bucket")).otherwise(0)).drop("_bucket"), True
 
 
 def previous_value(
-    df: DataFrame,
-    key: str,
-    order: str,
-    value: str,
-    name: str,
-    *,
-    min_rows: int = HOT_ROWS,
-    segments: int = SALTS,
+    df: DataFrame, key: str, order: str, value: str, name: str, *, min_rows: int = HOT_ROWS
 ) -> DataFrame:
     """`lag(value)` per key, with hot keys cut into segments along a unique numeric `order`."""
-    segmented, any_hot = with_segment(df, key, order, min_rows=min_rows, segments=segments)
+    segmented, any_hot = with_segment(df, key, order, min_rows)
     inner = Window.partitionBy(key, "_segment").orderBy(order)
     lagged = segmented.withColumn(name, F.lag(value).over(inner))
     if not any_hot:
         return lagged.drop("_segment")
-    # One row per (key, segment); the value a segment starts from is the last one before it.
+    # One row per (key, segment). A segment starts from the last value before it.
     ends = segmented.groupBy(key, "_segment").agg(
-        F.max_by(F.struct(value), order).alias("_last"), F.min(order).alias("_first_order")
-    )
-    over_segments = Window.partitionBy(key).orderBy("_segment")
-    carries = (
-        ends.withColumn("_carry", F.lag("_last").over(over_segments))
-        .where(F.col("_carry").isNotNull())
-        .select(key, F.col("_first_order").alias(order), F.col("_carry")[value].alias("_carry"))
+        F.max_by(F.struct(value), order).alias("_last"), F.min(order).alias("_first")
     )
-    # Only hot keys have a carry: at most HOT_KEYS * segments rows.
+    carry = F.lag("_last").over(Window.partitionBy(key).orderBy("_segment"))
+    carries = ends.select(key, "_segment", "_first", carry.alias("_carry")).where(F.col("_carry").isNotNull())
+    # Joined on what the window has partitioned by already.
     return (
-        lagged.join(F.broadcast(carries), [key, order], "left")
-        .withColumn(name, F.coalesce(F.col(name), F.col("_carry")))
-        .drop("_segment", "_carry")
+        lagged.join(carries, [key, "_segment"], "left")
+        .withColumn(name, F.when(F.col(order) == F.col("_first"), F.col("_carry")[value]).otherwise(F.col(name)))
+        .drop("_segment", "_first", "_carry")
     )
 
 
@@ -168,42 +159,41 @@ def position_in_group(
     name: str,
     *,
     min_rows: int = HOT_ROWS,
-    segments: int = SALTS,
 ) -> DataFrame:
     """0-based position per key. `split_on` is a number that never decreases along `order_by`."""
-    segmented, any_hot = with_segment(df, key, split_on, min_rows=min_rows, segments=segments)
+    segmented, any_hot = with_segment(df, key, split_on, min_rows)
     inner = Window.partitionBy(key, "_segment").orderBy(*order_by)
     numbered = segmented.withColumn(name, F.row_number().over(inner) - 1)
     if not any_hot:
         return numbered.drop("_segment")
     sizes = segmented.groupBy(key, "_segment").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-    # Only later segments of hot keys have an offset: at most HOT_KEYS * segments rows.
-    offsets = (
-        sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .where(F.col("_offset") > 0)
-        .select(key, "_segment", "_offset")
-    )
+    offsets = sizes.select(key, "_segment", F.sum("_n").over(before).alias("_offset")).where(F.col("_offset") > 0)
     return (
-        numbered.join(F.broadcast(offsets), [key, "_segment"], "left")
-        .withColumn(name, (F.col(name) + F.coalesce(F.col("_offset"), F.lit(0))).cast("int"))
+        numbered.join(offsets, [key, "_segment"], "left")
+        .withColumn(name, F.col(name) + F.coalesce(F.col("_offset"), F.lit(0)))
         .drop("_segment", "_offset")
     )
 
 
-def running_total(df: DataFrame, order: str, value: str, name: str, *, buckets: int | None = None) -> DataFrame:
+def running_total(
+    df: DataFrame, order: str, value: str, name: str, *, bucket_rows: int = HOT_ROWS
+) -> DataFrame:
     """Running sum of `value` over the whole table along a unique numeric `order`.
 
     Each bucket of the order is summed on its own; only the bucket totals, one
-    row per bucket, go through a single task. The input is used three times,
+    row per bucket, go through a single task. The input is used several times,
     so it is written out first.
     """
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucketed = order_bucket(materialise(df, "running-total"), order, max(n, 1))
+    written = materialise(df, "running-total")
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(min(partitions, MAX_PIECES), pieces_of(written.count(), bucket_rows))
+    bucketed = order_bucket(written, order, buckets, "_bucket")
     totals = bucketed.groupBy("_bucket").agg(F.sum(value).alias("_total"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     inner = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    # At most MAX_PIECES rows.
     return (
         bucketed.withColumn("_running", F.sum(value).over(inner))
         .join(F.broadcast(offsets), "_bucket")

@@ -53,9 +53,10 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def stream(self, name: str, schema: T.StructType) -> DataFrame:
+    def stream(self, name: str, schema: T.StructType, files_per_trigger: int = 1_000) -> DataFrame:
         """The files of a table as a stream; the pattern matches a file and a folder of files alike."""
-        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}.parquet*")
+        reader = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+        return reader.parquet(f"{self.folder}/{name}.parquet*")
 
     def images(self) -> DataFrame:
         key, cust = F.col("o_orderkey"), F.col("o_custkey")

@@ -12,8 +12,10 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def use_rocksdb(spark: SparkSession) -> None:
-    """State on local disk with changelogs in the checkpoint, not on the heap."""
+    """State on local disk with changelogs in the checkpoint, not on the heap; sessions are merged before the shuffle."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
 
 
 def start_files(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append") -> StreamingQuery:

@@ -75,7 +75,7 @@ def test_transitions_with_and_without_hot_jobs(spark):
             before = last.get(job)
             want.add((job, seq, before, (before or "", kind) in LEGAL_TRANSITIONS))
             last[job] = kind
-    for options in ({}, {"min_rows": 20, "segments": 5}):
+    for options in ({}, {"min_rows": 20}):
         out = j.status_transitions(table(spark, rows), **options).collect()
         assert {(r["job_id"], r["seq"], r["prev_status"], r["is_legal"]) for r in out} == want
 

@@ -79,7 +79,7 @@ def test_queue_depth_intended_and_literal(spark):
     events = spark.createDataFrame(rows, JOB_EVENT).repartition(3)
     depth = lambda **o: [(r["seq"], r["delta"], r["depth"]) for r in m.queue_depth(events, **o).orderBy("seq").collect()]
     intended = [(0, 1, 1), (1, 1, 2), (3, -1, 1), (5, -1, 0), (8, 1, 1), (9, 1, 2), (11, -1, 1)]
-    assert depth() == intended and depth(min_rows=2, buckets=3) == intended
+    assert depth() == intended and depth(min_rows=2) == intended
     assert depth(literal=True) == [
         (0, 1, 1), (1, 1, 2), (5, -2, 0), (7, -1, -1), (8, 1, 0), (9, 1, 1), (11, -1, 0), (12, 1, 1),
     ]

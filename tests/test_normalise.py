@@ -158,7 +158,7 @@ def long_tables(spark, counts, threshold=0.3):
 
 def test_parts_hold_all_results_in_order_with_and_without_hot_images(spark):
     pictures, found = long_tables(spark, [0, 5, 57, 3])
-    for options in ({}, {"min_rows": 10, "broadcast_bytes": 0, "salts": 5}):
+    for options in ({}, {"min_rows": 10, "broadcast_bytes": 0}):
         rows = n.response_parts(pictures, found, S, part_rows=10, **options).collect()
         by_image = {}
         for r in sorted(rows, key=lambda r: (r["image_id"], r["part"])):
