@@ -151,6 +151,20 @@ def running_progress(job_images: DataFrame) -> DataFrame:
     )
 
 
+def progress_writes(items: DataFrame) -> DataFrame:
+    """Progress as stored: one write per image that could be decoded, and one when the job ends.
+
+    An image that cannot be decoded (`decode_failed`) writes nothing itself;
+    the next write counts it. `step` is the image's idx, or the total for the last write.
+    """
+    steps = running_progress(items).withColumn("total", F.col("total").cast("bigint"))
+    last = F.col("processed") == F.col("total")
+    own = F.when(~F.col("decode_failed"), F.struct(F.col("idx").alias("step"), F.col("processed").alias("processed")))
+    end = F.when(last, F.struct(F.col("processed").alias("step"), F.col("processed").alias("processed")))
+    writes = F.explode(F.array_compact(F.array(own, end))).alias("write")
+    return steps.select("job_id", "total", writes).select("job_id", "write.step", "write.processed", "total")
+
+
 def job_outcome(items: DataFrame) -> DataFrame:
     """Final job state from its items: completed without errors, else failed; plus the request status."""
     counts = items.groupBy("job_id").agg(

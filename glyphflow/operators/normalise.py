@@ -17,7 +17,7 @@ from glyphflow.functions.geometry import (
     normalised_bbox,
     polygon_or_empty,
 )
-from glyphflow.functions.text import char_count, model_name
+from glyphflow.functions.text import char_count, model_name, ms_from_seconds
 from glyphflow.operators.validate import output_violations
 from glyphflow.plans.skew import HOT_ROWS, join_by_key
 from glyphflow.schemas import BBOX, DETECTION, META, OCR_RESPONSE, POLYGON, RAW_ITEM, SUMMARY
@@ -151,7 +151,7 @@ def meta_struct(settings: Settings, ok: Column) -> Column:
         F.lit(settings.engine_version).alias("engine_version"),
         model_name(F.col("lang"), settings.model_prefix).alias("model"),
         F.col("lang").alias("lang"),
-        F.when(ok, (F.coalesce(F.col("seconds"), F.lit(0.0)) * 1000).cast("int")).otherwise(0).alias(
+        F.when(ok, ms_from_seconds(F.coalesce(F.col("seconds"), F.lit(0.0)))).otherwise(0).alias(
             "inference_time_ms"
         ),
         F.when(ok, F.col("width")).otherwise(0).cast("int").alias("image_width"),
@@ -161,7 +161,7 @@ def meta_struct(settings: Settings, ok: Column) -> Column:
 
 
 def attach_resized(df: DataFrame, was_resized: Column, *, literal_async: bool = False) -> DataFrame:
-    """Set meta.was_resized. With `literal_async` it stays false, as on the job path of old."""
+    """Set meta.was_resized. With `literal_async` it stays false, as job results have it."""
     value = F.lit(False) if literal_async else was_resized
     return df.withColumn("meta", F.col("meta").withField("was_resized", F.coalesce(value, F.lit(False))))
 

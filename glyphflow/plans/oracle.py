@@ -501,6 +501,9 @@ SELECT job_id, 'queued' AS status, {_iso("created")} AS created_at, '/ocr/jobs/'
     ('running', 'completed'), ('running', 'failed'), ('running', 'cancelled')) AS is_legal FROM steps""",
     "j_progress": _with(_ITEMS)
     + "SELECT job_id, idx, image_id, CAST(idx + 1 AS INTEGER) AS processed, n_images AS total FROM accepted",
+    "j_progress_writes": _with(_ITEMS)
+    + """SELECT job_id, idx AS step, CAST(idx + 1 AS INTEGER) AS processed, n_images AS total FROM accepted WHERE image_id % 6 != 0
+UNION ALL SELECT DISTINCT job_id, CAST(n_images AS INTEGER), CAST(n_images AS INTEGER), n_images FROM accepted""",
     "j_outcome": _with(_ITEMS)
     + """, counts AS (SELECT job_id, count(*) FILTER (WHERE status = 'success') AS n_success,
     count(*) FILTER (WHERE status = 'error') AS n_error FROM accepted GROUP BY job_id)

@@ -65,7 +65,8 @@ def rounded(name: str, digits: int = 6) -> Column:
 def r_image_summary(t: Tables) -> DataFrame:
     """One row per image with its line count, character count and mean confidence."""
     images = t.images().select("image_id", "min_confidence")
-    kept = normalise.kept_detections(t.detections().select("image_id", "text", "confidence"), images, [])
+    found = t.detections().select("image_id", "text", "confidence", "line_no", "part_key")
+    kept = normalise.kept_detections(found, images, [], count_on=t.detection_keys())
     out = normalise.with_summary(images, kept)
     return out.select("image_id", "total_lines", "total_characters", rounded("avg_confidence"))
 
@@ -73,7 +74,7 @@ def r_image_summary(t: Tables) -> DataFrame:
 @query
 def r_bbox(t: Tables) -> DataFrame:
     """Kept detections with their box, the box in shares of the image, and the polygon size."""
-    df = normalise.normalise_detections(t.detections(), t.images())
+    df = normalise.normalise_detections(t.detections(), t.images(), count_on=t.detection_keys())
 
     def axis(box: str, corner: str, i: int, name: str) -> Column:
         return F.col(box)[corner][i].alias(name)
@@ -128,7 +129,7 @@ def r_response_json(t: Tables) -> DataFrame:
 @query
 def r_response_parts(t: Tables) -> DataFrame:
     """Responses put together from a detection table, at most four results per part."""
-    parts = normalise.response_parts(t.images(), t.detections(with_index=True), SETTINGS, part_rows=4)
+    parts = normalise.response_parts(t.images(), t.detections(with_index=True), SETTINGS, part_rows=4, count_on=t.detection_keys())
     texts = F.transform("results", lambda r: r["text"])
     return parts.select(
         "image_id", "part", F.size("results").alias("n_results"),
@@ -142,7 +143,8 @@ def r_error_rows(t: Tables) -> DataFrame:
     """Success rows and full error rows of all images in one table."""
     images = t.images()
     fine = images.where(F.col("status") == "success")
-    kept = normalise.kept_detections(t.detections().select("image_id", "text", "confidence"), fine, [])
+    found = t.detections().select("image_id", "text", "confidence", "line_no", "part_key")
+    kept = normalise.kept_detections(found, fine, [], count_on=t.detection_keys())
     plan = plan_resize(F.col("width"), F.col("height"), SETTINGS.max_image_pixels)
     good = (
         normalise.with_summary(fine, kept)
@@ -499,6 +501,13 @@ def j_progress(t: Tables) -> DataFrame:
     return jobs.running_progress(_accepted_job_items(t)).select("job_id", "idx", "image_id", "processed", "total")
 
 
+@query
+def j_progress_writes(t: Tables) -> DataFrame:
+    """The progress a poller can see when images that cannot be decoded write none of their own."""
+    items = _accepted_job_items(t).withColumn("decode_failed", F.col("image_id") % 6 == 0)
+    return jobs.progress_writes(items).select("job_id", "step", "processed", "total")
+
+
 @query
 def j_outcome(t: Tables) -> DataFrame:
     """Final state of each job by the errors of its images."""

@@ -71,16 +71,19 @@ def join_by_key(
     *,
     broadcast_bytes: int = BROADCAST_BYTES,
     min_rows: int = HOT_ROWS,
+    count_on: DataFrame | None = None,
 ) -> DataFrame:
     """Join `fact` to `dim`, which has one row per key; `how` is inner, left, left_semi or left_anti.
 
     A small `dim` (measured) is broadcast. Otherwise both sides are shuffled,
     with the rows of each hot key spread over pieces by a hash of their other
-    columns, and the `dim` row of such a key repeated once per piece.
+    columns, and the `dim` row of such a key repeated once per piece. Keys are
+    counted on `count_on` where `fact` is costly to compute: a stored table
+    with the same key column and at least the same rows.
     """
     if measured_bytes(dim) <= broadcast_bytes:
         return fact.join(F.broadcast(dim), key, how)
-    hot = hot_keys(fact, key, min_rows)
+    hot = hot_keys(fact if count_on is None else count_on, key, min_rows)
     if not hot:
         return fact.join(dim, key, how)
     # At most HOT_KEYS rows.

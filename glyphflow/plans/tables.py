@@ -97,6 +97,10 @@ class Tables:
             .drop("x0", "y0")
         )
 
+    def detection_keys(self) -> DataFrame:
+        """The image ids of all detections, straight from the stored table."""
+        return self.read("lineitem").select(F.col("l_orderkey").alias("image_id"))
+
     def raw_images(self, documents: DataFrame | None = None) -> DataFrame:
         """One image per document; its lines are the detections, an empty line is an unusable item."""
         source = self.read("documents") if documents is None else documents

@@ -134,6 +134,14 @@ def test_progress_and_outcome(spark):
     assert got == {"a": ("failed", "partial"), "b": ("completed", "success"), "c": ("failed", "error")}
 
 
+def test_progress_writes_skip_images_that_cannot_be_decoded(spark):
+    items = spark.createDataFrame(
+        [("a", 0, False), ("a", 1, True), ("a", 2, False), ("b", 0, True)], "job_id string, idx int, decode_failed boolean"
+    )
+    got = sorted(tuple(r) for r in j.progress_writes(items).collect())
+    assert got == [("a", 0, 1, 3), ("a", 2, 3, 3), ("a", 3, 3, 3), ("b", 1, 1, 1)]
+
+
 def test_status_view(spark):
     log = table(spark, [event("a", 1, "queued"), event("b", 2, "queued"), event("b", 3, "failed", None, "boom")])
     items = spark.createDataFrame([("b", 0, "image_0", "error")], "job_id string, idx int, filename string, status string")
