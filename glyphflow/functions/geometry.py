@@ -30,13 +30,31 @@ def axis_values(polygon: Column, axis: int) -> Column:
     return F.when(has_box(polygon), F.transform(polygon, lambda p: F.get(p, F.lit(axis))))
 
 
-def extent(xs: Column, ys: Column) -> Column:
-    """struct<x0, y0, x1, y1> of axis values; zeros without them."""
-    return F.struct(
-        F.coalesce(F.array_min(xs), F.lit(0.0)).alias("x0"),
-        F.coalesce(F.array_min(ys), F.lit(0.0)).alias("y0"),
-        F.coalesce(F.array_max(xs), F.lit(0.0)).alias("x1"),
-        F.coalesce(F.array_max(ys), F.lit(0.0)).alias("y1"),
+def _extent(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    corners = {"x0": x0, "y0": y0, "x1": x1, "y1": y1}
+    return F.struct(*[F.coalesce(c, F.lit(0.0)).alias(name) for name, c in corners.items()])
+
+
+def extent_of_axes(xs: Column, ys: Column) -> Column:
+    """struct<x0, y0, x1, y1> of axis values, zeros without them: the shortest form inside a lambda."""
+    return _extent(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+
+
+def extent(polygon: Column) -> Column:
+    """struct<x0, y0, x1, y1> around a polygon column of four or more points, else zeros.
+
+    Recognisers return quadrilaterals: four points are compared directly, which
+    stays in generated code; only longer polygons are walked as arrays.
+    """
+    n = F.size(polygon)
+
+    def bound(axis: int, of_four, of_many) -> Column:
+        four = [F.get(F.get(polygon, F.lit(i)), F.lit(axis)) for i in range(BOX_POINTS)]
+        return F.when(n == BOX_POINTS, of_four(*four)).when(n > BOX_POINTS, of_many(axis_values(polygon, axis)))
+
+    return _extent(
+        bound(0, F.least, F.array_min), bound(1, F.least, F.array_min),
+        bound(0, F.greatest, F.array_max), bound(1, F.greatest, F.array_max),
     )
 
 

@@ -13,6 +13,7 @@ from glyphflow.functions.geometry import (
     axis_values,
     bbox_of_extent,
     extent,
+    extent_of_axes,
     has_box,
     normalised_bbox,
     polygon_or_empty,
@@ -54,7 +55,7 @@ def flatten_detections(images: DataFrame, *keep: str) -> DataFrame:
 
 
 def _detections(items: Column) -> Column:
-    """Items turned into results in three steps, so that no polygon is walked more often than needed."""
+    """Items turned into results, in steps so that no polygon is walked more often than needed."""
     with_axes = F.transform(
         items,
         lambda i: F.struct(
@@ -71,7 +72,7 @@ def _detections(items: Column) -> Column:
             i["text"].alias("text"),
             i["confidence"].alias("confidence"),
             i["polygon"].alias("polygon"),
-            extent(i["xs"], i["ys"]).alias("extent"),
+            extent_of_axes(i["xs"], i["ys"]).alias("extent"),
         ),
     )
     return F.transform(
@@ -251,15 +252,13 @@ def normalise_detections(detections: DataFrame, images: DataFrame, **options) ->
     kept = kept_detections(detections, images, ["width", "height", "include_polygon"], **options)
     polygon = F.col("polygon")
     return (
-        kept.withColumn("_xs", axis_values(polygon, 0))
-        .withColumn("_ys", axis_values(polygon, 1))
-        .withColumn("_extent", extent(F.col("_xs"), F.col("_ys")))
+        kept.withColumn("_extent", extent(polygon))
         .withColumn("bbox", bbox_of_extent(F.col("_extent")))
         .withColumn("bbox_normalized", normalised_bbox(F.col("_extent"), F.col("width"), F.col("height")))
         .withColumn("type", F.lit(RESULT_TYPE))
         .withColumn("failed", has_box(polygon) & ((F.col("width") == 0) | (F.col("height") == 0)))
         .withColumn("polygon", polygon_or_empty(polygon, F.col("include_polygon")))
-        .drop("_xs", "_ys", "_extent")
+        .drop("_extent")
     )
 
 

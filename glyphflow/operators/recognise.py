@@ -31,7 +31,7 @@ OUTCOME = T.StructType([
 
 
 def _item(item: Any) -> dict | None:
-    if not item or len(item) < 2:
+    if not isinstance(item, (list, tuple)) or len(item) < 2:
         return None
     polygon, info = item[0], item[1]
     if isinstance(info, tuple):

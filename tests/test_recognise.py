@@ -19,7 +19,7 @@ def factory():
             raise RuntimeError("no text")
         if data.endswith(b"none"):
             return None
-        return [None, [], [[BOX, ("word", 0.75)], (BOX, "plain"), [BOX], None, [None, ("bare", 0.5)]]]
+        return [None, [], [[BOX, ("word", 0.75)], (BOX, "plain"), [BOX], None, "xy", [None, ("bare", 0.5)]]]
 
     return engine
 
@@ -31,8 +31,8 @@ def test_rows_are_isolated_and_shapes_are_normalised(spark):
     got = {r["id"]: r for r in recognise(df, factory).collect()}
     items = got[1]["raw"][2]
     assert got[1]["raw"][:2] == [None, None]
-    assert [(i["text"], i["confidence"]) if i else None for i in items] == [("word", 0.75), ("plain", 1.0), None, None, ("bare", 0.5)]
-    assert items[0]["polygon"] == [[0.0, 0.0], [8.0, 0.0], [8.0, 4.0], [0.0, 4.0]] and items[4]["polygon"] is None
+    assert [(i["text"], i["confidence"]) if i else None for i in items] == [("word", 0.75), ("plain", 1.0), None, None, None, ("bare", 0.5)]
+    assert items[0]["polygon"] == [[0.0, 0.0], [8.0, 0.0], [8.0, 4.0], [0.0, 4.0]] and items[5]["polygon"] is None
     assert (got[2]["error_code"], got[2]["error_message"], got[2]["raw"]) == ("ocr_failed", "no text", None)
     assert got[3]["raw"] is None and got[3]["error_code"] is None and got[3]["seconds"] is None
     assert got[4]["raw"] == [] and got[4]["seconds"] >= 0
