@@ -25,7 +25,7 @@ from glyphflow.functions.text import iso_z_format, iso_z_parse, job_id_of, ms_fr
 from glyphflow.operators import batch, jobs, metrics, normalise, validate
 from glyphflow.operators.recognise import inference_calls
 from glyphflow.plans.tables import DOCUMENTS, EVENTS, LANGS, MODEL_TYPES, Tables, pick
-from glyphflow.session import materialise, use_small_batches, use_utc, work_folder
+from glyphflow.session import materialise, tune, use_small_batches, work_folder
 from glyphflow.settings import Settings
 from glyphflow.sources import files, requests as request_source
 from glyphflow.sources import jobs as job_source
@@ -46,7 +46,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        use_utc(spark)
+        tune(spark)
         return build(Tables(spark, folder))
 
     QUERIES[build.__name__] = run
@@ -637,8 +637,8 @@ def j_run_inferences(t: Tables) -> DataFrame:
 @query
 def s_scan_files(t: Tables) -> DataFrame:
     """The table files themselves as binary rows, with the default name where a batch gives none."""
-    found = files.scan_image_files(t.spark, t.folder, "*.parquet").select("path", "length")
-    named = found.withColumn("batch_id", F.lit(t.folder))
+    found = files.scan_image_files(t.spark, t.folder, "*.parquet", recursive=True).select("path", "length")
+    named = found.withColumn("batch_id", F.element_at(F.split("path", "/"), -2))
     named = named.withColumn("filename", F.when(F.length("path") % 2 == 0, files.file_name()))
     return files.scan_image_batch(named, SETTINGS).select("idx", "filename", "length", "n_images")
 

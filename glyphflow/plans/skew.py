@@ -30,10 +30,12 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS, max_keys: int = HOT_KEYS) -> dict:
-    """Row counts of the keys with at least `min_rows` rows, largest first; never more than `max_keys` keys."""
+    """Row counts of the keys with at least `min_rows` rows, largest first; never more than `max_keys` keys.
+
+    A null key counts like any other.
+    """
     rows = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
+        df.groupBy(key)
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_rows)
         .orderBy(F.desc("n"), key)
@@ -89,12 +91,14 @@ def join_by_key(
     # At most HOT_KEYS rows.
     pieces = F.broadcast(
         fact.sparkSession.createDataFrame(
-            [(k, pieces_of(n, min_rows)) for k, n in hot.items()],
-            T.StructType([fact.schema[key], T.StructField("_pieces", T.IntegerType())]),
+            [(k, pieces_of(n, min_rows)) for k, n in hot.items() if k is not None],
+            T.StructType([T.StructField(key, fact.schema[key].dataType), T.StructField("_pieces", T.IntegerType())]),
         )
     )
     others = [c for c in fact.columns if c != key]
-    spread = F.pmod(F.xxhash64(*(others or [key])), F.coalesce("_pieces", F.lit(1))).cast("int")
+    # Rows without a key match nothing, so they may go anywhere.
+    n_pieces = F.when(F.col(key).isNull(), F.lit(MAX_PIECES)).otherwise(F.coalesce("_pieces", F.lit(1)))
+    spread = F.pmod(F.xxhash64(*(others or [key])), n_pieces).cast("int")
     every_piece = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
     left = fact.join(pieces, key, "left").withColumn("_piece", spread).drop("_pieces")
     right = dim.join(pieces, key, "left").withColumn("_piece", F.explode(every_piece)).drop("_pieces")
@@ -121,7 +125,10 @@ def order_bucket(df: DataFrame, order: str, buckets: int, name: str, sample: Dat
 
 
 def with_segment(df: DataFrame, key: str, order: str, min_rows: int = HOT_ROWS) -> tuple[DataFrame, bool]:
-    """Add `_segment`: 0 for ordinary keys, a piece of the order for hot ones. Also tells whether any key is hot."""
+    """Add `_segment`: 0 for ordinary keys, a piece of the order for hot ones. Also tells whether any key is hot.
+
+    Keys must not be null.
+    """
     hot = hot_keys(df, key, min_rows)
     if not hot:
         return df.withColumn("_segment", F.lit(0)), False

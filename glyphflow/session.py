@@ -18,16 +18,22 @@ def local_session(cpus: int = 8, app: str = "glyphflow") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
+    tune(spark)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def use_utc(spark: SparkSession) -> None:
-    """All times are UTC; rendering happens at the boundary only."""
+def tune(spark: SparkSession) -> None:
+    """Session settings the operators count on.
+
+    All times are UTC and rendered at the boundary only. A shuffled join may
+    use a hash map instead of a sort where every partition of the smaller side
+    has been measured to fit.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
 
 
 # Rows per Arrow batch where rows carry images: a batch must fit a Python worker.

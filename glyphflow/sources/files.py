@@ -8,12 +8,14 @@ from glyphflow.operators.batch import accepted_items, with_item_names
 from glyphflow.settings import Settings
 
 
-def scan_image_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def scan_image_files(
+    spark: SparkSession, path: str, glob: str | None = None, *, recursive: bool = False
+) -> DataFrame:
     """Rows (path, modificationTime, length, content).
 
     Size tests on `length` are pushed into the scan, and `content` is not read unless it is selected.
     """
-    reader = spark.read.format("binaryFile")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(path)

@@ -1,6 +1,8 @@
 import pytest
 
 import __spark_entry__ as contract
+from glyphflow.operators import jobs, metrics, normalise
+from glyphflow.plans import skew
 from tests.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
@@ -37,3 +39,27 @@ def test_answers_do_not_depend_on_the_number_of_partitions(spark, duck, name):
         assert differences(contract.queries()[name](spark, FOLDER), duck, ORACLE[name]) == []
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.fixture
+def everything_is_hot(monkeypatch):
+    """No broadcast of measured sides, and keys with a handful of rows count as hot."""
+    small = {"min_rows": 6, "broadcast_bytes": 0, "bucket_rows": 20}
+    for module in (skew, jobs, metrics, normalise):
+        for function in vars(module).values():
+            defaults = getattr(function, "__kwdefaults__", None)
+            for name in small.keys() & (defaults or {}).keys():
+                monkeypatch.setitem(defaults, name, small[name])
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["r_image_summary", "r_bbox", "r_response_parts", "r_error_rows", "j_transitions", "m_queue_depth",
+     "m_queue_depth_literal", "m_exposition"],
+)
+def test_answers_do_not_depend_on_the_skew_plan(spark, duck, everything_is_hot, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert differences(contract.queries()[name](spark, FOLDER), duck, ORACLE[name]) == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -29,6 +29,17 @@ def test_salted_joins_give_plain_results(spark):
         assert sorted(map(str, out.select(sorted(fact.columns)).collect())) == plain
 
 
+def test_rows_without_a_key_are_spread_and_kept(spark):
+    rows = [(None if i % 3 else f"k{i % 7}", i) for i in range(300)]
+    fact = spark.createDataFrame(rows, "key string, seq long")
+    dim = spark.createDataFrame([(f"k{i}", i) for i in range(0, 7, 2)], "key string, v int")
+    for how in ("inner", "left", "left_anti"):
+        plain = sorted(map(str, fact.join(dim, "key", how).collect()))
+        for min_rows in (10, 50):
+            out = skew.join_by_key(fact, dim, "key", how, broadcast_bytes=0, min_rows=min_rows)
+            assert sorted(map(str, out.collect())) == plain
+
+
 def test_large_side_is_not_broadcast(spark):
     rows, fact = events(spark)
     dim = fact.groupBy("key").agg(F.max("seq").alias("m"))
