@@ -25,7 +25,7 @@ from glyphflow.functions.text import iso_z_format, iso_z_parse, job_id_of, ms_fr
 from glyphflow.operators import batch, jobs, metrics, normalise, validate
 from glyphflow.operators.recognise import inference_calls
 from glyphflow.plans.tables import DOCUMENTS, EVENTS, LANGS, MODEL_TYPES, Tables, pick
-from glyphflow.session import materialise, tune, use_small_batches, work_folder
+from glyphflow.session import materialise, tune, work_folder
 from glyphflow.settings import Settings
 from glyphflow.sources import files, requests as request_source
 from glyphflow.sources import jobs as job_source
@@ -330,7 +330,6 @@ def _reversed_hex(number: Column) -> Column:
 @query
 def v_dimensions(t: Tables) -> DataFrame:
     """Sizes read back from PNG, BMP and JPEG headers put before each document's text."""
-    use_small_batches(t.spark)
     doc = F.col("doc_id")
     width, height = 1 + doc % 3000, 1 + F.col("n_chars") % 2000
     png_kind = F.substring(F.lit("000203040602"), (doc % 6 * 2 + 1).cast("int"), F.lit(2))

@@ -74,12 +74,13 @@ def join_by_key(
     broadcast_bytes: int = BROADCAST_BYTES,
     min_rows: int = HOT_ROWS,
     count_on: DataFrame | None = None,
+    spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join `fact` to `dim`, which has one row per key; `how` is inner, left, left_semi or left_anti.
 
     A small `dim` (measured) is broadcast. Otherwise both sides are shuffled,
-    with the rows of each hot key spread over pieces by a hash of their other
-    columns, and the `dim` row of such a key repeated once per piece. Keys are
+    with the rows of each hot key spread over pieces by a hash of `spread_by`
+    (default: their other columns), and the `dim` row of such a key repeated once per piece. Keys are
     counted on `count_on` where `fact` is costly to compute: a stored table
     with the same key column and at least the same rows.
     """
@@ -95,7 +96,7 @@ def join_by_key(
             T.StructType([T.StructField(key, fact.schema[key].dataType), T.StructField("_pieces", T.IntegerType())]),
         )
     )
-    others = [c for c in fact.columns if c != key]
+    others = list(spread_by or [c for c in fact.columns if c != key])
     # Rows without a key match nothing, so they may go anywhere.
     n_pieces = F.when(F.col(key).isNull(), F.lit(MAX_PIECES)).otherwise(F.coalesce("_pieces", F.lit(1)))
     spread = F.pmod(F.xxhash64(*(others or [key])), n_pieces).cast("int")

@@ -30,10 +30,11 @@ def tune(spark: SparkSession) -> None:
 
     All times are UTC and rendered at the boundary only. A shuffled join may
     use a hash map instead of a sort where every partition of the smaller side
-    has been measured to fit.
+    has been measured to fit. Arrow batches are small, because rows may carry images.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
+    use_small_batches(spark)
 
 
 # Rows per Arrow batch where rows carry images: a batch must fit a Python worker.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphflow.operators.batch import accepted_items, with_item_names
+from glyphflow.operators.validate import gate_of_size
+from glyphflow.plans.skew import join_by_key
 from glyphflow.settings import Settings
 
 
@@ -28,7 +30,22 @@ def file_name(path_column: str = "path"):
 def scan_image_batch(files: DataFrame, settings: Settings, batch: str = "batch_id") -> DataFrame:
     """Files of accepted batches with idx in path order and a default for missing names.
 
-    Takes scanned files with a batch column; the batch is usually the folder.
+    Takes scanned files with a batch column (usually the folder), but without
+    content: numbering shuffles its rows. Contents are processed by path where
+    they are read, see `files_to_process`, and joined as results.
     """
     named = files if "filename" in files.columns else files.withColumn("filename", file_name())
     return with_item_names(accepted_items(named, settings, ["path"], batch))
+
+
+def files_to_process(files: DataFrame, settings: Settings, batch: str = "batch_id") -> DataFrame:
+    """Files, with content, of the batches within the size limit.
+
+    The oversize batches are found without reading contents and taken out by
+    a broadcast of their ids, so contents stay where they are read. Only more
+    ids than a broadcast holds make this a shuffle.
+    """
+    keys = files.select(batch)
+    sizes = keys.groupBy(batch).agg(F.count(F.lit(1)).alias("n"))
+    oversize = sizes.where(gate_of_size(F.col("n"), settings).isNotNull()).select(batch)
+    return join_by_key(files, oversize, batch, "left_anti", count_on=keys, spread_by=["path"])

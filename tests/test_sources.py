@@ -1,9 +1,12 @@
 import base64
 import json
+import struct
 
 from pyspark.sql import functions as F
 
-from glyphflow.operators import normalise as n
+from glyphflow.functions.payload import detect_format, probe_dimensions
+from glyphflow.operators import batch, normalise as n
+from glyphflow.operators.recognise import recognise
 from glyphflow.schemas import RAW_PAGES
 from glyphflow.session import materialise, work_folder
 from glyphflow.settings import Settings
@@ -120,3 +123,31 @@ def test_work_folder_follows_the_session(spark):
     first, second = work_folder(spark, "x"), work_folder(spark, "x")
     assert first != second and (base is None or first.startswith(base.rstrip("/") + "/"))
     assert materialise(spark.range(3), "y").count() == 3
+
+
+def test_files_end_to_end(spark, tmp_path):
+    def model():
+        return lambda data: [[([[0, 0], [5, 0], [5, 5], [0, 5]], (data[24:].decode(), 0.9))]]
+
+    header = b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + struct.pack(">II", 10, 20)
+    for folder, count in {"small": 3, "big": 21}.items():
+        (tmp_path / folder).mkdir()
+        for i in range(count):
+            (tmp_path / folder / f"{i:02}.png").write_bytes(header + f"text {i}".encode())
+    scan = files.scan_image_files(spark, str(tmp_path / "*"))
+    scan = scan.withColumn("batch_id", F.element_at(F.split("path", "/"), -2))
+    images = files.files_to_process(scan, S)
+    assert images.count() == 3
+    images = images.withColumn("size", probe_dimensions(F.col("content"), detect_format(F.col("content"))))
+    images = images.select(
+        "path", "content", "size.width", "size.height", F.lit("en").alias("lang"), F.lit(0.5).alias("min_confidence"),
+        F.lit(True).alias("include_polygon"),
+    )
+    outcomes = n.normalise_images(recognise(images, model), S)
+    items = files.scan_image_batch(scan.select("path", "batch_id"), S).join(outcomes, "path")
+    items = items.withColumn("status", F.when(F.col("error_code").isNull(), "success").otherwise("error"))
+    row = batch.batch_status(items, S).first()
+    assert (row["batch_id"], row["status"], row["n_images"]) == ("small", "success", 3)
+    results = batch.ordered_results(items, ["filename", "summary", "results"]).first()["results"]
+    assert [(r["filename"], r["results"][0]["text"]) for r in results] == [(f"{i:02}.png", f"text {i}") for i in range(3)]
+    assert results[0]["results"][0]["bbox_normalized"]["bottom_right"] == [0.5, 0.25]
