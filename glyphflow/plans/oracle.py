@@ -11,6 +11,18 @@ from glyphflow.settings import (
 
 # ---- shared tables --------------------------------------------------------------------------
 
+_ANSWER = """coalesce(total_lines, 0) AS total_lines, coalesce(total_characters, 0) AS total_characters,
+  round(coalesce(avg_confidence, 0) + 1e-9, 6) AS avg_confidence, coalesce(texts, '') AS texts"""
+
+_FOUND = """lines AS (
+  SELECT payload_id, md5(b) AS text, (n * 7 % 101) / 100 AS confidence, 0 AS i, threshold FROM checked WHERE fine
+  UNION ALL SELECT payload_id, CAST(n AS VARCHAR), 0.5, 1, threshold FROM checked WHERE fine
+  UNION ALL SELECT payload_id, 'plain', 1.0, 2, threshold FROM checked WHERE fine),
+found AS (
+  SELECT payload_id, count(*) AS total_lines, CAST(sum(length(text)) AS BIGINT) AS total_characters,
+         avg(confidence) AS avg_confidence, string_agg(text, ',' ORDER BY i) AS texts
+  FROM lines WHERE confidence >= threshold GROUP BY payload_id)"""
+
 _IMAGES = """images AS (
   SELECT o_orderkey AS image_id, o_custkey AS batch_id,
          CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'order_' || o_orderkey END AS filename,
@@ -549,26 +561,61 @@ SELECT job_id, {_iso("since")} AS since, is_expired, CASE WHEN is_expired THEN 4
     "j_list_filter_first": _with(_EVENTS, _STATE)
     + "SELECT job_id, status FROM state WHERE status = 'failed' ORDER BY job_id DESC LIMIT 100",
     "j_run": _with(_PAYLOADS)
-    + f""", checked AS (
-  SELECT payload_id, bytes, octet_length(bytes) AS n, (payload_id % 5) / 10 AS threshold, CASE
+    + f""", texts AS (
+  SELECT payload_id, bytes AS b, octet_length(bytes) AS n, (payload_id % 5) / 10 AS threshold, CASE
     WHEN decode_error IS NOT NULL THEN 'Processing error: ' || decode_error
     WHEN coalesce(octet_length(bytes), 0) = 0 THEN 'image_empty'
     WHEN octet_length(bytes) > 10000 THEN 'file_too_large: size ' || octet_length(bytes) || ' exceeds 10000'
     WHEN {_FORMAT.format(x="bytes")} IS NULL THEN 'unsupported_format'
     WHEN octet_length(bytes) % 17 = 0 THEN 'engine stopped at ' || octet_length(bytes) END AS error
   FROM decoded),
-lines AS (
-  SELECT payload_id, md5(bytes) AS text, (n * 7 % 101) / 100 AS confidence, 0 AS i, threshold FROM checked WHERE error IS NULL
-  UNION ALL SELECT payload_id, CAST(n AS VARCHAR), 0.5, 1, threshold FROM checked WHERE error IS NULL
-  UNION ALL SELECT payload_id, 'plain', 1.0, 2, threshold FROM checked WHERE error IS NULL),
-found AS (
-  SELECT payload_id, count(*) AS total_lines, CAST(sum(length(text)) AS BIGINT) AS total_characters,
-         avg(confidence) AS avg_confidence, string_agg(text, ',' ORDER BY i) AS texts
-  FROM lines WHERE confidence >= threshold GROUP BY payload_id)
+checked AS (SELECT *, error IS NULL AS fine FROM texts),
+{_FOUND}
 SELECT 'job_' || (payload_id // 10) AS job_id, CAST(payload_id % 10 AS INTEGER) AS idx,
   'image_' || (payload_id % 10) AS filename, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error,
-  coalesce(total_lines, 0) AS total_lines, coalesce(total_characters, 0) AS total_characters,
-  round(coalesce(avg_confidence, 0) + 1e-9, 6) AS avg_confidence, coalesce(texts, '') AS texts
+  {_ANSWER}
+FROM checked LEFT JOIN found USING (payload_id)""",
+    "b_batch_run": _with(_PAYLOADS)
+    + f""", texts AS (
+  SELECT payload_id, bytes AS b, octet_length(bytes) AS n, (payload_id % 5) / 10 AS threshold, CASE
+    WHEN decode_error IS NOT NULL THEN 'Image processing error: ' || decode_error
+    WHEN coalesce(octet_length(bytes), 0) = 0 THEN 'Image data is empty'
+    WHEN octet_length(bytes) > 10000 THEN 'Image exceeds maximum size of 20MB'
+    WHEN {_FORMAT.format(x="bytes")} IS NULL THEN 'Image processing error: unsupported_format'
+    WHEN octet_length(bytes) % 17 = 0 THEN 'engine stopped at ' || octet_length(bytes) END AS error
+  FROM decoded),
+checked AS (SELECT *, error IS NULL AS fine FROM texts),
+{_FOUND}
+SELECT payload_id // 10 AS batch_id, CAST(payload_id % 10 AS INTEGER) AS idx,
+  CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error, {_ANSWER}
+FROM checked LEFT JOIN found USING (payload_id)""",
+    "r_single_requests": _with(_PAYLOADS)
+    + f""", used AS (
+  SELECT payload_id, endpoint, (payload_id % 5) / 10 AS threshold,
+         CASE WHEN endpoint = '/ocr/json' THEN bytes ELSE content END AS b,
+         CASE WHEN endpoint = '/ocr/json' THEN decode_error END AS e FROM decoded),
+coded AS (
+  SELECT *, octet_length(b) AS n, CASE
+    WHEN e IS NOT NULL THEN 'invalid_base64'
+    WHEN coalesce(octet_length(b), 0) = 0 THEN 'image_empty'
+    WHEN octet_length(b) > 10000 THEN 'file_too_large'
+    WHEN {_FORMAT.format(x="b")} IS NULL
+      THEN CASE WHEN endpoint = '/ocr' THEN 'unsupported_format' ELSE 'unreadable_image' END
+    WHEN octet_length(b) % 17 = 0 THEN 'ocr_failed' END AS error_code FROM used),
+checked AS (SELECT *, error_code IS NULL AS fine FROM coded),
+{_FOUND}
+SELECT payload_id, CASE WHEN fine THEN 'success' ELSE 'error' END AS status, error_code,
+  CASE error_code WHEN 'image_empty' THEN 400 WHEN 'invalid_base64' THEN 400 WHEN 'file_too_large' THEN 413
+    WHEN 'unsupported_format' THEN 415 WHEN 'unreadable_image' THEN 422 WHEN 'ocr_failed' THEN 500 ELSE 200 END AS http_status,
+  CASE error_code
+    WHEN 'image_empty' THEN CASE WHEN endpoint = '/ocr' THEN 'Image file is empty' ELSE 'Image data is empty' END
+    WHEN 'invalid_base64' THEN 'Invalid base64 encoded image data'
+    WHEN 'file_too_large' THEN CASE WHEN endpoint = '/ocr' THEN 'Image size ' || n || ' exceeds maximum 10000'
+                                    ELSE 'Image size exceeds maximum 20MB' END
+    WHEN 'unsupported_format' THEN 'Unsupported image format. Allowed: JPEG, PNG, BMP, TIFF, WebP'
+    WHEN 'unreadable_image' THEN 'Cannot process image: unsupported_format'
+    WHEN 'ocr_failed' THEN 'engine stopped at ' || n END AS error_detail,
+  {_ANSWER}
 FROM checked LEFT JOIN found USING (payload_id)""",
     "j_run_inferences": _with(_PAYLOADS)
     + f"""SELECT 'ch_PP-OCRv4_' || lang AS model, 'cpu' AS device, count(*) AS n FROM decoded

@@ -22,7 +22,7 @@ from glyphflow.functions.payload import (
     probe_dimensions,
 )
 from glyphflow.functions.text import iso_z_format, iso_z_parse, job_id_of, ms_from_seconds
-from glyphflow.operators import batch, jobs, metrics, normalise, validate
+from glyphflow.operators import batch, jobs, metrics, normalise, process, validate
 from glyphflow.operators.recognise import inference_calls
 from glyphflow.plans.tables import DOCUMENTS, EVENTS, LANGS, MODEL_TYPES, Tables, pick
 from glyphflow.session import materialise, tune, work_folder
@@ -202,10 +202,8 @@ def b_batch_results(t: Tables) -> DataFrame:
 
 def _with_bytes(payloads: DataFrame) -> DataFrame:
     """The bytes an endpoint works on: decoded text of JSON requests, the file itself otherwise."""
-    is_json = F.col("endpoint") == "/ocr/json"
-    text = payloads.withColumn("payload", F.when(is_json, F.col("payload")))
-    decoded = decode_base64(text, "payload", content="_decoded")
-    return decoded.withColumn("_bytes", F.when(is_json, F.col("_decoded")).otherwise(F.col("content")))
+    brought = payloads.withColumn("_bytes", F.col("content"))
+    return process.with_content(brought, F.col("endpoint") == "/ocr/json", content="_bytes")
 
 
 @query
@@ -609,20 +607,48 @@ def _processed(t: Tables) -> DataFrame:
         "payload", "lang",
         ((doc % 5) / 10).alias("min_confidence"),
     )
-    sizes = lambda content: F.struct(F.lit(640).alias("width"), F.lit(480).alias("height"))
-    return jobs.process_job_images(images, digest_recogniser, SMALL_SETTINGS, dimensions=sizes)
+    return process.process_job_images(images, digest_recogniser, SMALL_SETTINGS, dimensions=_vga)
 
 
-@query
-def j_run(t: Tables) -> DataFrame:
-    """Every payload decoded, validated, recognised and normalised."""
-    return _processed(t).select(
-        "job_id", "idx", "filename", "status", "error",
+def _vga(content: Column) -> Column:
+    return F.struct(F.lit(640).alias("width"), F.lit(480).alias("height"))
+
+
+def _answered(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(
+        *columns,
         F.col("summary.total_lines"), F.col("summary.total_characters"), rounded("summary.avg_confidence"),
         F.array_join(F.transform("results", lambda r: r["text"]), ",").alias("texts"),
     )
 
 
+@query
+def r_single_requests(t: Tables) -> DataFrame:
+    """The answer to every payload sent as a request of its own."""
+    requests = t.payloads().withColumn("min_confidence", (F.col("payload_id") % 5) / 10)
+    requests = requests.withColumn("include_polygon", F.col("payload_id") % 2 == 0)
+    done = process.process_single_requests(requests, digest_recogniser, SMALL_SETTINGS, dimensions=_vga)
+    return _answered(done, "payload_id", "status", "error_code", "http_status", "error_detail")
+
+
+@query
+def b_batch_run(t: Tables) -> DataFrame:
+    """Every payload as an item of a batch of ten: outcome per item."""
+    doc = F.col("payload_id")
+    items = t.payloads().select(
+        F.floor(doc / 10).alias("batch_id"), (doc % 10).cast("int").alias("idx"), "payload", "content", "lang",
+        ((doc % 5) / 10).alias("min_confidence"), F.lit(True).alias("include_polygon"),
+    )
+    done = process.process_batch_items(items, digest_recogniser, SMALL_SETTINGS, dimensions=_vga)
+    return _answered(done, "batch_id", "idx", "status", "error")
+
+
+@query
+def j_run(t: Tables) -> DataFrame:
+    """Every payload decoded, validated, recognised and normalised."""
+    return _answered(_processed(t), "job_id", "idx", "filename", "status", "error")
+
+
 @query
 def j_run_inferences(t: Tables) -> DataFrame:
     """Model calls that succeeded, by model and device."""

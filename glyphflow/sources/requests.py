@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from glyphflow.functions.payload import strip_text
-from glyphflow.operators.validate import check_batch_request, check_single_request
+from glyphflow.operators.validate import check_batch_request, check_single_request, gate_detail, gate_of_size
 from glyphflow.schemas import BATCH_REQUEST, CORRUPT_COLUMN, JOB_REQUEST, SINGLE_REQUEST
+from glyphflow.settings import Settings
 
 # Request defaults.
 DEFAULTS = {"lang": "auto", "min_confidence": 0.0, "layout_analysis": False, "include_polygon": True}
@@ -49,6 +50,16 @@ def scan_batch_requests(spark: SparkSession, path: str, *, job: bool = False) ->
     return df.withColumn("violation", violation).withColumn("n_images", n)
 
 
+def gate_requests(requests: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) many-image requests by their size; decided before any image is touched."""
+    code = gate_of_size(F.col("n_images"), settings)
+    rejected = requests.where(code.isNotNull()).select(
+        "request_id", code.alias("error_code"), gate_detail(F.col("n_images"), settings).alias("error_detail"),
+        F.lit(400).alias("http_status"),
+    )
+    return requests.where(code.isNull()), rejected
+
+
 def explode_images(requests: DataFrame) -> DataFrame:
     """One row per image with its 0-based idx; a request without images keeps one row with nulls."""
     others = [c for c in requests.columns if c != "images"]

@@ -1,9 +1,10 @@
 import base64
 import os
+import struct
 
 from pyspark.sql import functions as F
 
-from glyphflow.operators.jobs import process_job_images
+from glyphflow.operators.process import process_batch_items, process_job_images, process_single_requests, run_images
 from glyphflow.operators.recognise import inference_calls, recognise
 from glyphflow.settings import Settings
 
@@ -80,3 +81,58 @@ def test_job_images_end_to_end(spark):
     assert [(r["text"], r["confidence"]) for r in first["results"]] == [("word", 0.75), ("plain", 1.0)]
     assert first["results"][0]["bbox_normalized"]["bottom_right"] == [0.5, 0.5]
     assert inference_calls(out, s).count() == 1
+
+
+REQUEST = "id int, endpoint string, payload string, content binary, lang string, min_confidence double, include_polygon boolean"
+
+
+def picture(width, height, tail=b""):
+    return b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + struct.pack(">II", width, height) + tail
+
+
+def test_single_requests_are_answered_like_their_endpoint(spark):
+    s = Settings(max_image_bytes=60)
+    text = lambda b: base64.b64encode(b).decode()
+    rows = [
+        (0, "/ocr", None, bytearray(picture(16, 8)), "en", 0.8, False),
+        (1, "/ocr", None, bytearray(), "en", 0.0, True),
+        (2, "/ocr", None, bytearray(b"xx"), "en", 0.0, True),
+        (3, "/ocr", None, bytearray(b"\x89PNG"), "en", 0.0, True),
+        (4, "/ocr/json", "data:image/png;base64," + text(picture(16, 8)), None, "en", 0.0, True),
+        (5, "/ocr/json", "Q", None, "en", 0.0, True),
+        (6, "/ocr/json", text(b"xx"), None, "en", 0.0, True),
+        (7, "/ocr/json", text(picture(1, 1, b"x" * 60)), None, "en", 0.0, True),
+        (8, "/ocr/json", text(picture(1, 1, b"bad")), None, "en", 0.0, True),
+    ]
+    out = process_single_requests(spark.createDataFrame(rows, REQUEST), factory, s)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r for r in out.collect()}
+    assert [(got[i]["error_code"], got[i]["http_status"]) for i in range(9)] == [
+        (None, 200), ("image_empty", 400), ("unsupported_format", 415), ("unreadable_image", 422), (None, 200),
+        ("invalid_base64", 400), ("unreadable_image", 422), ("file_too_large", 413), ("ocr_failed", 500),
+    ]
+    assert [r["text"] for r in got[0]["results"]] == ["plain"] and got[0]["results"][0]["polygon"] == []
+    assert [r["text"] for r in got[4]["results"]] == ["word", "plain", "bare"]
+    assert got[4]["results"][0]["bbox_normalized"]["bottom_right"] == [0.5, 0.5]
+    assert got[8]["error_detail"] == "no text" and got[8]["results"] == []
+
+
+def test_batch_items_never_fail_their_batch(spark):
+    rows = [(0, "a", base64.b64encode(picture(8, 8)).decode()), (1, "a", "Q"), (2, "a", ""), (3, "a", base64.b64encode(b"xx").decode())]
+    df = spark.createDataFrame(rows, "idx int, batch_id string, payload string").selectExpr(
+        "*", "cast(null as binary) content", "'en' lang", "0.0D min_confidence", "true include_polygon"
+    )
+    got = {r["idx"]: (r["status"], r["error"]) for r in process_batch_items(df, factory, Settings()).collect()}
+    assert got[0] == ("success", None) and got[2] == ("error", "Image data is empty")
+    assert got[1][1].startswith("Image processing error: Invalid base64 data: ")
+    assert got[3] == ("error", "Image processing error: unsupported_format")
+
+
+def test_planned_size_replaces_the_size_of_large_images(spark):
+    df = spark.createDataFrame([(1, bytearray(picture(8192, 4096)))], "id int, content binary").selectExpr(
+        "*", "cast(null as string) decode_error", "'en' lang", "0.0D min_confidence", "true include_polygon"
+    )
+    meta = run_images(df, factory, Settings(), planned_size=True).first()["meta"]
+    assert (meta["image_width"], meta["image_height"], meta["was_resized"]) == (5792, 2896, True)
+    meta = run_images(df, factory, Settings()).first()["meta"]
+    assert (meta["image_width"], meta["image_height"], meta["was_resized"]) == (8192, 4096, False)

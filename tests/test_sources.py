@@ -48,6 +48,9 @@ def test_batch_requests(spark, tmp_path):
     assert {r["request_id"]: (r["n_images"], r["violation"]) for r in read.collect()} == {
         "1": (2, None), "2": (0, "images_empty"), "3": (21, None),
     }
+    accepted, rejected = requests.gate_requests(read, S)
+    assert {r["request_id"] for r in accepted.collect()} == {"1", "2"}
+    assert [tuple(r) for r in rejected.collect()] == [("3", "batch_too_large", "Batch size 21 exceeds maximum 20", 400)]
     rows = requests.explode_images(read).collect()
     assert [(r["idx"], r["payload"]) for r in rows if r["request_id"] == "1"] == [(0, "a"), (1, "b")]
     assert [(r["idx"], r["payload"]) for r in rows if r["request_id"] == "2"] == [(None, None)]
