@@ -10,6 +10,7 @@ class Settings:
     """Frozen so that every value can be folded into a plan as a literal."""
 
     engine: str = "ocr"
+    # What response documents name as version and model.
     engine_version: str = "3.5.0"
     model_prefix: str = "ch_PP-OCRv4_"
     model_lang: str = "en"

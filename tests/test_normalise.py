@@ -26,7 +26,7 @@ def image(raw, width=100, height=200, lang="en", threshold=0.0, polygons=True):
     return (raw, width, height, lang, threshold, polygons)
 
 
-def reference(raw, width, height, threshold, polygons):
+def by_hand(raw, width, height, threshold, polygons):
     """The rules once more, item by item."""
     results, chars, total = [], 0, 0.0
     for page in raw or []:
@@ -85,7 +85,7 @@ def test_normalise_matches_the_rules_on_random_images(spark):
         rows.append(image(raw, threshold=rng.choice([0.0, 0.3, 0.5, 1.0]), polygons=rng.random() < 0.5))
     got = {r["image_id"]: r for r in n.normalise_images(images(spark, *rows), S).collect()}
     for i, (raw, width, height, _, threshold, polygons) in enumerate(rows):
-        results, summary = reference(raw, width, height, threshold, polygons)
+        results, summary = by_hand(raw, width, height, threshold, polygons)
         assert [flat(r) for r in got[i]["results"]] == results
         assert tuple(got[i]["summary"]) == summary
         assert got[i]["error_code"] is None and got[i]["meta"]["image_width"] == width

@@ -1,8 +1,6 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
-
 from glyphflow.operators.jobs import fold_job_events
 from glyphflow.operators.normalise import normalise_images
 from glyphflow.schemas import JOB_EVENT, RAW_PAGES
