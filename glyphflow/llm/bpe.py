@@ -27,8 +27,8 @@ from glyphflow.llm import words as W
 from glyphflow.llm.frames import small_batches
 
 # States and pieces a worker remembers at most: a bound on memory, not on inputs.
-MAX_STATES = 150_000
-MAX_PIECES = 200_000
+MAX_STATES = 200_000
+MAX_PIECES = 350_000
 # Steps outside the remembered states before they are learnt anew, as the texts have changed.
 MAX_MISSED = 2_000_000
 # Bytes left of a piece from which it is finished without remembering states.
