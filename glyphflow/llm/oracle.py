@@ -11,17 +11,17 @@ def _coverage(size: int) -> str:
     return f"""
   g{size} AS (SELECT rid, i, array_to_string(list_slice(words, i, i + {size - 1}), ' ') AS gram
     FROM (SELECT rid, words, unnest(generate_series(1, len(words) - {size - 1})) AS i FROM docs WHERE len(words) >= {size})),
-  m{size} AS (SELECT DISTINCT rid, at FROM (SELECT rid, unnest(generate_series(i, i + {size - 1})) AS at
+  m{size} AS (SELECT DISTINCT rid, place FROM (SELECT rid, unnest(generate_series(i, i + {size - 1})) AS place
     FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g{size}) WHERE n > 1)),
-  c{size} AS (SELECT m.rid, count(*) AS n, sum(length(d.words[m.at])) AS chars FROM m{size} m JOIN docs d USING (rid) GROUP BY m.rid)"""
+  c{size} AS (SELECT m.rid, count(*) AS n, sum(length(d.words[m.place])) AS chars FROM m{size} m JOIN docs d USING (rid) GROUP BY m.rid)"""
 
 
 OP6 = f"""
 WITH docs AS (
   SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
-  lines AS (SELECT rid, line, row_number() OVER (PARTITION BY rid, line ORDER BY at) AS seen
-    FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM docs)),
+  lines AS (SELECT rid, line, row_number() OVER (PARTITION BY rid, line ORDER BY nr) AS seen
+    FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM docs)),
   dup AS (SELECT rid, count(*) AS n, sum(list_sum(list_transform(regexp_extract_all(line, '{WORD}'), lambda w: length(w)))) AS chars
     FROM lines WHERE seen > 1 AND len(regexp_extract_all(line, '{WORD}')) > 0 GROUP BY rid),
 {_coverage(5)},
