@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphflow.llm import bpe, chat, html, pii, quality
+from glyphflow.llm import bpe, chat, decontaminate, html, lines, pii, quality
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item in it."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document, by patterns and by the field fitted on a bounded sample."""
     docs = table(spark, sf_dir, "documents")
@@ -42,6 +47,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs."""
+    return lines.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     pages = table(spark, sf_dir, "pages")
@@ -57,9 +67,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": op3_decontaminate,
     "op5_personal_data": op5_personal_data,
     "op6_quality_rules": op6_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_line_dedup": op8_line_dedup,
     "op9_main_text": op9_main_text,
     "op10_chat_format": op10_chat_format,
 }
