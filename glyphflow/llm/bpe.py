@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from glyphflow.llm import words as W
 from glyphflow.llm.frames import small_batches
 
 # States and pieces a worker remembers at most: a bound on memory, not on inputs.
-MAX_STATES = 200_000
-MAX_PIECES = 350_000
+MAX_STATES = 250_000
+MAX_PIECES = 500_000
 # Steps outside the remembered states before they are learnt anew, as the texts have changed.
 MAX_MISSED = 2_000_000
 # Bytes left of a piece from which it is finished without remembering states.
@@ -286,7 +287,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 def _lists(rows: list[list[int]]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-    flat = np.fromiter((i for r in rows for i in r), np.int32, int(offsets[-1]))
+    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
