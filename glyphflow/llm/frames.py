@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glyphflow.session import work_folder
 
@@ -31,11 +30,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fresh(name: str) -> str:
-    """A column name that no input uses."""
-    return f"_{name}_{uuid.uuid4().hex[:8]}"
-
-
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, which must be cheap to count, marked for broadcast if it has at most `rows` rows; else it is joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphflow.llm.frames import stored
+from glyphflow.llm.frames import sent_if_small, stored
 
 
 @dataclass(frozen=True)
@@ -46,11 +46,6 @@ def _lines(docs: DataFrame, key: str, text: str, rules: Rules) -> DataFrame:
     return out.select("doc", "version", "place", leaf.alias("leaf"), F.xxhash64("masked").alias("own"), "masked")
 
 
-def _sent(df: DataFrame, rules: Rules) -> DataFrame:
-    """`df`, which is stored, marked for broadcast if it is small enough."""
-    return F.broadcast(df) if df.limit(rules.max_sent_rows + 1).count() <= rules.max_sent_rows else df
-
-
 def _members(docs: DataFrame, lines: DataFrame, key: str, text: str, rules: Rules) -> DataFrame:
     """Leaf and line template of the lines that share their leaf's template."""
     strings = lines.select("leaf", "own", "doc").distinct().groupBy("leaf", "own").agg(F.count("*").alias("docs"))
@@ -58,7 +53,7 @@ def _members(docs: DataFrame, lines: DataFrame, key: str, text: str, rules: Rule
     leaves = strings.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("all"), F.count_if(F.col("docs") < rules.min_docs).alias("rare"))
     leaves = leaves.where((F.col("n") > 1) & (F.col("all") >= rules.min_docs) & (F.col("rare") > 0)).select("leaf")
     mixed = stored(strings.join(leaves, "leaf", "left_semi"), "line-leaves")
-    full = _lines(docs, key, text, rules).select("leaf", "own", "masked").join(_sent(mixed, rules), ["leaf", "own"])
+    full = _lines(docs, key, text, rules).select("leaf", "own", "masked").join(sent_if_small(mixed, rules.max_sent_rows), ["leaf", "own"])
     full = full.groupBy("leaf", "own").agg(F.min("masked").alias("masked"), F.max("docs").alias("docs"))
     tokens = stored(full.select("leaf", "own", "docs", F.posexplode(F.split("masked", " ", -1)).alias("place", "token")), "line-tokens")
     common = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"))
@@ -80,7 +75,7 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", rul
     rules = rules or Rules()
     lines = stored(_lines(docs, key, text, rules).drop("masked"), "lines")
     members = stored(_members(docs, lines, key, text, rules).withColumn("shared", F.lit(True)), "line-members")
-    lines = lines.join(_sent(members, rules), ["leaf", "own"], "left")
+    lines = lines.join(sent_if_small(members, rules.max_sent_rows), ["leaf", "own"], "left")
     # The template of a line: the leaf's shared one, or the line's own within the leaf.
     lines = lines.withColumn("own", F.when(F.col("shared"), F.lit(0)).otherwise(F.col("own"))).drop("shared")
     docs_of = lines.select("leaf", "own", "doc").distinct().groupBy("leaf", "own").agg(F.count("*").alias("docs"), F.min("doc").alias("first"))

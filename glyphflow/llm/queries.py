@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphflow.llm import bpe, chat, decontaminate, html, lines, pii, quality
+from glyphflow.llm import bpe, chat, decontaminate, html, lines, ngram_join, pii, quality
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document, by 3-word shingles at a Jaccard similarity of 0.9."""
+    return ngram_join.link(table(spark, sf_dir, "documents"), rules=ngram_join.Rules(size=3, percent=90))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item in it."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -67,6 +72,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_decontaminate": op3_decontaminate,
     "op5_personal_data": op5_personal_data,
     "op6_quality_rules": op6_quality_rules,
