@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphflow.llm import bpe, chat, decontaminate, html, lines, ngram_join, pii, quality
+from glyphflow.llm import bpe, chat, decontaminate, html, lines, ngram_join, pii, quality, substrings
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -22,6 +22,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"), rules=ngram_join.Rules(size=3, percent=90))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, those that an earlier one has in a 13-word window, and a digest of the rest."""
+    return substrings.digest_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item in it."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -73,6 +78,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op5_personal_data": op5_personal_data,
     "op6_quality_rules": op6_quality_rules,
