@@ -151,23 +151,27 @@ def code_points(buffer: np.ndarray) -> np.ndarray:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about `limit` bytes of the text column; one row is never cut."""
+    """The same rows in slices of about `limit` bytes of the text column, joined or cut from the batches; one row is never cut."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index(text))
-        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
         total = np.cumsum(sizes)
         begin = 0
         while begin < batch.num_rows:
             before = total[begin - 1] if begin else 0
-            stop = max(begin + 1, int(np.searchsorted(total, before + limit, "right")))
-            yield batch.slice(begin, stop - begin)
+            stop = max(begin + 1, int(np.searchsorted(total, before + limit - size, "right")))
+            held.append(batch.slice(begin, stop - begin))
+            size += int(total[stop - 1] - before)
             begin = stop
+            if size >= limit or begin < batch.num_rows:
+                yield _one(held)
+                held, size = [], 0
+    if held:
+        yield _one(held)
 
 
-def binary_rows(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """A binary column whose row i holds the next counts[i] values."""
-    values = np.ascontiguousarray(values)
-    offsets = np.concatenate(([0], np.cumsum(counts))) * values.dtype.itemsize
-    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(values)])
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
