@@ -32,28 +32,35 @@ class Rules:
 
 def masked(line: Column) -> Column:
     """Tokens of a line, one space between, those with a digit as <*>."""
-    plain = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
+    # Most lines need no change, and the tests are much cheaper than the changes.
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for space in ("  ", "\t", "\r", "\x0b", "\x0c"):
+        odd = odd | F.contains(line, F.lit(space))
+    plain = F.when(odd, F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(plain)
 
 
 def _lines(docs: DataFrame, key: str, text: str, rules: Rules) -> DataFrame:
-    """Document, text hash, place, leaf, line template and masked line of every line with enough tokens."""
+    """Document, text hash, place, number of tokens, leaf, line template and masked line of every line."""
     split = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("version"), F.posexplode(F.split(text, "\n", -1)).alias("place", "line"))
     out = split.select("doc", "version", "place", masked(F.col("line")).alias("masked"))
-    tokens = F.length("masked") - F.length(F.translate("masked", " ", "")) + 1
-    out = out.withColumn("tokens", tokens).where(F.col("tokens") >= rules.min_tokens)
+    tokens = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    out = out.select("*", tokens.alias("tokens"))
     leaf = F.xxhash64("tokens", F.substring_index("masked", " ", rules.leading))
-    return out.select("doc", "version", "place", leaf.alias("leaf"), F.xxhash64("masked").alias("own"), "masked")
+    return out.select("doc", "version", "place", "tokens", leaf.alias("leaf"), F.xxhash64("masked").alias("own"), "masked")
 
 
 def _members(docs: DataFrame, lines: DataFrame, key: str, text: str, rules: Rules) -> DataFrame:
     """Leaf and line template of the lines that share their leaf's template."""
-    strings = lines.select("leaf", "own", "doc").distinct().groupBy("leaf", "own").agg(F.count("*").alias("docs"))
+    strings = lines.select("leaf", "own", "doc").distinct().groupBy("leaf", "own").agg(F.count("*").alias("docs"), F.min("doc").alias("example"))
     strings = stored(strings, "line-strings")
     leaves = strings.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("all"), F.count_if(F.col("docs") < rules.min_docs).alias("rare"))
     leaves = leaves.where((F.col("n") > 1) & (F.col("all") >= rules.min_docs) & (F.col("rare") > 0)).select("leaf")
     mixed = stored(strings.join(leaves, "leaf", "left_semi"), "line-leaves")
-    full = _lines(docs, key, text, rules).select("leaf", "own", "masked").join(sent_if_small(mixed, rules.max_sent_rows), ["leaf", "own"])
+    # Only the first document with a string is read again for its tokens.
+    examples = stored(mixed.select(F.col("example").alias(key)).distinct(), "line-examples")
+    some = docs.select(key, text).join(sent_if_small(examples, rules.max_sent_rows), key, "left_semi")
+    full = _lines(some, key, text, rules).select("leaf", "own", "masked").join(sent_if_small(mixed, rules.max_sent_rows), ["leaf", "own"])
     full = full.groupBy("leaf", "own").agg(F.min("masked").alias("masked"), F.max("docs").alias("docs"))
     tokens = stored(full.select("leaf", "own", "docs", F.posexplode(F.split("masked", " ", -1)).alias("place", "token")), "line-tokens")
     common = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"))
@@ -73,7 +80,7 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", rul
     `n_dropped` are replaced.
     """
     rules = rules or Rules()
-    lines = stored(_lines(docs, key, text, rules).drop("masked"), "lines")
+    lines = stored(_lines(docs, key, text, rules).drop("masked"), "lines").where(F.col("tokens") >= rules.min_tokens)
     members = stored(_members(docs, lines, key, text, rules).withColumn("shared", F.lit(True)), "line-members")
     lines = lines.join(sent_if_small(members, rules.max_sent_rows), ["leaf", "own"], "left")
     # The template of a line: the leaf's shared one, or the line's own within the leaf.
