@@ -190,13 +190,19 @@ def _pick_windows(hashes: np.ndarray, doc: np.ndarray, several: np.ndarray) -> n
     return _settle_windows(hashes, doc)[0]
 
 
+def _with_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without the rows that no anchor was found in."""
+    for batch in batches:
+        yield batch.filter(batch.column(2).is_valid()) if batch.num_columns > 2 else batch
+
+
 def _send(frame: DataFrame, settle: Callable, entries: Callable) -> DataFrame:
     """Packed entries of all tasks; `entries` gives route, hash, document and place for a slice."""
     parts = partitions(frame.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = Sender(parts, settle)
-        for part in W.slices(batches, "text"):
+        for part in W.slices(_with_places(batches), "text"):
             yield from sender.add(*entries(part))
         yield sender.flush()
 
@@ -249,7 +255,8 @@ def _finish(docs: DataFrame, key: str, text: str, rules: Rules, digest: bool) ->
         row = s.words.row[start]
         return route, _hash_at(s.hashes, start, rules.window), part.column(0).to_numpy(zero_copy_only=False)[row], start - first[row]
 
-    both = docs.join(suspect, "doc").select("doc", "text", "places")
+    # An outer join like the last one below, so that both read one shuffle of the texts.
+    both = docs.join(suspect, "doc", "left").select("doc", "text", "places")
     removed = _gather(_send(both, _settle_windows, suffixes), _pick_windows)
     out = T.StructType([
         T.StructField("doc", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
