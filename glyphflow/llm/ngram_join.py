@@ -118,6 +118,21 @@ def _profiles(docs: DataFrame, sketch: np.ndarray, rules: Rules) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, schema)
 
 
+def _promising(pairs: DataFrame, profiles: DataFrame, rules: Rules) -> DataFrame:
+    """The pairs (a, b of sizes n, m) whose overlap can be large enough by what their front tokens share.
+
+    Fronts are cut from one order of all tokens, so behind the front of the set
+    whose front ends first nothing is known, and up to there everything.
+    """
+    pairs = stored(pairs, "pairs")
+    wanted = stored(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "wanted")
+    fronts = profiles.select("key", "set_a", "prefix").join(sent_if_small(wanted, rules.max_sent_rows), "key", "left_semi").dropDuplicates(["key", "set_a"])
+    both = pairs.join(fronts.select(F.col("key").alias("a"), F.col("prefix").alias("left")), "a")
+    both = both.join(fronts.select(F.col("key").alias("b"), F.col("prefix").alias("right")), "b")
+    most = F.size(F.array_intersect("left", "right")) + F.greatest(F.col("n") - F.size("left"), F.col("m") - F.size("right"))
+    return both.where(most >= rules.needed(F.col("n"), F.col("m"))).drop("left", "right").dropDuplicates(["a", "b"])
+
+
 def _overlaps(docs: DataFrame, pairs: DataFrame, rules: Rules) -> DataFrame:
     """a, b and the exact size of their sets' intersection; `pairs` is stored."""
     wanted = stored(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "wanted")
@@ -175,9 +190,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Rules
     classes = stored(full.groupBy("set_a", "set_b", "n").agg(F.min("key").alias("rep"), F.count("*").alias("n_class")), "classes")
     one = full.join(classes, ["set_a", "set_b", "n"]).where(F.col("key") == F.col("rep")).dropDuplicates(["rep", "set_a", "set_b"])
     index = _index(one, rules)
-    first = _leaders(docs, index, rules)
+    first = _leaders(docs, full, index, rules)
     joined = stored(components(first.where("linked")), "components")
-    more = _open_pairs(docs, index, first, joined, rules)
+    more = _open_pairs(docs, full, index, first, joined, rules)
     again = stored(components(more), "components-again")
     # A class hangs under its component of the first round, and that under one of the second.
     roots = joined.join(again.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
@@ -201,19 +216,19 @@ def _index(one: DataFrame, rules: Rules) -> DataFrame:
     return stored(entries.select("token", "block", "rep", "n", "pos"), "index")
 
 
-def _leaders(docs: DataFrame, index: DataFrame, rules: Rules) -> DataFrame:
+def _leaders(docs: DataFrame, profiles: DataFrame, index: DataFrame, rules: Rules) -> DataFrame:
     """Overlaps of sets with the leaders of their blocks, the sets with the fewest rarer tokens: a, b, shared, linked."""
     turn = F.shiftleft("pos", 40) + F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))
     leads = index.groupBy("token", "block").agg(*(F.min_by(c, turn).alias(n) for c, n in (("rep", "lead"), ("n", "m"), ("pos", "place"))))
     leads = stored(leads, "leaders")
     pairs = index.join(leads, ["token", "block"]).where(F.col("rep") != F.col("lead")).where(_within(rules, "n", "pos", "m", "place"))
     pairs = pairs.select(F.col("rep").alias("a"), F.col("lead").alias("b"), "n", "m").dropDuplicates(["a", "b"])
-    pairs = stored(pairs, "leader-pairs")
+    pairs = stored(_promising(pairs, profiles, rules), "leader-pairs")
     found = _overlaps(docs, pairs.select("a", "b"), rules).join(pairs, ["a", "b"])
     return stored(found.select("a", "b", "shared", _linked(rules, "n", "m").alias("linked")), "leader-overlaps")
 
 
-def _open_pairs(docs: DataFrame, index: DataFrame, first: DataFrame, joined: DataFrame, rules: Rules) -> DataFrame:
+def _open_pairs(docs: DataFrame, profiles: DataFrame, index: DataFrame, first: DataFrame, joined: DataFrame, rules: Rules) -> DataFrame:
     """Links between sets that the leaders' answers leave in different components: a, b, as components."""
     turn = F.shiftleft("pos", 40) + F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))
     entries = index.join(joined.withColumnsRenamed({"node": "rep", "root": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -230,7 +245,7 @@ def _open_pairs(docs: DataFrame, index: DataFrame, first: DataFrame, joined: Dat
     inside = larger.where(F.col("y_comp") == F.col("lead_comp")).drop("lead_comp")
     pairs = smaller.join(outside, ["token", "block"]).where(once).union(smaller.where(F.col("x_comp") != F.col("there")).join(inside, ["token", "block"]).where(once))
     pairs = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), "n", "m", "x_comp", "y_comp").dropDuplicates(["a", "b"])
-    pairs = stored(_bounded(pairs, first, rules), "open-pairs")
+    pairs = stored(_promising(_bounded(pairs, first, rules), profiles, rules), "open-pairs")
     found = _overlaps(docs, pairs.select("a", "b"), rules).join(pairs, ["a", "b"]).where(_linked(rules, "n", "m"))
     return found.select(F.col("x_comp").alias("a"), F.col("y_comp").alias("b")).distinct()
 
