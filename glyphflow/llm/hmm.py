@@ -27,8 +27,8 @@ from glyphflow.llm import words as W
 from glyphflow.llm.frames import partitions, small_batches, stored
 
 # Bytes of text in a packed batch, and rows of an Arrow batch, as packed batches are large.
-BATCH_BYTES = 2 << 20
-ROWS = 16
+BATCH_BYTES = 1 << 20
+ROWS = 8
 # Stretches multiplied at once, so that their matrices stay in the cache.
 BLOCK = 512
 # The token at the end of every text.
