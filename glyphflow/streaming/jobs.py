@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from datetime import timedelta
-from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphflow.operators.jobs import fold_columns, last_error, with_status
 from glyphflow.settings import QUEUED, Settings
+from glyphflow.streaming.run import BatchTable
 
 
 def stream_job_state(events: DataFrame, *, terminal_wins: bool = False) -> DataFrame:
@@ -24,11 +22,6 @@ def stream_job_state(events: DataFrame, *, terminal_wins: bool = False) -> DataF
     return with_status(events.groupBy("job_id").agg(*fold_columns(terminal_wins), last_error()))
 
 
-def stream_submitted_once(submissions: DataFrame, delay: str = "24 hours") -> DataFrame:
-    """The first submission per job id; repeats within `delay` are dropped and state is cleared after it."""
-    return submissions.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["job_id"])
-
-
 def stream_sliding_expiry(events: DataFrame, settings: Settings, delay: str = "10 minutes") -> DataFrame:
     """Rows (job_id, last_event_at, expired_at) for jobs without an event for the time to live.
 
@@ -44,57 +37,47 @@ def stream_sliding_expiry(events: DataFrame, settings: Settings, delay: str = "1
     )
 
 
-class FixedExpiry(StatefulProcessor):
-    """Keeps the creation time of a job and reports it once creation + time to live has passed."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        created = T.StructType([T.StructField("ms", T.LongType())])
-        self.created = handle.getValueState("created", created)
+def submitted_once(spark: SparkSession, folder: str) -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function that keeps the first submission per job id; read them with `read_batches`.
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first = min(int(batch["ms"].min()) for batch in rows)
-        if self.created.exists():
-            known = self.created.get()[0]
-            if known <= first:
-                return iter([])
-            self.handle.deleteTimer(known + self.ttl_ms)
-        self.created.update((first,))
-        self.handle.registerTimer(first + self.ttl_ms)
-        return iter([])
+    That a job is new is a property of the stored result: each micro-batch adds
+    the ids that no earlier one has stored, and a repeated micro-batch replaces
+    what it wrote. So the answer does not depend on how the input is cut, and a
+    job submitted again after any time stays one job.
+    """
+    submitted = BatchTable(spark, f"{folder}/submitted", "job_id string, ts timestamp")
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        created = self.created.get()[0]
-        self.created.clear()
-        yield pd.DataFrame({"job_id": [key[0]], "created_ms": [created], "expired_ms": [created + self.ttl_ms]})
+    def take(batch: DataFrame, batch_id: int) -> None:
+        first = batch.groupBy("job_id").agg(F.min("ts").alias("ts"))
+        submitted.write(first.join(submitted.before(batch_id).select("job_id"), "job_id", "left_anti"), batch_id)
 
-    def close(self) -> None:
-        pass
+    return take
 
 
-def stream_fixed_expiry(events: DataFrame, settings: Settings, delay: str = "10 minutes") -> DataFrame:
-    """Rows (job_id, created_at, expired_at) once a job is older than the time to live.
+def fixed_expiry(
+    spark: SparkSession, folder: str, settings: Settings, delay: timedelta = timedelta(minutes=10)
+) -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function that reports each job once when its time to live, from creation, has passed.
 
-    Only creation events reach the stateful operator, and only two columns of them.
+    Time is the latest creation seen, less `delay`. Creations, the clock and the
+    reported jobs are stored by micro-batch, so that a job is reported once
+    however the input is cut. Creations count in milliseconds.
     """
-    ttl_ms = int(timedelta(hours=settings.job_ttl_hours).total_seconds() * 1000)
-    created = (
-        events.where(F.col("kind") == QUEUED)
-        .select("job_id", "ts")
-        .withWatermark("ts", delay)
-        .withColumn("ms", F.unix_millis("ts"))
-    )
-    expired = created.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=FixedExpiry(ttl_ms),
-        outputStructType="job_id string, created_ms bigint, expired_ms bigint",
-        outputMode="Append",
-        timeMode="EventTime",
-    )
-    return expired.select(
-        "job_id",
-        F.timestamp_millis("created_ms").alias("created_at"),
-        F.timestamp_millis("expired_ms").alias("expired_at"),
-    )
+    created = BatchTable(spark, f"{folder}/created", "job_id string, created_at timestamp")
+    clock = BatchTable(spark, f"{folder}/clock", "ts timestamp")
+    expired = BatchTable(spark, f"{folder}/expired", "job_id string, created_at timestamp, expired_at timestamp")
+    ttl = F.expr(f"INTERVAL '{settings.job_ttl_hours}' HOUR")
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        queued = batch.where(F.col("kind") == QUEUED).select("job_id", F.date_trunc("millisecond", "ts").alias("ts"))
+        created.write(queued.groupBy("job_id").agg(F.min("ts").alias("created_at")), batch_id)
+        clock.write(queued.agg(F.max("ts").alias("ts")), batch_id)
+        now = clock.before(batch_id + 1).agg(F.max("ts").alias("ts")).first()["ts"]
+        if now is None:
+            return
+        open_jobs = created.before(batch_id + 1).join(expired.before(batch_id).select("job_id"), "job_id", "left_anti")
+        oldest = open_jobs.groupBy("job_id").agg(F.min("created_at").alias("created_at"))
+        due = oldest.withColumn("expired_at", F.col("created_at") + ttl).where(F.col("expired_at") <= F.lit(now - delay))
+        expired.write(due, batch_id)
+
+    return take

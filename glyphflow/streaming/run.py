@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from glyphflow.session import work_folder
@@ -41,6 +43,35 @@ def upsert_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
     )
 
 
+class BatchTable:
+    """An append-only table of micro-batches: batch n replaces what an earlier try of batch n has written."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+        # So that the folder can be read before the first batch.
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def before(self, batch_id: int) -> DataFrame:
+        """Rows of the batches before this one."""
+        return read_batches(self.spark, self.path, self.schema, F.col("batch") < batch_id)
+
+
+def read_batches(spark: SparkSession, path: str, schema: str, only: Column | None = None) -> DataFrame:
+    """Rows of a `BatchTable`."""
+    rows = spark.read.schema(f"{schema}, batch int").parquet(path)
+    return (rows if only is None else rows.where(only)).drop("batch")
+
+
+def run_batches(stream: DataFrame, take: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Hand all available input to `take`, one micro-batch at a time."""
+    return (
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
+    )
+
+
 def run_to_files(stream: DataFrame, label: str) -> DataFrame:
     """Run a stream over all available input and read its output back."""
     spark = stream.sparkSession

@@ -1,5 +1,8 @@
 import datetime as dt
 import random
+import time
+
+import pytest
 
 from glyphflow.operators.jobs import fold_job_events
 from glyphflow.operators.normalise import normalise_images
@@ -9,7 +12,10 @@ from glyphflow.sources.jobs import read_store
 from glyphflow.streaming import jobs as sj
 from glyphflow.streaming.metrics import stream_request_metrics
 from glyphflow.streaming.normalise import stream_normalise
-from glyphflow.streaming.run import run_to_files, start_files, upsert_batches, use_rocksdb
+from glyphflow.plans import queries as queries_module
+from glyphflow.plans.queries import QUERIES
+from glyphflow.session import tune
+from glyphflow.streaming.run import read_batches, run_batches, run_to_files, upsert_batches, use_rocksdb
 
 S = Settings()
 T0 = dt.datetime(2024, 1, 1)
@@ -69,12 +75,19 @@ def test_fixed_expiry_counts_from_the_first_creation(spark, tmp_path):
     ]
     stream = arriving(spark, str(tmp_path / "in"), JOB_EVENT, batches)
     out = str(tmp_path / "out")
-    start_files(sj.stream_fixed_expiry(stream, S, "24 hours"), out, str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(out).count() == 0  # the watermark stands at 2.5 h
-    spark.createDataFrame([event("z", 51.5)], JOB_EVENT).write.parquet(str(tmp_path / "in" / "zzz"))
-    start_files(sj.stream_fixed_expiry(stream, S, "24 hours"), out, str(tmp_path / "cp")).awaitTermination()
-    rows = {r["job_id"]: (r["created_at"], r["expired_at"]) for r in spark.read.parquet(out).collect()}
-    assert rows == {"a": (hours(1), hours(25)), "b": (hours(3), hours(27))}
+
+    def reported():
+        take = sj.fixed_expiry(spark, out, S, dt.timedelta(hours=24))
+        run_batches(stream, take, str(tmp_path / "cp")).awaitTermination()
+        found = read_batches(spark, f"{out}/expired", "job_id string, created_at timestamp, expired_at timestamp")
+        return sorted((r["job_id"], r["created_at"], r["expired_at"]) for r in found.collect())
+
+    assert reported() == []  # the clock stands at 2.5 h
+    late = [event("z", 51.5), event("b", 51)]  # b is created again long after
+    spark.createDataFrame(late, JOB_EVENT).write.parquet(str(tmp_path / "in" / "zzz"))
+    want = [("a", hours(1), hours(25)), ("b", hours(3), hours(27))]
+    assert reported() == want
+    assert reported() == want  # the same checkpoint again adds nothing
 
 
 def test_sliding_expiry_restarts_at_each_event(spark, tmp_path):
@@ -105,8 +118,30 @@ def test_submitted_once(spark, tmp_path):
     use_rocksdb(spark)
     batches = [[("a", T0), ("a", T0), ("b", T0)], [("a", hours(1)), ("c", hours(1))]]
     stream = arriving(spark, str(tmp_path / "in"), "job_id string, ts timestamp", batches)
-    out = run_to_files(sj.stream_submitted_once(stream), "test-once")
-    assert sorted(r["job_id"] for r in out.collect()) == ["a", "b", "c"]
+    out = str(tmp_path / "out")
+    for _ in range(2):  # the second run finds nothing new
+        run_batches(stream, sj.submitted_once(spark, out), str(tmp_path / "cp")).awaitTermination()
+        rows = read_batches(spark, f"{out}/submitted", "job_id string, ts timestamp").collect()
+        assert sorted(map(tuple, rows)) == [("a", T0), ("b", T0), ("c", hours(1))]
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith("x_")])
+def test_answers_do_not_depend_on_micro_batches(spark, tmp_path, name):
+    """The tables cut by time into a dozen files, one for each trigger, give the answers of one batch."""
+    source = "/root/testdata/sf0.001"
+    cut = {"events": "ts", "documents": "doc_id"}
+    for table, order in cut.items():
+        rows = spark.read.parquet(f"{source}/{table}.parquet").orderBy(order).collect()
+        schema = spark.read.parquet(f"{source}/{table}.parquet").schema
+        for i in range(12):
+            part = rows[i * len(rows) // 12:(i + 1) * len(rows) // 12]
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{table}.parquet")
+            time.sleep(0.01)
+    build = queries_module.__dict__[name]
+    tune(spark)
+    many = build(queries_module.Tables(spark, str(tmp_path), files_per_trigger=1))
+    one = QUERIES[name](spark, source)
+    assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
 
 
 def test_normalise_on_a_stream_equals_batch(spark, tmp_path):
