@@ -31,10 +31,6 @@ def strip_text(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def hex_literal(digits: str) -> Column:
-    return F.lit(bytes.fromhex(digits))
-
-
 def base64_body(payload: Column) -> Column:
     """The text to decode: what stands between the first and the second data-URI mark, stripped."""
     return strip_text(
@@ -72,8 +68,7 @@ def decode_base64(df: DataFrame, payload: str, *, content: str = "content", erro
     walked = _read_to_padding(kept)
     out = out.withColumn(
         "_state",
-        F.when(F.contains(plain, F.lit("=")), F.struct(walked["data"].alias("data"), walked["done"].alias("done")))
-        .otherwise(simple),
+        F.when(F.contains(plain, F.lit("=")), walked).otherwise(simple),
     )
     size = F.length(state["data"])
     problem = (
@@ -98,26 +93,30 @@ def decode_base64(df: DataFrame, payload: str, *, content: str = "content", erro
 
 
 def _read_to_padding(kept: Column) -> Column:
-    """struct<data, pads, done> of a text with '=' inside: walk the pieces between the '=' signs.
+    """struct<data, done> of a text with '=' inside: walk the pieces between the '=' signs.
 
-    A sign counts only after two or three characters of a group; text after it resets the count.
+    A sign counts only after two or three characters of a group; text after it
+    resets the count. The walk sees lengths only, and the text is cut once.
     """
     pieces = F.split(kept, "=")
+    sizes = F.transform(pieces, lambda piece: F.length(piece))
     start = F.struct(
-        F.element_at(pieces, 1).alias("data"), F.lit(0).alias("pads"), F.lit(False).alias("done")
+        F.element_at(sizes, 1).alias("size"), F.lit(1).alias("used"), F.lit(0).alias("pads"), F.lit(False).alias("done")
     )
 
-    def step(state: Column, piece: Column) -> Column:
-        filled = F.length(state["data"]) % 4
+    def step(state: Column, size: Column) -> Column:
+        filled = state["size"] % 4
         seen = F.when(filled >= 2, state["pads"] + 1).otherwise(state["pads"])
         done = state["done"] | ((filled >= 2) & (filled + seen >= 4))
         return F.struct(
-            F.when(done, state["data"]).otherwise(F.concat(state["data"], piece)).alias("data"),
-            F.when(F.length(piece) > 0, F.lit(0)).otherwise(seen).alias("pads"),
+            F.when(done, state["size"]).otherwise(state["size"] + size).alias("size"),
+            F.when(done, state["used"]).otherwise(state["used"] + 1).alias("used"),
+            F.when(size > 0, F.lit(0)).otherwise(seen).alias("pads"),
             done.alias("done"),
         )
 
-    return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start, step)
+    walked = F.aggregate(F.slice(sizes, 2, F.greatest(F.size(sizes) - 1, F.lit(0))), start, step)
+    return F.struct(F.array_join(F.slice(pieces, F.lit(1), walked["used"]), "").alias("data"), walked["done"].alias("done"))
 
 
 def encode_base64(content: Column, mime: Column | str = "image/jpeg") -> Column:
@@ -130,11 +129,11 @@ def encode_base64(content: Column, mime: Column | str = "image/jpeg") -> Column:
 def detect_format(content: Column) -> Column:
     """Image format by magic bytes; null when unknown."""
     chain = None
-    for digits, name in SIGNATURES:
-        test = F.startswith(content, hex_literal(digits))
+    for mark, name in SIGNATURES:
+        test = F.startswith(content, F.lit(mark))
         chain = F.when(test, F.lit(name)) if chain is None else chain.when(test, F.lit(name))
-    webp = F.startswith(content, hex_literal(RIFF_SIGNATURE)) & (
-        F.substring(content, 9, 4) == hex_literal(WEBP_TAG)
+    webp = F.startswith(content, F.lit(RIFF_SIGNATURE)) & (
+        F.substring(content, 9, 4) == F.lit(WEBP_TAG)
     )
     return chain.when(webp, F.lit("webp"))
 

@@ -10,7 +10,7 @@ class Settings:
     """Frozen so that every value can be folded into a plan as a literal."""
 
     engine: str = "ocr"
-    # What response documents name as version and model.
+    # The defaults below, and what response documents name as version and model.
     engine_version: str = "3.5.0"
     model_prefix: str = "ch_PP-OCRv4_"
     model_lang: str = "en"
@@ -32,16 +32,16 @@ class Settings:
         return self.max_image_size_mb * 1024 * 1024
 
 
-# Magic bytes (hex) and the format they announce. "RIFF" needs a second test.
+# First bytes and the format they announce. "RIFF" needs a second test.
 SIGNATURES = [
-    ("FFD8FF", "jpeg"),
-    ("89504E47", "png"),
-    ("424D", "bmp"),
-    ("49492A00", "tiff"),
-    ("4D4D002A", "tiff"),
+    (b"\xff\xd8\xff", "jpeg"),
+    (b"\x89PNG", "png"),
+    (b"BM", "bmp"),
+    (b"II*\x00", "tiff"),
+    (b"MM\x00*", "tiff"),
 ]
-RIFF_SIGNATURE = "52494646"
-WEBP_TAG = "57454250"
+RIFF_SIGNATURE = b"RIFF"
+WEBP_TAG = b"WEBP"
 
 # MIME types, their extensions, and the accepted file extensions.
 MIME_TO_EXTENSION = {
@@ -87,9 +87,6 @@ LEGAL_TRANSITIONS = [
     (RUNNING, CANCELLED),
 ]
 
-# Image error codes.
-IMAGE_ERRORS = ["image_empty", "file_too_large", "unsupported_format", "unreadable_image"]
-
 # Fixed values: (endpoint, error code, HTTP status, detail). {mb}, {size} and {message} are filled per row.
 ERROR_RULES = [
     ("/ocr", "image_empty", 400, "Image file is empty"),

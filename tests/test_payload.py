@@ -1,6 +1,7 @@
 import base64
 import random
 import struct
+import time
 
 from pyspark.sql import functions as F
 
@@ -123,3 +124,14 @@ def test_colour_mode_and_action(spark):
     mode = p.png_colour_mode(F.col("content"))
     rows = df.select("k", mode.alias("m"), p.colour_action(mode).alias("a")).collect()
     assert {r["k"]: (r["m"], r["a"]) for r in rows} == kinds
+
+
+def test_padding_inside_a_long_text_is_read_in_linear_time(spark):
+    """Signs inside the text end the data at the first complete group; a million of them take seconds."""
+    early = "AAA" + "=" + "AAAA" * 3  # complete after four characters
+    long = "AAAA=" * 1_000_000  # a sign after a full group never counts
+    df = spark.createDataFrame([(0, early), (1, long)], "id int, payload string")
+    started = time.perf_counter()
+    got = {r["id"]: (r["n"], r["decode_error"]) for r in p.decode_base64(df, "payload").select("id", F.length("content").alias("n"), "decode_error").collect()}
+    assert got == {0: (2, None), 1: (3_000_000, None)}
+    assert time.perf_counter() - started < 60
