@@ -24,10 +24,11 @@ def run_images(
     *,
     dimensions: Dimensions | None = None,
     planned_size: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Run rows with content, decode_error, lang, min_confidence and include_polygon up to their normalised results.
 
-    Adds n_bytes, problem (the text of the first failed step before the
+    `tasks` deals the rows to so many tasks before the recogniser. Adds n_bytes, problem (the text of the first failed step before the
     recogniser), error_code and error_message of the recogniser, seconds,
     results, summary and meta. Sizes come from the image header, and an image
     whose header cannot be read is unreadable; or from `dimensions`, which
@@ -37,8 +38,10 @@ def run_images(
     """
     content = F.col("content")
     if dimensions is None:
-        sized = df.withColumn("_format", detect_format(content))
-        sized = sized.withColumn("_size", probe_dimensions(content, F.col("_format")))
+        # Only what passes the size rule is looked into, some of it outside the JVM.
+        looked_at = F.when(F.length(content) <= settings.size_limit, content)
+        sized = df.withColumn("_format", detect_format(looked_at))
+        sized = sized.withColumn("_size", probe_dimensions(looked_at, F.col("_format")))
         readable = ~F.col("_format").isin("png", "bmp", "jpeg") | F.col("_size.width").isNotNull()
     else:
         sized = df.withColumn("_format", F.lit(None).cast("string")).withColumn("_size", dimensions(content))
@@ -58,7 +61,7 @@ def run_images(
             .withColumn("height", F.col("_plan.height").cast("int"))
             .drop("_plan")
         )
-    return normalise_images(recognise(checked.drop("_format", "_size"), factory), settings)
+    return normalise_images(recognise(checked.drop("_format", "_size"), factory, tasks=tasks), settings)
 
 
 def with_content(df: DataFrame, is_json: Column, *, payload: str = "payload", content: str = "content") -> DataFrame:
@@ -130,6 +133,7 @@ def process_job_images(
         "summary",
         "meta",
         "seconds",
+        "called",
         "lang",
         "error_code",
     )

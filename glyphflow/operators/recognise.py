@@ -25,6 +25,7 @@ Recogniser = Callable[[bytes], Any]
 OUTCOME = T.StructType([
     T.StructField("raw", RAW_PAGES),
     T.StructField("seconds", T.DoubleType()),
+    T.StructField("called", T.BooleanType()),
     T.StructField("error_code", T.StringType()),
     T.StructField("error_message", T.StringType()),
 ])
@@ -38,6 +39,9 @@ def _item(item: Any) -> dict | None:
         text, confidence = info[0], float(info[1])
     else:
         text, confidence = str(info), 1.0
+    if text is None:
+        raise TypeError("a text is None")
+    text = str(text).encode("utf-8", "replace").decode()  # lone surrogates have no UTF-8 form
     points = None if polygon is None else [[float(v) for v in point] for point in polygon]
     return {"polygon": points, "text": text, "confidence": confidence}
 
@@ -52,19 +56,27 @@ def recognise(
     *,
     content: str = "content",
     keep: list[str] | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Add raw, seconds, error_code and error_message; `content` itself is dropped.
+    """Add raw, seconds, called, error_code and error_message; `content` itself is dropped.
 
     A row without content is passed through with nulls. A recogniser that
-    raises gives an `ocr_failed` row and does not touch its neighbours. Only
-    `keep` and the content cross to Python, in small Arrow batches whose kept
-    columns are handed back as they are; nothing is shuffled.
+    raises, or whose output is not of the expected form, gives an `ocr_failed`
+    row and does not touch its neighbours. `called` tells whether the model
+    answered, whatever its answer was like, and `seconds` is the time of the
+    call alone. Only `keep` and the content cross to Python, in small Arrow
+    batches whose kept columns are handed back as they are. Nothing is shuffled
+    unless `tasks` is given: then rows are dealt evenly to so many tasks first,
+    for tables in few files before an expensive model.
     """
     use_small_batches(df.sparkSession)
     names = keep if keep is not None else [c for c in df.columns if c != content]
     source = df.select(*names, content)
+    if tasks is not None:
+        source = source.repartition(tasks)
     schema = T.StructType([source.schema[n] for n in names] + OUTCOME.fields)
     fields = [(f.name, to_arrow_type(f.dataType)) for f in OUTCOME.fields]
+    raw_type = fields[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = None
@@ -72,15 +84,24 @@ def recognise(
             rows = []
             for value in batch.column(content):
                 if not value.is_valid:
-                    rows.append((None, None, None, None))
+                    rows.append((None, None, None, None, None))
                     continue
+                called = False
                 started = time.perf_counter()
+                seconds = None
                 try:
                     if engine is None:
                         engine = factory()
-                    rows.append((_pages(engine(value.as_py())), time.perf_counter() - started, None, None))
+                        started = time.perf_counter()
+                    answer = engine(value.as_py())
+                    seconds, called = time.perf_counter() - started, True
+                    pages = _pages(answer)
+                    pa.array([pages], type=raw_type)  # what Arrow cannot hold fails here, for this row alone
+                    rows.append((pages, seconds, True, None, None))
                 except Exception as problem:  # one bad image must not fail the others
-                    rows.append((None, time.perf_counter() - started, "ocr_failed", str(problem)))
+                    seconds = time.perf_counter() - started if seconds is None else seconds
+                    text = str(problem).encode("utf-8", "replace").decode()
+                    rows.append((None, seconds, called, "ocr_failed", text))
             made = [pa.array([row[i] for row in rows], type=kind) for i, (_, kind) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(n) for n in names] + made, names=names + [name for name, _ in fields]
@@ -90,8 +111,8 @@ def recognise(
 
 
 def inference_calls(df: DataFrame, settings: Settings) -> DataFrame:
-    """Metric rows (model, device, duration) of the successful model calls."""
-    return df.where(F.col("seconds").isNotNull() & F.col("error_code").isNull()).select(
+    """Metric rows (model, device, duration) of the calls the model answered, also those whose answer was unusable."""
+    return df.where("called").select(
         model_name(F.col("lang"), settings.model_prefix).alias("model"),
         F.lit(settings.device).alias("device"),
         F.col("seconds").alias("duration"),

@@ -36,6 +36,7 @@ def test_rows_are_isolated_and_shapes_are_normalised(spark):
     assert items[0]["polygon"] == [[0.0, 0.0], [8.0, 0.0], [8.0, 4.0], [0.0, 4.0]] and items[5]["polygon"] is None
     assert (got[2]["error_code"], got[2]["error_message"], got[2]["raw"]) == ("ocr_failed", "no text", None)
     assert got[3]["raw"] is None and got[3]["error_code"] is None and got[3]["seconds"] is None
+    assert [got[i]["called"] for i in (1, 2, 3, 4)] == [True, False, None, True]
     assert got[4]["raw"] == [] and got[4]["seconds"] >= 0
 
 
@@ -136,3 +137,32 @@ def test_planned_size_replaces_the_size_of_large_images(spark):
     assert (meta["image_width"], meta["image_height"], meta["was_resized"]) == (5792, 2896, True)
     meta = run_images(df, factory, Settings()).first()["meta"]
     assert (meta["image_width"], meta["image_height"], meta["was_resized"]) == (8192, 4096, False)
+
+
+def odd_factory():
+    def engine(data):
+        answers = {
+            b"int": [[[BOX, (7, 0.5)]]], b"none": [[[BOX, (None, 0.5)]]], b"surrogate": [[[BOX, ("a\ud800b", 0.5)]]],
+            b"ragged": [[[[[0, 0], [1]], ("r", 0.5)]]], b"number": 5, b"words": [[[BOX, ("w", "high")]]], b"good": [[[BOX, ("fine", 1.0)]]],
+        }
+        return answers[data]
+
+    return engine
+
+
+def test_odd_outputs_fail_alone_and_count_as_calls(spark):
+    kinds = ["good", "int", "none", "surrogate", "ragged", "number", "words", "good"]
+    df = spark.createDataFrame([(i, bytearray(k.encode())) for i, k in enumerate(kinds)], "id int, content binary").coalesce(1)
+    got = {r["id"]: r for r in recognise(df, odd_factory).collect()}
+    texts = {i: r["raw"][0][0]["text"] for i, r in got.items() if r["error_code"] is None}
+    assert texts == {0: "fine", 1: "7", 3: "a?b", 4: "r", 7: "fine"}
+    assert {i for i, r in got.items() if r["error_code"] == "ocr_failed"} == {2, 5, 6}
+    assert all(r["called"] for r in got.values())
+    calls = recognise(df.withColumn("lang", F.lit("en")), odd_factory)
+    assert inference_calls(calls, Settings()).count() == len(kinds)
+
+
+def test_rows_are_dealt_to_the_tasks_asked_for(spark):
+    df = spark.range(40).coalesce(1).select("id", F.lit(b"good").alias("content"))
+    out = recognise(df, odd_factory, tasks=5)
+    assert out.rdd.getNumPartitions() == 5 and out.count() == 40
