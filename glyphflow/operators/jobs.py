@@ -122,10 +122,14 @@ def fold_job_events(events: DataFrame, *, terminal_wins: bool = False, with_erro
 
 
 def latest_version(versions: DataFrame, key: str = "job_id", seq: str = "version") -> DataFrame:
-    """The newest document per key from an append-only table of versions."""
+    """The newest document per key from an append-only table with one row per key and version.
+
+    The newest versions are found on two narrow columns; documents are only
+    filtered by them and never aggregated.
+    """
     fields = [c for c in versions.columns if c not in (key, seq)]
-    newest = F.max_by(F.struct(*fields), F.col(seq)).alias("_newest")
-    return versions.groupBy(key).agg(newest, F.max(seq).alias(seq)).select(key, seq, "_newest.*")
+    newest = versions.groupBy(key).agg(F.max(seq).alias(seq))
+    return versions.join(newest, [key, seq], "left_semi").select(key, seq, *fields)
 
 
 def status_transitions(events: DataFrame, *, min_rows: int = HOT_ROWS) -> DataFrame:
@@ -252,12 +256,13 @@ def pending_images(job_images: DataFrame, results: DataFrame, state: DataFrame)
     )
 
 
-def job_status_view(ids: DataFrame, state: DataFrame, results: DataFrame) -> DataFrame:
+def job_status_view(ids: DataFrame, state: DataFrame, results: DataFrame, totals: DataFrame) -> DataFrame:
     """What a status request returns, one row per id.
 
     `results` has one row per job with an array; an empty one is shown as null.
+    `totals` has the number of images of each job, as `total`.
     """
-    found = lookup_jobs(ids, state).join(results, "job_id", "left")
+    found = lookup_jobs(ids, state).join(results, "job_id", "left").join(totals.select("job_id", "total"), "job_id", "left")
     status = F.col("status")
     shown = F.when(F.size("results") > 0, F.col("results"))
     return found.select(
@@ -265,6 +270,7 @@ def job_status_view(ids: DataFrame, state: DataFrame, results: DataFrame) -> Dat
         status,
         *[iso_z_format(F.col(c)).alias(c) for c in ("created_at", "started_at", "completed_at")],
         "processed",
+        "total",
         shown.alias("results"),
         "error",
         F.when(status.isNull(), F.lit("job_not_found")).alias("error_code"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from glyphflow.operators.jobs import status_transitions
-from glyphflow.plans.skew import HOT_ROWS, join_by_key, running_total
+from glyphflow.plans.skew import HOT_ROWS, running_total
 from glyphflow.settings import (
     BATCH_SIZE_BOUNDS,
     CANCELLED,
@@ -155,7 +155,7 @@ def queue_deltas(events: DataFrame, *, literal: bool = False, min_rows: int = HO
     )
     ends = events.where(F.col("kind").isin(TERMINAL_STATES)).select("job_id", "seq", "ts")
     closed = (
-        join_by_key(ends, opened.select("job_id", "open_seq"), "job_id", min_rows=min_rows)
+        ends.join(opened.select("job_id", "open_seq"), "job_id")
         .where(F.col("seq") > F.col("open_seq"))
         .groupBy("job_id")
         .agg(F.min("seq").alias("seq"), F.min_by("ts", "seq").alias("ts"))
@@ -174,7 +174,8 @@ def queue_depth(events: DataFrame, *, literal: bool = False, min_rows: int = HOT
 
 
 def number_text(value: Column) -> Column:
-    """Number as exposition text: at least one decimal, exponent form from seven digits before the point on."""
+    """Number as exposition text: at least one decimal, exponent form from seven digits before the point on
+    and below 0.0001; NaN, +Inf and -Inf by name."""
     plain = F.regexp_replace(F.round(value, 6).cast("decimal(32,6)").cast("string"), "0+$", "")
     plain = F.when(F.endswith(plain, F.lit(".")), F.concat(plain, F.lit("0"))).otherwise(plain)
     dot = F.instr(plain, ".") - 1
@@ -183,7 +184,17 @@ def number_text(value: Column) -> Column:
         F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), F.length(digits))), F.lit("0.")
     )
     exponent = F.concat(mantissa, F.lit("e+0"), (dot - 1).cast("string"))
-    return F.when((value > 0) & (dot > 6), exponent).otherwise(plain)
+    # Six decimals do not show a small number: its shortest form, with an exponent.
+    small = F.replace(F.replace(F.lower(value.cast("string")), F.lit(".0e"), F.lit("e")), F.lit("e-"), F.lit("e-0"))
+    small = F.regexp_replace(small, "e-0([0-9]{2})", "e-$1")
+    return (
+        F.when(F.isnan(value), "NaN")
+        .when(value == float("inf"), "+Inf")
+        .when(value == float("-inf"), "-Inf")
+        .when((F.abs(value) < 1e-4) & (value != 0), small)
+        .when((value > 0) & (dot > 6), exponent)
+        .otherwise(plain)
+    )
 
 
 def escape_label(value: Column) -> Column:

@@ -20,8 +20,7 @@ from glyphflow.functions.geometry import (
 )
 from glyphflow.functions.text import char_count, model_name, ms_from_seconds
 from glyphflow.operators.validate import output_violations
-from glyphflow.plans.skew import HOT_ROWS, join_by_key
-from glyphflow.schemas import BBOX, DETECTION, META, OCR_RESPONSE, POLYGON, RAW_ITEM, SUMMARY
+from glyphflow.schemas import BBOX, DETECTION, ERROR_RESPONSE, META, OCR_RESPONSE, POLYGON, RAW_ITEM, SUMMARY
 from glyphflow.settings import Settings
 
 RESULT_TYPE = "text"
@@ -183,6 +182,12 @@ def error_results(df: DataFrame, code: Column, message: Column, settings: Settin
     )
 
 
+def build_error(request_id: Column, code: Column, detail: Column) -> Column:
+    """Error document of a failed request; null where there is no code."""
+    document = F.struct(code.alias("error"), F.coalesce(detail, code).alias("detail"), request_id.cast("string").alias("request_id"))
+    return F.when(code.isNotNull(), document.cast(ERROR_RESPONSE))
+
+
 def build_response(request_id: Column, *, status: str = "success", settings: Settings = Settings()) -> Column:
     """Response struct from results, meta and summary, with a default for every missing part."""
     text = lambda r: F.coalesce(r["text"], F.lit(""))
@@ -232,14 +237,14 @@ def build_response(request_id: Column, *, status: str = "success", settings: Set
 
 
 def kept_detections(
-    detections: DataFrame, images: DataFrame, image_columns: list[str], *, min_rows: int = HOT_ROWS, **join_options
+    detections: DataFrame, images: DataFrame, image_columns: list[str]
 ) -> DataFrame:
     """Detections at or above the threshold of their image, with the named image columns.
 
-    An image with very many detections is split over tasks by `join_by_key`.
+    Detections of an image that has very many are split over tasks by the adaptive planner.
     """
     wanted = list(dict.fromkeys(["image_id", "min_confidence", *image_columns]))
-    joined = join_by_key(detections, images.select(*wanted), "image_id", min_rows=min_rows, **join_options)
+    joined = detections.join(images.select(*wanted), "image_id")
     confidence = F.coalesce(F.col("confidence"), F.lit(1.0))
     return joined.withColumn("confidence", confidence).where(confidence >= F.col("min_confidence"))
 

@@ -317,15 +317,16 @@ FROM kept""",
                       THEN [[x0::DOUBLE, y0], [x1, y0], [x1, y1], [x0::DOUBLE, y1]] ELSE [] END) ORDER BY det_idx) AS results,
     count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, round(avg(confidence) + 1e-9, 6) AS mean
   FROM kept_items GROUP BY image_id)
-SELECT image_id, CAST(to_json(struct_pack(
+SELECT image_id, CASE WHEN image_id IN (SELECT image_id FROM zero_sized) THEN CAST(to_json(struct_pack(
+  error := 'ocr_failed', detail := 'float division by zero', request_id := 'req_' || image_id)) AS VARCHAR)
+ELSE CAST(to_json(struct_pack(
   request_id := 'req_' || image_id, status := 'success',
   meta := struct_pack(engine := 'ocr', engine_version := '3.5.0', model := 'ch_PP-OCRv4_' || lang, lang := lang,
     inference_time_ms := 0, image_width := width, image_height := height, was_resized := false),
   results := coalesce(results, []),
   summary := struct_pack(total_lines := coalesce(n, 0), total_characters := coalesce(chars, 0),
-    avg_confidence := coalesce(mean, 0.0::DOUBLE)))) AS VARCHAR) AS response
-FROM raw_images LEFT JOIN results USING (image_id)
-WHERE image_id NOT IN (SELECT image_id FROM zero_sized)""",
+    avg_confidence := coalesce(mean, 0.0::DOUBLE)))) AS VARCHAR) END AS response
+FROM raw_images LEFT JOIN results USING (image_id)""",
     "r_response_parts": _with(_IMAGES, _DETECTIONS, _KEPT, _SUMMARY)
     + """, parts AS (
   SELECT image_id, CAST(det_idx // 4 AS INTEGER) AS part, CAST(count(*) AS INTEGER) AS n_results,
@@ -540,14 +541,15 @@ SELECT job_id, idx, image_id, {_iso("cancel_ts")} AS cancel_at FROM accepted LEF
 WHERE cancel_ts IS NULL OR start_ts < cancel_ts""",
     "j_status_view": _with(_EVENTS, _STATE, _ITEMS)
     + f""", asked AS (SELECT 'job_' || c_custkey AS job_id FROM customer),
+totals AS (SELECT job_id, count(*) AS total FROM accepted GROUP BY job_id),
 shown AS (SELECT job_id, string_agg('image_' || idx || '=' || status, ',' ORDER BY idx) AS results
   FROM accepted WHERE image_id % 3 != 0 GROUP BY job_id)
 SELECT job_id, status, {_iso("created_at")} AS created_at, {_iso("started_at")} AS started_at,
-  {_iso("completed_at")} AS completed_at, processed, results, error,
+  {_iso("completed_at")} AS completed_at, processed, total, results, error,
   CASE WHEN status IS NULL THEN 'job_not_found' END AS error_code,
   CASE WHEN status IS NULL THEN 'Job ' || job_id || ' not found' END AS error_detail,
   CASE WHEN status IS NULL THEN 404 WHEN status = 'failed' THEN 500 ELSE 200 END AS http_status
-FROM asked LEFT JOIN state USING (job_id) LEFT JOIN shown USING (job_id)""",
+FROM asked LEFT JOIN state USING (job_id) LEFT JOIN shown USING (job_id) LEFT JOIN totals USING (job_id)""",
     "j_ttl_fixed": _with(_EVENTS, _STATE)
     + f""", aged AS (SELECT job_id, created_at AS since,
     coalesce(TIMESTAMP '2024-01-30 12:00:00' - created_at > INTERVAL 24 HOUR, false) AS is_expired FROM state)
@@ -664,5 +666,12 @@ HAVING date_trunc('milliseconds', min(ts)) + INTERVAL 24 HOUR <= (SELECT w FROM
 SELECT job_id, {_iso("ts")} AS last_event_at FROM gaps
 WHERE (next_ts IS NULL OR next_ts - ts > INTERVAL 24 HOUR)
   AND ts + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+    "s_scan_files": """WITH files AS (
+  SELECT doc_id % 300 AS n, string_agg(doc_id || ' ' || md5(text), ',' ORDER BY doc_id) AS body FROM documents GROUP BY 1),
+ranked AS (
+  SELECT n, body, row_number() OVER (PARTITION BY n % 14 ORDER BY n) - 1 AS idx, count(*) OVER (PARTITION BY n % 14) AS n_images FROM files)
+SELECT 'b' || (n % 14) AS batch_id, idx, CASE WHEN n % 2 = 0 THEN printf('f%03d', n) ELSE 'image_' || idx END AS filename,
+  octet_length(encode(body)) + 1 AS length, n_images, md5(body || chr(10)) AS content_md5
+FROM ranked WHERE n_images <= 20""",
     "x_submit": _with(_EVENTS) + "SELECT DISTINCT job_id FROM job_events WHERE kind = 'queued'",
 }

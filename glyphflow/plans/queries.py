@@ -29,11 +29,11 @@ from glyphflow.session import materialise, tune, work_folder
 from glyphflow.settings import Settings
 from glyphflow.sources import files, requests as request_source
 from glyphflow.sources import jobs as job_source
-from glyphflow.sources.sinks import response_json
+from glyphflow.sources.sinks import answer_json, response_json
 from glyphflow.streaming import jobs as stream_jobs
 from glyphflow.streaming.metrics import stream_request_metrics
 from glyphflow.streaming.normalise import stream_normalise
-from glyphflow.streaming.run import run_to_files, upsert_batches, use_rocksdb
+from glyphflow.streaming.run import read_batches, run_batches, run_to_files, upsert_batches, use_rocksdb
 
 SETTINGS = Settings()
 # Derived payloads are short; this limit lets some of them be too large.
@@ -66,7 +66,7 @@ def r_image_summary(t: Tables) -> DataFrame:
     """One row per image with its line count, character count and mean confidence."""
     images = t.images().select("image_id", "min_confidence")
     found = t.detections().select("image_id", "text", "confidence", "line_no", "part_key")
-    kept = normalise.kept_detections(found, images, [], count_on=t.detection_keys())
+    kept = normalise.kept_detections(found, images, [])
     out = normalise.with_summary(images, kept)
     return out.select("image_id", "total_lines", "total_characters", rounded("avg_confidence"))
 
@@ -74,7 +74,7 @@ def r_image_summary(t: Tables) -> DataFrame:
 @query
 def r_bbox(t: Tables) -> DataFrame:
     """Kept detections with their box, the box in shares of the image, and the polygon size."""
-    df = normalise.normalise_detections(t.detections(), t.images(), count_on=t.detection_keys())
+    df = normalise.normalise_detections(t.detections(), t.images())
 
     def axis(box: str, corner: str, i: int, name: str) -> Column:
         return F.col(box)[corner][i].alias(name)
@@ -118,18 +118,19 @@ def r_normalise(t: Tables) -> DataFrame:
 
 @query
 def r_response_json(t: Tables) -> DataFrame:
-    """The response document of every image that did not fail, as JSON text."""
-    df = normalise.normalise_images(t.raw_images(), SETTINGS).where(F.col("error_code").isNull())
+    """The response document of every image, or its error document, as JSON text."""
+    df = normalise.normalise_images(t.raw_images(), SETTINGS)
     summary = F.col("summary").withField("avg_confidence", rounded("summary.avg_confidence"))
     request_id = F.concat(F.lit("req_"), F.col("image_id").cast("string"))
     response = normalise.build_response(request_id, settings=SETTINGS)
-    return df.withColumn("summary", summary).select("image_id", response_json(response).alias("response"))
+    error = normalise.build_error(request_id, F.col("error_code"), F.col("error_message"))
+    return df.withColumn("summary", summary).select("image_id", answer_json(response, error).alias("response"))
 
 
 @query
 def r_response_parts(t: Tables) -> DataFrame:
     """Responses put together from a detection table, at most four results per part."""
-    parts = normalise.response_parts(t.images(), t.detections(with_index=True), SETTINGS, part_rows=4, count_on=t.detection_keys())
+    parts = normalise.response_parts(t.images(), t.detections(with_index=True), SETTINGS, part_rows=4)
     texts = F.transform("results", lambda r: r["text"])
     return parts.select(
         "image_id", "part", F.size("results").alias("n_results"),
@@ -144,7 +145,7 @@ def r_error_rows(t: Tables) -> DataFrame:
     images = t.images()
     fine = images.where(F.col("status") == "success")
     found = t.detections().select("image_id", "text", "confidence", "line_no", "part_key")
-    kept = normalise.kept_detections(found, fine, [], count_on=t.detection_keys())
+    kept = normalise.kept_detections(found, fine, [])
     plan = plan_resize(F.col("width"), F.col("height"), SETTINGS.max_image_pixels)
     good = (
         normalise.with_summary(fine, kept)
@@ -553,7 +554,8 @@ def j_status_view(t: Tables) -> DataFrame:
     items = _accepted_job_items(t).where(F.col("image_id") % 3 != 0)
     items = items.withColumn("filename", F.concat(F.lit("image_"), F.col("idx").cast("string")))
     results = batch.ordered_results(items, ["filename", "status"], "job_id")
-    view = jobs.job_status_view(_cancel_ids(t), jobs.fold_job_events(t.job_events()), results)
+    totals = _accepted_job_items(t).groupBy("job_id").agg(F.count(F.lit(1)).alias("total"))
+    view = jobs.job_status_view(_cancel_ids(t), jobs.fold_job_events(t.job_events()), results, totals)
     names = F.transform("results", lambda r: F.concat(r["filename"], F.lit("="), r["status"]))
     return view.withColumn("results", F.array_join(names, ","))
 
@@ -661,11 +663,21 @@ def j_run_inferences(t: Tables) -> DataFrame:
 
 @query
 def s_scan_files(t: Tables) -> DataFrame:
-    """The table files themselves as binary rows, with the default name where a batch gives none."""
-    found = files.scan_image_files(t.spark, t.folder, "*.parquet", recursive=True).select("path", "length")
-    named = found.withColumn("batch_id", F.element_at(F.split("path", "/"), -2))
-    named = named.withColumn("filename", F.when(F.length("path") % 2 == 0, files.file_name()))
-    return files.scan_image_batch(named, SETTINGS).select("idx", "filename", "length", "n_images")
+    """Documents written as files in batch folders, numbered and named by folder, and read with their contents."""
+    number = F.col("doc_id") % 300
+    line = F.struct("doc_id", F.concat_ws(" ", "doc_id", F.md5("text")).alias("line"))
+    bodies = t.read("documents").groupBy(number.alias("n")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    body = F.array_join(F.transform("lines", lambda x: x["line"]), ",").alias("body")
+    name = F.concat(F.lit("f"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("name")
+    folder = work_folder(t.spark, "image-files")
+    written = bodies.select(F.concat(F.lit("b"), (F.col("n") % 14).cast("string")).alias("batch"), name, body)
+    written.write.partitionBy("batch", "name").text(folder)
+    step = lambda at: F.element_at(F.split(F.element_at(F.split("path", "/"), at), "="), -1)
+    found = files.scan_image_files(t.spark, folder, "*.txt", recursive=True).withColumn("batch_id", step(-3))
+    given = F.when(F.substring(step(-2), 2, 3).cast("int") % 2 == 0, step(-2))
+    items = files.scan_image_batch(found.select("path", "length", "batch_id", given.alias("filename")), SETTINGS)
+    contents = files.files_to_process(found, SETTINGS).select("path", F.md5("content").alias("content_md5"))
+    return items.join(contents, "path").select("batch_id", "idx", "filename", "length", "n_images", "content_md5")
 
 
 @query
@@ -756,8 +768,10 @@ def x_metrics(t: Tables) -> DataFrame:
 @query
 def x_ttl_fixed(t: Tables) -> DataFrame:
     """Jobs whose time to live, counted from creation, ended before the watermark."""
-    events = t.job_events(t.stream("events", EVENTS))
-    return run_to_files(stream_jobs.stream_fixed_expiry(events, SETTINGS), "fixed-expiry").select("job_id")
+    folder = work_folder(t.spark, "fixed-expiry")
+    events = t.job_events(t.stream("events", EVENTS)).select("job_id", "ts", "kind")
+    run_batches(events, stream_jobs.fixed_expiry(t.spark, folder, SETTINGS), f"{folder}/checkpoint").awaitTermination()
+    return read_batches(t.spark, f"{folder}/expired", "job_id string")
 
 
 @query
@@ -779,4 +793,6 @@ def x_normalise(t: Tables) -> DataFrame:
 def x_submit(t: Tables) -> DataFrame:
     """Each submitted job once."""
     events = t.job_events(t.stream("events", EVENTS)).where(F.col("kind") == "queued").select("job_id", "ts")
-    return run_to_files(stream_jobs.stream_submitted_once(events), "submitted").select("job_id")
+    folder = work_folder(t.spark, "submitted")
+    run_batches(events, stream_jobs.submitted_once(t.spark, folder), f"{folder}/checkpoint").awaitTermination()
+    return read_batches(t.spark, f"{folder}/submitted", "job_id string")

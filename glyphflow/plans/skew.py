@@ -1,10 +1,10 @@
-"""Joins and windows that survive one key holding a large share of the rows.
+"""Windows and running totals that survive one key holding a large share of the rows.
 
-Aggregations need no help here: Spark combines them before the shuffle. What
-does need help is a join or a window on a key, because every row of that key
-lands in one task. The functions below find such keys first (one combined
-count over the key column alone) and split only those, into as many pieces as
-their size asks for; when there are none the plain plan is used.
+Aggregations need no help: Spark combines them before the shuffle. Joins are
+split by the adaptive planner (see `session.tune`). What it cannot split is a
+window, because every row of a key is ordered in one task. The functions below
+find keys with very many rows (one combined count over the key column) and cut
+the order of those keys into pieces, as many as their rows ask for.
 """
 
 from __future__ import annotations
@@ -13,97 +13,22 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from glyphflow.session import materialise
 
 # A key with fewer rows than this fits one task; hot keys are cut into pieces of about this many.
 HOT_ROWS = 2_000_000
-# At most this many keys are split. The (n+1)-th largest key holds at most
-# 1/(n+1) of the rows, so what is left unsplit is bounded.
-HOT_KEYS = 1_000
-# Most pieces per key or order.
-MAX_PIECES = 10_000
-# A join side up to this many bytes (measured, see `measured_bytes`) is broadcast.
-BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS, max_keys: int = HOT_KEYS) -> dict:
-    """Row counts of the keys with at least `min_rows` rows, largest first; never more than `max_keys` keys.
-
-    A null key counts like any other.
-    """
-    rows = (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_rows)
-        .orderBy(F.desc("n"), key)
-        .limit(max_keys)
-        .collect()
-    )
-    return {row[key]: row["n"] for row in rows}
+def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows (key, n) of all keys with at least `min_rows` rows: at most one for every `min_rows` rows."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
 
 
 def pieces_of(rows: int, piece_rows: int) -> int:
-    return max(2, min(MAX_PIECES, math.ceil(rows / piece_rows)))
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes the rows of `df` take: text and binary by their length, nested values as JSON, others by width."""
-    widths = []
-    for field in df.schema.fields:
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            widths.append(F.coalesce(F.octet_length(field.name), F.lit(0)) + 16)
-        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            widths.append(F.coalesce(F.length(F.to_json(F.struct(field.name))), F.lit(0)) + 16)
-        else:
-            widths.append(F.lit(16))
-    total = widths[0]
-    for width in widths[1:]:
-        total = total + width
-    return df.agg(F.sum(total.cast("bigint")).alias("n")).first()["n"] or 0
-
-
-def join_by_key(
-    fact: DataFrame,
-    dim: DataFrame,
-    key: str,
-    how: str = "inner",
-    *,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    min_rows: int = HOT_ROWS,
-    count_on: DataFrame | None = None,
-    spread_by: Sequence[str] | None = None,
-) -> DataFrame:
-    """Join `fact` to `dim`, which has one row per key; `how` is inner, left, left_semi or left_anti.
-
-    A small `dim` (measured) is broadcast. Otherwise both sides are shuffled,
-    with the rows of each hot key spread over pieces by a hash of `spread_by`
-    (default: their other columns), and the `dim` row of such a key repeated once per piece. Keys are
-    counted on `count_on` where `fact` is costly to compute: a stored table
-    with the same key column and at least the same rows.
-    """
-    if measured_bytes(dim) <= broadcast_bytes:
-        return fact.join(F.broadcast(dim), key, how)
-    hot = hot_keys(fact if count_on is None else count_on, key, min_rows)
-    if not hot:
-        return fact.join(dim, key, how)
-    # At most HOT_KEYS rows.
-    pieces = F.broadcast(
-        fact.sparkSession.createDataFrame(
-            [(k, pieces_of(n, min_rows)) for k, n in hot.items() if k is not None],
-            T.StructType([T.StructField(key, fact.schema[key].dataType), T.StructField("_pieces", T.IntegerType())]),
-        )
-    )
-    others = list(spread_by or [c for c in fact.columns if c != key])
-    # Rows without a key match nothing, so they may go anywhere.
-    n_pieces = F.when(F.col(key).isNull(), F.lit(MAX_PIECES)).otherwise(F.coalesce("_pieces", F.lit(1)))
-    spread = F.pmod(F.xxhash64(*(others or [key])), n_pieces).cast("int")
-    every_piece = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
-    left = fact.join(pieces, key, "left").withColumn("_piece", spread).drop("_pieces")
-    right = dim.join(pieces, key, "left").withColumn("_piece", F.explode(every_piece)).drop("_pieces")
-    return left.join(right, [key, "_piece"], how).drop("_piece")
+    return max(2, math.ceil(rows / piece_rows))
 
 
 def order_bucket(df: DataFrame, order: str, buckets: int, name: str, sample: DataFrame | None = None) -> DataFrame:
@@ -130,13 +55,13 @@ def with_segment(df: DataFrame, key: str, order: str, min_rows: int = HOT_ROWS)
 
     Keys must not be null.
     """
-    hot = hot_keys(df, key, min_rows)
-    if not hot:
+    hot = materialise(hot_keys(df, key, min_rows), "hot-keys")
+    rows = hot.agg(F.sum("n").alias("n")).first()["n"]
+    if not rows:
         return df.withColumn("_segment", F.lit(0)), False
-    is_hot = F.col(key).isin(list(hot))
-    pieces = pieces_of(sum(hot.values()), min_rows)
-    bucketed = order_bucket(df, order, pieces, "_bucket", df.where(is_hot))
-    return bucketed.withColumn("_segment", F.when(is_hot, F.col("_bucket")).otherwise(0)).drop("_bucket"), True
+    marked = df.join(hot.select(key, F.lit(True).alias("_hot")), key, "left").select(*df.columns, "_hot")
+    bucketed = order_bucket(marked, order, pieces_of(rows, min_rows), "_bucket", marked.where("_hot"))
+    return bucketed.withColumn("_segment", F.when(F.col("_hot"), F.col("_bucket")).otherwise(0)).drop("_bucket", "_hot"), True
 
 
 def previous_value(
@@ -198,16 +123,15 @@ def running_total(
     """
     written = materialise(df, "running-total")
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(min(partitions, MAX_PIECES), pieces_of(written.count(), bucket_rows))
+    buckets = max(partitions, pieces_of(written.count(), bucket_rows))
     bucketed = order_bucket(written, order, buckets, "_bucket")
     totals = bucketed.groupBy("_bucket").agg(F.sum(value).alias("_total"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     inner = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    # At most MAX_PIECES rows.
     return (
         bucketed.withColumn("_running", F.sum(value).over(inner))
-        .join(F.broadcast(offsets), "_bucket")
+        .join(offsets, "_bucket")
         .withColumn(name, F.col("_running") + F.col("_offset"))
         .drop("_bucket", "_running", "_offset")
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from glyphflow.plans.skew import join_by_key, position_in_group
+from glyphflow.plans.skew import position_in_group
 from glyphflow.schemas import POLYGON, RAW_PAGES
 
 LANGS = ["en", "de", "fr", "es"]
@@ -46,16 +46,17 @@ def corners(x0: Column, y0: Column, x1: Column, y1: Column, all_four: Column) ->
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, files_per_trigger: int = 1_000):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.files_per_trigger = files_per_trigger
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def stream(self, name: str, schema: T.StructType, files_per_trigger: int = 1_000) -> DataFrame:
+    def stream(self, name: str, schema: T.StructType) -> DataFrame:
         """The files of a table as a stream; the pattern matches a file and a folder of files alike."""
-        reader = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+        reader = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_trigger)
         return reader.parquet(f"{self.folder}/{name}.parquet*")
 
     def images(self) -> DataFrame:
@@ -91,16 +92,12 @@ class Tables:
         names = self.read("part").select("p_partkey", F.col("p_name").alias("text"))
         x0, y0 = F.col("x0"), F.col("y0")
         return (
-            join_by_key(lines, names, "p_partkey")
+            lines.join(names, "p_partkey")
             .withColumn("polygon", corners(x0, y0, x0 + 50, y0 + 20, F.col("line_no") != 7))
             .withColumnRenamed("p_partkey", "part_key")
             .drop("x0", "y0")
         )
 
-    def detection_keys(self) -> DataFrame:
-        """The image ids of all detections, straight from the stored table."""
-        return self.read("lineitem").select(F.col("l_orderkey").alias("image_id"))
-
     def raw_images(self, documents: DataFrame | None = None) -> DataFrame:
         """One image per document; its lines are the detections, an empty line is an unusable item."""
         source = self.read("documents") if documents is None else documents

@@ -53,6 +53,12 @@ OCR_RESPONSE = T.StructType([
     T.StructField("summary", SUMMARY),
 ])
 
+ERROR_RESPONSE = T.StructType([
+    T.StructField("error", T.StringType()),
+    T.StructField("detail", T.StringType()),
+    T.StructField("request_id", T.StringType()),
+])
+
 BATCH_ITEM = T.StructType([
     T.StructField("filename", T.StringType()),
     T.StructField("status", T.StringType()),

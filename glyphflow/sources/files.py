@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from glyphflow.operators.batch import accepted_items, with_item_names
 from glyphflow.operators.validate import gate_of_size
-from glyphflow.plans.skew import join_by_key
 from glyphflow.settings import Settings
 
 
@@ -41,11 +40,11 @@ def scan_image_batch(files: DataFrame, settings: Settings, batch: str = "batch_i
 def files_to_process(files: DataFrame, settings: Settings, batch: str = "batch_id") -> DataFrame:
     """Files, with content, of the batches within the size limit.
 
-    The oversize batches are found without reading contents and taken out by
-    a broadcast of their ids, so contents stay where they are read. Only more
+    The oversize batches are found without reading contents. Few of them are
+    broadcast by the planner, so contents stay where they are read; only more
     ids than a broadcast holds make this a shuffle.
     """
     keys = files.select(batch)
     sizes = keys.groupBy(batch).agg(F.count(F.lit(1)).alias("n"))
     oversize = sizes.where(gate_of_size(F.col("n"), settings).isNotNull()).select(batch)
-    return join_by_key(files, oversize, batch, "left_anti", count_on=keys, spread_by=["path"])
+    return files.join(oversize, batch, "left_anti")

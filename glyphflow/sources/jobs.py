@@ -47,12 +47,3 @@ def read_store(spark: SparkSession, path: str, schema=None) -> DataFrame:
     current = latest_version(reader.parquet(path))
     return current.where(~F.col("deleted")).drop("deleted", "version")
 
-
-def compact_store(spark: SparkSession, path: str, target: str) -> None:
-    """Rewrite the current documents as version 0 of a new folder."""
-    append_versions(read_store(spark, path), target, 0)
-
-
-def remove_deleted(documents: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Documents without those whose id has a tombstone."""
-    return documents.join(tombstones.select("job_id"), "job_id", "left_anti")

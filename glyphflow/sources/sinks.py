@@ -12,6 +12,11 @@ def response_json(response: Column) -> Column:
     return F.to_json(response, JSON_OPTIONS)
 
 
+def answer_json(response: Column, error: Column) -> Column:
+    """The error document where there is one, else the response, as JSON text."""
+    return F.when(error.isNotNull(), response_json(error)).otherwise(response_json(response))
+
+
 def write_responses(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON document per line."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)

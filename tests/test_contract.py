@@ -43,8 +43,8 @@ def test_answers_do_not_depend_on_the_number_of_partitions(spark, duck, name):
 
 @pytest.fixture
 def everything_is_hot(monkeypatch):
-    """No broadcast of measured sides, and keys with a handful of rows count as hot."""
-    small = {"min_rows": 6, "broadcast_bytes": 0, "bucket_rows": 20}
+    """Keys with a handful of rows count as hot."""
+    small = {"min_rows": 6, "bucket_rows": 20}
     for module in (skew, jobs, metrics, normalise):
         for function in vars(module).values():
             defaults = getattr(function, "__kwdefaults__", None)

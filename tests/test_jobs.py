@@ -148,7 +148,9 @@ def test_status_view(spark):
     empty = spark.createDataFrame([("a", [])], "job_id string, results array<struct<filename:string,status:string>>")
     results = batch.ordered_results(items, ["filename", "status"], "job_id").unionByName(empty)
     ids = spark.createDataFrame([("a",), ("b",), ("z",)], "job_id string")
-    got = {r["job_id"]: r for r in j.job_status_view(ids, j.fold_job_events(log), results).collect()}
+    totals = spark.createDataFrame([("a", 3), ("b", 1)], "job_id string, total long")
+    got = {r["job_id"]: r for r in j.job_status_view(ids, j.fold_job_events(log), results, totals).collect()}
+    assert (got["a"]["total"], got["z"]["total"]) == (3, None)
     assert (got["a"]["http_status"], got["a"]["results"], got["a"]["created_at"]) == (200, None, "2024-01-01T00:01:00Z")
     assert (got["b"]["http_status"], got["b"]["error"], len(got["b"]["results"])) == (500, "boom", 1)
     assert (got["z"]["http_status"], got["z"]["error_code"]) == (404, "job_not_found")

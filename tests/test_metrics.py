@@ -92,6 +92,12 @@ def test_number_text(spark):
     assert [r[0] for r in df.select(m.number_text(F.col("v"))).collect()] == list(cases.values())
 
 
+def test_number_text_of_special_and_small_numbers(spark):
+    cases = {float("nan"): "NaN", float("inf"): "+Inf", float("-inf"): "-Inf", 1e-7: "1e-07", 2.5e-5: "2.5e-05", 1.5e-12: "1.5e-12", 0.0001: "0.0001"}
+    df = spark.createDataFrame([(k,) for k in cases], "v double")
+    assert [r[0] for r in df.select(m.number_text(F.col("v"))).collect()] == list(cases.values())
+
+
 def test_exposition_text(spark, tmp_path):
     counts = spark.createDataFrame([("/ocr", "e\"n\\\n", "success", 2.0)], "endpoint string, lang string, status string, value double")
     depth = spark.createDataFrame([(4.0,)], "value double")

@@ -156,19 +156,18 @@ def long_tables(spark, counts, threshold=0.3):
     )
 
 
-def test_parts_hold_all_results_in_order_with_and_without_hot_images(spark):
+def test_parts_hold_all_results_in_order(spark):
     pictures, found = long_tables(spark, [0, 5, 57, 3])
-    for options in ({}, {"min_rows": 10, "broadcast_bytes": 0}):
-        rows = n.response_parts(pictures, found, S, part_rows=10, **options).collect()
-        by_image = {}
-        for r in sorted(rows, key=lambda r: (r["image_id"], r["part"])):
-            by_image.setdefault(r["image_id"], []).append(r)
-        assert [len(by_image[i]) for i in range(4)] == [1, 1, 6, 1]
-        texts = [d["text"] for r in by_image[2] for d in r["results"]]
-        assert texts == [f"t{j}" for j in range(57) if j % 10 >= 3]
-        assert all(r["summary"]["total_lines"] == len(texts) for r in by_image[2])
-        assert by_image[0][0]["results"] == [] and by_image[0][0]["error_code"] is None
-        assert by_image[1][0]["error_code"] == "ocr_failed" and by_image[1][0]["summary"]["total_lines"] == 0
+    rows = n.response_parts(pictures, found, S, part_rows=10).collect()
+    by_image = {}
+    for r in sorted(rows, key=lambda r: (r["image_id"], r["part"])):
+        by_image.setdefault(r["image_id"], []).append(r)
+    assert [len(by_image[i]) for i in range(4)] == [1, 1, 6, 1]
+    texts = [d["text"] for r in by_image[2] for d in r["results"]]
+    assert texts == [f"t{j}" for j in range(57) if j % 10 >= 3]
+    assert all(r["summary"]["total_lines"] == len(texts) for r in by_image[2])
+    assert by_image[0][0]["results"] == [] and by_image[0][0]["error_code"] is None
+    assert by_image[1][0]["error_code"] == "ocr_failed" and by_image[1][0]["summary"]["total_lines"] == 0
 
 
 def test_long_form_agrees_with_array_form(spark):

@@ -13,45 +13,21 @@ def events(spark, seed=1, n=600):
     return rows, spark.createDataFrame(rows, "key string, seq long, value string").repartition(5)
 
 
-def test_hot_keys_are_counted_and_bounded(spark):
+def test_hot_keys_are_all_found(spark):
     rows, df = events(spark)
-    assert skew.hot_keys(df, "key", min_rows=100) == {"hot": sum(r[0] == "hot" for r in rows)}
-    assert len(skew.hot_keys(df, "key", min_rows=1, max_keys=3)) == 3
-
-
-def test_salted_joins_give_plain_results(spark):
-    rows, fact = events(spark)
-    keys = sorted({r[0] for r in rows})[::2] + ["hot", "unused"]
-    dim = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, v int").dropDuplicates(["key"])
-    for how in ("inner", "left", "left_semi", "left_anti"):
-        plain = sorted(map(str, fact.join(dim, "key", how).select(sorted(fact.columns)).collect()))
-        out = skew.join_by_key(fact, dim, "key", how, broadcast_bytes=0, min_rows=20)
-        assert sorted(map(str, out.select(sorted(fact.columns)).collect())) == plain
-
-
-def test_rows_without_a_key_are_spread_and_kept(spark):
-    rows = [(None if i % 3 else f"k{i % 7}", i) for i in range(300)]
-    fact = spark.createDataFrame(rows, "key string, seq long")
-    dim = spark.createDataFrame([(f"k{i}", i) for i in range(0, 7, 2)], "key string, v int")
-    for how in ("inner", "left", "left_anti"):
-        plain = sorted(map(str, fact.join(dim, "key", how).collect()))
-        for min_rows in (10, 50):
-            out = skew.join_by_key(fact, dim, "key", how, broadcast_bytes=0, min_rows=min_rows)
-            assert sorted(map(str, out.collect())) == plain
-
-
-def test_large_side_is_not_broadcast(spark):
-    rows, fact = events(spark)
-    dim = fact.groupBy("key").agg(F.max("seq").alias("m"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        small = skew.join_by_key(fact, dim, "key")
-        large = skew.join_by_key(fact, dim, "key", broadcast_bytes=10, min_rows=50)
-        assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
-        assert small.count() == large.count() == len(rows)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [(r["key"], r["n"]) for r in skew.hot_keys(df, "key", min_rows=100).collect()] == [("hot", sum(r[0] == "hot" for r in rows))]
+    many = spark.range(6_000).select((F.col("id") % 1_500).alias("key"), "id")
+    assert skew.hot_keys(many, "key", min_rows=4).count() == 1_500
+
+
+def test_more_hot_keys_than_any_bound(spark):
+    many = spark.range(6_000).select((F.col("id") % 1_500).alias("key"), F.col("id").alias("seq"))
+    out = skew.position_in_group(many, "key", ["seq"], "seq", "i", min_rows=2)
+    assert out.where(F.col("i") != F.floor(F.col("seq") / 1_500)).count() == 0
+
+
+def test_pieces_follow_the_rows():
+    assert [skew.pieces_of(n, 10) for n in (1, 20, 95, 10_000_000)] == [2, 2, 10, 1_000_000]
 
 
 def test_previous_value_with_hot_keys(spark):

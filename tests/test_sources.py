@@ -78,10 +78,8 @@ def test_store_upsert_delete_and_compact(spark, tmp_path):
     assert state() == {"a": ("running", None), "c": ("failed", None)}
     jobs.append_versions(docs(("b", "queued", None)), path, 10)
     assert state()["b"] == ("queued", None)
-    jobs.compact_store(spark, path, str(tmp_path / "compact"))
-    assert state(str(tmp_path / "compact")) == state()
-    left = jobs.remove_deleted(docs(("a", "s", None), ("b", "s", None)), ids("a", "z"))
-    assert [r["job_id"] for r in left.collect()] == ["b"]
+    plan = jobs.read_store(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan  # documents are filtered, not aggregated
 
 
 def test_response_documents_keep_nulls(spark, tmp_path):
