@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,27 +155,42 @@ def _settle_windows(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _gather(packed: DataFrame, pick: Callable) -> DataFrame:
-    """Found places by document, from the packed entries of all tasks."""
+    """Found places by document, one row each, from the packed entries of all tasks."""
+    parts = partitions(packed.sparkSession)
 
     def group(table: pa.Table) -> pa.Table:
-        joined = {n: b"".join(v for v in table.column(n).to_pylist()) for n in ("hash", "several")}
-        own = table.filter(pa.compute.invert(table.column("settled")))
+        own = table.filter(pc.invert(table.column("settled")))
         known = table.filter(table.column("settled"))
-        numbers = lambda t, n, kind: np.frombuffer(b"".join(t.column(n).to_pylist()), kind)
-        hashes, several = np.frombuffer(joined["hash"], np.uint64), np.frombuffer(joined["several"], bool)
-        doc, place = numbers(own, "doc", np.int64), numbers(own, "place", np.int32)
+        hashes, several = _numbers(own, "hash", np.uint64), _numbers(own, "several", bool)
+        doc, place = _numbers(own, "doc", np.int64), _numbers(own, "place", np.int32)
         order = np.lexsort((doc, hashes))
         picked = order[pick(hashes[order], doc[order], several[order])]
-        doc = np.concatenate((doc[picked], numbers(known, "doc", np.int64)))
-        place = np.concatenate((place[picked], numbers(known, "place", np.int32)))
+        doc = np.concatenate((doc[picked], _numbers(known, "doc", np.int64)))
+        place = np.concatenate((place[picked], _numbers(known, "place", np.int32)))
+        # Packed again, now by document.
+        part = (W.mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        pieces = [x for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(x)]
+        return pa.table([
+            pa.array([part[x[0]] for x in pieces], pa.int32()), pa.array([doc[x].tobytes() for x in pieces], pa.binary()),
+            pa.array([place[x].tobytes() for x in pieces], pa.binary()),
+        ], ["part", "doc", "place"])
+
+    def by_doc(table: pa.Table) -> pa.Table:
+        doc, place = _numbers(table, "doc", np.int64), _numbers(table, "place", np.int32)
         order = np.lexsort((place, doc))
         doc, place = doc[order], place[order]
         first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(place))
         return pa.table([pa.array(doc[first]), lists], ["doc", "places"])
 
-    found = packed.groupBy("part").applyInArrow(group, _FOUND)
-    return found.groupBy("doc").agg(F.flatten(F.collect_list("places")).alias("places"))
+    found = packed.groupBy("part").applyInArrow(group, "part int, doc binary, place binary")
+    return found.groupBy("part").applyInArrow(by_doc, _FOUND)
+
+
+def _numbers(table: pa.Table, column: str, kind: type) -> np.ndarray:
+    """The packed arrays of a column behind each other."""
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
 
 def _pick_anchors(hashes: np.ndarray, doc: np.ndarray, several: np.ndarray) -> np.ndarray:
