@@ -210,9 +210,12 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Rules
 def _index(one: DataFrame, rules: Rules) -> DataFrame:
     """Entries of all tokens that more than one set has in front: token, block, set, its size, and the token's position."""
     step = math.log(100 / rules.percent) * (1 + 1e-9)
-    entries = one.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n").withColumn("pos", F.col("pos").cast("long"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    entries = entries.join(shared, "token").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / step))
+    block = F.floor(F.log(F.col("n").cast("double")) / step).alias("block")
+    entries = one.select(F.posexplode("prefix").alias("pos", "token"), "rep", "n", block).withColumn("pos", F.col("pos").cast("long"))
+    # Two sets alone in a list are worth a look only if their sizes are near.
+    counts = entries.groupBy("token").agg(F.count("*").alias("c"), F.min("block").alias("low"), F.max("block").alias("high"))
+    shared = counts.where("c > 2 or (c = 2 and high - low <= 1)").select("token")
+    entries = entries.join(shared, "token")
     return stored(entries.select("token", "block", "rep", "n", "pos"), "index")
 
 
@@ -231,7 +234,8 @@ def _leaders(docs: DataFrame, profiles: DataFrame, index: DataFrame, rules: Rule
 def _open_pairs(docs: DataFrame, profiles: DataFrame, index: DataFrame, first: DataFrame, joined: DataFrame, rules: Rules) -> DataFrame:
     """Links between sets that the leaders' answers leave in different components: a, b, as components."""
     turn = F.shiftleft("pos", 40) + F.xxhash64("rep").bitwiseAND(F.lit((1 << 40) - 1))
-    entries = index.join(joined.withColumnsRenamed({"node": "rep", "root": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    comps = sent_if_small(joined, rules.max_sent_rows).withColumnsRenamed({"node": "rep", "root": "comp"})
+    entries = index.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     entries = stored(entries, "entries")
     leads = stored(entries.groupBy("token", "block").agg(F.min_by("rep", turn).alias("lead"), F.min_by("comp", turn).alias("lead_comp")), "block-leaders")
     with_lead = entries.join(leads, ["token", "block"])
