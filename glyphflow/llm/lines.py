@@ -6,6 +6,8 @@ alike. At a leaf, lines that agree with its most common tokens in enough
 places share one template, the other places being variable; any other line is
 its own template. A template that occurs in several documents is recurring:
 its lines stay in the document with the smallest key and are dropped elsewhere.
+Documents with equal texts count as one, so that copies of a whole document do
+not make its lines recur; finding those is another operator's work.
 """
 
 from __future__ import annotations
@@ -52,7 +54,8 @@ def _lines(docs: DataFrame, key: str, text: str, rules: Rules) -> DataFrame:
 
 def _members(docs: DataFrame, lines: DataFrame, key: str, text: str, rules: Rules) -> DataFrame:
     """Leaf and line template of the lines that share their leaf's template."""
-    strings = lines.select("leaf", "own", "doc").distinct().groupBy("leaf", "own").agg(F.count("*").alias("docs"), F.min("doc").alias("example"))
+    texts = lines.groupBy("leaf", "own", "version").agg(F.min("doc").alias("doc"))
+    strings = texts.groupBy("leaf", "own").agg(F.count("*").alias("docs"), F.min("doc").alias("example"))
     strings = stored(strings, "line-strings")
     leaves = strings.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("all"), F.count_if(F.col("docs") < rules.min_docs).alias("rare"))
     leaves = leaves.where((F.col("n") > 1) & (F.col("all") >= rules.min_docs) & (F.col("rare") > 0)).select("leaf")
@@ -75,7 +78,7 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", rul
     Lines are parted by newlines, tokens by white space; lines with fewer than
     `min_tokens` tokens always stay. A text without dropped lines is unchanged,
     a null text stays null with no lines, and a text may become empty. Rows with
-    one key are one document; a null key is a document after all others. All
+    equal texts are treated alike; a null key comes after all others. All
     columns but `text` pass through, and columns called `n_lines` or
     `n_dropped` are replaced.
     """
@@ -85,9 +88,10 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", rul
     lines = lines.join(sent_if_small(members, rules.max_sent_rows), ["leaf", "own"], "left")
     # The template of a line: the leaf's shared one, or the line's own within the leaf.
     lines = lines.withColumn("own", F.when(F.col("shared"), F.lit(0)).otherwise(F.col("own"))).drop("shared")
-    docs_of = lines.select("leaf", "own", "doc").distinct().groupBy("leaf", "own").agg(F.count("*").alias("docs"), F.min("doc").alias("first"))
-    recurring = docs_of.where(F.col("docs") >= rules.min_docs).select("leaf", "own", "first")
-    dropped = lines.join(recurring, ["leaf", "own"]).where(~F.col("doc").eqNullSafe(F.col("first")))
+    texts = lines.groupBy("leaf", "own", "version").agg(F.min("doc").alias("doc"))
+    counts = texts.groupBy("leaf", "own").agg(F.count("*").alias("docs"), F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "version")).alias("first"))
+    recurring = counts.where(F.col("docs") >= rules.min_docs).select("leaf", "own", F.col("first.version").alias("first"))
+    dropped = lines.join(recurring, ["leaf", "own"]).where(F.col("version") != F.col("first"))
     dropped = dropped.groupBy("doc", "version").agg(F.collect_set("place").alias("dropped"))
     names = [str(i) for i in range(len(docs.columns))]
     own, told = names[docs.columns.index(key)], names[docs.columns.index(text)]

@@ -43,12 +43,12 @@ FROM judged
 
 OP8 = r"""
 WITH lines AS (
-  SELECT doc_id, place, CASE WHEN regexp_matches(plain, '[0-9]') THEN regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE plain END AS masked
-  FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS place,
+  SELECT doc_id, text, place, CASE WHEN regexp_matches(plain, '[0-9]') THEN regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE plain END AS masked
+  FROM (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS place,
                trim(regexp_replace(unnest(string_split(text, chr(10))), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain FROM documents)),
   leafed AS (SELECT *, len(string_split(masked, ' ')) AS tokens, array_to_string(list_slice(string_split(masked, ' '), 1, 3), ' ') AS lead FROM lines),
   long_lines AS (SELECT * FROM leafed WHERE tokens >= 4),
-  strings AS (SELECT tokens, lead, masked, count(DISTINCT doc_id) AS docs FROM long_lines GROUP BY ALL),
+  strings AS (SELECT tokens, lead, masked, count(DISTINCT text) AS docs FROM long_lines GROUP BY ALL),
   leaves AS (SELECT tokens, lead FROM strings GROUP BY ALL
     HAVING count(*) > 1 AND sum(docs) >= 3 AND count(*) FILTER (docs < 3) > 0),
   tok AS (SELECT tokens, lead, masked, docs, unnest(string_split(masked, ' ')) AS token, generate_subscripts(string_split(masked, ' '), 1) AS place
@@ -57,11 +57,11 @@ WITH lines AS (
     FROM (SELECT tokens, lead, place, token, sum(docs) AS docs FROM tok GROUP BY ALL) GROUP BY ALL),
   members AS (SELECT tokens, lead, masked FROM tok JOIN common USING (tokens, lead, place) GROUP BY ALL
     HAVING count(*) FILTER (token = common) >= 0.8 * count(*)),
-  grouped AS (SELECT l.doc_id, l.place, l.tokens, l.lead, CASE WHEN m.masked IS NULL THEN l.masked END AS own
+  grouped AS (SELECT l.doc_id, l.text, l.place, l.tokens, l.lead, CASE WHEN m.masked IS NULL THEN l.masked END AS own
     FROM long_lines l LEFT JOIN members m ON l.tokens = m.tokens AND l.lead = m.lead AND l.masked = m.masked),
-  recurring AS (SELECT tokens, lead, own, min(doc_id) AS first FROM grouped GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+  recurring AS (SELECT tokens, lead, own, arg_min(text, doc_id) AS first FROM grouped GROUP BY ALL HAVING count(DISTINCT text) >= 3),
   dropped AS (SELECT g.doc_id, list(g.place) AS places FROM grouped g JOIN recurring r
-    ON g.tokens = r.tokens AND g.lead = r.lead AND g.own IS NOT DISTINCT FROM r.own WHERE g.doc_id <> r.first GROUP BY g.doc_id)
+    ON g.tokens = r.tokens AND g.lead = r.lead AND g.own IS NOT DISTINCT FROM r.own WHERE g.text <> r.first GROUP BY g.doc_id)
 SELECT doc_id,
   CASE WHEN places IS NULL THEN text ELSE coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(places, i)), chr(10)), '') END AS text,
   len(string_split(text, chr(10))) AS n_lines, coalesce(len(places), 0) AS n_dropped

@@ -209,8 +209,10 @@ def test_lines_stay_when_few_documents_have_them(docs_of):
     line = "a line that is long enough to count here"
     rows = lines.drop_recurring(docs_of([(1, line), (1, line), (2, f"{line}\n{line}"), (None, "x")])).collect()
     assert all(r.n_dropped == 0 for r in rows)
-    kept = lines.drop_recurring(docs_of([(2, line), (3, line), (1, line), (None, line)]))
-    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, ""), (1, line), (2, ""), (3, "")]
+    # Copies of a whole document are one; the line stays with the smallest key, and with its copies.
+    whole = [(2, line + "\nb"), (3, line + "\nc"), (1, line), (None, line), (4, line)]
+    assert sorted((r.doc_id or 0, r.text) for r in lines.drop_recurring(docs_of(whole)).collect()) == [(0, line), (1, line), (2, "b"), (3, "c"), (4, line)]
+    assert all(r.n_dropped == 0 for r in lines.drop_recurring(docs_of([(i, line) for i in range(9)])).collect())
 
 
 def test_lines_without_broadcast_and_with_clashing_columns(spark, docs_of):
