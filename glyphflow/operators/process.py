@@ -9,10 +9,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from glyphflow.functions.geometry import plan_resize
 from glyphflow.functions.payload import decode_base64, detect_format, probe_dimensions
 from glyphflow.operators.batch import item_error
-from glyphflow.operators.normalise import normalise_images
+from glyphflow.operators.normalise import build_error, build_response, normalise_images
 from glyphflow.operators.recognise import Recogniser, recognise
-from glyphflow.operators.validate import classify_errors, error_code_of_text, validation_error
-from glyphflow.settings import Settings
+from glyphflow.operators.validate import (
+    classify_errors,
+    confidence_out_of_range,
+    error_code_of_text,
+    resolve_lang,
+    resolve_min_confidence,
+    validation_error,
+)
+from glyphflow.settings import COUNTED_ERRORS, Settings
+from glyphflow.sources.sinks import answer_json
 
 Dimensions = Callable[[Column], Column]
 
@@ -50,8 +58,9 @@ def run_images(
         sized.withColumn("n_bytes", F.length("content"))
         .withColumn("problem", F.coalesce(F.col("decode_error"), validation_error(content, settings, readable)["message"]))
         .withColumn("content", F.when(F.col("problem").isNull(), content))
-        .withColumn("width", F.col("_size.width").cast("int"))
-        .withColumn("height", F.col("_size.height").cast("int"))
+        # An image that failed a rule has the zero sizes of an error result.
+        .withColumn("width", F.when(F.col("problem").isNull(), F.col("_size.width")).otherwise(0).cast("int"))
+        .withColumn("height", F.when(F.col("problem").isNull(), F.col("_size.height")).otherwise(0).cast("int"))
     )
     if planned_size:
         checked = checked.withColumn("_plan", plan_resize(F.col("width"), F.col("height"), settings.max_image_pixels))
@@ -79,6 +88,11 @@ def process_single_requests(
     Adds status, error_code, http_status, error_detail, results, summary and meta.
     """
     done = run_images(with_content(df, F.col("endpoint") == "/ocr/json"), factory, settings, **options)
+    # A result that breaks the response's own rules is answered like an image that cannot be processed.
+    # Sizes and boxes are in order by construction, so what can break them is a confidence.
+    odd = F.exists("raw", lambda page: F.coalesce(F.exists(page, lambda i: confidence_out_of_range(i["confidence"])), F.lit(False)))
+    broken = F.col("problem").isNull() & F.col("error_code").isNull() & F.coalesce(odd, F.lit(False))
+    done = done.withColumn("problem", F.when(broken, F.lit("confidence_range")).otherwise(F.col("problem")))
     before = error_code_of_text(F.col("endpoint"), F.col("problem"))
     coded = done.withColumn("error_code", F.coalesce(before, F.col("error_code"))).withColumn(
         "error_message", F.coalesce(F.col("problem"), F.col("error_message"), F.lit("OCR processing failed"))
@@ -87,6 +101,33 @@ def process_single_requests(
     return classify_errors(coded, settings).withColumn("status", status).drop("problem", "decode_error", "error_message")
 
 
+def answer_single_requests(
+    df: DataFrame, factory: Callable[[], Recogniser], settings: Settings, **options
+) -> DataFrame:
+    """Whole requests to the two single endpoints, from parameters to the answer's text.
+
+    Expects request_id, endpoint, payload or content, the headers x_lang and
+    x_min_confidence, and body_lang and body_min_confidence for JSON requests.
+    Adds lang and min_confidence as resolved, what `process_single_requests`
+    adds, `answer` (the response or the error document as JSON) and `outcome`,
+    by which the request is counted; null where it is not.
+    """
+    is_json = F.col("endpoint") == "/ocr/json"
+    lang = F.when(is_json, resolve_lang(F.col("x_lang"), F.col("body_lang"), settings)).otherwise(
+        resolve_lang(F.col("x_lang"), None, settings)
+    )
+    threshold = F.when(
+        is_json, resolve_min_confidence(F.col("x_min_confidence"), F.col("body_min_confidence"), settings)
+    ).otherwise(resolve_min_confidence(F.col("x_min_confidence"), None, settings))
+    asked = df.withColumns({"lang": lang, "min_confidence": threshold, "include_polygon": F.lit(settings.include_polygon)})
+    done = process_single_requests(asked, factory, settings, **options)
+    code = F.col("error_code")
+    error = build_error(F.col("request_id"), code, F.col("error_detail"))
+    response = build_response(F.col("request_id"), settings=settings)
+    outcome = F.when(code.isNull(), F.lit("success")).when(code.isin(COUNTED_ERRORS), F.lit("error"))
+    return done.withColumn("answer", answer_json(response, error)).withColumn("outcome", outcome)
+
+
 def process_batch_items(
     df: DataFrame, factory: Callable[[], Recogniser], settings: Settings, *, is_json: bool = True, **options
 ) -> DataFrame:

@@ -139,6 +139,11 @@ def resolve_min_confidence(header: Column, body: Column | None, settings: Settin
     return F.coalesce(F.nullif(header, F.lit(0.0)), fallback)
 
 
+def confidence_out_of_range(confidence: Column) -> Column:
+    """Whether a confidence that reaches the threshold of any request breaks the response: above 1, or not a number."""
+    return F.coalesce(confidence > 1.0, F.lit(False))
+
+
 def output_violations(
     confidence: Column, avg_confidence: Column, sizes: list[Column], boxes: list[Column]
 ) -> Column:

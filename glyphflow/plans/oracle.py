@@ -12,7 +12,8 @@ from glyphflow.settings import (
 # ---- shared tables --------------------------------------------------------------------------
 
 _ANSWER = """coalesce(total_lines, 0) AS total_lines, coalesce(total_characters, 0) AS total_characters,
-  round(coalesce(avg_confidence, 0) + 1e-9, 6) AS avg_confidence, coalesce(texts, '') AS texts"""
+  round(coalesce(avg_confidence, 0) + 1e-9, 6) AS avg_confidence, coalesce(texts, '') AS texts,
+  CASE WHEN fine THEN iw ELSE 0 END AS image_width, CASE WHEN fine THEN ih ELSE 0 END AS image_height"""
 
 _FOUND = """lines AS (
   SELECT payload_id, md5(b) AS text, (n * 7 % 101) / 100 AS confidence, 0 AS i, threshold FROM checked WHERE fine
@@ -73,12 +74,19 @@ zero_sized AS (
 
 _PAYLOADS = """contents AS (
   SELECT doc_id AS payload_id, lang,
-         unhex(list_extract(['FFD8FF', '89504E47', '424D', '49492A00', '4D4D002A', '524946460000000057454250',
-                             '524946460000000057415645', ''], doc_id % 8 + 1)) || encode(text) AS content,
+         unhex(CASE WHEN doc_id % 16 = 8 THEN 'FFD8FFD9'
+           WHEN doc_id % 8 = 0 THEN 'FFD8FFC0001108' || printf('%04X', h) || printf('%04X', w) || '03'
+           WHEN doc_id % 8 = 1 THEN '89504E470D0A1A0A0000000D49484452' || printf('%08X', w) || printf('%08X', h) || '0802000000'
+           WHEN doc_id % 8 = 2 THEN '424D' || repeat('00', 16) || substr(printf('%08X', w), 7, 2) || substr(printf('%08X', w), 5, 2)
+             || substr(printf('%08X', w), 3, 2) || substr(printf('%08X', w), 1, 2) || substr(printf('%08X', h), 7, 2)
+             || substr(printf('%08X', h), 5, 2) || substr(printf('%08X', h), 3, 2) || substr(printf('%08X', h), 1, 2)
+           ELSE list_extract(['', '', '', '49492A00', '4D4D002A', '524946460000000057454250', '524946460000000057415645', ''],
+                             doc_id % 8 + 1) END) || encode(text) AS content,
+         CASE WHEN doc_id % 8 < 3 THEN CAST(w AS INTEGER) END AS iw, CASE WHEN doc_id % 8 < 3 THEN CAST(h AS INTEGER) END AS ih,
          CASE WHEN (doc_id // 40) % 2 = 0 THEN '/ocr' ELSE '/ocr/json' END AS endpoint
-  FROM documents),
+  FROM (SELECT *, 1 + doc_id % 3000 AS w, 1 + n_chars % 2000 AS h FROM documents)),
 payloads AS (
-  SELECT payload_id, lang, content, endpoint,
+  SELECT payload_id, lang, content, endpoint, iw, ih,
          CASE payload_id % 10
            WHEN 0 THEN 'data:image/jpeg;base64,' || to_base64(content)
            WHEN 1 THEN left(to_base64(content), length(to_base64(content)) - 1)
@@ -116,6 +124,25 @@ _FORMAT = """CASE
   WHEN starts_with(hex({x}), '49492A00') OR starts_with(hex({x}), '4D4D002A') THEN 'tiff'
   WHEN starts_with(hex({x}), '52494646') AND substr(hex({x}), 17, 8) = '57454250' THEN 'webp' END"""
 
+_ASKED = f""", used AS (
+  SELECT payload_id, endpoint,
+         CASE WHEN endpoint = '/ocr/json' THEN bytes ELSE content END AS b,
+         CASE WHEN endpoint = '/ocr/json' THEN decode_error END AS e,
+         CASE WHEN payload_id % 3 = 1 THEN 'de' WHEN endpoint = '/ocr/json' THEN lang ELSE 'en' END AS lang,
+         CASE WHEN payload_id % 4 = 1 THEN 0.6 WHEN endpoint = '/ocr/json' THEN (payload_id % 5) / 10 ELSE 0.0::DOUBLE END AS threshold
+  FROM decoded),
+coded AS (
+  SELECT *, octet_length(b) AS n, CASE
+    WHEN e IS NOT NULL THEN 'invalid_base64'
+    WHEN coalesce(octet_length(b), 0) = 0 THEN 'image_empty'
+    WHEN {_FORMAT.format(x="b")} IS NULL
+      THEN CASE WHEN endpoint = '/ocr' THEN 'unsupported_format' ELSE 'unreadable_image' END
+    WHEN payload_id % 16 = 8 THEN 'unreadable_image'
+    WHEN octet_length(b) % 17 = 0 THEN 'ocr_failed' END AS error_code FROM used),
+checked AS (SELECT *, error_code IS NULL AS fine,
+    CASE WHEN error_code IS NULL THEN 'success'
+      WHEN error_code IN ('unsupported_format', 'invalid_base64', 'unreadable_image') THEN 'error' END AS outcome FROM coded)"""
+
 _REQUESTS = """requests AS (
   SELECT *, CASE
       WHEN NOT single AND batch_size > 20 THEN 'batch_too_large'
@@ -564,11 +591,11 @@ SELECT job_id, {_iso("since")} AS since, is_expired, CASE WHEN is_expired THEN 4
     + "SELECT job_id, status FROM state WHERE status = 'failed' ORDER BY job_id DESC LIMIT 100",
     "j_run": _with(_PAYLOADS)
     + f""", texts AS (
-  SELECT payload_id, bytes AS b, octet_length(bytes) AS n, (payload_id % 5) / 10 AS threshold, CASE
+  SELECT payload_id, iw, ih, bytes AS b, octet_length(bytes) AS n, (payload_id % 5) / 10 AS threshold, CASE
     WHEN decode_error IS NOT NULL THEN 'Processing error: ' || decode_error
     WHEN coalesce(octet_length(bytes), 0) = 0 THEN 'image_empty'
-    WHEN octet_length(bytes) > 10000 THEN 'file_too_large: size ' || octet_length(bytes) || ' exceeds 10000'
     WHEN {_FORMAT.format(x="bytes")} IS NULL THEN 'unsupported_format'
+    WHEN payload_id % 16 = 8 THEN 'unreadable_image: cannot identify image file'
     WHEN octet_length(bytes) % 17 = 0 THEN 'engine stopped at ' || octet_length(bytes) END AS error
   FROM decoded),
 checked AS (SELECT *, error IS NULL AS fine FROM texts),
@@ -579,11 +606,11 @@ SELECT 'job_' || (payload_id // 10) AS job_id, CAST(payload_id % 10 AS INTEGER)
 FROM checked LEFT JOIN found USING (payload_id)""",
     "b_batch_run": _with(_PAYLOADS)
     + f""", texts AS (
-  SELECT payload_id, bytes AS b, octet_length(bytes) AS n, (payload_id % 5) / 10 AS threshold, CASE
+  SELECT payload_id, iw, ih, bytes AS b, octet_length(bytes) AS n, (payload_id % 5) / 10 AS threshold, CASE
     WHEN decode_error IS NOT NULL THEN 'Image processing error: ' || decode_error
     WHEN coalesce(octet_length(bytes), 0) = 0 THEN 'Image data is empty'
-    WHEN octet_length(bytes) > 10000 THEN 'Image exceeds maximum size of 20MB'
     WHEN {_FORMAT.format(x="bytes")} IS NULL THEN 'Image processing error: unsupported_format'
+    WHEN payload_id % 16 = 8 THEN 'Image processing error: unreadable_image: cannot identify image file'
     WHEN octet_length(bytes) % 17 = 0 THEN 'engine stopped at ' || octet_length(bytes) END AS error
   FROM decoded),
 checked AS (SELECT *, error IS NULL AS fine FROM texts),
@@ -593,16 +620,16 @@ SELECT payload_id // 10 AS batch_id, CAST(payload_id % 10 AS INTEGER) AS idx,
 FROM checked LEFT JOIN found USING (payload_id)""",
     "r_single_requests": _with(_PAYLOADS)
     + f""", used AS (
-  SELECT payload_id, endpoint, (payload_id % 5) / 10 AS threshold,
+  SELECT payload_id, endpoint, iw, ih, (payload_id % 5) / 10 AS threshold,
          CASE WHEN endpoint = '/ocr/json' THEN bytes ELSE content END AS b,
          CASE WHEN endpoint = '/ocr/json' THEN decode_error END AS e FROM decoded),
 coded AS (
   SELECT *, octet_length(b) AS n, CASE
     WHEN e IS NOT NULL THEN 'invalid_base64'
     WHEN coalesce(octet_length(b), 0) = 0 THEN 'image_empty'
-    WHEN octet_length(b) > 10000 THEN 'file_too_large'
     WHEN {_FORMAT.format(x="b")} IS NULL
       THEN CASE WHEN endpoint = '/ocr' THEN 'unsupported_format' ELSE 'unreadable_image' END
+    WHEN payload_id % 16 = 8 THEN 'unreadable_image'
     WHEN octet_length(b) % 17 = 0 THEN 'ocr_failed' END AS error_code FROM used),
 checked AS (SELECT *, error_code IS NULL AS fine FROM coded),
 {_FOUND}
@@ -612,17 +639,34 @@ SELECT payload_id, CASE WHEN fine THEN 'success' ELSE 'error' END AS status, err
   CASE error_code
     WHEN 'image_empty' THEN CASE WHEN endpoint = '/ocr' THEN 'Image file is empty' ELSE 'Image data is empty' END
     WHEN 'invalid_base64' THEN 'Invalid base64 encoded image data'
-    WHEN 'file_too_large' THEN CASE WHEN endpoint = '/ocr' THEN 'Image size ' || n || ' exceeds maximum 10000'
-                                    ELSE 'Image size exceeds maximum 20MB' END
     WHEN 'unsupported_format' THEN 'Unsupported image format. Allowed: JPEG, PNG, BMP, TIFF, WebP'
-    WHEN 'unreadable_image' THEN 'Cannot process image: unsupported_format'
+    WHEN 'unreadable_image' THEN CASE WHEN payload_id % 16 = 8 THEN 'Cannot process image: unreadable_image: cannot identify image file'
+                                      ELSE 'Cannot process image: unsupported_format' END
     WHEN 'ocr_failed' THEN 'engine stopped at ' || n END AS error_detail,
   {_ANSWER}
 FROM checked LEFT JOIN found USING (payload_id)""",
+    "r_single_answers": _with(_PAYLOADS) + _ASKED + f""",
+{_FOUND}
+SELECT payload_id,
+  CASE error_code WHEN 'image_empty' THEN 400 WHEN 'invalid_base64' THEN 400 WHEN 'unsupported_format' THEN 415
+    WHEN 'unreadable_image' THEN 422 WHEN 'ocr_failed' THEN 500 ELSE 200 END AS http_status,
+  outcome, lang, threshold AS min_confidence, 'req_' || payload_id AS request_id,
+  CASE WHEN NOT fine THEN CAST(to_json(struct_pack(error := error_code, detail := CASE error_code
+    WHEN 'image_empty' THEN CASE WHEN endpoint = '/ocr' THEN 'Image file is empty' ELSE 'Image data is empty' END
+    WHEN 'invalid_base64' THEN 'Invalid base64 encoded image data'
+    WHEN 'unsupported_format' THEN 'Unsupported image format. Allowed: JPEG, PNG, BMP, TIFF, WebP'
+    WHEN 'unreadable_image' THEN CASE WHEN payload_id % 16 = 8 THEN 'Cannot process image: unreadable_image: cannot identify image file'
+                                      ELSE 'Cannot process image: unsupported_format' END
+    WHEN 'ocr_failed' THEN 'engine stopped at ' || n END, request_id := 'req_' || payload_id)) AS VARCHAR) END AS error_document,
+  CASE WHEN fine THEN 'success' END AS status, CASE WHEN fine THEN coalesce(total_lines, 0) END AS total_lines,
+  CASE WHEN fine THEN 'ch_PP-OCRv4_' || lang END AS model, split_part(texts, ',', 1) AS first_text
+FROM checked LEFT JOIN found USING (payload_id)""",
+    "m_answered": _with(_PAYLOADS) + _ASKED + """
+SELECT endpoint, lang, outcome AS status, count(*) AS value FROM checked WHERE outcome IS NOT NULL GROUP BY ALL""",
     "j_run_inferences": _with(_PAYLOADS)
     + f"""SELECT 'ch_PP-OCRv4_' || lang AS model, 'cpu' AS device, count(*) AS n FROM decoded
-WHERE decode_error IS NULL AND octet_length(bytes) BETWEEN 1 AND 10000 AND {_FORMAT.format(x="bytes")} IS NOT NULL
-  AND octet_length(bytes) % 17 != 0 GROUP BY lang""",
+WHERE decode_error IS NULL AND octet_length(bytes) > 0 AND {_FORMAT.format(x="bytes")} IS NOT NULL
+  AND payload_id % 16 != 8 AND octet_length(bytes) % 17 != 0 GROUP BY lang""",
     "s_batch_json": """WITH made AS (
   SELECT doc_id, CASE WHEN doc_id % 23 = 0 THEN [] ELSE string_split(text, chr(10)) END AS images,
     CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'auto' END AS lang,

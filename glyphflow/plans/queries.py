@@ -24,7 +24,7 @@ from glyphflow.functions.payload import (
 from glyphflow.functions.text import iso_z_format, iso_z_parse, job_id_of, ms_from_seconds
 from glyphflow.operators import batch, jobs, metrics, normalise, process, validate
 from glyphflow.operators.recognise import inference_calls
-from glyphflow.plans.tables import DOCUMENTS, EVENTS, LANGS, MODEL_TYPES, Tables, pick
+from glyphflow.plans.tables import DOCUMENTS, EVENTS, LANGS, MODEL_TYPES, Tables, hex_number, pick, reversed_hex
 from glyphflow.session import materialise, tune, work_folder
 from glyphflow.settings import Settings
 from glyphflow.sources import files, requests as request_source
@@ -317,27 +317,18 @@ def v_resize_plan(t: Tables) -> DataFrame:
     )
 
 
-def _hex_number(number: Column, digits: int) -> Column:
-    return F.lpad(F.hex(number), digits, "0")
-
-
-def _reversed_hex(number: Column) -> Column:
-    text = _hex_number(number, 8)
-    return F.concat(*[F.substring(text, i, 2) for i in (7, 5, 3, 1)])
-
-
 @query
 def v_dimensions(t: Tables) -> DataFrame:
     """Sizes read back from PNG, BMP and JPEG headers put before each document's text."""
     doc = F.col("doc_id")
     width, height = 1 + doc % 3000, 1 + F.col("n_chars") % 2000
     png_kind = F.substring(F.lit("000203040602"), (doc % 6 * 2 + 1).cast("int"), F.lit(2))
-    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), _hex_number(width, 8), _hex_number(height, 8),
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hex_number(width, 8), hex_number(height, 8),
                    F.lit("08"), png_kind, F.lit("000000"))
     stored = F.when(doc % 8 == 1, 2**32 - height).otherwise(height)
-    bmp = F.concat(F.lit("424D"), F.repeat(F.lit("00"), F.lit(16)), _reversed_hex(width), _reversed_hex(stored))
-    jpeg = F.concat(F.lit("FFD8FFE00008000000000000FFFE0006"), _hex_number(doc % 65536, 4), F.lit("C000FFC0001108"),
-                    _hex_number(height, 4), _hex_number(width, 4), F.lit("03"))
+    bmp = F.concat(F.lit("424D"), F.repeat(F.lit("00"), F.lit(16)), reversed_hex(width), reversed_hex(stored))
+    jpeg = F.concat(F.lit("FFD8FFE00008000000000000FFFE0006"), hex_number(doc % 65536, 4), F.lit("C000FFC0001108"),
+                    hex_number(height, 4), hex_number(width, 4), F.lit("03"))
     header = (
         F.when(doc % 4 == 0, png).when(doc % 4 == 1, bmp).when(doc % 4 == 2, jpeg)
         .when(doc % 8 == 3, F.lit("49492A00")).otherwise(F.lit("FFD8FFD9"))
@@ -609,11 +600,7 @@ def _processed(t: Tables) -> DataFrame:
         "payload", "lang",
         ((doc % 5) / 10).alias("min_confidence"),
     )
-    return process.process_job_images(images, digest_recogniser, SMALL_SETTINGS, dimensions=_vga)
-
-
-def _vga(content: Column) -> Column:
-    return F.struct(F.lit(640).alias("width"), F.lit(480).alias("height"))
+    return process.process_job_images(images, digest_recogniser, SETTINGS)
 
 
 def _answered(df: DataFrame, *columns: str) -> DataFrame:
@@ -621,6 +608,7 @@ def _answered(df: DataFrame, *columns: str) -> DataFrame:
         *columns,
         F.col("summary.total_lines"), F.col("summary.total_characters"), rounded("summary.avg_confidence"),
         F.array_join(F.transform("results", lambda r: r["text"]), ",").alias("texts"),
+        F.col("meta.image_width"), F.col("meta.image_height"),
     )
 
 
@@ -629,10 +617,41 @@ def r_single_requests(t: Tables) -> DataFrame:
     """The answer to every payload sent as a request of its own."""
     requests = t.payloads().withColumn("min_confidence", (F.col("payload_id") % 5) / 10)
     requests = requests.withColumn("include_polygon", F.col("payload_id") % 2 == 0)
-    done = process.process_single_requests(requests, digest_recogniser, SMALL_SETTINGS, dimensions=_vga)
+    done = process.process_single_requests(requests, digest_recogniser, SETTINGS)
     return _answered(done, "payload_id", "status", "error_code", "http_status", "error_detail")
 
 
+def _single_answers(t: Tables) -> DataFrame:
+    doc = F.col("payload_id")
+    requests = t.payloads().select(
+        F.concat(F.lit("req_"), doc.cast("string")).alias("request_id"), "payload_id", "endpoint", "payload", "content",
+        F.when(doc % 3 == 0, F.lit("")).when(doc % 3 == 1, F.lit("de")).alias("x_lang"), F.col("lang").alias("body_lang"),
+        F.when(doc % 4 == 0, 0.0).when(doc % 4 == 1, 0.6).alias("x_min_confidence"), ((doc % 5) / 10).alias("body_min_confidence"),
+    )
+    return process.answer_single_requests(requests, digest_recogniser, SETTINGS)
+
+
+@query
+def r_single_answers(t: Tables) -> DataFrame:
+    """The answer document of every payload sent as a request with headers and body values."""
+    done = _single_answers(t)
+    field = lambda path: F.get_json_object("answer", path)
+    return done.select(
+        "payload_id", "http_status", "outcome", "lang", "min_confidence", field("$.request_id").alias("request_id"),
+        F.when(F.col("error_code").isNotNull(), F.col("answer")).alias("error_document"),
+        field("$.status").alias("status"), field("$.summary.total_lines").cast("long").alias("total_lines"),
+        field("$.meta.model").alias("model"), field("$.results[0].text").alias("first_text"),
+    )
+
+
+@query
+def m_answered(t: Tables) -> DataFrame:
+    """Requests counted by the outcome that answering them produced."""
+    # Filtered after the count: the optimizer would repeat the error rules in a filter before it.
+    counted = metrics.count_requests(_single_answers(t).withColumn("status", F.col("outcome")))
+    return counted.where(metrics.is_metered(F.col("status")))
+
+
 @query
 def b_batch_run(t: Tables) -> DataFrame:
     """Every payload as an item of a batch of ten: outcome per item."""
@@ -641,7 +660,7 @@ def b_batch_run(t: Tables) -> DataFrame:
         F.floor(doc / 10).alias("batch_id"), (doc % 10).cast("int").alias("idx"), "payload", "content", "lang",
         ((doc % 5) / 10).alias("min_confidence"), F.lit(True).alias("include_polygon"),
     )
-    done = process.process_batch_items(items, digest_recogniser, SMALL_SETTINGS, dimensions=_vga)
+    done = process.process_batch_items(items, digest_recogniser, SETTINGS)
     return _answered(done, "batch_id", "idx", "status", "error")
 
 
@@ -654,7 +673,7 @@ def j_run(t: Tables) -> DataFrame:
 @query
 def j_run_inferences(t: Tables) -> DataFrame:
     """Model calls that succeeded, by model and device."""
-    calls = inference_calls(_processed(t), SMALL_SETTINGS)
+    calls = inference_calls(_processed(t), SETTINGS)
     return calls.groupBy("model", "device").agg(F.count(F.lit(1)).alias("n"))
 
 

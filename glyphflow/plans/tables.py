@@ -13,7 +13,7 @@ from glyphflow.schemas import POLYGON, RAW_PAGES
 
 LANGS = ["en", "de", "fr", "es"]
 MODEL_TYPES = ["det", "rec", "cls", "combined"]
-# Leading bytes of the derived payloads, by doc_id % 8.
+# Leading bytes of the derived payloads, by doc_id % 8; the first three go on as headers.
 PAYLOAD_SIGNATURES = [
     "FFD8FF", "89504E47", "424D", "49492A00", "4D4D002A", "524946460000000057454250", "524946460000000057415645", "",
 ]
@@ -39,6 +39,15 @@ def pick(names: list[str], number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (number % len(names) + 1).cast("int"))
 
 
+def hex_number(number: Column, digits: int) -> Column:
+    return F.lpad(F.hex(number), digits, "0")
+
+
+def reversed_hex(number: Column) -> Column:
+    text = hex_number(number, 8)
+    return F.concat(*[F.substring(text, i, 2) for i in (7, 5, 3, 1)])
+
+
 def corners(x0: Column, y0: Column, x1: Column, y1: Column, all_four: Column) -> Column:
     """Polygon of a box; only its first three points unless `all_four`."""
     points = [F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1)]
@@ -124,9 +133,17 @@ class Tables:
         )
 
     def payloads(self) -> DataFrame:
+        """Documents as image contents: a header by doc_id % 8, then the text. Every other JPEG has a broken header."""
         doc = F.col("doc_id")
-        signature = F.unhex(pick(PAYLOAD_SIGNATURES, doc))
-        content = F.concat(signature, F.encode("text", "utf-8"))
+        width, height = 1 + doc % 3000, 1 + F.col("n_chars") % 2000
+        jpeg = F.concat(F.lit("FFD8FFC0001108"), hex_number(height, 4), hex_number(width, 4), F.lit("03"))
+        png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hex_number(width, 8), hex_number(height, 8), F.lit("0802000000"))
+        bmp = F.concat(F.lit("424D"), F.repeat(F.lit("00"), F.lit(16)), reversed_hex(width), reversed_hex(height))
+        header = (
+            F.when(doc % 16 == 8, F.lit("FFD8FFD9")).when(doc % 8 == 0, jpeg).when(doc % 8 == 1, png).when(doc % 8 == 2, bmp)
+            .otherwise(pick(PAYLOAD_SIGNATURES, doc))
+        )
+        content = F.concat(F.unhex(header), F.encode("text", "utf-8"))
         encoded = F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))
         payload = (
             F.when(doc % 10 == 0, F.concat(F.lit("data:image/jpeg;base64,"), encoded))

@@ -87,6 +87,9 @@ LEGAL_TRANSITIONS = [
     (RUNNING, CANCELLED),
 ]
 
+# Errors after which a single request is counted; size checks and failed model calls are not.
+COUNTED_ERRORS = ["unsupported_format", "invalid_base64", "unreadable_image"]
+
 # Fixed values: (endpoint, error code, HTTP status, detail). {mb}, {size} and {message} are filled per row.
 ERROR_RULES = [
     ("/ocr", "image_empty", 400, "Image file is empty"),

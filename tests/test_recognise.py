@@ -1,10 +1,17 @@
 import base64
+import json
 import os
 import struct
 
 from pyspark.sql import functions as F
 
-from glyphflow.operators.process import process_batch_items, process_job_images, process_single_requests, run_images
+from glyphflow.operators.process import (
+    answer_single_requests,
+    process_batch_items,
+    process_job_images,
+    process_single_requests,
+    run_images,
+)
 from glyphflow.operators.recognise import inference_calls, recognise
 from glyphflow.settings import Settings
 
@@ -166,3 +173,32 @@ def test_rows_are_dealt_to_the_tasks_asked_for(spark):
     df = spark.range(40).coalesce(1).select("id", F.lit(b"good").alias("content"))
     out = recognise(df, odd_factory, tasks=5)
     assert out.rdd.getNumPartitions() == 5 and out.count() == 40
+
+
+def test_whole_requests_are_answered_with_documents(spark):
+    text = lambda b: base64.b64encode(b).decode()
+    rows = [
+        ("r0", "/ocr", None, bytearray(picture(16, 8)), "de", None, None, None),
+        ("r1", "/ocr", None, bytearray(b"xx"), "", 0.9, None, None),
+        ("r2", "/ocr/json", text(picture(16, 8)), None, "", 0.0, "fr", 0.8),
+        ("r3", "/ocr/json", "Q", None, None, None, None, 0.0),
+        ("r4", "/ocr", None, bytearray(), None, None, None, None),
+        ("r5", "/ocr", None, bytearray(picture(16, 8, b"odd")), None, None, None, None),
+        ("r6", "/ocr", None, bytearray(picture(16, 8, b"bad")), None, None, None, None),
+    ]
+    schema = "request_id string, endpoint string, payload string, content binary, x_lang string, x_min_confidence double, body_lang string, body_min_confidence double"
+
+    def sometimes_odd():
+        engine = factory()
+        return lambda data: [[[BOX, ("too sure", 1.2)]]] if data.endswith(b"odd") else engine(data)
+
+    out = answer_single_requests(spark.createDataFrame(rows, schema), sometimes_odd, Settings())
+    got = {r["request_id"]: r for r in out.collect()}
+    answers = {k: json.loads(r["answer"]) for k, r in got.items()}
+    assert [got[f"r{i}"]["http_status"] for i in range(7)] == [200, 415, 200, 400, 400, 422, 500]
+    assert [got[f"r{i}"]["outcome"] for i in range(7)] == ["success", "error", "success", "error", None, "error", None]
+    assert (answers["r0"]["meta"]["lang"], answers["r2"]["meta"]["lang"]) == ("de", "fr")
+    assert [r["text"] for r in answers["r2"]["results"]] == ["plain"]  # the body's threshold counts when the header is 0
+    assert answers["r1"] == {"error": "unsupported_format", "detail": "Unsupported image format. Allowed: JPEG, PNG, BMP, TIFF, WebP", "request_id": "r1"}
+    assert answers["r5"]["error"] == "unreadable_image" and answers["r5"]["detail"] == "Cannot process image: confidence_range"
+    assert all(set(answers[k]) == {"error", "detail", "request_id"} for k in ("r1", "r3", "r4", "r5", "r6"))
