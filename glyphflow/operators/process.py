@@ -8,19 +8,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from glyphflow.functions.geometry import plan_resize
 from glyphflow.functions.payload import decode_base64, detect_format, probe_dimensions
-from glyphflow.operators.batch import item_error
+from glyphflow.operators.batch import item_error, rollup_status, with_item_names
 from glyphflow.operators.normalise import build_error, build_response, normalise_images
 from glyphflow.operators.recognise import Recogniser, recognise
 from glyphflow.operators.validate import (
     classify_errors,
     confidence_out_of_range,
     error_code_of_text,
+    gate_detail,
+    gate_of_size,
     resolve_lang,
     resolve_min_confidence,
     validation_error,
 )
+from glyphflow.schemas import BATCH_ITEM
 from glyphflow.settings import COUNTED_ERRORS, Settings
-from glyphflow.sources.sinks import answer_json
+from glyphflow.sources.sinks import answer_json, response_json
 
 Dimensions = Callable[[Column], Column]
 
@@ -151,6 +154,44 @@ def process_batch_items(
     )
 
 
+def answer_batches(
+    items: DataFrame, factory: Callable[[], Recogniser], settings: Settings, *, is_json: bool = True, **options
+) -> DataFrame:
+    """The answer to every batch request: batch_id, n_images, status, http_status and `answer` as JSON.
+
+    Expects batch_id, idx, filename, payload or content, lang, min_confidence
+    and include_polygon. A batch above the limit is rejected as a whole with an
+    error document; the others list their items in order, each with its
+    response or its error. Oversize batches are found without reading contents;
+    a document holds at most the batch limit of items.
+    """
+    sizes = items.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_images"))
+    code = gate_of_size(F.col("n_images"), settings)
+    oversize = sizes.where(code.isNotNull())
+    accepted = with_item_names(items).join(oversize.select("batch_id"), "batch_id", "left_anti")
+    done = process_batch_items(accepted, factory, settings, is_json=is_json, **options)
+    request_id = F.col("batch_id").cast("string")
+    data = F.when(F.col("error").isNull(), build_response(request_id, settings=settings))
+    item = F.struct("filename", "status", data.alias("data"), "error").cast(BATCH_ITEM)
+    packed = done.select("batch_id", "idx", "status", item.alias("item")).groupBy("batch_id").agg(
+        F.array_sort(F.collect_list(F.struct("idx", "item"))).alias("items"),
+        F.count(F.lit(1)).alias("n_images"),
+        F.count_if(F.col("status") == "success").alias("n_success"),
+    )
+    status = rollup_status(F.col("n_success"), F.col("n_images") - F.col("n_success"))
+    document = F.struct(
+        request_id.alias("request_id"), F.col("status"), F.transform("items", lambda x: x["item"]).alias("results")
+    )
+    answered = packed.withColumn("status", status).select(
+        "batch_id", "n_images", "status", F.lit(200).alias("http_status"), response_json(document).alias("answer")
+    )
+    error = build_error(request_id, code, gate_detail(F.col("n_images"), settings))
+    rejected = oversize.select(
+        "batch_id", "n_images", F.lit("rejected").alias("status"), F.lit(400).alias("http_status"), response_json(error).alias("answer")
+    )
+    return answered.unionByName(rejected)
+
+
 def process_job_images(
     job_images: DataFrame, factory: Callable[[], Recogniser], settings: Settings, **options
 ) -> DataFrame:

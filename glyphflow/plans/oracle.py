@@ -604,6 +604,31 @@ SELECT 'job_' || (payload_id // 10) AS job_id, CAST(payload_id % 10 AS INTEGER)
   'image_' || (payload_id % 10) AS filename, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error,
   {_ANSWER}
 FROM checked LEFT JOIN found USING (payload_id)""",
+    "b_documents": _with(_PAYLOADS)
+    + f""", texts AS (
+  SELECT payload_id, iw, ih, bytes AS b, octet_length(bytes) AS n, (payload_id % 5) / 10 AS threshold, CASE
+    WHEN decode_error IS NOT NULL THEN 'Image processing error: ' || decode_error
+    WHEN coalesce(octet_length(bytes), 0) = 0 THEN 'Image data is empty'
+    WHEN {_FORMAT.format(x="bytes")} IS NULL THEN 'Image processing error: unsupported_format'
+    WHEN payload_id % 16 = 8 THEN 'Image processing error: unreadable_image: cannot identify image file'
+    WHEN octet_length(bytes) % 17 = 0 THEN 'engine stopped at ' || octet_length(bytes) END AS error
+  FROM decoded),
+checked AS (SELECT *, error IS NULL AS fine FROM texts),
+{_FOUND},
+listed AS (SELECT CASE WHEN payload_id < 60 THEN payload_id // 30 ELSE payload_id // 10 END AS batch_id,
+  CASE WHEN payload_id < 60 THEN payload_id % 30 ELSE payload_id % 10 END AS idx, payload_id, fine, error, coalesce(total_lines, 0) AS total_lines
+  FROM checked LEFT JOIN found USING (payload_id)),
+named AS (SELECT *, CASE WHEN payload_id % 3 = 0 THEN 'file_' || payload_id ELSE 'image_' || idx END AS filename FROM listed),
+packed AS (SELECT batch_id, count(*) AS n_images, count(*) FILTER (fine) AS n_success,
+  string_agg(CASE WHEN fine THEN filename || '|success|' || batch_id || '|' || total_lines ELSE filename || '|error|' || error END, ';' ORDER BY idx) AS results
+  FROM named GROUP BY batch_id)
+SELECT batch_id, n_images,
+  CASE WHEN n_images > 20 THEN 'rejected' WHEN n_success = n_images THEN 'success' WHEN n_success > 0 THEN 'partial' ELSE 'error' END AS status,
+  CASE WHEN n_images > 20 THEN 400 ELSE 200 END AS http_status, CAST(batch_id AS VARCHAR) AS request_id,
+  CASE WHEN n_images > 20 THEN 'batch_too_large' END AS error,
+  CASE WHEN n_images > 20 THEN 'Batch size ' || n_images || ' exceeds maximum 20' END AS detail,
+  CASE WHEN n_images <= 20 THEN results END AS results
+FROM packed""",
     "b_batch_run": _with(_PAYLOADS)
     + f""", texts AS (
   SELECT payload_id, iw, ih, bytes AS b, octet_length(bytes) AS n, (payload_id % 5) / 10 AS threshold, CASE

@@ -664,6 +664,26 @@ def b_batch_run(t: Tables) -> DataFrame:
     return _answered(done, "batch_id", "idx", "status", "error")
 
 
+@query
+def b_documents(t: Tables) -> DataFrame:
+    """The answer document of every batch of payloads; the first batches are above the limit."""
+    doc = F.col("payload_id")
+    items = t.payloads().select(
+        F.when(doc < 60, F.floor(doc / 30)).otherwise(F.floor(doc / 10)).alias("batch_id"),
+        F.when(doc < 60, doc % 30).otherwise(doc % 10).cast("int").alias("idx"),
+        F.when(doc % 3 == 0, F.concat(F.lit("file_"), doc.cast("string"))).alias("filename"), "payload", "content", "lang",
+        ((doc % 5) / 10).alias("min_confidence"), F.lit(True).alias("include_polygon"),
+    )
+    done = process.answer_batches(items, digest_recogniser, SETTINGS)
+    field = lambda path: F.get_json_object("answer", path)
+    parsed = F.from_json("answer", "results array<struct<filename:string,status:string,data:struct<request_id:string,summary:struct<total_lines:bigint>>,error:string>>")
+    listed = F.transform(parsed["results"], lambda r: F.concat_ws("|", r["filename"], r["status"], r["data"]["request_id"], r["data"]["summary"]["total_lines"].cast("string"), r["error"]))
+    return done.select(
+        "batch_id", "n_images", "status", "http_status", field("$.request_id").alias("request_id"), field("$.error").alias("error"),
+        field("$.detail").alias("detail"), F.array_join(listed, ";").alias("results"),
+    )
+
+
 @query
 def j_run(t: Tables) -> DataFrame:
     """Every payload decoded, validated, recognised and normalised."""
