@@ -742,5 +742,14 @@ ranked AS (
 SELECT 'b' || (n % 14) AS batch_id, idx, CASE WHEN n % 2 = 0 THEN printf('f%03d', n) ELSE 'image_' || idx END AS filename,
   octet_length(encode(body)) + 1 AS length, n_images, md5(body || chr(10)) AS content_md5
 FROM ranked WHERE n_images <= 20""",
+    "x_create": f"""WITH sized AS (
+  SELECT 'job_' || o_custkey AS job_id, count(*) AS n,
+         md5(string_agg(to_base64(encode('img_' || o_orderkey)), ',' ORDER BY o_orderkey)) AS images_md5 FROM orders GROUP BY o_custkey),
+timed AS (SELECT *, TIMESTAMP '2024-01-30 12:00:00' + to_minutes(CAST(2 * n AS BIGINT)) AS done FROM sized)
+SELECT job_id, CASE WHEN n <= 20 THEN 'queued' END AS status, CASE WHEN n <= 20 THEN '/ocr/jobs/' || job_id END AS status_url,
+  CASE WHEN n <= 20 THEN {_iso("done")} END AS estimated_completion, CASE WHEN n <= 20 THEN 'auto' END AS lang,
+  CASE WHEN n <= 20 THEN n END AS total, CASE WHEN n <= 20 THEN n END AS n_stored, CASE WHEN n <= 20 THEN images_md5 END AS images_md5,
+  CASE WHEN n <= 20 THEN 202 ELSE 400 END AS http_status, CASE WHEN n > 20 THEN 'batch_too_large' END AS error_code,
+  CASE WHEN n > 20 THEN 'Batch size ' || n || ' exceeds maximum 20' END AS error_detail FROM timed""",
     "x_submit": _with(_EVENTS) + "SELECT DISTINCT job_id FROM job_events WHERE kind = 'queued'",
 }

@@ -835,3 +835,26 @@ def x_submit(t: Tables) -> DataFrame:
     folder = work_folder(t.spark, "submitted")
     run_batches(events, stream_jobs.submitted_once(t.spark, folder), f"{folder}/checkpoint").awaitTermination()
     return read_batches(t.spark, f"{folder}/submitted", "job_id string")
+
+
+@query
+def x_create(t: Tables) -> DataFrame:
+    """Job requests written as JSON, submitted on a stream, and turned into headers, images and rejections."""
+    item = F.struct("image_id", "payload")
+    packed = t.job_items().groupBy("job_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    folder = work_folder(t.spark, "submissions")
+    body = packed.select(F.col("job_id").alias("request_id"), F.transform("items", lambda i: i["payload"]).alias("images"))
+    body.write.json(f"{folder}/in")
+    stream = request_source.stream_submissions(t.spark, f"{folder}/in", t.files_per_trigger)
+    submitted = run_to_files(stream, "submitted-jobs")
+    requests = submitted.select(F.col("request_id").alias("job_id"), F.lit(AS_OF).cast("timestamp").alias("created_at"), "images", "lang")
+    headers, images, rejected = jobs.create_jobs(requests, SETTINGS)
+    stored = images.groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("n_stored"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "payload"))), lambda i: i["payload"]), ",")).alias("images_md5"),
+    )
+    answered = headers.join(stored, "job_id", "left").select(
+        "job_id", "status", "status_url", iso_z_format(F.col("estimated_completion")).alias("estimated_completion"), "lang", "total", "n_stored", "images_md5",
+        F.lit(202).alias("http_status"),
+    )
+    return answered.unionByName(rejected, allowMissingColumns=True)

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import shutil
 import time
 
 import pytest
@@ -137,6 +138,7 @@ def test_answers_do_not_depend_on_micro_batches(spark, tmp_path, name):
             part = rows[i * len(rows) // 12:(i + 1) * len(rows) // 12]
             spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{table}.parquet")
             time.sleep(0.01)
+    shutil.copy(f"{source}/orders.parquet", tmp_path)
     build = queries_module.__dict__[name]
     tune(spark)
     many = build(queries_module.Tables(spark, str(tmp_path), files_per_trigger=1))
