@@ -84,7 +84,7 @@ def item_error(
         )
         .when(
             content_length > settings.size_limit,
-            F.lit(f"Image exceeds maximum size of {settings.max_image_size_mb}MB"),
+            F.lit(f"Image exceeds maximum size of {settings.size_limit_text}"),
         )
         .when(validation_message.isNotNull(), F.concat(F.lit("Image processing error: "), validation_message))
         .when(ocr_code.isNotNull(), F.coalesce(ocr_message, F.lit("OCR failed")))

@@ -114,7 +114,7 @@ def classify_errors(
     ruled = df.withColumn("_rule", F.when(F.col("error_code").isNotNull(), rule))
     detail = F.col("_rule.template")
     for mark, value in [
-        ("{mb}", F.lit(str(settings.max_image_size_mb))),
+        ("{limit_text}", F.lit(settings.size_limit_text)),
         ("{limit}", F.lit(str(settings.size_limit))),
         ("{size}", F.coalesce(F.col(size).cast("string"), F.lit("0"))),
         ("{message}", F.coalesce(F.col(message), F.lit(""))),

@@ -413,7 +413,7 @@ texts AS (
     WHEN e IS NOT NULL THEN 'Image processing error: ' || e
     WHEN coalesce(octet_length(b), 0) = 0
       THEN CASE WHEN endpoint = '/ocr/json' THEN 'Image data is empty' ELSE 'Image file is empty' END
-    WHEN octet_length(b) > 10000 THEN 'Image exceeds maximum size of 20MB'
+    WHEN octet_length(b) > 10000 THEN 'Image exceeds maximum size of 10000 bytes'
     WHEN {_FORMAT.format(x="b")} IS NULL THEN 'Image processing error: unsupported_format'
     WHEN payload_id % 17 = 0 THEN CASE WHEN payload_id % 2 = 0 THEN 'engine stopped' ELSE 'OCR failed' END
     WHEN payload_id % 19 = 0 THEN 'Unexpected error: disk gone' END AS error
@@ -464,7 +464,7 @@ SELECT payload_id, endpoint,
     WHEN 'image_empty' THEN CASE WHEN endpoint = '/ocr' THEN 'Image file is empty' ELSE 'Image data is empty' END
     WHEN 'invalid_base64' THEN 'Invalid base64 encoded image data'
     WHEN 'file_too_large' THEN CASE WHEN endpoint = '/ocr' THEN 'Image size ' || octet_length(b) || ' exceeds maximum 10000'
-                                    ELSE 'Image size exceeds maximum 20MB' END
+                                    ELSE 'Image size exceeds maximum 10000 bytes' END
     WHEN 'unsupported_format' THEN 'Unsupported image format. Allowed: JPEG, PNG, BMP, TIFF, WebP'
     WHEN 'unreadable_image' THEN 'Cannot process image: ' || message END AS error_detail
 FROM codes""",

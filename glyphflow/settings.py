@@ -31,6 +31,11 @@ class Settings:
             return self.max_image_bytes
         return self.max_image_size_mb * 1024 * 1024
 
+    @property
+    def size_limit_text(self) -> str:
+        """The limit as answers name it."""
+        return f"{self.max_image_size_mb}MB" if self.max_image_bytes is None else f"{self.max_image_bytes} bytes"
+
 
 # First bytes and the format they announce. "RIFF" needs a second test.
 SIGNATURES = [
@@ -90,7 +95,7 @@ LEGAL_TRANSITIONS = [
 # Errors after which a single request is counted; size checks and failed model calls are not.
 COUNTED_ERRORS = ["unsupported_format", "invalid_base64", "unreadable_image"]
 
-# Fixed values: (endpoint, error code, HTTP status, detail). {mb}, {size} and {message} are filled per row.
+# Fixed values: (endpoint, error code, HTTP status, detail). {limit}, {limit_text}, {size} and {message} are filled per row.
 ERROR_RULES = [
     ("/ocr", "image_empty", 400, "Image file is empty"),
     ("/ocr", "file_too_large", 413, "Image size {size} exceeds maximum {limit}"),
@@ -100,7 +105,7 @@ ERROR_RULES = [
     ("/ocr", "internal_error", 500, "Internal server error during OCR processing"),
     ("/ocr/json", "image_empty", 400, "Image data is empty"),
     ("/ocr/json", "invalid_base64", 400, "Invalid base64 encoded image data"),
-    ("/ocr/json", "file_too_large", 413, "Image size exceeds maximum {mb}MB"),
+    ("/ocr/json", "file_too_large", 413, "Image size exceeds maximum {limit_text}"),
     ("/ocr/json", "unreadable_image", 422, "Cannot process image: {message}"),
     ("/ocr/json", "ocr_failed", 500, "{message}"),
     ("/ocr/json", "internal_error", 500, "Internal server error during OCR processing"),

@@ -125,3 +125,9 @@ def test_output_violations(spark):
     ).first()
     assert row[0] == []
     assert row[1] == ["confidence_range", "avg_confidence_range", "negative_size", "bbox_length"]
+
+
+def test_limit_text_follows_the_limit():
+    assert (S.size_limit, S.size_limit_text) == (20 * 1024 * 1024, "20MB")
+    small = Settings(max_image_bytes=10_000)
+    assert (small.size_limit, small.size_limit_text) == (10_000, "10000 bytes")
