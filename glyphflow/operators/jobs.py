@@ -209,9 +209,9 @@ def not_found_detail(job_id: Column) -> Column:
 
 
 def cancel_jobs(ids: DataFrame, state: DataFrame) -> DataFrame:
-    """Outcome of cancel requests: cancelled, cannot_cancel or job_not_found."""
+    """Outcome of cancel requests: cancelled (with the job's creation time), cannot_cancel or job_not_found."""
     status = F.col("status")
-    found = lookup_jobs(ids, state.select("job_id", "status"))
+    found = lookup_jobs(ids, state.select("job_id", "status", "created_at"))
     code = F.when(status.isNull(), F.lit("job_not_found")).when(
         ~status.isin(QUEUED, RUNNING), F.lit("cannot_cancel")
     )
@@ -223,6 +223,7 @@ def cancel_jobs(ids: DataFrame, state: DataFrame) -> DataFrame:
     return found.select(
         "job_id",
         F.when(code.isNull(), F.lit(CANCELLED)).otherwise(status).alias("status"),
+        F.when(code.isNull(), iso_z_format(F.col("created_at"))).alias("created_at"),
         code.alias("error_code"),
         detail.alias("error_detail"),
         http.alias("http_status"),

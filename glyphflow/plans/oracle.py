@@ -553,8 +553,9 @@ SELECT *, CASE WHEN n_error = 0 THEN 'completed' ELSE 'failed' END AS status,
     + """SELECT job_id, idx, image_id FROM accepted
 WHERE job_id IN (SELECT job_id FROM state WHERE status = 'running') AND image_id % 3 = 0""",
     "j_cancel": _with(_EVENTS, _STATE)
-    + """, asked AS (SELECT 'job_' || c_custkey AS job_id FROM customer)
+    + f""", asked AS (SELECT 'job_' || c_custkey AS job_id FROM customer)
 SELECT job_id, CASE WHEN status IN ('queued', 'running') THEN 'cancelled' ELSE status END AS status,
+  CASE WHEN status IN ('queued', 'running') THEN {_iso("created_at")} END AS created_at,
   CASE WHEN status IS NULL THEN 'job_not_found' WHEN status NOT IN ('queued', 'running') THEN 'cannot_cancel' END AS error_code,
   CASE WHEN status IS NULL THEN 'Job ' || job_id || ' not found'
        WHEN status NOT IN ('queued', 'running') THEN 'Job with status ''' || status || ''' cannot be cancelled' END AS error_detail,

@@ -94,13 +94,13 @@ def test_create_jobs(spark):
 
 
 def test_cancel_and_lookup(spark):
-    state = spark.createDataFrame([(f"job_{s}", s) for s in JOB_STATES], "job_id string, status string")
+    state = spark.createDataFrame([(f"job_{s}", s, T0) for s in JOB_STATES], "job_id string, status string, created_at timestamp")
     ids = spark.createDataFrame([(f"job_{s}",) for s in [*JOB_STATES, "nobody"]], "job_id string")
     got = {r["job_id"]: tuple(r)[1:] for r in j.cancel_jobs(ids, state).collect()}
-    assert got["job_queued"] == got["job_running"] == ("cancelled", None, None, 200)
-    assert got["job_failed"] == ("failed", "cannot_cancel", "Job with status 'failed' cannot be cancelled", 400)
-    assert got["job_cancelled"][1:] == ("cannot_cancel", "Job with status 'cancelled' cannot be cancelled", 400)
-    assert got["job_nobody"] == (None, "job_not_found", "Job job_nobody not found", 404)
+    assert got["job_queued"] == got["job_running"] == ("cancelled", "2024-01-01T00:00:00Z", None, None, 200)
+    assert got["job_failed"] == ("failed", None, "cannot_cancel", "Job with status 'failed' cannot be cancelled", 400)
+    assert got["job_cancelled"][1:] == (None, "cannot_cancel", "Job with status 'cancelled' cannot be cancelled", 400)
+    assert got["job_nobody"] == (None, None, "job_not_found", "Job job_nobody not found", 404)
     events = j.cancel_events(j.cancel_jobs(ids, state), F.lit(9).cast("bigint"), F.lit(T0))
     assert {(r["job_id"], r["kind"]) for r in events.collect()} == {("job_queued", "cancelled"), ("job_running", "cancelled")}
     assert j.lookup_job(state, "job_failed").count() == 1 and j.lookup_job(state, "x").count() == 0
