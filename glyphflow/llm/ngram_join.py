@@ -14,13 +14,13 @@ occurs, rarest first: frequent passages come last, and lists stay short.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import math
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +31,9 @@ from glyphflow.llm.frames import sent_if_small, small_batches, stored
 
 # Rows of an Arrow batch: two sets of a pair travel in one row.
 PAIRS_PER_BATCH = 256
+# Cells of the sketch in a row, and tasks whose sketches are added up at once.
+CHUNK_CELLS = 1 << 14
+TEAM_TASKS = 256
 
 
 @dataclass(frozen=True)
@@ -40,7 +43,7 @@ class Rules:
     size: int = 5
     percent: int = 80
     # Cells of the count sketch, which only orders tokens.
-    sketch_bits: int = 17
+    sketch_bits: int = 20
     # Documents to compare up to this number (about 20 bytes each) are sent to all tasks, more are joined by shuffle.
     max_sent_rows: int = 500_000
 
@@ -72,21 +75,31 @@ def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 def _sketch(docs: DataFrame, rules: Rules) -> np.ndarray:
     """Occurrences of the tokens of each cell, over all documents."""
     cells = 1 << rules.sketch_bits
+    chunk = min(cells, CHUNK_CELLS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(cells, np.int64)
         for part in W.slices(batches, "text"):
             values, _ = shingles(part.column(0), rules.size)
             counts += np.bincount((values & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-        full = np.flatnonzero(counts)
-        for at in range(0, len(full), 1 << 16):
-            some = full[at:at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], ["cell", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        team = TaskContext.get().partitionId() // TEAM_TASKS
+        for n, at in enumerate(range(0, cells, chunk)):
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([team], pa.int32()), pa.array([counts[at:at + chunk].tobytes()])], ["chunk", "team", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(chunk, np.int64)
+        for counts in table.column("counts"):
+            total += np.frombuffer(counts.as_buffer(), np.int64)
+        return pa.table([table.column("chunk")[:1], table.column("team")[:1], pa.array([total.tobytes()], pa.binary())], ["chunk", "team", "counts"])
+
+    schema = "chunk int, team int, counts binary"
+    sums = docs.select("text").mapInArrow(count, schema)
+    # Tasks are added up in teams first, then the teams.
+    for keys in (["chunk", "team"], ["chunk"]):
+        sums = sums.groupBy(*keys).applyInArrow(add, schema)
     sketch = np.zeros(cells, np.int64)
-    found = rows.toPandas()  # at most one row for each cell
-    sketch[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    for row in sums.collect():  # one row for each chunk of cells
+        sketch[row["chunk"] * chunk:(row["chunk"] + 1) * chunk] = np.frombuffer(row["counts"], np.int64)
     return sketch
 
 
