@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
@@ -27,15 +28,24 @@ from pyspark.sql import types as T
 from glyphflow.llm import words as W
 from glyphflow.llm.frames import small_batches
 
-# States and pieces a worker remembers at most: a bound on memory, not on inputs.
-MAX_STATES = 250_000
-MAX_PIECES = 500_000
-# Steps outside the remembered states before they are learnt anew, as the texts have changed.
-MAX_MISSED = 2_000_000
 # Bytes left of a piece from which it is finished without remembering states.
 MAX_FINISH = 24
 
 
+@dataclass(frozen=True)
+class Memory:
+    """What a worker remembers at most: states, twice as many pieces as told, and the steps outside the
+    remembered states before they are learnt anew. A bound on memory, not on inputs; the default takes about 400 MB."""
+
+    states: int = 300_000
+    pieces: int = 600_000
+    missed: int = 2_000_000
+
+
+# For workers that also run other operators.
+SMALL = Memory(states=60_000, pieces=100_000)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to rank, from a file of base64 tokens and ranks."""
     with open(path, "rb") as lines:
@@ -61,8 +71,9 @@ class State:
 class Transducer:
     """Encodes byte pieces by merge ranks; equal to merging the lowest rank first."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], memory: Memory):
         self.ranks = ranks
+        self.memory = memory
         self.tokens = {rank: token for token, rank in ranks.items()}
         # Proper prefixes of tokens: bytes from which a longer token may still come.
         self.growing = {token[:n] for token in ranks for n in range(1, len(token))}
@@ -82,7 +93,7 @@ class Transducer:
         if state is None:
             state = State(self.count, open_bytes, ends, lasts, parents)
             self.count += 1
-            if len(self.states) < MAX_STATES:
+            if len(self.states) < self.memory.states:
                 self.states[key] = state
         return state
 
@@ -186,18 +197,18 @@ class Transducer:
 
     def piece(self, data: bytes) -> list[int]:
         """Token ids of one piece."""
-        if self.missed > MAX_MISSED:
+        if self.missed > self.memory.missed:
             self.forget()
-        state, out, moves = self.start, [], self.moves
+        state, out, moves, most = self.start, [], self.moves, self.memory.states
         for at, byte in enumerate(data):
             move = moves.get(state.number | byte)
             if move is None:
-                if len(self.states) >= MAX_STATES:
+                if len(self.states) >= most:
                     self.missed += 1
                     if len(data) - at <= MAX_FINISH:
                         return out + self._finish(state, data[at:])
                 move = self._step(state, byte)
-                if len(self.states) < MAX_STATES:
+                if len(self.states) < most:
                     moves[state.number | byte] = move
             if move.__class__ is tuple:
                 state, final = move
@@ -212,8 +223,9 @@ class Transducer:
 class Codec:
     """Texts to ids and back, with a bounded memory of pieces."""
 
-    def __init__(self, path: str, pattern: str):
-        self.transducer = Transducer(read_ranks(path))
+    def __init__(self, path: str, pattern: str, memory: Memory = SMALL):
+        self.memory = memory
+        self.transducer = Transducer(read_ranks(path), memory)
         self.find = regex.compile(pattern).findall
         # Pieces met lately, and those before them: when the first are many they become the second.
         self.pieces: dict[str, list[int]] = {}
@@ -221,19 +233,17 @@ class Codec:
         self.bytes_of = [self.transducer.tokens.get(i, b"") for i in range(max(self.transducer.tokens) + 1)]
 
     def encode(self, text: str) -> list[int]:
-        known, out = self.pieces.get, []
-        for piece in self.find(text):
-            ids = known(piece)
+        pieces = self.find(text)
+        found = list(map(self.pieces.get, pieces))
+        for i, ids in enumerate(found):
             if ids is None:
-                ids = self._learn(piece)
-                known = self.pieces.get
-            out += ids
-        return out
+                found[i] = self.pieces.get(pieces[i]) or self._learn(pieces[i])
+        return list(chain.from_iterable(found))
 
     def _learn(self, piece: str) -> list[int]:
         ids = self.older.get(piece) or self.transducer.piece(piece.encode())
         if len(piece) <= 64:  # long pieces hardly come twice, and would fill the memory
-            if len(self.pieces) >= MAX_PIECES:
+            if len(self.pieces) >= self.memory.pieces:
                 self.older, self.pieces = self.pieces, {}
             self.pieces[piece] = ids
         return ids
@@ -279,10 +289,10 @@ class Utf8:
         return rest.decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> Codec:
+@lru_cache(maxsize=1)
+def codec(path: str, pattern: str, memory: Memory = SMALL) -> Codec:
     """One codec for each worker process."""
-    return Codec(path, pattern)
+    return Codec(path, pattern, memory)
 
 
 def _lists(rows: list[list[int]]) -> pa.Array:
@@ -291,20 +301,20 @@ def _lists(rows: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", memory: Memory = SMALL) -> DataFrame:
     """Key, `ids` array<int> and `decoded` binary, one row for each input row.
 
     Every match of `pattern` is encoded by itself, special tokens are ordinary
     text. A null or empty text has no ids and decodes to no bytes. `decoded` is
     the decoded ids, not a copy of the text. Rows are independent: equal rows
     give equal rows, other columns of `docs` do not matter, nothing is shuffled.
-    `ranks` must be readable on every executor.
+    `ranks` must be readable on every executor; `memory` trades worker memory for time.
     """
     small_batches(docs.sparkSession)
     schema = T.StructType([docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks, pattern)
+        own = codec(ranks, pattern, memory)
         for part in W.slices(batches, text):
             rows = [own.encode(t) if t else [] for t in part.column(1).to_pylist()]
             back = pa.array([own.decode_bytes(r) for r in rows], pa.binary())

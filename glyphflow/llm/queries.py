@@ -55,7 +55,7 @@ def digest(ids: str) -> F.Column:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of their decoded bytes, for every document."""
-    tokens = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    tokens = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, memory=bpe.Memory())
     return tokens.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -107,11 +107,8 @@ def test_transducer_equals_the_library(reference):
         assert "".join(own.decode_stream([[i] for i in ids])) == text
 
 
-def test_transducer_with_forgotten_states(reference, monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_STATES", 40)
-    monkeypatch.setattr(bpe, "MAX_MISSED", 300)
-    monkeypatch.setattr(bpe, "MAX_PIECES", 5)
-    own = bpe.Codec(PATH, PATTERN)
+def test_transducer_with_forgotten_states(reference):
+    own = bpe.Codec(PATH, PATTERN, bpe.Memory(states=40, pieces=5, missed=300))
     rng = random.Random(6)
     for _ in range(600):
         text = "".join(rng.choice("abcdeinoprst  '.é") for _ in range(rng.randint(0, 80)))
