@@ -31,8 +31,9 @@ EDGES = ("neighbour", "repeat", "shape")
 # Documents the field is fitted on at most.
 TRAIN_DOCS = 4_000
 ROUNDS = 8
-# A word joins the found ones from this marginal probability on.
+# A span is added if one of its words has this marginal probability, and all of them the lower one.
 SURE = 0.95
+LIKELY = 0.8
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -249,15 +250,18 @@ def all_spans(texts: list[str], field: Field, sure: float = SURE) -> tuple[list[
     if len(g.doc):
         p = marginals(g, field)
         best = p[:, :NOTHING].argmax(1)
-        open_at = (-1, -1)  # document and kind of the span that may go on
-        for i in np.flatnonzero((g.label < 0) & (p[np.arange(len(p)), best] >= sure)):
-            own = full[g.doc[i]]
-            start, kind, end = int(g.start[i]), int(best[i]), int(g.end[i])
+        own = p[np.arange(len(p)), best]
+        groups: list[list[int]] = []
+        for i in np.flatnonzero((g.label < 0) & (own >= LIKELY)):
+            last = groups[-1][-1] if groups else -1
             # Neighbouring words of one kind are one span: "+1 (555) 123-4567".
-            if open_at == (g.doc[i], kind) and start - own[-1][2] <= 2:
-                start = own.pop()[0]
-            own.append((start, kind, end))
-            open_at = (g.doc[i], kind)
+            if last >= 0 and g.doc[last] == g.doc[i] and best[last] == best[i] and g.start[i] - g.end[last] <= 2:
+                groups[-1].append(i)
+            else:
+                groups.append([i])
+        for group in groups:
+            if own[group].max() >= sure:
+                full[g.doc[group[0]]].append((int(g.start[group[0]]), int(best[group[0]]), int(g.end[group[-1]])))
         for spans in full:
             spans.sort()
     return base, full
