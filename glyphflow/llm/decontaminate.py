@@ -2,8 +2,10 @@
 
 Words become a template: numbers, names and units turn into typed
 placeholders, everything else is lower-cased and stripped of punctuation.
-Windows of the template are looked up among those of the benchmark; what
-follows one diagonal of a document and an item is one passage. A passage
+Windows of the template are looked up among those of the benchmark, and so are
+windows of the words themselves, so that verbatim copies are found however few
+literal words an item has. What follows one diagonal of a document and an item
+is one passage. A passage
 counts when it is long enough and its slots are consistent: each value of the
 item stands for one value of the document throughout.
 """
@@ -32,7 +34,10 @@ UNITS = (
 
 @dataclass(frozen=True)
 class Rules:
-    """Window size in words, its least literal words, and when a passage counts."""
+    """Window size in words, its least literal words, and when a passage counts.
+
+    Windows with fewer literal words, and items of fewer than `min_item_words`, match verbatim only.
+    """
 
     window: int = 8
     min_literals: int = 4
@@ -52,7 +57,7 @@ _UPPER = np.zeros(256, bool)
 _UPPER[ord("A"):ord("Z") + 1] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:\n"]] = True
-_NUMBER, _NAME, _UNIT = W.odd_constants(3, 77)
+_NUMBER, _NAME, _UNIT, _EXACT = W.odd_constants(4, 77)
 
 
 def _unit_hashes() -> np.ndarray:
@@ -65,11 +70,12 @@ _UNIT_HASHES = _unit_hashes()
 
 @dataclass
 class Template:
-    """Words of a slice as template: code of each word, its slot value (0 for a literal), and its row."""
+    """Words of a slice as template: code of each word, its slot value (0 for a literal), its own hash, and its row."""
 
     words: W.Words
     code: np.ndarray
     slot: np.ndarray
+    value: np.ndarray
 
 
 def template(column: pa.Array) -> Template:
@@ -88,7 +94,7 @@ def template(column: pa.Array) -> Template:
     n_letters = letters[end] - letters[start]
     n = len(start)
     if not n:
-        return Template(words, value, value)
+        return Template(words, value, value, value)
     number = _DIGIT[raw[start]] & (n_letters <= 3)
     first = np.ones(n, bool)
     first[1:] = words.row[1:] != words.row[:-1]
@@ -106,7 +112,7 @@ def template(column: pa.Array) -> Template:
     for on, mark in ((name, _NAME), (unit, _UNIT), (number, _NUMBER)):
         code[on] = mark
         slot[on] = value[on]
-    return Template(words, code, slot)
+    return Template(words, code, slot, value)
 
 
 @dataclass
@@ -123,12 +129,15 @@ class Index:
 
 
 def _windows(t: Template, size: int, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows with enough literals, and their first words."""
+    """Hashes of the template windows with enough literals and of all windows as they are, and their first words."""
+    whole = W.whole_windows(t.words, size)
+    exact = np.flatnonzero(whole)
+    hashes = W.window_hashes(t.value, size)[exact] ^ _EXACT
+    if size < rules.min_item_words:
+        return hashes, exact
     literal = np.concatenate(([0], np.cumsum(t.slot == 0)))
-    ok = W.whole_windows(t.words, size)
-    ok &= literal[size:size + len(ok)] - literal[:len(ok)] >= min(rules.min_literals, size)
-    at = np.flatnonzero(ok)
-    return W.window_hashes(t.code, size)[at], at
+    at = np.flatnonzero(whole & (literal[size:size + len(whole)] - literal[:len(whole)] >= min(rules.min_literals, size)))
+    return np.concatenate((W.window_hashes(t.code, size)[at], hashes)), np.concatenate((at, exact))
 
 
 def build(keys: list, texts: list[str | None], rules: Rules) -> list[Index]:
@@ -137,7 +146,7 @@ def build(keys: list, texts: list[str | None], rules: Rules) -> list[Index]:
     begin = t.words.first_of_row()
     lengths = np.diff(begin)
     out = []
-    for size in sorted({min(int(n), rules.window) for n in lengths if n >= rules.min_item_words}):
+    for size in sorted({min(int(n), rules.window) for n in lengths if n}):
         hashes, at = _windows(t, size, rules)
         item = t.words.row[at]
         fits = np.minimum(lengths[item], rules.window) == size
@@ -205,8 +214,8 @@ def leaks(
 ) -> DataFrame:
     """One row for each document row and item it holds: both keys, `matched_words`, `item_words`, `n_slots`, `changed_slots`.
 
-    Documents without a leak have no row. Null or empty texts and items below
-    `min_item_words` match nothing; repeated rows are judged each by itself, the
+    Documents without a leak have no row. Null or empty texts match
+    nothing, items below `min_item_words` match verbatim only; repeated rows are judged each by itself, the
     longest passage of an item counts; other columns do not matter. The
     benchmark's windows are sent to the tasks in blocks of bounded size, and
     nothing is shuffled.

@@ -199,6 +199,15 @@ def test_leaks_in_blocks_equal_leaks_at_once(spark, docs_of):
     assert decontaminate.leaks(docs_of([]), bench).count() == 0
 
 
+def test_verbatim_items_with_few_literals_are_found(spark, docs_of):
+    items = ["Tom has 3 kg, Ana has 5 kg, Bob has 7 kg.", "What is 12 times 7?", "Is 91 prime?"]
+    docs = docs_of([*(f"before it and {i} after it" for i in items), items[0].replace("5", "6"), "What is 13 times 7?", "Is 97 prime?"])
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, bench_of(spark, items)).collect()}
+    assert set(found) == {(0, 0), (1, 1), (2, 2)}
+    assert all(r.matched_words == r.item_words and r.changed_slots == 0 for r in found.values())
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench_of(spark, items)).collect()) == [3, 4, 5]
+
+
 def test_template_codes():
     t = decontaminate.template(pa.array(["He walked 5 km with Maria. Then 12kg fell"]))
     slots = [s != 0 for s in t.slot]
