@@ -4,10 +4,13 @@ Words become a template: numbers, names and units turn into typed
 placeholders, everything else is lower-cased and stripped of punctuation.
 Windows of the template are looked up among those of the benchmark, and so are
 windows of the words themselves, so that verbatim copies are found however few
-literal words an item has. What follows one diagonal of a document and an item
-is one passage. A passage
-counts when it is long enough and its slots are consistent: each value of the
-item stands for one value of the document throughout.
+literal words an item has. A capitalised word that opens a sentence is read
+both as a literal and as a name. What follows one diagonal of a document and an
+item, or neighbouring diagonals when words were put in or left out, is one
+passage. A passage counts when it is long enough and its names are consistent:
+each name of the item stands for one name of the document throughout. Equal
+numbers may part, as two quantities can be equal by chance, and a run of enough
+unchanged literal words counts whatever the names around it are.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ class Rules:
     min_run: int = 13
     min_share: float = 0.6
     min_item_words: int = 5
+    # Words put in or left out between two diagonals of one passage at most.
+    max_shift: int = 8
     # Words of benchmark items that a task holds at once; a larger benchmark takes more passes.
     block_words: int = 2_000_000
 
@@ -70,12 +75,17 @@ _UNIT_HASHES = _unit_hashes()
 
 @dataclass
 class Template:
-    """Words of a slice as template: code of each word, its slot value (0 for a literal), its own hash, and its row."""
+    """Words of a slice as template: codes of each word, its slot value (0 for a literal), its own hash, and its row.
+
+    `named` is `code` with the capitalised words that open sentences as names; `opens` marks these.
+    """
 
     words: W.Words
     code: np.ndarray
     slot: np.ndarray
     value: np.ndarray
+    named: np.ndarray
+    opens: np.ndarray
 
 
 def template(column: pa.Array) -> Template:
@@ -94,7 +104,7 @@ def template(column: pa.Array) -> Template:
     n_letters = letters[end] - letters[start]
     n = len(start)
     if not n:
-        return Template(words, value, value, value)
+        return Template(words, value, value, value, value, np.zeros(0, bool))
     number = _DIGIT[raw[start]] & (n_letters <= 3)
     first = np.ones(n, bool)
     first[1:] = words.row[1:] != words.row[:-1]
@@ -102,17 +112,20 @@ def template(column: pa.Array) -> Template:
     before[1:] = number[:-1] & ~first[1:]
     unit = before & (np.searchsorted(_UNIT_HASHES, value) < len(_UNIT_HASHES))
     unit[unit] = _UNIT_HASHES[np.searchsorted(_UNIT_HASHES, value[unit])] == value[unit]
-    # A name has a capital and then small letters, and does not open a sentence.
+    # A name has a capital and then small letters; where it opens a sentence, it can be a literal as well.
     opens = first.copy()
     opens[1:] |= _STOP[raw[words.end[:-1] - 1]] | (raw[np.maximum(words.start[1:] - 1, 0)] == 0x0A)
     longer = end - start > 1
     second = raw[np.minimum(start + 1, len(raw) - 1)]
-    name = _UPPER[raw[start]] & longer & ~_UPPER[second] & _LETTER[second] & ~opens
+    name = _UPPER[raw[start]] & longer & ~_UPPER[second] & _LETTER[second]
+    name, opens = name & ~opens, name & opens & ~number & ~unit
     code, slot = value.copy(), np.zeros(n, np.uint64)
     for on, mark in ((name, _NAME), (unit, _UNIT), (number, _NUMBER)):
         code[on] = mark
         slot[on] = value[on]
-    return Template(words, code, slot, value)
+    named = code.copy()
+    named[opens] = _NAME
+    return Template(words, code, slot, value, named, opens)
 
 
 @dataclass
@@ -126,6 +139,8 @@ class Index:
     keys: list
     begin: np.ndarray
     slot: np.ndarray
+    value: np.ndarray
+    name: np.ndarray
 
 
 def _windows(t: Template, size: int, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +150,12 @@ def _windows(t: Template, size: int, rules: Rules) -> tuple[np.ndarray, np.ndarr
     hashes = W.window_hashes(t.value, size)[exact] ^ _EXACT
     if size < rules.min_item_words:
         return hashes, exact
-    literal = np.concatenate(([0], np.cumsum(t.slot == 0)))
-    at = np.flatnonzero(whole & (literal[size:size + len(whole)] - literal[:len(whole)] >= min(rules.min_literals, size)))
-    return np.concatenate((W.window_hashes(t.code, size)[at], hashes)), np.concatenate((at, exact))
+    held = lambda on: (total := np.concatenate(([0], np.cumsum(on))))[size:size + len(whole)] - total[:len(whole)]
+    literals, opens = held(t.slot == 0), held(t.opens)
+    least = min(rules.min_literals, size)
+    at = np.flatnonzero(whole & (literals >= least))
+    named = np.flatnonzero(whole & (opens > 0) & (literals - opens >= least))
+    return np.concatenate((W.window_hashes(t.code, size)[at], W.window_hashes(t.named, size)[named], hashes)), np.concatenate((at, named, exact))
 
 
 def build(keys: list, texts: list[str | None], rules: Rules) -> list[Index]:
@@ -152,7 +170,7 @@ def build(keys: list, texts: list[str | None], rules: Rules) -> list[Index]:
         fits = np.minimum(lengths[item], rules.window) == size
         hashes, at, item = hashes[fits], at[fits], item[fits]
         order = np.argsort(hashes, kind="stable")
-        out.append(Index(size, hashes[order], item[order], (at - begin[item])[order], keys, begin, t.slot))
+        out.append(Index(size, hashes[order], item[order], (at - begin[item])[order], keys, begin, t.slot, t.value, t.named == _NAME))
     return out
 
 
@@ -172,30 +190,72 @@ def passages(column: pa.Array, indexes: list[Index], rules: Rules) -> list[tuple
         word = np.repeat(at[hit], many[hit])
         row, item, place = t.words.row[word], index.item[entry], index.place[entry]
         diagonal = word - begin[row] - place
+        # Diagonals of one row and item that lie close are judged as one.
         order = np.lexsort((place, diagonal, item, row))
-        keys = np.stack((row, item, diagonal), 1)[order]
-        cuts = np.flatnonzero(np.any(keys[1:] != keys[:-1], 1)) + 1
-        for group in np.split(order, cuts):
-            r, i = int(row[group[0]]), int(item[group[0]])
-            judged = _judge(index, t, i, place[group], int(word[group[0]]) - int(place[group[0]]), rules)
+        row, item, place, diagonal, word = row[order], item[order], place[order], diagonal[order], word[order]
+        near = (row[1:] == row[:-1]) & (item[1:] == item[:-1]) & (diagonal[1:] - diagonal[:-1] <= rules.max_shift)
+        cuts = np.concatenate(([0], np.flatnonzero(~near) + 1, [len(row)]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            r, i = int(row[a]), int(item[a])
+            judged = _judge(index, t, i, *_aligned(place[a:b], word[a:b], index.window), rules)
             if judged and judged[0] > found.get((r, i), (0,))[0]:
                 found[r, i] = judged
     return [(r, indexes[0].keys[i], *judged) for (r, i), judged in sorted(found.items())]
 
 
-def _judge(index: Index, t: Template, item: int, places: np.ndarray, origin: int, rules: Rules) -> tuple[int, int, int, int] | None:
-    """Matched words, item words, slots and changed slots of a diagonal, if it counts."""
+def _aligned(place: np.ndarray, word: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the item and words of the document that windows on neighbouring diagonals pair, both ascending."""
+    span = np.arange(window)
+    pairs = np.unique(np.stack(((place[:, None] + span).ravel(), (word[:, None] + span).ravel()), 1), axis=0)
+    shift = pairs[:, 1] - pairs[:, 0]
+    if shift.min() == shift.max():
+        return pairs[:, 0], pairs[:, 1]
+    # The longest diagonal first; another one adds what lies before and after the pairs taken, in the same order on both sides.
+    shifts, sizes = np.unique(shift, return_counts=True)
+    places, words = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for k in np.lexsort((shifts, -sizes)):
+        p, w = pairs[shift == shifts[k]].T
+        at, by = np.searchsorted(places, p), np.searchsorted(words, w)
+        fits = (at == by) & ~np.isin(p, places) & ~np.isin(w, words)
+        places, words = np.sort(np.concatenate((places, p[fits]))), np.sort(np.concatenate((words, w[fits])))
+    return places, words
+
+
+def _longest(joined: np.ndarray) -> int:
+    """Number of items in the longest row of items, given whether each is joined to the one before."""
+    cuts = np.concatenate(([0], np.flatnonzero(~joined) + 1, [len(joined) + 1]))
+    return int(np.diff(cuts).max())
+
+
+def _judge(index: Index, t: Template, item: int, covered: np.ndarray, own: np.ndarray, rules: Rules) -> tuple[int, int, int, int] | None:
+    """Matched words, item words, slots and changed slots of paired words, if they count."""
+    if not len(covered):
+        return None
     words = int(index.begin[item + 1] - index.begin[item])
-    covered = np.unique((places[:, None] + np.arange(index.window)).ravel())
-    runs = np.split(covered, np.flatnonzero(np.diff(covered) > 1) + 1)
-    if max(map(len, runs)) < min(rules.min_run, words) and len(covered) < rules.min_share * words:
+    dp, dw = np.diff(covered), np.diff(own)
+    # A run goes on where words were put in or left out between two diagonals.
+    run = _longest((dp == 1) & (dw == 1) | (dp != dw) & (np.maximum(dp, dw) <= rules.max_shift + 1))
+    if run < min(rules.min_run, words) and len(covered) < rules.min_share * words:
         return None
-    theirs, ours = index.slot[index.begin[item] + covered], t.slot[origin + covered]
-    slots = theirs != 0
-    pairs = set(zip(theirs[slots].tolist(), ours[slots].tolist(), strict=True))
+    at = index.begin[item] + covered
+    theirs, ours = index.value[at], t.value[own]
+    changed = theirs != ours
+    slots = (index.slot[at] != 0) | changed
+    # Names: placeholders on both sides in the reading that takes openings as names, and not both the same opening word.
+    names = index.name[at] & (t.named[own] == _NAME)
+    pairs = set(zip(theirs[names].tolist(), ours[names].tolist(), strict=True))
     if len(pairs) > len({a for a, _ in pairs}):
-        return None  # one value of the item would stand for two of the document
-    return len(covered), words, int(slots.sum()), int((theirs[slots] != ours[slots]).sum())
+        # One name of the item would stand for two of the document. A changed opening word may be no name: then it is no match.
+        opening = changed & ((index.slot[at] == 0) | (t.slot[own] == 0))
+        if opening.any():
+            return _judge(index, t, item, covered[~opening], own[~opening], rules)
+        # Only what is there verbatim counts.
+        literal = (index.slot[at] == 0) & ~changed
+        same = ~changed[1:] & ~changed[:-1] & (dp == 1) & (dw == 1)
+        starts = np.concatenate(([0], np.flatnonzero(~same) + 1))
+        if np.add.reduceat(literal.astype(np.int64), starts).max() < rules.min_run:
+            return None
+    return len(covered), words, int(slots.sum()), int(changed.sum())
 
 
 def index_blocks(bench: DataFrame, key: str, text: str, rules: Rules) -> Iterator[list[Index]]:

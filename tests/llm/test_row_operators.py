@@ -208,6 +208,25 @@ def test_verbatim_items_with_few_literals_are_found(spark, docs_of):
     assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench_of(spark, items)).collect()) == [3, 4, 5]
 
 
+def test_changed_items_are_found_by_all_their_words(spark, docs_of):
+    problem = "Tom has 3 apples and buys 4 more. Tom eats 2 of them. How many apples does Tom have left now?"
+    equal = "There are 2 apples and there are 2 pears on the table so how many fruits are there in all"
+    long = PASSAGE + " Tom told us while Tom sat there"
+    edited = PASSAGE.split()
+    docs = docs_of([
+        "Before it. " + problem.replace("Tom", "Eva"),
+        equal.replace("2 apples", "3 apples").replace("2 pears", "5 pears"),
+        long.replace("while Tom", "while Bob"),
+        " ".join([*edited[:9], "very", *edited[9:18], "surely", "not", *edited[18:]]),
+        problem.replace("Tom eats", "Eva eats").replace("does Tom", "does Bob"),
+        problem.replace("Tom eats", "She eats"),
+    ])
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, bench_of(spark, [problem, equal, long, PASSAGE])).collect()}
+    assert {(0, 0), (1, 1), (2, 2), (3, 3)} <= set(found) and found[5, 0].matched_words == 20 and not any(d == 4 for d, _ in found)
+    assert (found[0, 0].matched_words, found[0, 0].item_words, found[0, 0].changed_slots) == (21, 21, 3)
+    assert found[1, 1].changed_slots == 2 and found[2, 2].changed_slots == 1
+
+
 def test_template_codes():
     t = decontaminate.template(pa.array(["He walked 5 km with Maria. Then 12kg fell"]))
     slots = [s != 0 for s in t.slot]
