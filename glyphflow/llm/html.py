@@ -3,7 +3,9 @@
 A page becomes a tree of its elements. Every paragraph passes points for its
 length and commas to its ancestors, fewer with each step up; a container's
 points are discounted by the share of its characters in links. The best
-container and those of its siblings that look like it are kept, in page order.
+container leads to the element around it that holds the whole article: one
+marked as such and low in links. This one, or else the best container, is kept
+with all its blocks and those of its siblings that look like it, in page order.
 """
 
 from __future__ import annotations
@@ -41,8 +43,12 @@ JUNK_WORDS = frozenset(
 )
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 GOOD_WORDS = frozenset("article body content entry main page post story text".split())
+# Those of them that name an element that holds an article whole; "page", "body" and "text" also name wrappers and parts.
+CONTENT_WORDS = frozenset("article content entry main post story".split())
 # Points a container starts with.
 START = {"article": 25, "main": 20, "section": 5, "div": 5, "td": 3, "blockquote": 3, "pre": 3, "body": 0}
+# Share of link characters up to which an element that holds the best container is the article.
+MAX_LINKED = 1 / 3
 
 _ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
@@ -53,7 +59,7 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 class Node:
     """An element: its tag, parent, and children or texts in order."""
 
-    __slots__ = ("tag", "parent", "items", "junk", "bonus")
+    __slots__ = ("tag", "parent", "items", "junk", "bonus", "content")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag = tag
@@ -61,6 +67,7 @@ class Node:
         self.items: list[Node | str] = []
         self.junk = False
         self.bonus = 0
+        self.content = False
 
 
 def _marks(node: Node, attributes: str) -> None:
@@ -80,6 +87,7 @@ def _marks(node: Node, attributes: str) -> None:
                 # "post-content" is content, "post-comments" is not.
                 node.junk |= bool(named & JUNK_WORDS)
             node.bonus += 10 * bool(named & GOOD_WORDS)
+            node.content |= bool(named & CONTENT_WORDS) and node.tag not in INLINE and node.tag not in ("body", "html")
 
 
 def parse(page: str) -> Node:
@@ -222,6 +230,17 @@ def _clean(parts: list[str]) -> str:
     return " ".join(text.split())
 
 
+def _article(best: Node, chars: dict[Node, int], links: dict[Node, int]) -> Node:
+    """The outermost article, else main element, else element named as content that is or holds `best` and is low in links; else `best`."""
+    chain, node = [], best
+    while node is not None:
+        if links[node] <= MAX_LINKED * chars[node]:
+            chain.append(node)
+        node = node.parent
+    marked = ([x for x in chain if x.tag == "article"], [x for x in chain if x.tag == "main"], [x for x in chain if x.content])
+    return next((found[-1] for found in marked if found), best)
+
+
 def main_text(page: str) -> str:
     """Blocks of the article, joined by newlines; empty if there is none."""
     root = parse(page)
@@ -250,6 +269,7 @@ def main_text(page: str) -> str:
     else:
         score = {n: p * (1 - min(1, links[n] / max(1, chars[n]))) for n, p in points.items()}
         best = max(score, key=score.__getitem__)
+    best = _article(best, chars, links)
     kept = {best}
     if best.parent is not None and points:
         for x in best.parent.items:

@@ -155,6 +155,23 @@ def test_short_article_is_kept_whole():
     assert html.main_text("<body><nav>m</nav><article><h1>UND</h1><p><b>UND.<br><p>UND.</p></article><footer>f</footer>") == "UND\nUND.\nUND."
 
 
+@pytest.mark.parametrize("around", ["article", "main", 'div class="post-content"'])
+def test_long_articles_keep_what_stands_beside_their_body(around):
+    prose = ["One, two, three, " + f"{k} words of a paragraph " * 13 for k in range(20)]
+    inner = "<h1>Title</h1><div class=lead><p>Short lead.</div><div><p>" + "<p>".join(prose) + "</div><ul><li>point</ul><table><tr><td>cell</table><blockquote>said</blockquote><pre>code</pre>"
+    page = f"<body><nav><a href=x>menu</a></nav><{around}>{inner}<div class=share>Share it</div></{around.split()[0]}><div>Beside it, all the same</div>"
+    expected = ["Title", "Short lead.", *(p.strip() for p in prose), "point", "cell", "said", "code"]
+    assert html.main_text(page).split("\n") == expected
+    # An element full of links is not the article.
+    linked = page.replace("Short lead.", "<a href=x>" + "a link " * 1000 + "</a>")
+    assert html.main_text(linked).split("\n")[-20:] == expected[2:22]
+
+
+def test_articles_side_by_side_are_kept():
+    prose = "<p>" + "Some, words, of, an article that is long enough to be seen. " * 8 + "</p>"
+    assert html.main_text(f"<body><div><article>{prose * 3}</article><article>{prose * 2}</article></div>").count("\n") == 4
+
+
 def test_extract_frame(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, None, PAGE), (3, None, PAGE)], "page_id long, url string, html string")
     rows = html.extract(pages, keys=("page_id", "url")).collect()
