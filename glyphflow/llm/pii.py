@@ -2,9 +2,11 @@
 
 The patterns find what is certain. The field decides about other words with a
 digit or an "@": its nodes are such words of one document, its edges join
-neighbours, repeats of a word and words of the same shape further away. Words
-that a pattern covers are held at their label; loopy message passing carries
-their labels along the edges. Weights are fitted once, on a bounded sample of
+neighbours, repeats of a word and words of the same shape. Repeats are linked to
+the first occurrence that a pattern labels, not to each other in a chain, so
+that a label reaches every place of a document in one step. Words that a pattern
+covers are held at their label; loopy message passing carries their labels
+along the edges. Weights are fitted once, on a bounded sample of
 documents with the patterns' labels, and sent to the tasks.
 """
 
@@ -131,14 +133,42 @@ def _shape(word: str) -> str:
     return re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", word))
 
 
+def _links(nodes: list[tuple[int, str, str, int]], label: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Edges between a document's nodes (number, word, shape, near node before) of one word or shape.
+
+    A word leads to the first node of its form with each label, or else of its
+    shape; where no pattern labels either, to the first node of all.
+    """
+    first: dict[tuple[int, str], int] = {}
+    sure: dict[tuple[int, str], dict[int, int]] = {}
+    near = {node: before for node, _, _, before in nodes}
+    for node, *names, _ in nodes:
+        for name in enumerate(names, 1):
+            first.setdefault(name, node)
+            if label[node] >= 0:
+                sure.setdefault(name, {}).setdefault(label[node], node)
+    for node, word, shape, _ in nodes:
+        repeats, alike = sure.get((1, word), {}), sure.get((2, shape), {})
+        if repeats.get(label[node]) == node:
+            # Labelled nodes carry nothing to each other, but the weights are fitted on them.
+            forms, shapes = [to for to in repeats.values() if to < node], [to for to in alike.values() if to < node]
+        elif repeats:
+            forms, shapes = list(repeats.values()), []
+        else:
+            forms, shapes = [first[1, word]], list(alike.values())
+            if not alike and forms == [node]:
+                shapes = [first[2, shape]]
+        yield from ((to, node, 1) for to in forms if to != node)
+        yield from ((to, node, 2) for to in shapes if to not in (node, near[node]) and near[to] != node)
+
+
 def graph(texts: list[str], spans: list[list[Span]]) -> Graph:
     """The field's graph over the candidate words of some documents."""
     doc, start, end, features, label, edges = [], [], [], [], [], []
     for d, (text, found) in enumerate(zip(texts, spans, strict=True)):
         if not text or not _TRIGGER.search(text):
             continue
-        last_form: dict[str, int] = {}
-        last_shape: dict[str, int] = {}
+        nodes: list[tuple[int, str, str, int]] = []
         by_start = sorted(found)
         reach, k = [], 0
         previous_end = previous = -1
@@ -162,13 +192,9 @@ def graph(texts: list[str], spans: list[list[Span]]) -> Graph:
             label.append(own[1] if own else -1)
             if near:
                 edges.append((previous, node, 0))
-            shape = _shape(word)
-            if word in last_form:
-                edges.append((last_form[word], node, 1))
-            elif shape in last_shape and last_shape[shape] != previous:
-                edges.append((last_shape[shape], node, 2))
-            last_form[word] = last_shape[shape] = node
+            nodes.append((node, word, _shape(word), previous if near else -1))
             previous, previous_end = node, m.end()
+        edges += _links(nodes, label)
     x = np.zeros((len(doc), FEATURES), np.float64)
     for i, on in enumerate(features):
         x[i, on] = 1
@@ -229,6 +255,8 @@ def marginals(g: Graph, field: Field, rounds: int = ROUNDS) -> np.ndarray:
     table = np.concatenate((field.edge[g.kind], field.edge[g.kind].transpose(0, 2, 1)))
     back = np.concatenate((np.arange(len(g.left)) + len(g.left), np.arange(len(g.left))))
     message = np.zeros((len(source), LABELS))
+    # However many repeats lead to a held node, it hears none of them.
+    free = ~held[target, None]
     for _ in range(rounds):
         belief = score.copy()
         np.add.at(belief, target, message)
@@ -236,7 +264,7 @@ def marginals(g: Graph, field: Field, rounds: int = ROUNDS) -> np.ndarray:
         top = out.max(1)
         new = top + np.log(np.exp(out - top[:, None, :]).sum(1))
         new -= new.max(1, keepdims=True)
-        message = 0.5 * message + 0.5 * new
+        message = np.where(free, 0.5 * message + 0.5 * new, 0)
     np.add.at(score, target, message)
     return _softmax(score)
 

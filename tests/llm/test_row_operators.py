@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -85,6 +86,20 @@ def test_field_leaves_clean_texts_alone(docs_of):
     assert rows[9].n_email == 1
 
 
+def test_labels_reach_every_repeat():
+    number, filler = "4111111111111111", "ordinary words without anything else"
+    # The "9" before a number runs together with it: the patterns see one occurrence only.
+    far = f"{filler} 9 {number} x " * 30 + f"card {number} of " + f"{filler} 9 {number} x " * 30
+    g = pii.graph([far], [pii.base_spans(far)])
+    repeats = [i for i in range(len(g.doc)) if far[g.start[i]:g.end[i]] == number]
+    assert len(repeats) == 61 and np.flatnonzero(g.label[repeats] >= 0).tolist() == [30]
+    # Nothing but repeats tells anything.
+    edge = np.zeros((len(pii.EDGES), pii.LABELS, pii.LABELS))
+    edge[1] = 3 * np.eye(pii.LABELS)
+    p = pii.marginals(g, pii.Field(np.zeros((pii.FEATURES, pii.LABELS)), edge))[repeats, 2]
+    assert p[30] > 0.999 and p.min() > 0.8
+
+
 def test_field_without_any_candidate(docs_of):
     docs = docs_of(["plain text", None])
     assert [r.spans for r in pii.find(docs, pii.train(docs)).collect()] == ["", ""]
