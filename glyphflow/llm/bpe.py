@@ -260,6 +260,10 @@ class Codec:
         if rest:
             yield rest
 
+    def decode(self, ids: list[int], chunk: int) -> str:
+        """Text of a list of ids, decoded as a stream of chunks of `chunk` ids."""
+        return "".join(self.decode_stream(ids[i:i + chunk] for i in range(0, len(ids), chunk)))
+
 
 class Utf8:
     """Incremental UTF-8: holds back the bytes of a character that is not complete yet."""
@@ -301,12 +305,12 @@ def _lists(rows: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", memory: Memory = SMALL) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", memory: Memory = SMALL, chunk: int = 4096) -> DataFrame:
     """Key, `ids` array<int> and `decoded` binary, one row for each input row.
 
     Every match of `pattern` is encoded by itself, special tokens are ordinary
     text. A null or empty text has no ids and decodes to no bytes. `decoded` is
-    the decoded ids, not a copy of the text. Rows are independent: equal rows
+    the decoded ids, a stream of chunks of `chunk` ids, not a copy of the text. Rows are independent: equal rows
     give equal rows, other columns of `docs` do not matter, nothing is shuffled.
     `ranks` must be readable on every executor; `memory` trades worker memory for time.
     """
@@ -317,7 +321,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
         own = codec(ranks, pattern, memory)
         for part in W.slices(batches, text):
             rows = [own.encode(t) if t else [] for t in part.column(1).to_pylist()]
-            back = pa.array([own.decode_bytes(r) for r in rows], pa.binary())
+            back = pa.array([own.decode(r, chunk) for r in rows], pa.string()).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(rows), back], [f.name for f in schema])
 
     return docs.select(key, text).mapInArrow(run, schema)
@@ -331,7 +335,7 @@ def decode(tokens: DataFrame, ranks: str, pattern: str, key: str = "doc_id", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
         for batch in batches:
-            texts = ["".join(own.decode_stream(row[i:i + chunk] for i in range(0, len(row), chunk))) for row in (r or [] for r in batch.column(1).to_pylist())]
+            texts = [own.decode(r or [], chunk) for r in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [f.name for f in schema])
 
     return tokens.select(key, ids).mapInArrow(run, schema)

@@ -140,6 +140,33 @@ def test_encode_and_decode_frames(docs_of, reference):
     assert bpe.encode(docs_of([]), PATH, PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 4096])
+def test_encoded_rows_are_decoded_as_streams(docs_of, chunk):
+    texts = [None, "", "né 日本 🙂🙃 ́", "🙂é" * 3000]
+    rows = {r.doc_id: r for r in bpe.encode(docs_of(texts), PATH, PATTERN, chunk=chunk).collect()}
+    assert [bytes(rows[i].decoded).decode() for i in range(4)] == [t or "" for t in texts]
+
+
+def test_encode_decodes_by_the_stream(monkeypatch):
+    """The frame's own function, without workers: `decoded` is what the stream gives."""
+    seen = []
+    monkeypatch.setattr(bpe.Codec, "decode_stream", lambda self, chunks: seen.append(list(chunks)) or iter(["streamed"]))
+
+    class Docs:
+        schema = {"doc_id": bpe.T.StructField("doc_id", bpe.T.LongType())}
+        sparkSession = None
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some text here"]})])))
+
+    monkeypatch.setattr(bpe, "small_batches", lambda spark: None)
+    (batch,) = bpe.encode(Docs(), PATH, PATTERN, chunk=2)
+    assert batch.column(2).to_pylist() == [b"streamed"] and max(map(len, seen[0])) == 2
+
+
 def test_utf8_machine_holds_back_cut_characters():
     data = "aé日🙂b".encode()
     for step in (1, 2, 3):
