@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphflow.llm import bpe, chat, decontaminate, hmm, html, lines, ngram_join, pii, quality, substrings
+from glyphflow.llm import bpe, chat, decontaminate, hmm, html, lines, ngram_join, periodic, pii, quality, substrings
 
 RANKS = "byte_bpe_50k.tiktoken"
+# A word: a run of characters other than space and the ASCII control spaces.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +83,33 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(turns.unionByName(added)))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Key and text of every document; each tenth text, by its key's checksum, repeats a stretch of its words up to its end."""
+    words, checksum = F.col("words"), F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    seen = docs.select("doc_id", "text", checksum.alias("h"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)).alias("words"))
+    n, g = F.size(words), F.floor(F.col("h") / 10)
+    start = g % n
+    rest = n - start
+    period = 1 + F.floor(rest / (3 + g % 8))
+    again = F.flatten(F.array_repeat(F.slice(words, start.cast("int") + 1, period.cast("int")), F.ceil(rest / period).cast("int")))
+    planted = F.array_join(F.concat(F.slice(words, F.lit(1), start.cast("int")), F.slice(again, F.lit(1), rest.cast("int"))), " ")
+    return seen.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, the longest one, and a digest of what is left when each run keeps one period."""
+    found = periodic.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    # The greatest length, then the smallest start and period.
+    order = F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", F.array_max(order))
+    length, start, period = F.col("best.length"), -F.col("best.col2"), -F.col("best.col3")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
@@ -92,4 +121,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_main_text": op9_main_text,
     "op10_chat_format": op10_chat_format,
+    "op13_periodic_runs": op13_periodic_runs,
 }

@@ -89,3 +89,23 @@ def personal(text: str) -> list[tuple[int, int, int]]:
                 continue
             out.append((m.start(), kind, m.end()))
     return sorted(out)
+
+
+def periodic_runs(w: list[str]) -> list[tuple[int, int, int]]:
+    """Start, length and period of every stretch with that smallest period that cannot grow, at least 6 words and 4 periods long."""
+    stretches: dict[tuple[int, int], int] = {}
+    for p in range(1, len(w) // 4 + 1):
+        start = 0
+        while start + p < len(w):
+            end = start + p
+            while end < len(w) and w[end] == w[end - p]:
+                end += 1
+            if end - start >= max(6, 4 * p):
+                stretches.setdefault((start, end), p)
+            start = max(start + 1, end - p + 1)
+    return sorted((a, b - a, p) for (a, b), p in stretches.items())
+
+
+def collapsed(w: list[str]) -> str:
+    gone = {i for a, n, p in periodic_runs(w) for i in range(a + p, a + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
