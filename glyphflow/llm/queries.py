@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphflow.llm import bpe, chat, decontaminate, hmm, html, lines, ngram_join, periodic, pii, quality, substrings
+from glyphflow.llm import bpe, chat, decontaminate, hmm, html, lines, negatives, ngram_join, periodic, pii, quality, substrings
 
 RANKS = "byte_bpe_50k.tiktoken"
 # A word: a run of characters other than space and the ASCII control spaces.
@@ -83,6 +83,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(turns.unionByName(added)))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of each positive of every hundredth row; each seventh row has the next label."""
+    rows = table(spark, sf_dir, "embeddings")
+    shifted = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    found = negatives.mine(shifted, F.col("vec_id") % 100 == 0)
+    return found.select(
+        F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("negative").alias("negative_id"), "positive_score", "negative_score")
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """Key and text of every document; each tenth text, by its key's checksum, repeats a stretch of its words up to its end."""
     words, checksum = F.col("words"), F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -121,5 +130,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_main_text": op9_main_text,
     "op10_chat_format": op10_chat_format,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }
