@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphflow.llm import bpe, chat, decontaminate, hmm, html, lines, negatives, ngram_join, periodic, pii, quality, substrings
+from glyphflow.llm import bpe, chat, classifier, decontaminate, hmm, html, lines, negatives, ngram_join, periodic, pii, quality, substrings
 
 RANKS = "byte_bpe_50k.tiktoken"
 # A word: a run of characters other than space and the ASCII control spaces.
@@ -83,6 +83,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_conversations(turns.unionByName(added)))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from labels of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = classifier.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return classifier.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hard negatives of each positive of every hundredth row; each seventh row has the next label."""
     rows = table(spark, sf_dir, "embeddings")
@@ -130,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_main_text": op9_main_text,
     "op10_chat_format": op10_chat_format,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }
