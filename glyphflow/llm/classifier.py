@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphflow.llm import words as W
-from glyphflow.llm.frames import small_batches, stored
+from glyphflow.llm.frames import small_batches
+from glyphflow.session import work_folder
 
 
 @dataclass(frozen=True)
@@ -198,7 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     names = ["shard", "h", "key", "label", "bucket", "value"]
     kind = chosen.schema["key"].dataType.simpleString()
     counted = chosen.mapInArrow(count, f"shard int, h long, key {kind}, label int, bucket array<int>, value array<float>")
-    ready = stored(counted, "quality-features")
+    path = work_folder(spark, "llm-quality-features")
+    counted.repartition(rules.shards, "shard").write.partitionBy("shard").parquet(path)
+    ready = spark.read.schema(counted.schema).parquet(path)
     state = State.zero(rules.bits)
     for _ in range(rules.passes):
         state = _pass(ready, state, rules)
@@ -238,7 +242,9 @@ def _pass(ready: DataFrame, state: State, rules: Rules) -> State:
         means = [np.mean([np.frombuffer(x, np.float32) for x in table.column(c).to_pylist()], axis=0, dtype=np.float64).astype(np.float32) for c in ("z", "n")]
         return pa.table({"part": table.column("part")[:1], "z": [means[0].tobytes()], "n": [means[1].tobytes()]})
 
-    dealt = ready.repartition(rules.shards, "shard").sortWithinPartitions("shard", "h", "key").select("shard", "label", "bucket", "value")
+    # One task for each shard, without another shuffle: its files are read one after the other, then sorted.
+    shards = [ready.where(F.col("shard") == k).coalesce(1).sortWithinPartitions("h", "key") for k in range(rules.shards)]
+    dealt = reduce(DataFrame.union, shards).select("shard", "label", "bucket", "value")
     states = dealt.mapInArrow(run, "part int, shard int, z binary, n binary")
     table = states.groupBy("part").applyInArrow(mean, "part int, z binary, n binary").toArrow().sort_by("part")
     sent.unpersist()
