@@ -237,22 +237,35 @@ def _pass(ready: DataFrame, state: State, rules: Rules) -> State:
         return pa.RecordBatch.from_pydict(
             {"part": pa.array(range(PARTS), pa.int32()), "shard": pa.array([shard] * PARTS, pa.int32()), "z": pa.array(pieces[0]), "n": pa.array(pieces[1])})
 
-    def mean(table: pa.Table) -> pa.Table:
-        table = table.sort_by("shard")
-        means = [np.mean([np.frombuffer(x, np.float32) for x in table.column(c).to_pylist()], axis=0, dtype=np.float64).astype(np.float32) for c in ("z", "n")]
-        return pa.table({"part": table.column("part")[:1], "z": [means[0].tobytes()], "n": [means[1].tobytes()]})
-
     # One task for each shard, without another shuffle: its files are read one after the other, then sorted.
     shards = [ready.where(F.col("shard") == k).coalesce(1).sortWithinPartitions("h", "key") for k in range(rules.shards)]
     dealt = reduce(DataFrame.union, shards).select("shard", "label", "bucket", "value")
     states = dealt.mapInArrow(run, "part int, shard int, z binary, n binary")
-    table = states.groupBy("part").applyInArrow(mean, "part int, z binary, n binary").toArrow().sort_by("part")
+    # Without this a union of single partitions is one partition, and all shards one task.
+    apart = "spark.sql.unionOutputPartitioning"
+    before = spark.conf.get(apart, None)
+    spark.conf.set(apart, "false")
+    try:
+        table = _means(states)
+    finally:
+        spark.conf.unset(apart) if before is None else spark.conf.set(apart, before)
     sent.unpersist()
     if not table.num_rows:
         return state
     return State(*(np.frombuffer(b"".join(table.column(c).to_pylist()), np.float32) for c in ("z", "n")))
 
 
+def _means(states: DataFrame) -> pa.Table:
+    """The mean state of all shards by part, in order."""
+
+    def mean(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")
+        means = [np.mean([np.frombuffer(x, np.float32) for x in table.column(c).to_pylist()], axis=0, dtype=np.float64).astype(np.float32) for c in ("z", "n")]
+        return pa.table({"part": table.column("part")[:1], "z": [means[0].tobytes()], "n": [means[1].tobytes()]})
+
+    return states.groupBy("part").applyInArrow(mean, "part int, z binary, n binary").toArrow().sort_by("part")
+
+
 def score(docs: DataFrame, model: np.ndarray, key: str = "doc_id", text: str = "text", rules: Rules | None = None) -> DataFrame:
     """Key, `score` (probability of label 1) and `predicted` (1 from the threshold on), one row for each input row.
 
