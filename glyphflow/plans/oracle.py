@@ -212,6 +212,29 @@ def _with(*tables: str) -> str:
     return "WITH " + ",\n".join(tables) + "\n"
 
 
+# Jobs of ten payloads, the messages about them, and how far each run got.
+_RUNS = """numbers AS (
+  SELECT CASE WHEN doc_id < 60 THEN doc_id // 30 ELSE doc_id // 10 END AS j, count(*) AS n,
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(any_value(CASE WHEN doc_id < 60 THEN doc_id // 30 ELSE doc_id // 10 END) AS BIGINT)) AS created
+  FROM documents GROUP BY 1),
+messages AS (
+  SELECT 'job_' || j AS job_id, 'cancel' AS kind, created + to_seconds(j * 97 % 1500) AS ts, NULL AS error FROM numbers WHERE j % 3 = 0
+  UNION ALL SELECT 'job_' || j, 'cancel', created + to_seconds(j * 31 % 1500), NULL FROM numbers WHERE j % 6 = 0
+  UNION ALL SELECT 'job_' || j, 'cancel', created - INTERVAL 5 SECOND, NULL FROM numbers WHERE j % 11 = 5
+  UNION ALL SELECT 'job_' || j, 'crash', created + to_seconds(j * 61 % 1300), 'lost worker ' || j FROM numbers WHERE j % 4 = 0
+  UNION ALL SELECT 'gone_' || j, 'cancel', created + INTERVAL 60 SECOND, NULL FROM numbers WHERE j % 50 = 0),
+timed AS (SELECT 'job_' || j AS job_id, j, n, created, created + to_minutes(CAST(2 * n AS BIGINT)) AS end_at FROM numbers WHERE n <= 20),
+met AS (
+  SELECT t.job_id, min(ts) FILTER (kind = 'cancel') AS c, min(ts) FILTER (kind = 'crash') AS x, arg_min(error, ts) FILTER (kind = 'crash') AS crash_error
+  FROM timed t JOIN messages m ON m.job_id = t.job_id AND ts >= created AND ts < end_at GROUP BY t.job_id),
+granted AS (
+  SELECT t.*, CASE WHEN x IS NULL OR c <= x THEN c END AS cancel_at, x, crash_error FROM timed t LEFT JOIN met USING (job_id)),
+stopped AS (
+  SELECT *, created + to_minutes(CAST(2 * ceil(epoch(cancel_at - created) / 120) AS BIGINT)) AS stop_at FROM granted),
+run AS (
+  SELECT *, CASE WHEN stop_at IS NULL OR x < stop_at THEN x END AS crash_at,
+         (x IS NULL OR NOT (stop_at IS NULL OR x < stop_at)) AND (stop_at IS NULL OR stop_at >= end_at) AS whole FROM stopped)"""
+
 _STATE_COLUMNS = ", ".join(
     ["job_id", "status"]
     + [f"{_iso(c)} AS {c}" for c in ("created_at", "started_at", "completed_at", "last_event_at")]
@@ -306,6 +329,40 @@ FROM raw_images r LEFT JOIN kept_items k USING (image_id) LEFT JOIN zero_sized z
 GROUP BY r.image_id, r.lang, r.width, z.image_id"""
 )
 
+_JOB_RUN = (
+    _with(_PAYLOADS, _RUNS)
+    + f""", texts AS (
+  SELECT payload_id, j, idx, decode_error IS NOT NULL AS silent, bytes AS b, octet_length(bytes) AS n, (j % 5) / 10 AS threshold, CASE
+    WHEN decode_error IS NOT NULL THEN 'Processing error: ' || decode_error
+    WHEN coalesce(octet_length(bytes), 0) = 0 THEN 'image_empty'
+    WHEN {_FORMAT.format(x="bytes")} IS NULL THEN 'unsupported_format'
+    WHEN payload_id % 16 = 8 THEN 'unreadable_image: cannot identify image file'
+    WHEN octet_length(bytes) % 17 = 0 THEN 'engine stopped at ' || octet_length(bytes) END AS error
+  FROM (SELECT *, CASE WHEN payload_id < 60 THEN payload_id // 30 ELSE payload_id // 10 END AS j,
+               CASE WHEN payload_id < 60 THEN payload_id % 30 ELSE payload_id % 10 END AS idx FROM decoded)),
+checked AS (SELECT *, error IS NULL AS fine FROM texts),
+{_FOUND},
+reached AS (
+  SELECT r.job_id, idx, silent, fine, CASE WHEN fine THEN 'image_' || idx || ':success:' || coalesce(total_lines, 0)
+    ELSE 'image_' || idx || ':error:0:' || error END AS line
+  FROM checked JOIN run r USING (j) LEFT JOIN found USING (payload_id)
+  WHERE (cancel_at IS NULL OR created + to_minutes(CAST(2 * idx AS BIGINT)) < cancel_at)
+    AND (crash_at IS NULL OR created + to_minutes(CAST(2 * idx + 2 AS BIGINT)) <= crash_at)),
+progress AS (SELECT job_id, max(idx + 1) FILTER (NOT silent) AS last_write, count(*) FILTER (NOT fine) AS n_error FROM reached GROUP BY job_id),
+state AS (
+  SELECT r.*, CASE WHEN whole THEN r.n ELSE last_write END AS processed,
+         CASE WHEN whole THEN CASE WHEN n_error = 0 THEN 'completed' ELSE 'failed' END WHEN crash_at IS NOT NULL THEN 'failed' ELSE 'cancelled' END AS status
+  FROM run r LEFT JOIN progress USING (job_id)),
+shown AS (SELECT job_id, string_agg(line, ';' ORDER BY idx) AS results FROM reached JOIN state USING (job_id) WHERE idx < processed GROUP BY job_id),
+asked AS (SELECT 'job_' || j AS job_id FROM numbers UNION SELECT job_id FROM messages)
+SELECT job_id, status, {_iso("created")} AS created_at, {_iso("created")} AS started_at,
+  CASE WHEN whole THEN {_iso("end_at")} WHEN crash_at IS NOT NULL THEN {_iso("crash_at")} END AS completed_at,
+  processed, n AS total, results, CASE WHEN crash_at IS NOT NULL THEN crash_error END AS error,
+  CASE WHEN status IS NULL THEN 'job_not_found' END AS error_code, CASE WHEN status IS NULL THEN 'Job ' || job_id || ' not found' END AS error_detail,
+  CASE WHEN status IS NULL THEN 404 WHEN status = 'failed' THEN 500 ELSE 200 END AS http_status
+FROM asked LEFT JOIN state USING (job_id) LEFT JOIN shown USING (job_id)"""
+)
+
 _FOLD = _with(_EVENTS, _STATE) + f"SELECT {_STATE_COLUMNS} FROM state"
 
 ORACLE: dict[str, str] = {
@@ -590,6 +647,13 @@ SELECT job_id, {_iso("since")} AS since, is_expired, CASE WHEN is_expired THEN 4
     + """SELECT job_id, status FROM (SELECT job_id, status FROM state ORDER BY job_id DESC LIMIT 100) WHERE status = 'failed'""",
     "j_list_filter_first": _with(_EVENTS, _STATE)
     + "SELECT job_id, status FROM state WHERE status = 'failed' ORDER BY job_id DESC LIMIT 100",
+    "j_job_run": _JOB_RUN,
+    "x_job_run": _JOB_RUN,
+    "j_cancel_run": _with(_RUNS)
+    + f"""SELECT m.job_id, {_iso("ts")} AS ts, CASE WHEN ts = cancel_at THEN 'cancelled' END AS status,
+  CASE WHEN r.job_id IS NULL OR ts < created THEN 'job_not_found' WHEN ts = cancel_at THEN NULL ELSE 'cannot_cancel' END AS error_code,
+  CASE WHEN r.job_id IS NULL OR ts < created THEN 404 WHEN ts = cancel_at THEN 200 ELSE 400 END AS http_status
+FROM messages m LEFT JOIN run r USING (job_id) WHERE kind = 'cancel'""",
     "j_run": _with(_PAYLOADS)
     + f""", texts AS (
   SELECT payload_id, iw, ih, bytes AS b, octet_length(bytes) AS n, (payload_id % 5) / 10 AS threshold, CASE

@@ -22,7 +22,7 @@ from glyphflow.functions.payload import (
     probe_dimensions,
 )
 from glyphflow.functions.text import iso_z_format, iso_z_parse, job_id_of, ms_from_seconds
-from glyphflow.operators import batch, jobs, metrics, normalise, process, validate
+from glyphflow.operators import batch, jobs, metrics, normalise, process, runs, validate
 from glyphflow.operators.recognise import inference_calls
 from glyphflow.plans.tables import DOCUMENTS, EVENTS, LANGS, MODEL_TYPES, Tables, hex_number, pick, reversed_hex
 from glyphflow.session import materialise, tune, work_folder
@@ -30,7 +30,7 @@ from glyphflow.settings import Settings
 from glyphflow.sources import files, requests as request_source
 from glyphflow.sources import jobs as job_source
 from glyphflow.sources.sinks import answer_json, response_json
-from glyphflow.streaming import jobs as stream_jobs
+from glyphflow.streaming import jobs as stream_jobs, runs as stream_runs
 from glyphflow.streaming.metrics import stream_request_metrics
 from glyphflow.streaming.normalise import stream_normalise
 from glyphflow.streaming.run import read_batches, run_batches, run_to_files, upsert_batches, use_rocksdb
@@ -697,6 +697,88 @@ def j_run_inferences(t: Tables) -> DataFrame:
     return calls.groupBy("model", "device").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---- whole job runs ---------------------------------------------------------------------------
+
+
+def _job_number(doc: Column) -> Column:
+    """Ten payloads a job; the first two jobs are above the limit."""
+    return F.when(doc < 60, F.floor(doc / 30)).otherwise(F.floor(doc / 10))
+
+
+def _job_created(job_id: Column) -> Column:
+    return F.timestamp_seconds(F.lit(1_704_067_200) + F.substring(job_id, F.lit(5), F.length(job_id)).cast("bigint") * 60)
+
+
+def _job_requests(t: Tables) -> DataFrame:
+    """Job requests as documents: request_id, images, min_confidence."""
+    doc = F.col("payload_id")
+    packed = t.payloads().groupBy(_job_number(doc).alias("n")).agg(F.array_sort(F.collect_list(F.struct("payload_id", "payload"))).alias("items"))
+    return packed.select(
+        F.concat(F.lit("job_"), F.col("n").cast("string")).alias("request_id"), F.transform("items", lambda i: i["payload"]).alias("images"),
+        ((F.col("n") % 5) / 10).alias("min_confidence"),
+    )
+
+
+def _job_messages(t: Tables) -> DataFrame:
+    """Cancel requests and crashes: some before, during and after the job, some about no job, some of both."""
+    n = F.col("n")
+    numbers = t.read("documents").select(_job_number(F.col("doc_id")).alias("n")).distinct()
+    job = F.concat(F.lit("job_"), n.cast("string"))
+    at = lambda seconds: F.timestamp_seconds(F.lit(1_704_067_200) + n * 60 + seconds)
+    message = lambda job, kind, ts, error: F.struct(job.alias("job_id"), F.lit(kind).alias("kind"), ts.alias("ts"), error.alias("error"))
+    no_text = F.lit(None).cast("string")
+    return numbers.select(F.explode(F.array_compact(F.array(
+        F.when(n % 3 == 0, message(job, runs.CANCEL, at(n * 97 % 1500), no_text)),
+        F.when(n % 6 == 0, message(job, runs.CANCEL, at(n * 31 % 1500), no_text)),
+        F.when(n % 11 == 5, message(job, runs.CANCEL, at(F.lit(-5)), no_text)),
+        F.when(n % 4 == 0, message(job, runs.CRASH, at(n * 61 % 1300), F.concat(F.lit("lost worker "), n.cast("string")))),
+        F.when(n % 50 == 0, message(F.concat(F.lit("gone_"), n.cast("string")), runs.CANCEL, at(F.lit(60)), no_text)),
+    ))).alias("m")).select("m.*")
+
+
+def _run_columns(t: Tables, headers: DataFrame, results: DataFrame, messages: DataFrame) -> DataFrame:
+    ids = _job_requests(t).select(F.col("request_id").alias("job_id")).unionByName(_job_messages(t).select("job_id")).distinct()
+    view = runs.run_view(ids, headers, results, messages, SETTINGS)
+    line = lambda r: F.concat_ws(":", r["filename"], r["status"], r["summary"]["total_lines"].cast("string"), r["error"])
+    return view.withColumn("results", F.array_join(F.transform("results", line), ";"))
+
+
+@query
+def j_job_run(t: Tables) -> DataFrame:
+    """The status answer of every job with its real results: run to the end, cancelled, crashed, or unknown."""
+    requests = _job_requests(t).select(F.col("request_id").alias("job_id"), _job_created(F.col("request_id")).alias("created_at"), "images",
+                                       F.lit("auto").alias("lang"), "min_confidence")
+    headers, images, _ = jobs.create_jobs(requests, SETTINGS)
+    asked = images.join(requests.drop("images"), "job_id")
+    results = materialise(process.process_job_images(asked, digest_recogniser, SETTINGS), "job-results")
+    return _run_columns(t, headers, results, _job_messages(t))
+
+
+@query
+def x_job_run(t: Tables) -> DataFrame:
+    """The same from job requests and messages that arrive as files on a stream, a few at a time."""
+    folder = work_folder(t.spark, "job-runs")
+    _job_requests(t).write.json(f"{folder}/in")
+    _job_messages(t).write.parquet(f"{folder}/messages-in")
+    submissions = request_source.stream_submissions(t.spark, f"{folder}/in", t.files_per_trigger).select(
+        F.col("request_id").alias("job_id"), _job_created(F.col("request_id")).alias("created_at"), "images", "lang", "min_confidence")
+    reader = t.spark.readStream.schema(stream_runs.MESSAGES).option("maxFilesPerTrigger", t.files_per_trigger)
+    stream = stream_runs.with_messages(submissions, reader.parquet(f"{folder}/messages-in"))
+    run_batches(stream, stream_runs.run_jobs(t.spark, folder, digest_recogniser, SETTINGS), f"{folder}/checkpoint").awaitTermination()
+    headers, results, messages, _ = stream_runs.read_runs(t.spark, folder)
+    return _run_columns(t, headers, results, messages)
+
+
+@query
+def j_cancel_run(t: Tables) -> DataFrame:
+    """The answer to each cancel request, by where the job's run was when it came."""
+    doc = F.col("doc_id")
+    headers = t.read("documents").groupBy(F.concat(F.lit("job_"), _job_number(doc).cast("string")).alias("job_id")).agg(F.count(F.lit(1)).alias("n_images"))
+    headers = jobs.job_headers(headers.withColumn("created_at", _job_created(F.col("job_id"))), SETTINGS)
+    answers = runs.cancel_answers(_job_messages(t), headers, SETTINGS)
+    return answers.withColumn("ts", iso_z_format(F.col("ts")))
+
+
 # ---- sources and stores ---------------------------------------------------------------------
 
 
