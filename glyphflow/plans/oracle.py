@@ -782,6 +782,28 @@ FROM state WHERE last_seq % 4 != 0""",
     "s_job_store": _with(_EVENTS, _STATE)
     + """SELECT job_id, CASE WHEN status = 'running' THEN 'completed' ELSE status END AS status, processed, last_seq
 FROM state WHERE CAST(substr(job_id, 5) AS BIGINT) % 5 != 0""",
+    # The same machine as one fold over each job's status events; elements and states share one type.
+    "x_lifecycle": _with(_EVENTS)
+    + """, steps AS (
+  SELECT job_id, list({kind: kind, ts: ts, created: NULL::TIMESTAMP, ok: 0, no: 0, ended: 0} ORDER BY seq) AS events
+  FROM job_events WHERE kind != 'progress' GROUP BY job_id),
+folded AS (
+  SELECT job_id, list_reduce(events, lambda a, e:
+    CASE WHEN a.created IS NOT NULL AND e.ts - a.created > INTERVAL 24 HOUR THEN
+      CASE WHEN e.kind = 'queued' THEN {kind: e.kind, ts: e.ts, created: e.ts, ok: a.ok + 1, no: a.no, ended: a.ended + 1}
+      ELSE {kind: '', ts: e.ts, created: NULL::TIMESTAMP, ok: a.ok, no: a.no + 1, ended: a.ended + 1} END
+    WHEN (a.kind || '>' || e.kind) IN ('>queued', 'queued>running', 'queued>cancelled', 'running>completed', 'running>failed', 'running>cancelled')
+      THEN {kind: e.kind, ts: e.ts, created: coalesce(a.created, e.ts), ok: a.ok + 1, no: a.no, ended: a.ended}
+    ELSE {kind: a.kind, ts: e.ts, created: a.created, ok: a.ok, no: a.no + 1, ended: a.ended} END,
+    {kind: '', ts: NULL::TIMESTAMP, created: NULL::TIMESTAMP, ok: 0, no: 0, ended: 0}) AS s FROM steps),
+mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS ts FROM job_events WHERE kind != 'progress')
+SELECT job_id, s.ok::BIGINT AS n_accepted, s.no::BIGINT AS n_rejected, s.kind AS status,
+  (s.ended + CASE WHEN s.created + INTERVAL 24 HOUR < (SELECT ts FROM mark) THEN 1 ELSE 0 END)::BIGINT AS n_expired FROM folded""",
+    "x_effective_images": _with(_EVENTS, _ITEMS)
+    + """, cancels AS (SELECT job_id, ts FROM job_events WHERE kind = 'cancelled'),
+mark AS (SELECT least((SELECT max(start_ts) FROM job_items), (SELECT max(ts) FROM cancels)) - INTERVAL 630 SECOND AS ts)
+SELECT job_id, image_id FROM job_items i WHERE start_ts <= (SELECT ts FROM mark)
+  AND NOT EXISTS (SELECT 1 FROM cancels c WHERE c.job_id = i.job_id AND c.ts <= i.start_ts AND c.ts >= i.start_ts - INTERVAL 24 HOUR)""",
     "x_metrics": _with(_REQUESTS)
     + f""", windows AS (
   SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, endpoint, lang, status, count(*) AS n_requests,

@@ -31,6 +31,7 @@ from glyphflow.sources import files, requests as request_source
 from glyphflow.sources import jobs as job_source
 from glyphflow.sources.sinks import answer_json, response_json
 from glyphflow.streaming import jobs as stream_jobs, runs as stream_runs
+from glyphflow.streaming.lifecycle import EXPIRED, stream_lifecycle
 from glyphflow.streaming.metrics import stream_request_metrics
 from glyphflow.streaming.normalise import stream_normalise
 from glyphflow.streaming.run import read_batches, run_batches, run_to_files, upsert_batches, use_rocksdb
@@ -875,6 +876,28 @@ def x_job_state(t: Tables) -> DataFrame:
     return _state_columns(job_source.read_store(t.spark, f"{folder}/store"))
 
 
+@query
+def x_lifecycle(t: Tables) -> DataFrame:
+    """Steps of every job that were taken and turned away on arrival, and the lives that ended before the watermark."""
+    events = t.job_events(t.stream("events", EVENTS))
+    out = run_to_files(stream_lifecycle(events, SETTINGS), "lifecycle")
+    ended = F.col("kind") == EXPIRED
+    return out.groupBy("job_id").agg(
+        F.count_if(F.col("accepted") & ~ended).alias("n_accepted"), F.count_if(~F.col("accepted")).alias("n_rejected"), F.count_if(ended).alias("n_expired"),
+        F.max_by("status", F.when(~ended, F.col("seq"))).alias("status"),
+    )
+
+
+@query
+def x_effective_images(t: Tables) -> DataFrame:
+    """Image starts that no cancel came before, from a stream of images and a stream of events."""
+    starts = t.job_items(t.stream("orders", t.read("orders").schema)).select("job_id", "image_id", "start_ts")
+    cancels = t.job_events(t.stream("events", EVENTS)).where(F.col("kind") == "cancelled").select("job_id", "ts")
+    # Starts are whole minutes; the watermark is not, so that no start is just at it.
+    out = run_to_files(stream_jobs.stream_effective_images(starts, cancels, SETTINGS, "630 seconds"), "effective-images")
+    return out.select("job_id", "image_id")
+
+
 @query
 def x_metrics(t: Tables) -> DataFrame:
     """Request metrics of all windows the watermark has closed."""

@@ -219,12 +219,13 @@ class Tables:
             F.when(is_failure & (event % 3 == 0), F.concat(F.lit("stopped at "), event.cast("string"))).alias("error"),
         )
 
-    def job_items(self) -> DataFrame:
+    def job_items(self, orders: DataFrame | None = None) -> DataFrame:
         """Submitted job images, not yet gated by size: job_id, image_id, payload, start_ts, status."""
+        source = self.read("orders") if orders is None else orders
         key = F.col("o_orderkey")
         start = F.timestamp_seconds(F.lit(1_704_067_200) + (key % 43_200) * 60)
         name = F.concat(F.lit("img_"), key.cast("string"))
-        return self.read("orders").select(
+        return source.select(
             F.concat(F.lit("job_"), F.col("o_custkey").cast("string")).alias("job_id"),
             key.alias("image_id"),
             F.replace(F.base64(name.cast("binary")), F.lit("\r\n"), F.lit("")).alias("payload"),

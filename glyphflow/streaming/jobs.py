@@ -81,3 +81,19 @@ def fixed_expiry(
         expired.write(due, batch_id)
 
     return take
+
+
+def stream_effective_images(starts: DataFrame, cancels: DataFrame, settings: Settings, delay: str = "10 minutes") -> DataFrame:
+    """Image starts (job_id, start_ts, ...) that no cancel of their job came before, on two streams.
+
+    `cancels` are rows (job_id, ts). A start is given out once the watermark
+    has passed it, as no earlier cancel can arrive then. A cancel is kept for
+    the time to live, after which its job is gone; so the state of both sides
+    is bounded.
+    """
+    ttl = F.expr(f"INTERVAL '{settings.job_ttl_hours}' HOUR")
+    left = starts.withWatermark("start_ts", delay)
+    right = cancels.select(F.col("job_id").alias("_job"), F.col("ts").alias("_cancel")).withWatermark("_cancel", delay)
+    start, cancel = F.col("start_ts"), F.col("_cancel")
+    met = (F.col("job_id") == F.col("_job")) & (cancel <= start) & (cancel >= start - ttl)
+    return left.join(right, met, "left_outer").where(cancel.isNull()).drop("_job", "_cancel")

@@ -10,13 +10,13 @@ from glyphflow.operators.normalise import normalise_images
 from glyphflow.schemas import JOB_EVENT, RAW_PAGES
 from glyphflow.settings import JOB_STATES, Settings
 from glyphflow.sources.jobs import read_store
-from glyphflow.streaming import jobs as sj
+from glyphflow.streaming import jobs as sj, lifecycle as sl
 from glyphflow.streaming.metrics import stream_request_metrics
 from glyphflow.streaming.normalise import stream_normalise
 from glyphflow.plans import queries as queries_module
 from glyphflow.plans.queries import QUERIES
 from glyphflow.session import tune
-from glyphflow.streaming.run import read_batches, run_batches, run_to_files, upsert_batches, use_rocksdb
+from glyphflow.streaming.run import read_batches, run_batches, run_to_files, start_files, upsert_batches, use_rocksdb
 
 S = Settings()
 T0 = dt.datetime(2024, 1, 1)
@@ -155,3 +155,63 @@ def test_normalise_on_a_stream_equals_batch(spark, tmp_path):
     want = normalise_images(spark.createDataFrame(rows, schema), S).select("image_id", "results", "summary")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "Exchange" not in normalise_images(spark.createDataFrame(rows, schema), S)._jdf.queryExecution().executedPlan().toString()
+
+
+def lifecycle_rows(out):
+    return sorted((r.job_id, -1 if r.seq is None else r.seq, r.kind, r.status, r.accepted) for r in out)
+
+
+def lifecycle_run(spark, folder, batches):
+    use_rocksdb(spark)
+    stream = sl.stream_lifecycle(arriving(spark, f"{folder}/in", JOB_EVENT, batches), S)
+    query = start_files(stream, f"{folder}/out", f"{folder}/cp")
+    query.awaitTermination()
+    rows = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    return lifecycle_rows(spark.read.schema(stream.schema).parquet(f"{folder}/out").collect()), rows
+
+
+def event(job, i, when, kind):
+    return (job, i, when, kind, None, None)
+
+
+LIVES = [
+    event("a", 1, hours(0), "queued"), event("a", 2, hours(1), "running"), event("b", 3, hours(1), "running"), event("b", 4, hours(2), "queued"),
+    event("a", 5, hours(3), "queued"), event("a", 6, hours(4), "completed"), event("a", 7, hours(5), "cancelled"), event("b", 8, hours(26), "cancelled"),
+    event("a", 9, hours(26), "running"), event("a", 10, hours(27), "queued"), event("c", 11, hours(100), "progress"), event("c", 12, hours(100), "failed"),
+]
+STEPS = [
+    ("a", 1, "queued", "queued", True), ("a", 2, "running", "running", True), ("a", 5, "queued", "running", False), ("a", 6, "completed", "completed", True),
+    ("a", 7, "cancelled", "completed", False), ("a", -1, "expired", "expired", True), ("a", 9, "running", "", False), ("a", 10, "queued", "queued", True),
+    ("a", -1, "expired", "expired", True), ("b", 3, "running", "", False), ("b", 4, "queued", "queued", True), ("b", 8, "cancelled", "cancelled", True),
+    ("b", -1, "expired", "expired", True), ("c", 12, "failed", "", False),
+]
+
+
+def test_lifecycle_turns_illegal_steps_away_and_ends(spark, tmp_path):
+    one, state = lifecycle_run(spark, str(tmp_path / "one"), [LIVES])
+    assert one == sorted(STEPS)
+    # Once the watermark has passed, nothing is left of the jobs.
+    assert state[-1]["numRowsTotal"] == 0
+    many, state = lifecycle_run(spark, str(tmp_path / "many"), [[e] for e in LIVES])
+    assert many == sorted(STEPS) and state[-1]["numRowsTotal"] == 0 and max(s["numRowsTotal"] for s in state) > 0
+
+
+def test_exactly_the_time_to_live_is_alive(spark, tmp_path):
+    rows, _ = lifecycle_run(spark, str(tmp_path), [[event("a", 1, hours(0), "queued"), event("a", 2, hours(24), "running")]])
+    assert rows == [("a", 1, "queued", "queued", True), ("a", 2, "running", "running", True)]
+
+
+def test_cancels_and_starts_join_on_two_streams(spark, tmp_path):
+    start = "job_id string, start_ts timestamp"
+    cancel = "job_id string, ts timestamp"
+    starts = arriving(spark, str(tmp_path / "starts"), start, [
+        [("a", hours(1)), ("b", hours(1)), ("a", hours(3))], [("a", hours(5)), ("b", hours(30)), ("c", hours(4))], [("end", hours(90))], [("end", hours(91))]])
+    cancels = arriving(spark, str(tmp_path / "cancels"), cancel, [
+        [("a", hours(2)), ("a", hours(2.5))], [("b", hours(3)), ("c", hours(4))], [("end", hours(90))], [("end", hours(91))]])
+    use_rocksdb(spark)
+    query = start_files(sj.stream_effective_images(starts, cancels, S), str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    out = {(r.job_id, r.start_ts) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # The cancel of "b" at 3 is forgotten after 24 hours; what is after the watermark is still open.
+    assert out == {("a", hours(1)), ("b", hours(1)), ("b", hours(30))}
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
