@@ -11,6 +11,7 @@ with all its blocks and those of its siblings that look like it, in page order.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,7 +29,9 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr".split()
 )
-JUNK_TAGS = frozenset("nav footer aside form button select menu dialog object audio video canvas fieldset head map".split())
+JUNK_TAGS = frozenset("nav footer aside button select menu dialog object audio video canvas fieldset head map".split())
+# Elements of a form that hold its own words.
+CONTROLS = frozenset("label legend option optgroup button select output datalist".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -59,11 +62,14 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 class Node:
     """An element: its tag, parent, and children or texts in order."""
 
-    __slots__ = ("tag", "parent", "items", "junk", "bonus", "content")
+    __slots__ = ("tag", "parent", "items", "junk", "bonus", "content", "block", "inline_open")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag = tag
         self.parent = parent
+        # The innermost block element around; it counts the inline elements open in it.
+        self.block: Node = parent.block if parent is not None and tag in INLINE else self
+        self.inline_open: dict[str, int] = {}
         self.items: list[Node | str] = []
         self.junk = False
         self.bonus = 0
@@ -90,17 +96,70 @@ def _marks(node: Node, attributes: str) -> None:
             node.content |= bool(named & CONTENT_WORDS) and node.tag not in INLINE and node.tag not in ("body", "html")
 
 
+class _Open:
+    """The open elements while a page is read. Each is left once, and no step looks at elements that stay open."""
+
+    def __init__(self, root: Node):
+        self.node = root
+        self.blocks: Counter[str] = Counter()
+
+    def enter(self, child: Node) -> None:
+        self.node = child
+        counts = child.block.inline_open if child.tag in INLINE else self.blocks
+        counts[child.tag] = counts.get(child.tag, 0) + 1
+
+    def leave(self, until: Node) -> None:
+        """Close everything below `until`."""
+        while self.node is not until:
+            counts = self.node.block.inline_open if self.node.tag in INLINE else self.blocks
+            counts[self.node.tag] -= 1
+            self.node = self.node.parent
+
+    def close(self, tag: str) -> None:
+        """An end tag; one that closes nothing is ignored, and an inline one closes nothing beyond its block."""
+        counts = self.node.block.inline_open if tag in INLINE else self.blocks
+        if not counts.get(tag):
+            return
+        at = self.node
+        while at.tag != tag:
+            at = at.parent
+        self.leave(at.parent)
+
+    def make_room(self, tag: str) -> None:
+        """Close what a new `tag` ends."""
+        if tag not in INLINE and self.node.tag == "head":
+            self.leave(self.node.parent)
+        if tag in CLOSES:
+            ended, fence = CLOSES[tag]
+            if any(self.blocks.get(x) for x in ended):
+                at, last = self.node, None
+                while at.parent is not None and at.tag not in fence:
+                    last = at if at.tag in ended else last
+                    at = at.parent
+                if last is not None:
+                    self.leave(last.parent)
+        elif tag not in INLINE and self.node.block.tag == "p":
+            self.leave(self.node.block.parent)
+
+    def text(self, words: str) -> None:
+        # Text is no part of a head, whose end tag may be missing.
+        if self.node.tag == "head" and words.strip():
+            self.leave(self.node.parent)
+        self.node.items.append(words)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; broken mark-up is closed where a browser would close it."""
-    root = node = Node("html", None)
+    root = Node("html", None)
+    stack = _Open(root)
     at, size = 0, len(page)
     while at < size:
         low = page.find("<", at)
         if low < 0:
-            node.items.append(page[at:])
+            stack.text(page[at:])
             break
         if low > at:
-            node.items.append(page[at:low])
+            stack.text(page[at:low])
         after = page[low + 1:low + 2]
         if after == "!" or after == "?":
             if page.startswith("<!--", low):
@@ -113,14 +172,14 @@ def parse(page: str) -> Node:
         closing = after == "/"
         name = _NAME.match(page, low + 1 + closing)
         if name is None:
-            node.items.append("<")
+            stack.text("<")
             at = low + 1
             continue
         tag = name.group().lower()
         end = _ATTRIBUTES.match(page, name.end())
         at = end.end() if end else (page.find(">", low) + 1 or size)
         if closing:
-            node = _close(node, tag)
+            stack.close(tag)
             continue
         attributes = page[name.end():at - 1]
         if tag in RAW:
@@ -129,66 +188,55 @@ def parse(page: str) -> Node:
             at = size if end < 0 else end + 1
             continue
         if tag == "br":
-            node.items.append("\n")
+            stack.text("\n")
             continue
-        if tag in VOID:
+        if tag in VOID or tag == "html":
             continue
-        if tag in ("html", "body"):
-            if tag == "html" or root.tag == "body":
-                continue
-        node = _open(node, tag)
-        child = Node(tag, node)
+        stack.make_room(tag)
+        child = Node(tag, stack.node)
         _marks(child, attributes)
-        node.items.append(child)
+        stack.node.items.append(child)
         if not attributes.endswith("/") or tag not in INLINE:
-            node = child
+            stack.enter(child)
     return root
 
 
-def _open(node: Node, tag: str) -> Node:
-    """The element that a new `tag` becomes a child of."""
-    if tag in CLOSES:
-        ended, fence = CLOSES[tag]
-        at = node
-        while at.parent is not None and at.tag not in fence:
-            if at.tag in ended:
-                node = at.parent
-            at = at.parent
-    elif tag not in INLINE:
-        at = node
-        while at.parent is not None and (at.tag in INLINE or at.tag == "p"):
-            if at.tag == "p":
-                return at.parent
-            at = at.parent
-    return node
-
-
-def _close(node: Node, tag: str) -> Node:
-    """The open element after an end tag; one that closes nothing is ignored."""
-    at = node
-    while at.parent is not None:
-        if at.tag == tag:
-            return at.parent
-        if tag in INLINE and at.tag not in INLINE:
-            break
-        at = at.parent
-    return node
-
-
-def _heads(node: Node) -> bool:
-    return any(isinstance(x, Node) and (x.tag in ("h1", "h2") or _heads(x)) for x in node.items)
+def _preorder(root: Node, junk: bool) -> list[Node]:
+    """The elements, each before what it holds; with what is in junk, or without."""
+    out, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if junk or not node.junk:
+            out.append(node)
+            todo += [x for x in reversed(node.items) if isinstance(x, Node)]
+    return out
 
 
 def _drop(root: Node) -> None:
-    """Mark page headers: one inside an article that holds its heading stays."""
-    todo = [(root, False)]
-    while todo:
-        node, inside = todo.pop()
-        if node.tag == "header" and not (inside and _heads(node)):
+    """Mark page headers and forms.
+
+    A header inside an article that holds its heading stays; so does a form
+    that the whole page stands in: one with more than half of the page's text
+    outside of controls.
+    """
+    nodes = _preorder(root, junk=True)
+    heads: set[Node] = set()
+    size: dict[Node, int] = {}
+    for node in reversed(nodes):
+        size[node] = size.get(node, 0) + sum(len(x.strip()) for x in node.items if isinstance(x, str))
+        if node.parent is not None:
+            if node in heads or node.tag in ("h1", "h2"):
+                heads.add(node.parent)
+            if node.tag not in CONTROLS and not node.junk:
+                size[node.parent] = size.get(node.parent, 0) + size[node]
+    inside: set[Node] = set()
+    for node in nodes:
+        if node.parent in inside or node.tag in ("article", "main"):
+            inside.add(node)
+        if node.tag == "header" and not (node.parent in inside and node in heads):
+            node.junk = True
+        if node.tag == "form" and 2 * size[node] <= size[root]:
             node.junk = True
-        if not node.junk:
-            inside |= node.tag in ("article", "main")
-            todo += [(x, inside) for x in node.items if isinstance(x, Node)]
 
 
 def _blocks(root: Node) -> Iterator[tuple[Node, str, int]]:
@@ -248,45 +296,51 @@ def main_text(page: str) -> str:
     blocks = list(_blocks(root))
     if not blocks:
         return ""
-    points: dict[Node, float] = {}
-    chars: dict[Node, int] = {}
-    links: dict[Node, int] = {}
-    for owner, text, linked in blocks:
+    nodes = _preorder(root, junk=False)
+    gained: dict[Node, float] = {}
+    first: dict[Node, int] = {}
+    chars = dict.fromkeys(nodes, 0)
+    links = dict.fromkeys(nodes, 0)
+    for i, (owner, text, linked) in enumerate(blocks):
         gain = 1 + text.count(",") + min(len(text) / 100, 3)
-        # Link lists are no prose, headings are not what makes an article.
-        if linked > len(text) / 2 or owner.tag[0] == "h" and owner.tag[1:].isdigit():
-            gain = 0
         node = owner if owner.tag in START else owner.parent or owner
-        step = 1
-        while node is not None:
-            if gain:
-                points[node] = points.get(node, START.get(node.tag, -3) + node.bonus) + gain / step
-            chars[node] = chars.get(node, 0) + len(text)
-            links[node] = links.get(node, 0) + linked
-            node, step = node.parent, step * 2
-    if not points:
-        best = root
-    else:
-        score = {n: p * (1 - min(1, links[n] / max(1, chars[n]))) for n, p in points.items()}
-        best = max(score, key=score.__getitem__)
+        # Link lists are no prose, headings are not what makes an article.
+        if linked <= len(text) / 2 and not _is_heading(owner):
+            gained[node] = gained.get(node, 0) + gain
+            first.setdefault(node, i)
+        chars[owner] += len(text)
+        links[owner] += linked
+    # Sums go up once, from the leaves: half the points, all the characters.
+    depth = {root: 0}
+    for node in nodes[1:]:
+        depth[node] = depth[node.parent] + 1
+    for node in reversed(nodes[1:]):
+        chars[node.parent] += chars[node]
+        links[node.parent] += links[node]
+        if node in gained:
+            gained[node.parent] = gained.get(node.parent, 0) + gained[node] / 2
+            first[node.parent] = min(first[node], first.get(node.parent, first[node]))
+    score = {}
+    for node, points in gained.items():
+        score[node] = (points + START.get(node.tag, -3) + node.bonus) * (1 - min(1, links[node] / max(1, chars[node])))
+    # Of equal ones the first on the page, the innermost of these.
+    best = max(score, key=lambda n: (score[n], -first[n], depth[n])) if score else root
     best = _article(best, chars, links)
     kept = {best}
-    if best.parent is not None and points:
+    if best.parent is not None and score:
         for x in best.parent.items:
-            if isinstance(x, Node) and not x.junk and x is not best and x in chars:
-                dense = links[x] / max(1, chars[x])
-                heading = x.tag[0] == "h" and x.tag[1:].isdigit()
-                prose = x.tag == "p" and chars[x] > 80 and dense < 0.25
-                if heading or prose or (score.get(x, 0) >= max(10, 0.2 * score[best]) and x.tag == best.tag):
+            if isinstance(x, Node) and not x.junk and x is not best and chars[x]:
+                prose = x.tag == "p" and chars[x] > 80 and links[x] < 0.25 * chars[x]
+                if _is_heading(x) or prose or (score.get(x, 0) >= max(10, 0.2 * score.get(best, 0)) and x.tag == best.tag):
                     kept.add(x)
-    out = []
-    for owner, text, _ in blocks:
-        node = owner
-        while node is not None and node not in kept:
-            node = node.parent
-        if node is not None:
-            out.append(text)
-    return "\n".join(out)
+    for node in nodes[1:]:
+        if node.parent in kept:
+            kept.add(node)
+    return "\n".join(text for owner, text, _ in blocks if owner in kept)
+
+
+def _is_heading(node: Node) -> bool:
+    return node.tag[0] == "h" and node.tag[1:].isdigit()
 
 
 def extract(pages: DataFrame, keys: tuple[str, ...] = ("page_id",), html: str = "html") -> DataFrame:

@@ -109,3 +109,97 @@ def periodic_runs(w: list[str]) -> list[tuple[int, int, int]]:
 def collapsed(w: list[str]) -> str:
     gone = {i for a, n, p in periodic_runs(w) for i in range(a + p, a + n)}
     return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+# --- pages: a tree is [tag, class, items], an item a text or a tree; block elements hold texts, inline elements and blocks -----------
+
+
+INLINE = {"b", "a", "span", "label"}
+START = {"article": 25, "main": 20, "section": 5, "div": 5, "td": 3, "blockquote": 3, "pre": 3, "body": 0}
+
+
+def page_html(tree) -> str:
+    tag, name, items = tree
+    inner = "".join(x if isinstance(x, str) else page_html(x) for x in items)
+    return f'<{tag} class="{name}">{inner}</{tag}>' if name else f"<{tag}>{inner}</{tag}>"
+
+
+def page_text(tree) -> str:
+    """Every block climbs to the root on its own; all rules are asked anew of every element."""
+    root = ["html", "", [tree]]
+    parents = {}
+
+    def walk(node):
+        yield node
+        for x in node[2]:
+            if not isinstance(x, str):
+                parents[id(x)] = node
+                yield from walk(x)
+
+    nodes = list(walk(root))
+    up = lambda n: [n, *up(parents[id(n)])] if id(n) in parents else [n]
+    words_of = lambda n: [w for x in n[2] for w in ([len(x.strip())] if isinstance(x, str) else words_of(x) if x[0] not in ("label", "button") and not plain_junk(x) else [])]
+
+    def plain_junk(n):
+        return n[0] in ("nav", "footer", "aside", "button") or (n[1] in ("sidebar", "comments") and n[0] not in ("body", "html", "article", "main"))
+
+    def junk(n):
+        holds = any(x[0] in ("h1", "h2") for x in list(walk(n))[1:])
+        in_article = any(x[0] in ("article", "main") for x in up(n)[1:])
+        if n[0] == "header":
+            return plain_junk(n) or not (holds and in_article)
+        if n[0] == "form":
+            return plain_junk(n) or 2 * sum(words_of(n)) <= sum(words_of(root))
+        return plain_junk(n)
+
+    blocks, parts = [], []
+
+    def end(owner):
+        text = " ".join("".join(t for t, _ in parts).split())
+        if text:
+            blocks.append((owner, text, sum(len(t.strip()) for t, linked in parts if linked)))
+        parts.clear()
+
+    def read(node, owner, link):
+        for x in node[2]:
+            if isinstance(x, str):
+                parts.append((x, link))
+            elif x[0] in INLINE:
+                if not junk(x):
+                    read(x, owner, link or x[0] == "a")
+            else:
+                end(owner)
+                if not junk(x):
+                    read(x, x, link)
+                    end(x)
+
+    read(root, root, False)
+    end(root)
+    if not blocks:
+        return ""
+    heading = lambda n: n[0] in ("h1", "h2", "h3")
+    under = lambda n: [b for b in blocks if any(x is n for x in up(b[0]))]
+    chars, links = (lambda n: sum(len(b[1]) for b in under(n))), (lambda n: sum(b[2] for b in under(n)))
+    points, first, depth = {}, {}, {}
+    for i, (owner, text, linked) in enumerate(blocks):
+        if linked > len(text) / 2 or heading(owner):
+            continue
+        node = owner if owner[0] in START else parents.get(id(owner), owner)
+        for k, x in enumerate(up(node)):
+            points[id(x)] = points.get(id(x), 0) + (1 + text.count(",") + min(len(text) / 100, 3)) / 2**k
+            first.setdefault(id(x), i)
+            depth[id(x)] = len(up(x))
+    score = {k: (p + START.get(n[0], -3) + 10 * (n[1] == "content")) * (1 - min(1, links(n) / max(1, chars(n)))) for n in nodes for k, p in points.items() if k == id(n)}
+    by_id = {id(n): n for n in nodes}
+    best = by_id[max(score, key=lambda k: (round(score[k], 9), -first[k], depth[k]))] if score else root
+    low = [x for x in up(best) if 3 * links(x) <= chars(x)]
+    marked = [x for x in low if x[0] == "article"] or [x for x in low if x[0] == "main"] or [x for x in low if x[1] == "content" and x[0] not in INLINE and x[0] not in ("body", "html")]
+    best = marked[-1] if marked else best
+    kept = [best]
+    if id(best) in parents and score:
+        for x in parents[id(best)][2]:
+            if not isinstance(x, str) and x is not best and x[0] not in INLINE and not junk(x) and chars(x):
+                prose = x[0] == "p" and chars(x) > 80 and links(x) < 0.25 * chars(x)
+                if heading(x) or prose or (x[0] == best[0] and score.get(id(x), 0) >= max(10, 0.2 * score.get(id(best), 0))):
+                    kept.append(x)
+    return "\n".join(text for owner, text, _ in blocks if any(x is k for x in up(owner) for k in kept))
