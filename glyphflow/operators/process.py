@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from glyphflow.functions.geometry import plan_resize
 from glyphflow.functions.payload import decode_base64, detect_format, probe_dimensions
 from glyphflow.operators.batch import item_error, rollup_status, with_item_names
-from glyphflow.operators.normalise import build_error, build_response, normalise_images
+from glyphflow.operators.normalise import build_error, build_response, check_output, normalise_images
 from glyphflow.operators.recognise import Recogniser, recognise
 from glyphflow.operators.validate import (
     classify_errors,
@@ -23,6 +23,7 @@ from glyphflow.operators.validate import (
 )
 from glyphflow.schemas import BATCH_ITEM
 from glyphflow.settings import COUNTED_ERRORS, Settings
+from glyphflow.sources.files import files_to_process, scan_image_batch
 from glyphflow.sources.sinks import answer_json, response_json
 
 Dimensions = Callable[[Column], Column]
@@ -136,12 +137,14 @@ def process_batch_items(
 ) -> DataFrame:
     """Outcome of the items of accepted batches: status, error, results, summary and meta per item."""
     source = with_content(df, F.lit(True)) if is_json else df.withColumn("decode_error", F.lit(None).cast("string"))
-    done = run_images(source, factory, settings, **options)
+    done = check_output(run_images(source, factory, settings, **options))
+    # A response that breaks its own ranges is an item that cannot be processed.
+    broken = F.when(F.col("error_code").isNull() & (F.size("violations") > 0), F.col("violations")[0])
     error = item_error(
         is_json=F.lit(is_json),
         decode_error=F.col("decode_error"),
         content_length=F.col("n_bytes"),
-        validation_message=F.when(F.col("decode_error").isNull(), F.col("problem")),
+        validation_message=F.when(F.col("decode_error").isNull(), F.coalesce("problem", broken)),
         ocr_code=F.col("error_code"),
         ocr_message=F.col("error_message"),
         unexpected=F.lit(None).cast("string"),
@@ -150,7 +153,7 @@ def process_batch_items(
     return (
         done.withColumn("error", error)
         .withColumn("status", F.when(F.col("error").isNull(), F.lit("success")).otherwise(F.lit("error")))
-        .drop("problem", "decode_error", "error_code", "error_message")
+        .drop("problem", "decode_error", "error_code", "error_message", "violations")
     )
 
 
@@ -170,6 +173,28 @@ def answer_batches(
     oversize = sizes.where(code.isNotNull())
     accepted = with_item_names(items).join(oversize.select("batch_id"), "batch_id", "left_anti")
     done = process_batch_items(accepted, factory, settings, is_json=is_json, **options)
+    return _batch_documents(done, oversize, settings)
+
+
+def answer_file_batches(files: DataFrame, factory: Callable[[], Recogniser], settings: Settings, **options) -> DataFrame:
+    """The answer to every batch of uploaded files, as `answer_batches` gives it.
+
+    Expects scanned files (path, content) with batch_id, lang, min_confidence,
+    include_polygon, and filename where a file was given another name than its
+    own. Files are numbered by path without their contents; contents are
+    processed where they are read, and only outcomes are joined.
+    """
+    sizes = files.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_images"))
+    oversize = sizes.where(gate_of_size(F.col("n_images"), settings).isNotNull())
+    named = [c for c in ("filename",) if c in files.columns]
+    items = scan_image_batch(files.select("path", "batch_id", *named), settings).select("path", "idx", "filename")
+    done = process_batch_items(files_to_process(files, settings).drop(*named), factory, settings, is_json=False, **options)
+    return _batch_documents(done.drop("content", "raw").join(items, "path"), oversize, settings)
+
+
+def _batch_documents(done: DataFrame, oversize: DataFrame, settings: Settings) -> DataFrame:
+    """Response documents of processed batches and error documents of those above the limit."""
+    code = gate_of_size(F.col("n_images"), settings)
     request_id = F.col("batch_id").cast("string")
     data = F.when(F.col("error").isNull(), build_response(request_id, settings=settings))
     item = F.struct("filename", "status", data.alias("data"), "error").cast(BATCH_ITEM)

@@ -329,6 +329,14 @@ FROM raw_images r LEFT JOIN kept_items k USING (image_id) LEFT JOIN zero_sized z
 GROUP BY r.image_id, r.lang, r.width, z.image_id"""
 )
 
+def _files(per_file: int) -> str:
+    """Files of some documents each, in folders of 15, 20, 21 and 22 files in turn."""
+    return f"""WITH files AS (
+  SELECT doc_id // {per_file} AS n, string_agg(doc_id || ' ' || md5(text), ',' ORDER BY doc_id) AS body FROM documents GROUP BY 1),
+placed AS (
+  SELECT *, (n // 78) * 4 + CASE WHEN n % 78 < 15 THEN 0 WHEN n % 78 < 35 THEN 1 WHEN n % 78 < 56 THEN 2 ELSE 3 END AS folder FROM files)"""
+
+
 _JOB_RUN = (
     _with(_PAYLOADS, _RUNS)
     + f""", texts AS (
@@ -822,13 +830,33 @@ HAVING date_trunc('milliseconds', min(ts)) + INTERVAL 24 HOUR <= (SELECT w FROM
 SELECT job_id, {_iso("ts")} AS last_event_at FROM gaps
 WHERE (next_ts IS NULL OR next_ts - ts > INTERVAL 24 HOUR)
   AND ts + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
-    "s_scan_files": """WITH files AS (
-  SELECT doc_id % 300 AS n, string_agg(doc_id || ' ' || md5(text), ',' ORDER BY doc_id) AS body FROM documents GROUP BY 1),
+    "s_scan_files": _files(10) + """,
 ranked AS (
-  SELECT n, body, row_number() OVER (PARTITION BY n % 14 ORDER BY n) - 1 AS idx, count(*) OVER (PARTITION BY n % 14) AS n_images FROM files)
-SELECT 'b' || (n % 14) AS batch_id, idx, CASE WHEN n % 2 = 0 THEN printf('f%03d', n) ELSE 'image_' || idx END AS filename,
+  SELECT n, body, folder, row_number() OVER (PARTITION BY folder ORDER BY n) - 1 AS idx, count(*) OVER (PARTITION BY folder) AS n_images FROM placed)
+SELECT 'b' || folder AS batch_id, idx, CASE WHEN n % 2 = 0 THEN printf('f%09d', n) ELSE 'image_' || idx END AS filename,
   octet_length(encode(body)) + 1 AS length, n_images, md5(body || chr(10)) AS content_md5
 FROM ranked WHERE n_images <= 20""",
+    "b_file_documents": _files(5) + """,
+contents AS (
+  SELECT n, folder, n % 100 + 1 + 256 * (n * 7 % 120) AS w, n % 90 + 1 + 256 * (n * 11 % 110) AS h, n % 9 != 8 AS is_image, (n % 5) / 10 AS threshold,
+         CASE WHEN n % 9 != 8 THEN unhex('424D' || repeat('2E', 16) || printf('%02X', n % 100 + 1) || printf('%02X', n * 7 % 120) || '0000'
+           || printf('%02X', n % 90 + 1) || printf('%02X', n * 11 % 110) || '0000') ELSE encode('no image ') END || encode(body || chr(10)) AS content
+  FROM placed),
+judged AS (
+  SELECT *, octet_length(content) AS size, sqrt(16777216 / (w * h)) AS scale,
+         row_number() OVER (PARTITION BY folder ORDER BY n) - 1 AS idx, count(*) OVER (PARTITION BY folder) AS n_images FROM contents),
+listed AS (
+  SELECT folder, idx, n_images, CASE WHEN n % 2 = 0 THEN printf('f%09d', n) ELSE 'image_' || idx END AS filename,
+    CASE WHEN NOT is_image THEN 'Image processing error: unsupported_format' WHEN size % 17 = 0 THEN 'engine stopped at ' || size
+         WHEN size % 13 = 0 THEN 'Image processing error: confidence_range' END AS error,
+    CASE WHEN w * h > 16777216 THEN CAST(floor(w * scale) AS BIGINT) || 'x' || CAST(floor(h * scale) AS BIGINT) || 'xtrue' ELSE w || 'x' || h || 'xfalse' END
+      || 'x' || (1 + CASE WHEN (size * 7 % 101) / 100 >= threshold THEN 1 ELSE 0 END + CASE WHEN 0.5 >= threshold THEN 1 ELSE 0 END) AS found
+  FROM judged)
+SELECT 'b' || folder AS batch_id, count(*) AS n_images,
+  CASE WHEN count(*) > 20 THEN 'rejected' WHEN count(error) = 0 THEN 'success' WHEN count(error) < count(*) THEN 'partial' ELSE 'error' END AS status,
+  CASE WHEN count(*) > 20 THEN 400 ELSE 200 END AS http_status, CASE WHEN count(*) > 20 THEN 'batch_too_large' END AS error,
+  CASE WHEN count(*) <= 20 THEN string_agg(CASE WHEN error IS NULL THEN filename || '|success|' || found ELSE filename || '|error|' || error END, ';' ORDER BY idx) END AS results
+FROM listed GROUP BY folder""",
     "x_create": f"""WITH sized AS (
   SELECT 'job_' || o_custkey AS job_id, count(*) AS n,
          md5(string_agg(to_base64(encode('img_' || o_orderkey)), ',' ORDER BY o_orderkey)) AS images_md5 FROM orders GROUP BY o_custkey),

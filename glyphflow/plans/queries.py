@@ -783,25 +783,85 @@ def j_cancel_run(t: Tables) -> DataFrame:
 # ---- sources and stores ---------------------------------------------------------------------
 
 
+def _file_folder(n: Column) -> Column:
+    """Folders of 15, 20, 21 and 22 files in turn."""
+    at = n % 78
+    return F.floor(n / 78) * 4 + F.when(at < 15, 0).when(at < 35, 1).when(at < 56, 2).otherwise(3)
+
+
+def _write_files(t: Tables, body: Column, per_file: int, label: str) -> str:
+    """A file of every `per_file` documents, in batch folders; `body` is made of their `lines`."""
+    line = F.struct("doc_id", F.concat_ws(" ", "doc_id", F.md5("text")).alias("line"))
+    bodies = t.read("documents").groupBy(F.floor(F.col("doc_id") / per_file).alias("n")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    name = F.concat(F.lit("f"), F.lpad(F.col("n").cast("string"), 9, "0")).alias("name")
+    folder = work_folder(t.spark, label)
+    written = bodies.select(F.concat(F.lit("b"), _file_folder(F.col("n")).cast("string")).alias("batch"), name, body.alias("body"))
+    written.write.partitionBy("batch", "name").text(folder)
+    return folder
+
+
+def _path_part(at: int) -> Column:
+    return F.element_at(F.split(F.element_at(F.split("path", "/"), at), "="), -1)
+
+
+def _joined_lines() -> Column:
+    return F.array_join(F.transform("lines", lambda x: x["line"]), ",")
+
+
 @query
 def s_scan_files(t: Tables) -> DataFrame:
     """Documents written as files in batch folders, numbered and named by folder, and read with their contents."""
-    number = F.col("doc_id") % 300
-    line = F.struct("doc_id", F.concat_ws(" ", "doc_id", F.md5("text")).alias("line"))
-    bodies = t.read("documents").groupBy(number.alias("n")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    body = F.array_join(F.transform("lines", lambda x: x["line"]), ",").alias("body")
-    name = F.concat(F.lit("f"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("name")
-    folder = work_folder(t.spark, "image-files")
-    written = bodies.select(F.concat(F.lit("b"), (F.col("n") % 14).cast("string")).alias("batch"), name, body)
-    written.write.partitionBy("batch", "name").text(folder)
-    step = lambda at: F.element_at(F.split(F.element_at(F.split("path", "/"), at), "="), -1)
-    found = files.scan_image_files(t.spark, folder, "*.txt", recursive=True).withColumn("batch_id", step(-3))
-    given = F.when(F.substring(step(-2), 2, 3).cast("int") % 2 == 0, step(-2))
+    folder = _write_files(t, _joined_lines(), 10, "image-files")
+    found = files.scan_image_files(t.spark, folder, "*.txt", recursive=True).withColumn("batch_id", _path_part(-3))
+    given = F.when(F.substring(_path_part(-2), 2, 9).cast("int") % 2 == 0, _path_part(-2))
     items = files.scan_image_batch(found.select("path", "length", "batch_id", given.alias("filename")), SETTINGS)
     contents = files.files_to_process(found, SETTINGS).select("path", F.md5("content").alias("content_md5"))
     return items.join(contents, "path").select("batch_id", "idx", "filename", "length", "n_images", "content_md5")
 
 
+def _as_bitmap(lines: Column) -> Column:
+    """Text that reads as a bitmap's header, sized by the file's number, and the lines; every ninth has no signature."""
+    n = F.col("n")
+    number = lambda low, high: F.concat(F.chr(low), F.chr(high), F.chr(F.lit(0)), F.chr(F.lit(0)))
+    header = F.concat(F.lit("BM" + "." * 16), number(n % 100 + 1, n * 7 % 120), number(n % 90 + 1, n * 11 % 110))
+    return F.concat(F.when(n % 9 != 8, header).otherwise(F.lit("no image ")), lines)
+
+
+def strict_recogniser() -> Callable[[bytes], list]:
+    """As `digest_recogniser`; one confidence is out of range for some images."""
+    inner = digest_recogniser()
+
+    def run(data: bytes) -> list:
+        pages = inner(data)
+        if len(data) % 13 == 0:
+            pages[1].append([pages[1][0][0], ("odd", 1.5)])
+        return pages
+
+    return run
+
+
+def _bitmap_files(t: Tables) -> DataFrame:
+    """The bitmaps as scanned files with contents, and what their requests ask for."""
+    folder = _write_files(t, _as_bitmap(_joined_lines()), 5, "bitmap-files")
+    found = files.scan_image_files(t.spark, folder, "*.txt", recursive=True)
+    n = F.substring(_path_part(-2), 2, 9).cast("int")
+    return found.select(
+        "path", "content", "length", _path_part(-3).alias("batch_id"), F.when(n % 2 == 0, _path_part(-2)).alias("filename"),
+        F.lit("en").alias("lang"), ((n % 5) / 10).alias("min_confidence"), F.lit(True).alias("include_polygon"),
+    )
+
+
+@query
+def b_file_documents(t: Tables) -> DataFrame:
+    """The answer to batches of uploaded files: numbered by path, processed where they are read, large images scaled down."""
+    done = process.answer_file_batches(_bitmap_files(t), strict_recogniser, SETTINGS, planned_size=True)
+    meta = "meta:struct<image_width:bigint,image_height:bigint,was_resized:boolean>"
+    parsed = F.from_json("answer", f"results array<struct<filename:string,status:string,data:struct<{meta},summary:struct<total_lines:bigint>>,error:string>>")
+    size = lambda d: F.concat_ws("x", d["meta"]["image_width"], d["meta"]["image_height"], d["meta"]["was_resized"].cast("string"), d["summary"]["total_lines"])
+    listed = F.transform(parsed["results"], lambda r: F.concat_ws("|", r["filename"], r["status"], F.when(r["data"].isNotNull(), size(r["data"])), r["error"]))
+    return done.select("batch_id", "n_images", "status", "http_status", F.get_json_object("answer", "$.error").alias("error"), F.array_join(listed, ";").alias("results"))
+
+
 @query
 def s_batch_json(t: Tables) -> DataFrame:
     """Documents written as JSON batch requests and read back, one row per image."""
