@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from glyphflow.operators.jobs import status_transitions
 from glyphflow.plans.skew import HOT_ROWS, running_total
@@ -170,6 +172,37 @@ def queue_depth(events: DataFrame, *, literal: bool = False, min_rows: int = HOT
     return running_total(deltas, "seq", "delta", "depth", bucket_rows=min_rows)
 
 
+# ---- observed while a run happens -------------------------------------------------------------
+
+
+def observe_counts(df: DataFrame, labels: dict[str, list], when: Column | None = None) -> tuple[DataFrame, Observation]:
+    """`df` as it is, and an observation that counts its rows by label while they pass, without a pass of its own.
+
+    `labels` names the values of each label column that are counted; a
+    combination is one aggregate of the run. Read it with `observed_counts`
+    after the first action on the frame. The counts are those of that run: a
+    stage that it has to compute again after a loss can count again.
+    """
+    counted = F.lit(True) if when is None else when
+    observation = Observation()
+    aggregates = []
+    for i, values in enumerate(product(*labels.values())):
+        hit = counted
+        for name, value in zip(labels, values, strict=True):
+            hit = hit & (F.col(name) == value)
+        aggregates.append(F.count_if(hit).alias(f"n{i}"))
+    return df.observe(observation, *aggregates, F.count_if(counted).alias("all")), observation
+
+
+def observed_counts(spark: SparkSession, observation: Observation, labels: dict[str, list], value: str = "value") -> DataFrame:
+    """Rows (labels, value) of the combinations that occurred; an error if there were values without a label."""
+    found = observation.get
+    rows = [(*values, found[f"n{i}"]) for i, values in enumerate(product(*labels.values())) if found[f"n{i}"]]
+    if sum(r[-1] for r in rows) != found["all"]:
+        raise ValueError(f"{found['all'] - sum(r[-1] for r in rows)} rows have labels other than {labels}")
+    return spark.createDataFrame(rows, ", ".join(f"{name} string" for name in labels) + f", {value} long")
+
+
 # ---- exposition -----------------------------------------------------------------------------
 
 

@@ -337,6 +337,23 @@ placed AS (
   SELECT *, (n // 78) * 4 + CASE WHEN n % 78 < 15 THEN 0 WHEN n % 78 < 35 THEN 1 WHEN n % 78 < 56 THEN 2 ELSE 3 END AS folder FROM files)"""
 
 
+# Bitmaps made of the documents, and what becomes of each.
+_BITMAPS = _files(5) + """,
+contents AS (
+  SELECT n, folder, n % 100 + 1 + 256 * (n * 7 % 120) AS w, n % 90 + 1 + 256 * (n * 11 % 110) AS h, n % 9 != 8 AS is_image, (n % 5) / 10 AS threshold,
+         CASE WHEN n % 9 != 8 THEN unhex('424D' || repeat('2E', 16) || printf('%02X', n % 100 + 1) || printf('%02X', n * 7 % 120) || '0000'
+           || printf('%02X', n % 90 + 1) || printf('%02X', n * 11 % 110) || '0000') ELSE encode('no image ') END || encode(body || chr(10)) AS content
+  FROM placed),
+scaled AS (
+  SELECT *, octet_length(content) AS size, w * h > 16777216 AS was_resized, CASE WHEN w * h > 16777216 THEN sqrt(16777216 / (w * h)) ELSE 1 END AS scale,
+         row_number() OVER (PARTITION BY folder ORDER BY n) - 1 AS idx, count(*) OVER (PARTITION BY folder) AS n_images FROM contents),
+judged AS (
+  SELECT *, CAST(floor(w * scale) AS BIGINT) AS width, CAST(floor(h * scale) AS BIGINT) AS height,
+    CASE WHEN NOT is_image THEN 'Image processing error: unsupported_format' WHEN size % 17 = 0 THEN 'engine stopped at ' || size
+         WHEN size % 13 = 0 THEN 'Image processing error: confidence_range' END AS error,
+    1 + CASE WHEN (size * 7 % 101) / 100 >= threshold THEN 1 ELSE 0 END + CASE WHEN 0.5 >= threshold THEN 1 ELSE 0 END AS total_lines
+  FROM scaled)"""
+
 _JOB_RUN = (
     _with(_PAYLOADS, _RUNS)
     + f""", texts AS (
@@ -371,6 +388,21 @@ SELECT job_id, status, {_iso("created")} AS created_at, {_iso("created")} AS sta
 FROM asked LEFT JOIN state USING (job_id) LEFT JOIN shown USING (job_id)"""
 )
 
+_ANSWERED = (
+    _with(_PAYLOADS) + _ASKED + """
+SELECT endpoint, lang, outcome AS status, count(*) AS value FROM checked WHERE outcome IS NOT NULL GROUP BY ALL"""
+)
+
+_INFERRED = (
+    _with(_PAYLOADS)
+    + f"""SELECT 'ch_PP-OCRv4_' || lang AS model, 'cpu' AS device, count(*) AS n FROM decoded
+WHERE decode_error IS NULL AND octet_length(bytes) > 0 AND {_FORMAT.format(x="bytes")} IS NOT NULL
+  AND payload_id % 16 != 8 AND octet_length(bytes) % 17 != 0 GROUP BY lang"""
+)
+
+# In the order of the families.
+_HEADS = "\n".join(f"# HELP {name} {text}\n# TYPE {name} {kind}" for name, kind, text in METRIC_FAMILIES)
+
 _FOLD = _with(_EVENTS, _STATE) + f"SELECT {_STATE_COLUMNS} FROM state"
 
 ORACLE: dict[str, str] = {
@@ -580,12 +612,16 @@ SELECT *, coalesce(max_level >= 250 AND bright_pixels / nullif(pixels, 0) > 0.95
     "m_gauge": _GAUGE,
     "m_queue_depth": _with(_EVENTS, _OPENED)
     + "SELECT seq, job_id, delta, CAST(sum(delta) OVER (ORDER BY seq) AS BIGINT) AS depth FROM deltas",
+    "x_queue_depth": _with(_EVENTS, _OPENED)
+    + "SELECT seq, job_id, delta, CAST(sum(delta) OVER (ORDER BY seq) AS BIGINT) AS depth FROM deltas",
     "m_queue_depth_literal": _with(_EVENTS, _STEPS)
     + """, deltas AS (
   SELECT seq, job_id, CASE WHEN kind = 'queued' THEN 1 WHEN kind = 'cancelled' AND prev_status = 'running' THEN -2
     WHEN kind = 'cancelled' THEN -1 WHEN kind = 'failed' AND error IS NOT NULL THEN -1 ELSE 0 END AS delta FROM steps)
 SELECT seq, job_id, delta, CAST(sum(delta) OVER (ORDER BY seq) AS BIGINT) AS depth FROM deltas WHERE delta != 0""",
     "m_exposition": _exposition(),
+    "s_metrics_text": f"""WITH printed AS ({_exposition()})
+SELECT count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line)) AS lines_md5, '{_HEADS}' AS heads FROM printed""",
     "j_create": f"""WITH sized AS (
   SELECT o_custkey, count(*) AS n, min(o_orderdate) AS created FROM orders GROUP BY o_custkey),
 timed AS (
@@ -651,6 +687,14 @@ SELECT job_id, {_iso("since")} AS since, is_expired, CASE WHEN is_expired THEN 4
     + f""", aged AS (SELECT job_id, last_event_at AS since,
     TIMESTAMP '2024-01-30 12:00:00' - last_event_at > INTERVAL 24 HOUR AS is_expired FROM state)
 SELECT job_id, {_iso("since")} AS since, is_expired, CASE WHEN is_expired THEN 404 ELSE 200 END AS http_status FROM aged""",
+    "j_alive": _with(_EVENTS, _STATE)
+    + f"""SELECT job_id, status, {_iso("created_at")} AS created_at FROM state
+WHERE NOT coalesce(TIMESTAMP '2024-01-04 06:00:00' - created_at > INTERVAL 24 HOUR, false)""",
+    "j_days": _with(_EVENTS, _STATE)
+    + """SELECT job_id, status FROM state
+WHERE CAST(created_at AS DATE) IN (SELECT CAST(ts AS DATE) FROM job_events WHERE error IS NOT NULL AND seq % 5 = 0)""",
+    "j_lookup": _with(_EVENTS, _STATE)
+    + "SELECT 'job_' || c_custkey AS job_id, status, processed, error FROM customer LEFT JOIN state ON state.job_id = 'job_' || c_custkey",
     "j_list": _with(_EVENTS, _STATE)
     + """SELECT job_id, status FROM (SELECT job_id, status FROM state ORDER BY job_id DESC LIMIT 100) WHERE status = 'failed'""",
     "j_list_filter_first": _with(_EVENTS, _STATE)
@@ -759,12 +803,10 @@ SELECT payload_id,
   CASE WHEN fine THEN 'success' END AS status, CASE WHEN fine THEN coalesce(total_lines, 0) END AS total_lines,
   CASE WHEN fine THEN 'ch_PP-OCRv4_' || lang END AS model, split_part(texts, ',', 1) AS first_text
 FROM checked LEFT JOIN found USING (payload_id)""",
-    "m_answered": _with(_PAYLOADS) + _ASKED + """
-SELECT endpoint, lang, outcome AS status, count(*) AS value FROM checked WHERE outcome IS NOT NULL GROUP BY ALL""",
-    "j_run_inferences": _with(_PAYLOADS)
-    + f"""SELECT 'ch_PP-OCRv4_' || lang AS model, 'cpu' AS device, count(*) AS n FROM decoded
-WHERE decode_error IS NULL AND octet_length(bytes) > 0 AND {_FORMAT.format(x="bytes")} IS NOT NULL
-  AND payload_id % 16 != 8 AND octet_length(bytes) % 17 != 0 GROUP BY lang""",
+    "m_answered": _ANSWERED,
+    "m_answered_observed": _ANSWERED,
+    "j_run_inferences": _INFERRED,
+    "j_run_observed": _INFERRED,
     "s_batch_json": """WITH made AS (
   SELECT doc_id, CASE WHEN doc_id % 23 = 0 THEN [] ELSE string_split(text, chr(10)) END AS images,
     CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'auto' END AS lang,
@@ -836,27 +878,18 @@ ranked AS (
 SELECT 'b' || folder AS batch_id, idx, CASE WHEN n % 2 = 0 THEN printf('f%09d', n) ELSE 'image_' || idx END AS filename,
   octet_length(encode(body)) + 1 AS length, n_images, md5(body || chr(10)) AS content_md5
 FROM ranked WHERE n_images <= 20""",
-    "b_file_documents": _files(5) + """,
-contents AS (
-  SELECT n, folder, n % 100 + 1 + 256 * (n * 7 % 120) AS w, n % 90 + 1 + 256 * (n * 11 % 110) AS h, n % 9 != 8 AS is_image, (n % 5) / 10 AS threshold,
-         CASE WHEN n % 9 != 8 THEN unhex('424D' || repeat('2E', 16) || printf('%02X', n % 100 + 1) || printf('%02X', n * 7 % 120) || '0000'
-           || printf('%02X', n % 90 + 1) || printf('%02X', n * 11 % 110) || '0000') ELSE encode('no image ') END || encode(body || chr(10)) AS content
-  FROM placed),
-judged AS (
-  SELECT *, octet_length(content) AS size, sqrt(16777216 / (w * h)) AS scale,
-         row_number() OVER (PARTITION BY folder ORDER BY n) - 1 AS idx, count(*) OVER (PARTITION BY folder) AS n_images FROM contents),
+    "b_file_documents": _BITMAPS + """,
 listed AS (
   SELECT folder, idx, n_images, CASE WHEN n % 2 = 0 THEN printf('f%09d', n) ELSE 'image_' || idx END AS filename,
-    CASE WHEN NOT is_image THEN 'Image processing error: unsupported_format' WHEN size % 17 = 0 THEN 'engine stopped at ' || size
-         WHEN size % 13 = 0 THEN 'Image processing error: confidence_range' END AS error,
-    CASE WHEN w * h > 16777216 THEN CAST(floor(w * scale) AS BIGINT) || 'x' || CAST(floor(h * scale) AS BIGINT) || 'xtrue' ELSE w || 'x' || h || 'xfalse' END
-      || 'x' || (1 + CASE WHEN (size * 7 % 101) / 100 >= threshold THEN 1 ELSE 0 END + CASE WHEN 0.5 >= threshold THEN 1 ELSE 0 END) AS found
-  FROM judged)
+    error, width || 'x' || height || 'x' || was_resized || 'x' || total_lines AS found FROM judged)
 SELECT 'b' || folder AS batch_id, count(*) AS n_images,
   CASE WHEN count(*) > 20 THEN 'rejected' WHEN count(error) = 0 THEN 'success' WHEN count(error) < count(*) THEN 'partial' ELSE 'error' END AS status,
   CASE WHEN count(*) > 20 THEN 400 ELSE 200 END AS http_status, CASE WHEN count(*) > 20 THEN 'batch_too_large' END AS error,
   CASE WHEN count(*) <= 20 THEN string_agg(CASE WHEN error IS NULL THEN filename || '|success|' || found ELSE filename || '|error|' || error END, ';' ORDER BY idx) END AS results
 FROM listed GROUP BY folder""",
+    "x_image_files": _BITMAPS + """
+SELECT n, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, error, CASE WHEN error IS NULL THEN width END AS width,
+  CASE WHEN error IS NULL THEN height END AS height, CASE WHEN error IS NULL THEN total_lines END AS total_lines FROM judged""",
     "x_create": f"""WITH sized AS (
   SELECT 'job_' || o_custkey AS job_id, count(*) AS n,
          md5(string_agg(to_base64(encode('img_' || o_orderkey)), ',' ORDER BY o_orderkey)) AS images_md5 FROM orders GROUP BY o_custkey),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -21,7 +22,7 @@ from glyphflow.functions.payload import (
     png_colour_mode,
     probe_dimensions,
 )
-from glyphflow.functions.text import iso_z_format, iso_z_parse, job_id_of, ms_from_seconds
+from glyphflow.functions.text import iso_z_format, iso_z_parse, job_id_of, model_name, ms_from_seconds
 from glyphflow.operators import batch, jobs, metrics, normalise, process, runs, validate
 from glyphflow.operators.recognise import inference_calls
 from glyphflow.plans.tables import DOCUMENTS, EVENTS, LANGS, MODEL_TYPES, Tables, hex_number, pick, reversed_hex
@@ -29,17 +30,20 @@ from glyphflow.session import materialise, tune, work_folder
 from glyphflow.settings import Settings
 from glyphflow.sources import files, requests as request_source
 from glyphflow.sources import jobs as job_source
-from glyphflow.sources.sinks import answer_json, response_json
+from glyphflow.sources.sinks import answer_json, response_json, write_metrics_text
 from glyphflow.streaming import jobs as stream_jobs, runs as stream_runs
 from glyphflow.streaming.lifecycle import EXPIRED, stream_lifecycle
 from glyphflow.streaming.metrics import stream_request_metrics
 from glyphflow.streaming.normalise import stream_normalise
+from glyphflow.streaming.queue import DEPTHS, carried_depth, stream_queue_deltas
 from glyphflow.streaming.run import read_batches, run_batches, run_to_files, upsert_batches, use_rocksdb
 
 SETTINGS = Settings()
 # Derived payloads are short; this limit lets some of them be too large.
 SMALL_SETTINGS = Settings(max_image_bytes=10_000)
 AS_OF = "2024-01-30 12:00:00"
+# While the last jobs of the event table are being created.
+ALIVE_AT = "2024-01-04 06:00:00"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -424,6 +428,10 @@ def m_queue_depth_literal(t: Tables) -> DataFrame:
 @query
 def m_exposition(t: Tables) -> DataFrame:
     """Exposition text of all families, one line per row."""
+    return _exposition(t).select("line")
+
+
+def _exposition(t: Tables) -> DataFrame:
     flagged = t.requests().withColumn("metered", metrics.is_metered(F.col("outcome")))
     flagged = flagged.withColumn("called", F.col("status") == "success")
     # One row per combination of labels, read by four families.
@@ -433,7 +441,22 @@ def m_exposition(t: Tables) -> DataFrame:
         **metrics.families_of_rollup(rollup),
         "ocr_job_queue_depth": (depth, []),
         "model_ready": (_gauge(t), ["model_type"]),
-    }).select("line")
+    })
+
+
+@query
+def s_metrics_text(t: Tables) -> DataFrame:
+    """The exposition as a written text: its files, in the order of their names, are one document."""
+    folder = work_folder(t.spark, "metrics-text")
+    write_metrics_text(_exposition(t), folder)
+    written = t.spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    ordered = F.array_sort(F.collect_list(F.struct("name", "value")))
+    body = F.rtrim(F.array_join(F.transform(ordered, lambda x: x["value"]), ""), F.lit("\n"))
+    lines = written.agg(F.split(body, "\n").alias("lines"))
+    return lines.select(
+        F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join(F.array_sort("lines"), "\n")).alias("lines_md5"),
+        F.array_join(F.filter("lines", lambda x: F.startswith(x, F.lit("#"))), "\n").alias("heads"),
+    )
 
 
 # ---- jobs -----------------------------------------------------------------------------------
@@ -653,6 +676,15 @@ def m_answered(t: Tables) -> DataFrame:
     return counted.where(metrics.is_metered(F.col("status")))
 
 
+@query
+def m_answered_observed(t: Tables) -> DataFrame:
+    """The same counts, observed while the answers are written."""
+    labels = {"endpoint": ["/ocr", "/ocr/json"], "lang": LANGS, "outcome": ["success", "error"]}
+    answers, observation = metrics.observe_counts(_single_answers(t), labels, metrics.is_metered(F.col("outcome")))
+    answers.select("payload_id", "http_status", "answer").write.parquet(work_folder(t.spark, "answers"))
+    return metrics.observed_counts(t.spark, observation, labels).withColumnRenamed("outcome", "status")
+
+
 @query
 def b_batch_run(t: Tables) -> DataFrame:
     """Every payload as an item of a batch of ten: outcome per item."""
@@ -698,6 +730,39 @@ def j_run_inferences(t: Tables) -> DataFrame:
     return calls.groupBy("model", "device").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _write_states_by_day(t: Tables) -> tuple[str, str]:
+    """Job states by day of creation: the folder and the schema."""
+    state = jobs.fold_job_events(t.job_events(), with_error=False)
+    folder = work_folder(t.spark, "jobs-by-day")
+    job_source.write_by_day(state, folder)
+    return folder, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema) + ", day date"
+
+
+@query
+def j_alive(t: Tables) -> DataFrame:
+    """Jobs that are alive, read from the folders of the days that can hold them."""
+    folder, schema = _write_states_by_day(t)
+    alive = job_source.read_alive(t.spark, folder, schema, F.lit(ALIVE_AT).cast("timestamp"), SETTINGS)
+    return alive.select("job_id", "status", iso_z_format(F.col("created_at")).alias("created_at"))
+
+
+@query
+def j_days(t: Tables) -> DataFrame:
+    """Jobs created on days that saw a failure with a text; the folders of other days are not read."""
+    folder, schema = _write_states_by_day(t)
+    days = t.job_events().where(F.col("error").isNotNull() & (F.col("seq") % 5 == 0)).select(F.to_date("ts").alias("day"))
+    return job_source.read_days_of(t.spark, folder, schema, days).select("job_id", "status")
+
+
+@query
+def j_lookup(t: Tables) -> DataFrame:
+    """The state of every customer's job, looked up in a bucketed table."""
+    name = f"jobs_{uuid.uuid4().hex}"
+    state = _state_columns(jobs.fold_job_events(t.job_events()))
+    job_source.write_lookup(state, name, work_folder(t.spark, "job-lookup"), buckets=8)
+    return job_source.find_jobs(t.spark, name, _cancel_ids(t)).select("job_id", "status", "processed", "error")
+
+
 # ---- whole job runs ---------------------------------------------------------------------------
 
 
@@ -780,6 +845,16 @@ def j_cancel_run(t: Tables) -> DataFrame:
     return answers.withColumn("ts", iso_z_format(F.col("ts")))
 
 
+@query
+def j_run_observed(t: Tables) -> DataFrame:
+    """Model calls by model and device, observed while the job images are processed and written."""
+    labels = {"model": [f"{SETTINGS.model_prefix}{lang}" for lang in LANGS], "device": [SETTINGS.device]}
+    named = _processed(t).withColumns({"model": model_name(F.col("lang"), SETTINGS.model_prefix), "device": F.lit(SETTINGS.device)})
+    done, observation = metrics.observe_counts(named, labels, F.col("called"))
+    done.select("job_id", "idx", "status", "results").write.parquet(work_folder(t.spark, "job-results"))
+    return metrics.observed_counts(t.spark, observation, labels, "n")
+
+
 # ---- sources and stores ---------------------------------------------------------------------
 
 
@@ -958,6 +1033,31 @@ def x_effective_images(t: Tables) -> DataFrame:
     return out.select("job_id", "image_id")
 
 
+@query
+def x_queue_depth(t: Tables) -> DataFrame:
+    """Pending jobs after each opening and closing, the total carried from micro-batch to micro-batch."""
+    use_rocksdb(t.spark)
+    folder = work_folder(t.spark, "queue-depth")
+    deltas = stream_queue_deltas(t.job_events(t.stream("events", EVENTS)))
+    run_batches(deltas, carried_depth(t.spark, folder), f"{folder}/checkpoint").awaitTermination()
+    return t.spark.read.schema(DEPTHS).parquet(f"{folder}/depths").select("seq", "job_id", "delta", "depth")
+
+
+@query
+def x_image_files(t: Tables) -> DataFrame:
+    """Image files recognised and normalised as they arrive in a folder."""
+    folder = _write_files(t, _as_bitmap(_joined_lines()), 5, "arriving-files")
+    found = request_source.stream_image_files(t.spark, folder, t.files_per_trigger, "*.txt")
+    n = F.substring(_path_part(-2), 2, 9).cast("int")
+    asked = found.select("content", n.alias("n"), F.lit("en").alias("lang"), ((n % 5) / 10).alias("min_confidence"), F.lit(True).alias("include_polygon"))
+    done = process.process_batch_items(asked, strict_recogniser, SETTINGS, is_json=False, planned_size=True)
+    fine = F.col("error").isNull()
+    return run_to_files(done.select(
+        "n", "status", "error", F.when(fine, F.col("meta.image_width")).alias("width"), F.when(fine, F.col("meta.image_height")).alias("height"),
+        F.when(fine, F.col("summary.total_lines")).alias("total_lines"),
+    ), "image-outcomes")
+
+
 @query
 def x_metrics(t: Tables) -> DataFrame:
     """Request metrics of all windows the watermark has closed."""

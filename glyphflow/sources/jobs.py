@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from glyphflow.operators.jobs import latest_version
+from glyphflow.operators.jobs import alive_jobs, latest_version, lookup_job, lookup_jobs
 from glyphflow.schemas import JOB_DOCUMENT
+from glyphflow.settings import Settings
 
 
 def scan_job_documents(
@@ -47,3 +48,42 @@ def read_store(spark: SparkSession, path: str, schema=None) -> DataFrame:
     current = latest_version(reader.parquet(path))
     return current.where(~F.col("deleted")).drop("deleted", "version")
 
+
+def write_by_day(state: DataFrame, path: str) -> None:
+    """Job states in a folder for each day of creation; those without a creation in one of their own.
+
+    One shuffle by day and a share of the ids, so that a busy day is not one task's.
+    """
+    dated = state.withColumn("day", F.to_date("created_at"))
+    dated.repartition("day", F.pmod(F.xxhash64("job_id"), F.lit(16))).write.mode("overwrite").partitionBy("day").parquet(path)
+
+
+def read_alive(spark: SparkSession, path: str, schema, as_of: Column, settings: Settings) -> DataFrame:
+    """Jobs whose time to live, from creation, has not passed; only the folders of days that can hold such are read.
+
+    A job without a creation time does not expire.
+    """
+    table = spark.read.schema(schema).parquet(path)
+    first_day = F.to_date(as_of - F.expr(f"INTERVAL '{settings.job_ttl_hours}' HOUR"))
+    return alive_jobs(table.where(F.col("day").isNull() | (F.col("day") >= first_day)), as_of, settings).drop("day")
+
+
+def read_days_of(spark: SparkSession, path: str, schema, days: DataFrame) -> DataFrame:
+    """Jobs created on the days of a table (day); other folders are not read. The days are few, and sent to all tasks."""
+    return spark.read.schema(schema).parquet(path).join(F.broadcast(days.select("day").distinct()), "day", "left_semi").drop("day")
+
+
+def write_lookup(state: DataFrame, table: str, path: str, buckets: int = 64) -> None:
+    """Job states as a table made for lookups: bucketed and sorted by id, each file with a bloom filter on it."""
+    writer = state.write.mode("overwrite").bucketBy(buckets, "job_id").sortBy("job_id")
+    writer.option("parquet.bloom.filter.enabled#job_id", "true").option("path", path).saveAsTable(table)
+
+
+def find_job(spark: SparkSession, table: str, job_id: str) -> DataFrame:
+    """One job: one bucket is opened, and row groups whose filter does not know the id are skipped."""
+    return lookup_job(spark.table(table), job_id)
+
+
+def find_jobs(spark: SparkSession, table: str, ids: DataFrame) -> DataFrame:
+    """Many jobs, unknown ids with nulls. Only the ids are shuffled, to the buckets; the table stays where it is."""
+    return lookup_jobs(ids, spark.table(table))

@@ -73,9 +73,8 @@ def stream_submissions(spark: SparkSession, path: str, files_per_trigger: int =
     )
 
 
-def stream_image_files(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Image files as a stream."""
+def stream_image_files(spark: SparkSession, path: str, files_per_trigger: int = 100, glob: str = "*") -> DataFrame:
+    """Image files as a stream, with their contents; folders below `path` are looked into."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    return (
-        spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
-    )
+    reader = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)

@@ -1,3 +1,5 @@
+from functools import cache
+
 import pytest
 
 import __spark_entry__ as contract
@@ -14,6 +16,11 @@ def duck():
     return connect(FOLDER)
 
 
+@cache
+def larger():
+    return connect("/root/testdata/sf0.01")
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
@@ -31,6 +38,11 @@ def test_query(spark, duck, name):
         assert df.count() > 0
 
 
+@pytest.mark.parametrize("name", list(ORACLE))
+def test_no_answer_is_empty(name):
+    assert larger().sql(f"SELECT count(*) FROM ({ORACLE[name].rstrip().rstrip(';')})").fetchall()[0][0] > 0
+
+
 @pytest.mark.parametrize("name", ["r_image_summary", "b_batch_results", "j_fold", "m_queue_depth", "v_blank"])
 def test_answers_do_not_depend_on_the_number_of_partitions(spark, duck, name):
     before = spark.conf.get("spark.sql.shuffle.partitions")

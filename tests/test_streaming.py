@@ -6,11 +6,12 @@ import time
 import pytest
 
 from glyphflow.operators.jobs import fold_job_events
+from glyphflow.operators.metrics import queue_depth
 from glyphflow.operators.normalise import normalise_images
 from glyphflow.schemas import JOB_EVENT, RAW_PAGES
 from glyphflow.settings import JOB_STATES, Settings
 from glyphflow.sources.jobs import read_store
-from glyphflow.streaming import jobs as sj, lifecycle as sl
+from glyphflow.streaming import jobs as sj, lifecycle as sl, queue as sq
 from glyphflow.streaming.metrics import stream_request_metrics
 from glyphflow.streaming.normalise import stream_normalise
 from glyphflow.plans import queries as queries_module
@@ -215,3 +216,22 @@ def test_cancels_and_starts_join_on_two_streams(spark, tmp_path):
     # The cancel of "b" at 3 is forgotten after 24 hours; what is after the watermark is still open.
     assert out == {("a", hours(1)), ("b", hours(1)), ("b", hours(30))}
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+
+
+def test_queue_depth_is_carried_over_any_cut(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(f"job_{rng.randint(0, 30)}", i, T0 + dt.timedelta(minutes=i), rng.choice([*JOB_STATES, "progress"]), None, None) for i in range(300)]
+    want = sorted(tuple(r) for r in queue_depth(spark.createDataFrame(rows, JOB_EVENT)).select("seq", "job_id", "delta", "depth").collect())
+    use_rocksdb(spark)
+    for name, size in (("one", 300), ("many", 60)):
+        batches = [rng.sample(rows[a:a + size], size) for a in range(0, 300, size)]
+        folder = str(tmp_path / name)
+        take = sq.carried_depth(spark, f"{folder}/out")
+        query = run_batches(sq.stream_queue_deltas(arriving(spark, f"{folder}/in", JOB_EVENT, batches)), take, f"{folder}/cp")
+        query.awaitTermination()
+        read = lambda: sorted(tuple(r) for r in spark.read.schema(sq.DEPTHS).parquet(f"{folder}/out/depths").select("seq", "job_id", "delta", "depth").collect())  # noqa: E731, B023
+        assert read() == want
+    # The last micro-batch once more.
+    last = spark.read.schema(sq.DELTAS).parquet(f"{folder}/out/deltas/batch=4").collect()
+    take(spark.createDataFrame(last, sq.DELTAS), 4)
+    assert read() == want
