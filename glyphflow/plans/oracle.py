@@ -403,6 +403,21 @@ WHERE decode_error IS NULL AND octet_length(bytes) > 0 AND {_FORMAT.format(x="by
 # In the order of the families.
 _HEADS = "\n".join(f"# HELP {name} {text}\n# TYPE {name} {kind}" for name, kind, text in METRIC_FAMILIES)
 
+_SUBMITTED = _with(_EVENTS) + "SELECT DISTINCT job_id FROM job_events WHERE kind = 'queued'"
+
+_EXPIRED = (
+    _with(_EVENTS)
+    + """, mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM job_events WHERE kind = 'queued')
+SELECT job_id FROM job_events WHERE kind = 'queued' GROUP BY job_id
+HAVING date_trunc('milliseconds', min(ts)) + INTERVAL 24 HOUR <= (SELECT w FROM mark)"""
+)
+
+_STORED = (
+    _with(_EVENTS, _STATE)
+    + """SELECT job_id, CASE WHEN status = 'running' THEN 'completed' ELSE status END AS status, processed, last_seq
+FROM state WHERE CAST(substr(job_id, 5) AS BIGINT) % 5 != 0"""
+)
+
 _FOLD = _with(_EVENTS, _STATE) + f"SELECT {_STATE_COLUMNS} FROM state"
 
 ORACLE: dict[str, str] = {
@@ -829,9 +844,8 @@ SELECT CASE WHEN NOT broken THEN CAST(doc_id AS VARCHAR) END AS request_id, 'aut
     "s_job_documents": _with(_EVENTS, _STATE)
     + f"""SELECT job_id, status, {_iso("created_at")} AS created_at, processed, CAST(20 AS BIGINT) AS total, error
 FROM state WHERE last_seq % 4 != 0""",
-    "s_job_store": _with(_EVENTS, _STATE)
-    + """SELECT job_id, CASE WHEN status = 'running' THEN 'completed' ELSE status END AS status, processed, last_seq
-FROM state WHERE CAST(substr(job_id, 5) AS BIGINT) % 5 != 0""",
+    "s_job_store": _STORED,
+    "s_job_compact": _STORED,
     # The same machine as one fold over each job's status events; elements and states share one type.
     "x_lifecycle": _with(_EVENTS)
     + """, steps AS (
@@ -862,10 +876,8 @@ SELECT job_id, image_id FROM job_items i WHERE start_ts <= (SELECT ts FROM mark)
   FROM requests GROUP BY ALL)
 SELECT {_iso("start")} AS window_start, endpoint, lang, status, n_requests, duration_sum, within_5s, within_30s FROM windows
 WHERE start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
-    "x_ttl_fixed": _with(_EVENTS)
-    + """, mark AS (SELECT max(ts) - INTERVAL 10 MINUTE AS w FROM job_events WHERE kind = 'queued')
-SELECT job_id FROM job_events WHERE kind = 'queued' GROUP BY job_id
-HAVING date_trunc('milliseconds', min(ts)) + INTERVAL 24 HOUR <= (SELECT w FROM mark)""",
+    "x_ttl_fixed": _EXPIRED,
+    "x_ttl_state": _EXPIRED,
     "x_ttl_sliding": _with(_EVENTS)
     + f""", gaps AS (
   SELECT job_id, ts, lead(ts) OVER (PARTITION BY job_id ORDER BY ts) AS next_ts FROM job_events)
@@ -899,5 +911,6 @@ SELECT job_id, CASE WHEN n <= 20 THEN 'queued' END AS status, CASE WHEN n <= 20
   CASE WHEN n <= 20 THEN n END AS total, CASE WHEN n <= 20 THEN n END AS n_stored, CASE WHEN n <= 20 THEN images_md5 END AS images_md5,
   CASE WHEN n <= 20 THEN 202 ELSE 400 END AS http_status, CASE WHEN n > 20 THEN 'batch_too_large' END AS error_code,
   CASE WHEN n > 20 THEN 'Batch size ' || n || ' exceeds maximum 20' END AS error_detail FROM timed""",
-    "x_submit": _with(_EVENTS) + "SELECT DISTINCT job_id FROM job_events WHERE kind = 'queued'",
+    "x_submit": _SUBMITTED,
+    "x_submit_state": _SUBMITTED,
 }

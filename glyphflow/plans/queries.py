@@ -35,6 +35,7 @@ from glyphflow.streaming import jobs as stream_jobs, runs as stream_runs
 from glyphflow.streaming.lifecycle import EXPIRED, stream_lifecycle
 from glyphflow.streaming.metrics import stream_request_metrics
 from glyphflow.streaming.normalise import stream_normalise
+from glyphflow.streaming.once import stream_fixed_expiry, stream_submitted_once
 from glyphflow.streaming.queue import DEPTHS, carried_depth, stream_queue_deltas
 from glyphflow.streaming.run import read_batches, run_batches, run_to_files, upsert_batches, use_rocksdb
 
@@ -986,6 +987,18 @@ def s_job_documents(t: Tables) -> DataFrame:
 @query
 def s_job_store(t: Tables) -> DataFrame:
     """States stored, running jobs updated, every fifth user's job deleted, and the store read."""
+    return job_source.read_store(t.spark, _job_store(t)).select("job_id", "status", "processed", "last_seq")
+
+
+@query
+def s_job_compact(t: Tables) -> DataFrame:
+    """The same store, compacted before it is read."""
+    folder = _job_store(t)
+    job_source.compact_store(t.spark, folder, 3)
+    return job_source.read_store(t.spark, folder).select("job_id", "status", "processed", "last_seq")
+
+
+def _job_store(t: Tables) -> str:
     state = _state_columns(jobs.fold_job_events(t.job_events()))
     folder = work_folder(t.spark, "job-store")
     job_source.append_versions(state, folder, 0)
@@ -995,7 +1008,7 @@ def s_job_store(t: Tables) -> DataFrame:
     number = F.substring("job_id", F.lit(5), F.length("job_id")).cast("bigint")
     gone = current.where(number % 5 == 0).select("job_id")
     job_source.append_deletes(gone, state.schema, folder, 2)
-    return job_source.read_store(t.spark, folder).select("job_id", "status", "processed", "last_seq")
+    return folder
 
 
 # ---- streams --------------------------------------------------------------------------------
@@ -1102,6 +1115,20 @@ def x_submit(t: Tables) -> DataFrame:
     return read_batches(t.spark, f"{folder}/submitted", "job_id string")
 
 
+@query
+def x_submit_state(t: Tables) -> DataFrame:
+    """Each submitted job once, by keyed state."""
+    events = t.job_events(t.stream("events", EVENTS)).where(F.col("kind") == "queued")
+    return run_to_files(stream_submitted_once(events), "submitted-once").select("job_id")
+
+
+@query
+def x_ttl_state(t: Tables) -> DataFrame:
+    """Jobs whose time to live from creation ended before the watermark, by timers."""
+    out = run_to_files(stream_fixed_expiry(t.job_events(t.stream("events", EVENTS)), SETTINGS), "expired-jobs")
+    return out.select("job_id")
+
+
 @query
 def x_create(t: Tables) -> DataFrame:
     """Job requests written as JSON, submitted on a stream, and turned into headers, images and rejections."""

@@ -49,6 +49,22 @@ def read_store(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return current.where(~F.col("deleted")).drop("deleted", "version")
 
 
+def compact_store(spark: SparkSession, path: str, version: int, schema=None) -> None:
+    """Write the current documents as a version of their own and empty the older ones, so that reading stays in proportion to them.
+
+    `version` is above all others. The old versions are emptied from the
+    oldest on: a deletion goes after what it deletes, so that a reader never
+    sees a deleted document again, also if this is broken off and repeated.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    versions = reader.parquet(path)
+    old = sorted(r["version"] for r in versions.select("version").distinct().collect() if r["version"] < version)
+    append_versions(read_store(spark, path, schema), path, version)
+    nothing = versions.drop("version").limit(0)
+    for number in old:
+        spark.createDataFrame([], nothing.schema).write.mode("overwrite").parquet(f"{path}/version={number}")
+
+
 def write_by_day(state: DataFrame, path: str) -> None:
     """Job states in a folder for each day of creation; those without a creation in one of their own.
 

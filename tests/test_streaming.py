@@ -11,7 +11,7 @@ from glyphflow.operators.normalise import normalise_images
 from glyphflow.schemas import JOB_EVENT, RAW_PAGES
 from glyphflow.settings import JOB_STATES, Settings
 from glyphflow.sources.jobs import read_store
-from glyphflow.streaming import jobs as sj, lifecycle as sl, queue as sq
+from glyphflow.streaming import jobs as sj, lifecycle as sl, once as so, queue as sq
 from glyphflow.streaming.metrics import stream_request_metrics
 from glyphflow.streaming.normalise import stream_normalise
 from glyphflow.plans import queries as queries_module
@@ -235,3 +235,28 @@ def test_queue_depth_is_carried_over_any_cut(spark, tmp_path):
     last = spark.read.schema(sq.DELTAS).parquet(f"{folder}/out/deltas/batch=4").collect()
     take(spark.createDataFrame(last, sq.DELTAS), 4)
     assert read() == want
+
+
+def test_once_by_state_reads_no_history_and_equals_the_stored_answer(spark, tmp_path):
+    use_rocksdb(spark)
+    rows = [(f"job_{i % 7}", T0 + dt.timedelta(hours=2 * i), "queued") for i in range(40)]
+    batches = [rows[a:a + 8] for a in range(0, 40, 8)]
+    schema = "job_id string, ts timestamp, kind string"
+    stream = arriving(spark, str(tmp_path / "in"), schema, batches)
+    start_files(so.stream_submitted_once(stream), str(tmp_path / "once"), str(tmp_path / "cp1")).awaitTermination()
+    assert sorted((r.job_id, r.ts) for r in spark.read.parquet(str(tmp_path / "once")).collect()) == [(f"job_{i}", hours(2 * i)) for i in range(7)]
+    query = start_files(so.stream_fixed_expiry(stream, S), str(tmp_path / "ended"), str(tmp_path / "cp2"))
+    query.awaitTermination()
+    ended = sorted((r.job_id, r.created_at, r.expired_at) for r in spark.read.parquet(str(tmp_path / "ended")).collect())
+    assert ended == [(f"job_{i}", hours(2 * i), hours(2 * i + 24)) for i in range(7)]
+    # One job's state each, whatever has come before; nothing but the new file is read.
+    sizes = {p["numInputRows"] for p in query.recentProgress}
+    assert sizes <= {8, 0} and query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 7
+
+
+def test_a_job_ends_exactly_at_its_time_to_live(spark, tmp_path):
+    use_rocksdb(spark)
+    rows = [("a", T0, "queued"), ("b", hours(1), "queued"), ("z", hours(24) + dt.timedelta(minutes=10), "queued")]
+    stream = arriving(spark, str(tmp_path / "in"), "job_id string, ts timestamp, kind string", [rows])
+    start_files(so.stream_fixed_expiry(stream, S), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert [r.job_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a"]

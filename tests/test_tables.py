@@ -99,3 +99,18 @@ def test_exposition_files_in_name_order_are_the_text(spark, tmp_path):
     names = sorted(n for n in os.listdir(tmp_path / "text") if n.startswith("part-"))
     lines = [line for n in names for line in (tmp_path / "text" / n).read_text().splitlines()]
     assert lines == [r[3] for r in sorted(rows)]
+
+
+def test_a_compacted_store_reads_the_same_and_less(spark, tmp_path):
+    path = str(tmp_path / "store")
+    documents = lambda names, status: spark.createDataFrame([(n, status) for n in names], "job_id string, status string")
+    store.append_versions(documents("abcd", "queued"), path, 0)
+    store.append_versions(documents("ab", "running"), path, 1)
+    store.append_deletes(documents("bc", ""), documents("", "").schema, path, 2)
+    before = sorted(map(tuple, store.read_store(spark, path).collect()))
+    for version in (3, 4):
+        store.compact_store(spark, path, version)
+        assert sorted(map(tuple, store.read_store(spark, path).collect())) == before == [("a", "running"), ("d", "queued")]
+        assert spark.read.parquet(path).count() == 2
+    store.append_versions(documents("b", "queued"), path, 5)
+    assert sorted(map(tuple, store.read_store(spark, path).collect())) == [("a", "running"), ("b", "queued"), ("d", "queued")]
