@@ -7,10 +7,10 @@ windows of the words themselves, so that verbatim copies are found however few
 literal words an item has. A capitalised word that opens a sentence is read
 both as a literal and as a name. What follows one diagonal of a document and an
 item, or neighbouring diagonals when words were put in or left out, is one
-passage. A passage counts when it is long enough and its names are consistent:
-each name of the item stands for one name of the document throughout. Equal
-numbers may part, as two quantities can be equal by chance, and a run of enough
-unchanged literal words counts whatever the names around it are.
+passage. A passage counts when it is long enough and its slots are consistent:
+each name, unit and number of the item stands for one of the document
+throughout. Two quantities can be equal by chance, so one number may part once;
+and a run of enough unchanged literal words counts whatever is around it.
 """
 
 from __future__ import annotations
@@ -31,7 +31,10 @@ from glyphflow.llm.frames import small_batches
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles g mg kg gram grams kilogram kilograms lb lbs pound pounds ounce ounces "
     "ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year "
-    "years cent cents dollar dollars euro euros percent degree degrees kmh mph"
+    "years cent cents dollar dollars euro euros percent degree degrees kmh mph "
+    "gramm kilogramm sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad "
+    "mètre mètres gramme grammes kilogramme kilogrammes heure heures seconde secondes jour jours semaine semaines mois an ans année années degré degrés "
+    "metro metros kilómetro kilómetros gramo gramos litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados"
 )
 
 
@@ -47,6 +50,8 @@ class Rules:
     min_run: int = 13
     min_share: float = 0.6
     min_item_words: int = 5
+    # Equal numbers of an item may be two quantities that are equal by chance: so often they can become two values.
+    max_partings: int = 1
     # Words put in or left out between two diagonals of one passage at most.
     max_shift: int = 8
     # Words of benchmark items that a task holds at once; a larger benchmark takes more passes.
@@ -60,9 +65,13 @@ _DIGIT[ord("0"):ord("9") + 1] = True
 _PUNCTUATION = ~(_LETTER | _DIGIT)
 _UPPER = np.zeros(256, bool)
 _UPPER[ord("A"):ord("Z") + 1] = True
+# Capitals of two bytes, by both of them.
+_WIDE_UPPER = np.zeros((256, 256), bool)
+for _c in filter(str.isupper, map(chr, range(0x80, 0x800))):
+    _WIDE_UPPER[tuple(_c.encode())] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:\n"]] = True
-_NUMBER, _NAME, _UNIT, _EXACT = W.odd_constants(4, 77)
+_NUMBER, _NAME, _UNIT = W.odd_constants(3, 77)
 
 
 def _unit_hashes() -> np.ndarray:
@@ -115,9 +124,11 @@ def template(column: pa.Array) -> Template:
     # A name has a capital and then small letters; where it opens a sentence, it can be a literal as well.
     opens = first.copy()
     opens[1:] |= _STOP[raw[words.end[:-1] - 1]] | (raw[np.maximum(words.start[1:] - 1, 0)] == 0x0A)
-    longer = end - start > 1
-    second = raw[np.minimum(start + 1, len(raw) - 1)]
-    name = _UPPER[raw[start]] & longer & ~_UPPER[second] & _LETTER[second]
+    byte = lambda k: raw[np.minimum(start + k, len(raw) - 1)]
+    wide = _WIDE_UPPER[raw[start], byte(1)]
+    second, third = np.where(wide, byte(2), byte(1)), np.where(wide, byte(3), byte(2))
+    longer = end - start > 1 + wide
+    name = (_UPPER[raw[start]] | wide) & longer & ~_UPPER[second] & ~_WIDE_UPPER[second, third] & _LETTER[second]
     name, opens = name & ~opens, name & opens & ~number & ~unit
     code, slot = value.copy(), np.zeros(n, np.uint64)
     for on, mark in ((name, _NAME), (unit, _UNIT), (number, _NUMBER)):
@@ -128,96 +139,164 @@ def template(column: pa.Array) -> Template:
     return Template(words, code, slot, value, named, opens)
 
 
+@dataclass
+class Kind:
+    """Windows of one reading: each item word's hash as a window's first word (0: none), and the windows by hash, then by the one before."""
+
+    sequence: np.ndarray
+    hashes: np.ndarray
+    before: np.ndarray
+    word: np.ndarray
+
+
 @dataclass
 class Index:
-    """Windows of a block of items, sorted by hash; and the items' words behind each other."""
+    """Windows of a block of items in three readings; and the items' words behind each other."""
 
     window: int
-    hashes: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
+    kinds: list[Kind]
     keys: list
+    item: np.ndarray
     begin: np.ndarray
     slot: np.ndarray
     value: np.ndarray
     name: np.ndarray
+    unit: np.ndarray
 
 
-def _windows(t: Template, size: int, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the template windows with enough literals and of all windows as they are, and their first words."""
+def _windows(t: Template, size: int, rules: Rules) -> list[np.ndarray]:
+    """For each word the hash of the window it starts, 0 if it starts none: as they are, as template, and with openings as names.
+
+    The templates are those with enough literals.
+    """
+    n = len(t.value)
     whole = W.whole_windows(t.words, size)
-    exact = np.flatnonzero(whole)
-    hashes = W.window_hashes(t.value, size)[exact] ^ _EXACT
-    if size < rules.min_item_words:
-        return hashes, exact
-    held = lambda on: (total := np.concatenate(([0], np.cumsum(on))))[size:size + len(whole)] - total[:len(whole)]
-    literals, opens = held(t.slot == 0), held(t.opens)
-    least = min(rules.min_literals, size)
-    at = np.flatnonzero(whole & (literals >= least))
-    named = np.flatnonzero(whole & (opens > 0) & (literals - opens >= least))
-    return np.concatenate((W.window_hashes(t.code, size)[at], W.window_hashes(t.named, size)[named], hashes)), np.concatenate((at, named, exact))
+
+    def laid(hashes: np.ndarray, on: np.ndarray) -> np.ndarray:
+        out = np.zeros(n, np.uint64)
+        out[:len(on)][on] = hashes[on] | np.uint64(1)
+        return out
+
+    out = [laid(W.window_hashes(t.value, size), whole)]
+    if size >= rules.min_item_words:
+        held = lambda on: (total := np.concatenate(([0], np.cumsum(on))))[size:size + len(whole)] - total[:len(whole)]
+        literals, opens = held(t.slot == 0), held(t.opens)
+        least = min(rules.min_literals, size)
+        out.append(laid(W.window_hashes(t.code, size), whole & (literals >= least)))
+        out.append(laid(W.window_hashes(t.named, size), whole & (opens > 0) & (literals - opens >= least)))
+    return out
+
+
+def _before(hashes: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The window one word earlier in the same row, 0 if there is none."""
+    same = (at > 0) & (row[at - 1] == row[at])
+    return np.where(same, hashes[at - 1], np.uint64(0))
 
 
 def build(keys: list, texts: list[str | None], rules: Rules) -> list[Index]:
     """The indexes of some items: one for the usual window, one for each length of shorter items."""
     t = template(pa.array(texts, pa.string()))
     begin = t.words.first_of_row()
-    lengths = np.diff(begin)
+    lengths = np.minimum(np.diff(begin), rules.window)
     out = []
-    for size in sorted({min(int(n), rules.window) for n in lengths if n}):
-        hashes, at = _windows(t, size, rules)
-        item = t.words.row[at]
-        fits = np.minimum(lengths[item], rules.window) == size
-        hashes, at, item = hashes[fits], at[fits], item[fits]
-        order = np.argsort(hashes, kind="stable")
-        out.append(Index(size, hashes[order], item[order], (at - begin[item])[order], keys, begin, t.slot, t.value, t.named == _NAME))
+    for size in sorted({int(n) for n in lengths if n}):
+        kinds = []
+        for hashes in _windows(t, size, rules):
+            at = np.flatnonzero((hashes > 0) & (lengths[t.words.row] == size))
+            before = _before(hashes, at, t.words.row)
+            order = np.lexsort((before, hashes[at]))
+            kinds.append(Kind(hashes, hashes[at][order], before[order], at[order]))
+        out.append(Index(size, kinds, keys, t.words.row, begin, t.slot, t.value, t.named == _NAME, t.code == _UNIT))
     return out
 
 
+def _runs(index: Index, kind: Kind, hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of the document, of the item, and number of windows of every longest row of equal windows.
+
+    Only where a row starts are pairs made: an equal window whose one before
+    is equal too lies inside of another row. A repetitive text thus costs as
+    many pairs as it has diagonals.
+    """
+    at = np.flatnonzero(hashes)
+    low = np.searchsorted(kind.hashes, hashes[at], "left")
+    high = np.searchsorted(kind.hashes, hashes[at], "right")
+    hit = np.flatnonzero(high > low)
+    at, low, high = at[hit], low[hit], high[hit]
+    before = _before(hashes, at, row)
+    inner_low, inner_high = low.copy(), low.copy()
+    cases, case = np.unique(np.stack((low.astype(np.uint64), high.astype(np.uint64), before)), axis=1, return_inverse=True)
+    for k, (a, b, h) in enumerate(cases.T.tolist()):
+        if h:
+            found = np.searchsorted(kind.before[a:b], [np.uint64(h)], "left")[0], np.searchsorted(kind.before[a:b], [np.uint64(h)], "right")[0]
+            inner_low[case == k], inner_high[case == k] = a + found[0], a + found[1]
+    words, entries = [], []
+    for a, b in ((low, np.where(inner_high > inner_low, inner_low, high)), (np.where(inner_high > inner_low, inner_high, high), high)):
+        n = b - a
+        words.append(np.repeat(at, n))
+        entries.append(np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n))
+    word, own = np.concatenate(words), kind.word[np.concatenate(entries)]
+    count = np.ones(len(word), np.int64)
+    active = np.arange(len(word))
+    step = 0
+    while len(active):
+        step += 1
+        w, g = word[active] + step, own[active] + step
+        fits = (w < len(row)) & (g < len(index.item))
+        active, w, g = active[fits], w[fits], g[fits]
+        on = (hashes[w] == kind.sequence[g]) & (hashes[w] > 0) & (row[w] == row[word[active]]) & (index.item[g] == index.item[own[active]])
+        active = active[on]
+        count[active] += 1
+    return word, own, count
+
+
 def passages(column: pa.Array, indexes: list[Index], rules: Rules) -> list[tuple[int, object, int, int, int, int]]:
     """Row, item key, matched words, item words, slots and changed slots of every passage that counts; one for each row and item."""
     t = template(column)
     begin = t.words.first_of_row()
     found: dict[tuple[int, int], tuple] = {}
     for index in indexes:
-        hashes, at = _windows(t, index.window, rules)
-        low = np.searchsorted(index.hashes, hashes, "left")
-        many = np.searchsorted(index.hashes, hashes, "right") - low
-        hit = np.flatnonzero(many)
-        if not len(hit):
+        rows = [_runs(index, kind, hashes, t.words.row) for kind, hashes in zip(index.kinds, _windows(t, index.window, rules), strict=False)]
+        word, own, count = (np.concatenate(x) for x in zip(*rows, strict=True))
+        if not len(word):
             continue
-        entry = np.concatenate([np.arange(a, a + n) for a, n in zip(low[hit], many[hit], strict=True)])
-        word = np.repeat(at[hit], many[hit])
-        row, item, place = t.words.row[word], index.item[entry], index.place[entry]
+        row, item = t.words.row[word], index.item[own]
+        place = own - index.begin[item]
         diagonal = word - begin[row] - place
         # Diagonals of one row and item that lie close are judged as one.
         order = np.lexsort((place, diagonal, item, row))
-        row, item, place, diagonal, word = row[order], item[order], place[order], diagonal[order], word[order]
+        row, item, place, diagonal, word, count = row[order], item[order], place[order], diagonal[order], word[order], count[order]
         near = (row[1:] == row[:-1]) & (item[1:] == item[:-1]) & (diagonal[1:] - diagonal[:-1] <= rules.max_shift)
         cuts = np.concatenate(([0], np.flatnonzero(~near) + 1, [len(row)]))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             r, i = int(row[a]), int(item[a])
-            judged = _judge(index, t, i, *_aligned(place[a:b], word[a:b], index.window), rules)
+            judged = _judge(index, t, i, *_aligned(place[a:b], word[a:b], count[a:b] + index.window - 1), rules)
             if judged and judged[0] > found.get((r, i), (0,))[0]:
                 found[r, i] = judged
     return [(r, indexes[0].keys[i], *judged) for (r, i), judged in sorted(found.items())]
 
 
-def _aligned(place: np.ndarray, word: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the item and words of the document that windows on neighbouring diagonals pair, both ascending."""
-    span = np.arange(window)
-    pairs = np.unique(np.stack(((place[:, None] + span).ravel(), (word[:, None] + span).ravel()), 1), axis=0)
-    shift = pairs[:, 1] - pairs[:, 0]
-    if shift.min() == shift.max():
-        return pairs[:, 0], pairs[:, 1]
+def _aligned(place: np.ndarray, word: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the item and words of the document that rows of `size` words on neighbouring diagonals pair, both ascending."""
+    shift = word - place
+    order = np.argsort(shift, kind="stable")
+    place, size, shift = place[order], size[order], shift[order]
+    first = np.flatnonzero(np.append(True, shift[1:] != shift[:-1]))
+    edge = np.append(first, len(shift))
+    # Words of each diagonal: rows of different readings can overlap.
+    covered = [np.unique(np.concatenate([np.arange(p, p + n) for p, n in zip(place[a:b].tolist(), size[a:b].tolist(), strict=True)])) if b - a > 1 else np.arange(place[a], place[a] + size[a])
+               for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    # Once every place that any diagonal reaches is taken, no other one adds anything.
+    reach = int(max(c[-1] for c in covered) - min(c[0] for c in covered)) + 1
     # The longest diagonal first; another one adds what lies before and after the pairs taken, in the same order on both sides.
-    shifts, sizes = np.unique(shift, return_counts=True)
     places, words = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for k in np.lexsort((shifts, -sizes)):
-        p, w = pairs[shift == shifts[k]].T
+    for k in np.lexsort((shift[first], [-len(c) for c in covered])):
+        p = covered[k]
+        w = p + shift[first[k]]
         at, by = np.searchsorted(places, p), np.searchsorted(words, w)
         fits = (at == by) & ~np.isin(p, places) & ~np.isin(w, words)
         places, words = np.sort(np.concatenate((places, p[fits]))), np.sort(np.concatenate((words, w[fits])))
+        if len(places) >= reach:
+            break
     return places, words
 
 
@@ -243,9 +322,10 @@ def _judge(index: Index, t: Template, item: int, covered: np.ndarray, own: np.nd
     slots = (index.slot[at] != 0) | changed
     # Names: placeholders on both sides in the reading that takes openings as names, and not both the same opening word.
     names = index.name[at] & (t.named[own] == _NAME)
-    pairs = set(zip(theirs[names].tolist(), ours[names].tolist(), strict=True))
-    if len(pairs) > len({a for a, _ in pairs}):
-        # One name of the item would stand for two of the document. A changed opening word may be no name: then it is no match.
+    units = index.unit[at] & (t.code[own] == _UNIT)
+    numbers = (index.slot[at] != 0) & (t.code[own] == _NUMBER)
+    if _partings(theirs[names], ours[names]) or _partings(theirs[units], ours[units]) or _partings(theirs[numbers], ours[numbers]) > rules.max_partings:
+        # One value of the item would stand for two of the document. A changed opening word may be no name: then it is no match.
         opening = changed & ((index.slot[at] == 0) | (t.slot[own] == 0))
         if opening.any():
             return _judge(index, t, item, covered[~opening], own[~opening], rules)
@@ -258,6 +338,12 @@ def _judge(index: Index, t: Template, item: int, covered: np.ndarray, own: np.nd
     return len(covered), words, int(slots.sum()), int(changed.sum())
 
 
+def _partings(theirs: np.ndarray, ours: np.ndarray) -> int:
+    """How many values of the document there are beyond one for each value of the item."""
+    pairs = set(zip(theirs.tolist(), ours.tolist(), strict=True))
+    return len(pairs) - len({a for a, _ in pairs})
+
+
 def index_blocks(bench: DataFrame, key: str, text: str, rules: Rules) -> Iterator[list[Index]]:
     """Indexes of the benchmark, a bounded block of items at a time."""
     total = bench.select(F.sum(F.length(text)).alias("n")).first()["n"] or 0

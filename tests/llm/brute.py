@@ -203,3 +203,89 @@ def page_text(tree) -> str:
                 if heading(x) or prose or (x[0] == best[0] and score.get(id(x), 0) >= max(10, 0.2 * score.get(id(best), 0))):
                     kept.append(x)
     return "\n".join(text for owner, text, _ in blocks if any(x is k for x in up(owner) for k in kept))
+
+
+# --- benchmark items: every window of every reading is compared with every other, word by word -------------------------------------
+
+
+def slots_of(text: str, units: set[str]) -> list[dict]:
+    """Words with value, code, name reading, and whether they are a slot; ASCII texts."""
+    out: list[dict] = []
+    for m in WORD.finditer(text):
+        core = re.sub(r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "", m[0]) or m[0]
+        number = core[0].isdigit() and sum(c.isalpha() for c in core) <= 3
+        unit = bool(out) and out[-1]["number"] and core.lower() in units
+        opening = not out or out[-1]["raw"][-1] in ".!?:" or text[m.start() - 1] == "\n"
+        capital = len(core) > 1 and core[0].isupper() and core[1].isalpha() and not core[1].isupper()
+        kind = "#" if number else "unit" if unit else "name" if capital and not opening else None
+        opens = capital and opening and not number and not unit
+        value = core.lower()
+        out.append({"raw": m[0], "number": number, "value": value, "code": kind or "=" + value, "kind": kind, "opens": opens,
+                    "named": "name" if opens else kind or "=" + value})
+    return out
+
+
+def leak(doc: str, item: str, units: set[str], window: int, literals: int, run: int, share: float, short: int, shift: int, partings: int):
+    """Matched words, item words, slots, changed slots of the longest passage that counts, or None."""
+    d, b = slots_of(doc, units), slots_of(item, units)
+    size = min(window, len(b))
+    hits = set()
+    for w in range(len(d) - size + 1) if size else ():
+        for p in range(len(b) - size + 1):
+            x, y = d[w:w + size], b[p:p + size]
+            least = min(literals, size)
+            plain = lambda z: sum(s["kind"] is None for s in z)
+            spare = lambda z: plain(z) - sum(s["opens"] for s in z)
+            same = lambda name: [s[name] for s in x] == [s[name] for s in y]  # noqa: E731, B023
+            if same("value") or size >= short and (same("code") and plain(x) >= least or same("named") and spare(x) >= least and spare(y) >= least and any(s["opens"] for s in x) and any(s["opens"] for s in y)):
+                hits.add((w - p, p))
+    groups: list[list[int]] = []
+    for k in sorted({k for k, _ in hits}):
+        if groups and k - groups[-1][-1] <= shift:
+            groups[-1].append(k)
+        else:
+            groups.append([k])
+    best = None
+    for group in groups:
+        cover = {k: sorted({p + j for s, p in hits if s == k for j in range(size)}) for k in group}
+        pairs: list[tuple[int, int]] = []
+        for k in sorted(group, key=lambda k: (-len(cover[k]), k)):
+            pairs = sorted(pairs + [(p, p + k) for p in cover[k] if all((a - p) * (c - p - k) > 0 for a, c in pairs)])
+        found = counted(pairs, d, b, run, share, shift, partings)
+        if found and (best is None or found[0] > best[0]):
+            best = found
+    return best
+
+
+def counted(pairs, d, b, run, share, shift, partings):
+    if not pairs:
+        return None
+    longest = now = 1
+    for (p, w), (q, v) in zip(pairs, pairs[1:], strict=False):
+        joined = (q - p == v - w == 1) or (q - p != v - w and max(q - p, v - w) <= shift + 1)
+        now = now + 1 if joined else 1
+        longest = max(longest, now)
+    if longest < min(run, len(b)) and len(pairs) < share * len(b):
+        return None
+    x = [(b[p], d[w]) for p, w in pairs]
+    changed = [s["value"] != t["value"] for s, t in x]
+    slots = sum(c or s["kind"] is not None for (s, _), c in zip(x, changed, strict=True))
+
+    def parts(on):
+        values = {(s["value"], t["value"]) for s, t in x if on(s) and on(t)}
+        return len(values) - len({v for v, _ in values})
+
+    numbers = {(s["value"], t["value"]) for s, t in x if s["kind"] is not None and t["kind"] == "#"}
+    if parts(lambda s: s["named"] == "name") or parts(lambda s: s["kind"] == "unit") or len(numbers) - len({v for v, _ in numbers}) > partings:
+        opening = [c and (s["kind"] is None or t["kind"] is None) for (s, t), c in zip(x, changed, strict=True)]
+        if any(opening):
+            return counted([pw for pw, o in zip(pairs, opening, strict=True) if not o], d, b, run, share, shift, partings)
+        most = now = 0
+        for i, (s, _) in enumerate(x):
+            if i and not (not changed[i] and not changed[i - 1] and pairs[i][0] - pairs[i - 1][0] == pairs[i][1] - pairs[i - 1][1] == 1):
+                now = 0
+            now += s["kind"] is None and not changed[i]
+            most = max(most, now)
+        if most < run:
+            return None
+    return len(pairs), len(b), slots, sum(changed)
