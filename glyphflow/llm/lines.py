@@ -91,6 +91,8 @@ def drop_recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", rul
     texts = lines.groupBy("leaf", "own", "version").agg(F.min("doc").alias("doc"))
     counts = texts.groupBy("leaf", "own").agg(F.count("*").alias("docs"), F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "version")).alias("first"))
     recurring = counts.where(F.col("docs") >= rules.min_docs).select("leaf", "own", F.col("first.version").alias("first"))
+    # Stored, so that it is counted cheaply, and so that a hot template is split where it has to be joined by shuffle.
+    recurring = sent_if_small(stored(recurring, "line-recurring"), rules.max_sent_rows)
     dropped = lines.join(recurring, ["leaf", "own"]).where(F.col("version") != F.col("first"))
     dropped = dropped.groupBy("doc", "version").agg(F.collect_set("place").alias("dropped"))
     names = [str(i) for i in range(len(docs.columns))]
