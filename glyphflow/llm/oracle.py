@@ -42,26 +42,31 @@ FROM judged
 """
 
 OP8 = r"""
-WITH lines AS (
-  SELECT doc_id, text, place, CASE WHEN regexp_matches(plain, '[0-9]') THEN regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE plain END AS masked
+WITH RECURSIVE lines AS (
+  SELECT doc_id, text, place, plain, CASE WHEN regexp_matches(plain, '[0-9]') THEN regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE plain END AS masked
   FROM (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS place,
                trim(regexp_replace(unnest(string_split(text, chr(10))), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain FROM documents)),
-  leafed AS (SELECT *, len(string_split(masked, ' ')) AS tokens, array_to_string(list_slice(string_split(masked, ' '), 1, 3), ' ') AS lead FROM lines),
-  long_lines AS (SELECT * FROM leafed WHERE tokens >= 4),
-  strings AS (SELECT tokens, lead, masked, count(DISTINCT text) AS docs FROM long_lines GROUP BY ALL),
-  leaves AS (SELECT tokens, lead FROM strings GROUP BY ALL
-    HAVING count(*) > 1 AND sum(docs) >= 3 AND count(*) FILTER (docs < 3) > 0),
-  tok AS (SELECT tokens, lead, masked, docs, unnest(string_split(masked, ' ')) AS token, generate_subscripts(string_split(masked, ' '), 1) AS place
-    FROM strings JOIN leaves USING (tokens, lead)),
-  common AS (SELECT tokens, lead, place, arg_max(token, {'n': docs, 't': token}) AS common
-    FROM (SELECT tokens, lead, place, token, sum(docs) AS docs FROM tok GROUP BY ALL) GROUP BY ALL),
-  members AS (SELECT tokens, lead, masked FROM tok JOIN common USING (tokens, lead, place) GROUP BY ALL
-    HAVING count(*) FILTER (token = common) >= 0.8 * count(*)),
-  grouped AS (SELECT l.doc_id, l.text, l.place, l.tokens, l.lead, CASE WHEN m.masked IS NULL THEN l.masked END AS own
-    FROM long_lines l LEFT JOIN members m ON l.tokens = m.tokens AND l.lead = m.lead AND l.masked = m.masked),
-  recurring AS (SELECT tokens, lead, own, arg_min(text, doc_id) AS first FROM grouped GROUP BY ALL HAVING count(DISTINCT text) >= 3),
+  leafed AS (SELECT *, len(string_split(masked, ' ')) AS tokens, array_to_string(list_slice(string_split(masked, ' '), 1, 3), ' ') AS lead FROM lines WHERE masked <> ''),
+  strings AS (SELECT tokens, lead, masked, count(DISTINCT text) AS docs FROM leafed WHERE tokens >= 4 AND tokens - 1 >= 0.8 * tokens GROUP BY ALL),
+  level AS (
+  SELECT lead AS part, tokens, lead, masked, string_split(masked, ' ') AS words, docs, false AS joins FROM strings
+  UNION ALL
+  (WITH mixed AS (SELECT * FROM level WHERE NOT joins WINDOW w AS (PARTITION BY tokens, part)
+      QUALIFY count(*) OVER w > 1 AND sum(docs) OVER w >= 2 AND count(*) FILTER (docs < 2) OVER w > 0),
+    tok AS (SELECT tokens, part, docs, unnest(words) AS token, generate_subscripts(words, 1) AS place FROM mixed),
+    places AS (SELECT tokens, part, place, arg_max(token, {'n': docs, 't': token}) AS common, count(*) AS kinds, count(*) FILTER (n = 1) AS single
+      FROM (SELECT tokens, part, place, token, sum(docs) AS docs, count(*) AS n FROM tok GROUP BY ALL) GROUP BY ALL),
+    parts AS (SELECT tokens, part, list(common ORDER BY place) AS template, arg_min(place, {'s': single, 'p': place}) FILTER (kinds > 1) AS telling FROM places GROUP BY ALL),
+    judged AS (SELECT m.*, telling, len(list_filter(list_zip(words, template), lambda x: x[1] = x[2])) >= 0.8 * tokens AS now
+      FROM mixed m JOIN parts p USING (tokens, part))
+  SELECT CASE WHEN now THEN part ELSE part || chr(10) || telling || ' ' || words[telling] END, tokens, lead, masked, words, docs, now FROM judged)),
+  members AS (SELECT part, tokens, lead, masked FROM level WHERE joins),
+  grouped AS (SELECT l.doc_id, l.text, l.place, l.tokens, l.lead, m.part,
+      CASE WHEN m.part IS NULL THEN CASE WHEN l.tokens < 4 THEN l.plain ELSE l.masked END END AS own
+    FROM leafed l LEFT JOIN members m ON l.tokens = m.tokens AND l.lead = m.lead AND l.masked = m.masked),
+  recurring AS (SELECT tokens, lead, part, own, arg_min(text, doc_id) AS first FROM grouped GROUP BY ALL HAVING count(DISTINCT text) >= 2),
   dropped AS (SELECT g.doc_id, list(g.place) AS places FROM grouped g JOIN recurring r
-    ON g.tokens = r.tokens AND g.lead = r.lead AND g.own IS NOT DISTINCT FROM r.own WHERE g.text <> r.first GROUP BY g.doc_id)
+    ON g.tokens = r.tokens AND g.lead = r.lead AND g.part IS NOT DISTINCT FROM r.part AND g.own IS NOT DISTINCT FROM r.own WHERE g.text <> r.first GROUP BY g.doc_id)
 SELECT doc_id,
   CASE WHEN places IS NULL THEN text ELSE coalesce(array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(places, i)), chr(10)), '') END AS text,
   len(string_split(text, chr(10))) AS n_lines, coalesce(len(places), 0) AS n_dropped

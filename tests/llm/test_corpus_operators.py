@@ -194,8 +194,9 @@ def test_recurring_lines(docs_of):
     rows = {r.doc_id: r for r in lines.drop_recurring(docs).collect()}
     assert rows[0].text == f"{own[0]}\nLogged in at 10:0 from host 0 today\nkeep" and rows[0].n_dropped == 0
     for i in (1, 2, 3):
-        assert rows[i].text == f"{own[i]}\nkeep" and (rows[i].n_lines, rows[i].n_dropped) == (3, 1)
+        assert rows[i].text == own[i] and (rows[i].n_lines, rows[i].n_dropped) == (3, 2)
     assert rows[4].text is None and rows[4].n_lines == 0 and rows[5].text == "" and rows[6].text == "short line\nshort line"
+    assert rows[5].n_dropped == rows[6].n_dropped == 0
 
 
 def test_lines_alike_in_most_places_share_a_template(docs_of):
@@ -205,10 +206,31 @@ def test_lines_alike_in_most_places_share_a_template(docs_of):
     assert rows == {0: texts[0], 1: "", 2: "", 3: "", 4: texts[4]}
 
 
+def test_every_template_of_a_leaf_is_found(docs_of):
+    # One leaf (ten tokens, the same three in front): a hot template, three more of two texts each, and two lines of their own.
+    hot = "the user was shown page {} of the long list"
+    rare = ["the user was never told why {} left our team", "the user was sent home after {} rang very late", "the user was happy again when {} came back in"]
+    alone = ["the user was left out of every single other plan", "the user was one more name on some old sheet"]
+    names = "anna bert cleo dora emil finn gerd hugo".split()
+    texts = [hot.format(n) for n in names] + [r.format(n) for r in rare for n in ("ida", "jan")] + alone
+    assert {len(t.split()) for t in texts} == {10}
+    rows = {r.doc_id: r.text for r in lines.drop_recurring(docs_of(texts)).collect()}
+    first = {0, *range(8, 14, 2), 14, 15}
+    assert rows == {i: t if i in first else "" for i, t in enumerate(texts)}
+
+
+def test_two_texts_are_enough_and_short_lines_recur_as_they_are(docs_of):
+    long = "this line of many words stands in two texts"
+    texts = [f"{long}\nPage 1\n\nown words of one", f"Page 2\n{long}\n\nown words of two", "Page  1\n \nown words of three", "Page 3\n\n \n"]
+    rows = {r.doc_id: (r.text, r.n_dropped) for r in lines.drop_recurring(docs_of(texts)).collect()}
+    assert rows == {0: (texts[0], 0), 1: ("Page 2\n\nown words of two", 1), 2: (" \nown words of three", 1), 3: (texts[3], 0)}
+
+
 def test_lines_stay_when_few_documents_have_them(docs_of):
     line = "a line that is long enough to count here"
-    rows = lines.drop_recurring(docs_of([(1, line), (1, line), (2, f"{line}\n{line}"), (None, "x")])).collect()
-    assert all(r.n_dropped == 0 for r in rows)
+    docs = docs_of([(1, line), (1, line), (2, f"{line}\n{line}"), (None, "x")])
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in lines.drop_recurring(docs).collect()) == [(0, 0), (1, 0), (1, 0), (2, 2)]
+    assert all(r.n_dropped == 0 for r in lines.drop_recurring(docs, rules=lines.Rules(min_docs=3)).collect())
     # Copies of a whole document are one; the line stays with the smallest key, and with its copies.
     whole = [(2, line + "\nb"), (3, line + "\nc"), (1, line), (None, line), (4, line)]
     assert sorted((r.doc_id or 0, r.text) for r in lines.drop_recurring(docs_of(whole)).collect()) == [(0, line), (1, line), (2, "b"), (3, "c"), (4, line)]
