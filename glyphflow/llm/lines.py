@@ -9,12 +9,11 @@ of which the fewest stand in one line only (the first such place), and each
 part is treated in the same way, until a part holds one line or none that is
 rare. So a leaf may have any number of templates; one whose variable place
 happens to be the telling one is found for each token there by itself. A line
-that joined no other is its own template,
-and lines of few tokens are compared as they are, digits included. A template
-that occurs in several documents is recurring: its lines stay in the document
-with the smallest key and are dropped elsewhere. Documents with equal texts
-count as one, so that copies of a whole document do not make its lines recur;
-finding those is another operator's work.
+that joined no other is its own template, and lines of few tokens are compared
+as they are, digits included. A template that occurs in several documents is
+recurring: its lines stay in the document with the smallest key and are dropped
+elsewhere. Documents with equal texts count as one, so that copies of a whole
+document do not make its lines recur; finding those is another operator's work.
 """
 
 from __future__ import annotations
